@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,3 +52,23 @@ def only(df: DataFrame, *names: str) -> DataFrame:
 def crc_of(col: str = "doc_id"):
     """crc32 of the id as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary"))
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package's code to the executors, once a context, by Spark's own file server."""
+    context = spark.sparkContext
+    if getattr(context, "_lectern_code", None):
+        return
+    package = Path(__file__).resolve().parents[1]
+    at = Path(tempfile.mkdtemp(prefix="lectern-code-")) / "lectern_code.zip"
+    with zipfile.ZipFile(at, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, Path(package.name) / f.relative_to(package))
+    context.addPyFile(str(at))
+    context._lectern_code = str(at)
+
+
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow, whose functions executors can import."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)

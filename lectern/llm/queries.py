@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ._shared import table
 
@@ -14,6 +15,13 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules,)}
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash_dedup import grouped
+
+    out = grouped(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op3_quality_rules, op8_simhash_near_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
