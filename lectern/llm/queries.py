@@ -42,6 +42,13 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_quality_rules, op4_license_scan, op8_simhash_near_dedup)}
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import scan
+
+    out = scan(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "finding", "start", "length", F.sha2("value", 256).alias("value_sha256"), "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_quality_rules, op4_license_scan, op8_simhash_near_dedup, op9_secret_scan)}
 
 ORACLE_SQL: dict[str, str] = {}
