@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import table
+from ._shared import crc_of, table
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,13 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents")).drop("detections")
 
 
+def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_model import THRESHOLD, score_documents
+
+    out = score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), crc_of() % 5 != 0)
+    return out.select("doc_id", (crc_of() % 5 == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import contaminated
 
@@ -55,6 +62,13 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "finding", "start", "length", F.sha2("value", 256).alias("value_sha256"), "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_quality_rules, op4_license_scan, op7_decontamination, op8_simhash_near_dedup, op9_secret_scan)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import THRESHOLD, score_documents
+
+    out = score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), crc_of() % 3 != 1)
+    return out.select("doc_id", (crc_of() % 3 == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_quality_rules, op4_license_scan, op6_quality_model, op7_decontamination, op8_simhash_near_dedup, op9_secret_scan, op10_toxicity)}
 
 ORACLE_SQL: dict[str, str] = {}
