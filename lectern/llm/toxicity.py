@@ -4,8 +4,8 @@ A word's bag holds the hash of the word and of its character n-grams (bytes, bet
 misspelling shares most vectors with the word it stands for. A passage's features are the mean of the vectors in
 its bags; a linear softmax over two classes reads them. A document is scored by its most toxic passage of
 ``PASSAGE`` words (half overlapping), so a few words count as much in a long text as in a short one; training
-follows the same passage: its gradient goes to the passage that scores highest, which is how a label of a whole
-text teaches passages.
+follows the same passage: its gradient goes to the ``TOP`` passages that score highest, at last to the highest
+alone, which is how a label of a whole text teaches passages.
 
 Vectors and softmax act together as one weight a hash (the difference of the classes), so scoring adds up one
 number a hash, in time linear in the text. Only the text is an input of the score.
@@ -28,7 +28,8 @@ from pyspark.sql import types as T
 from ._shared import map_arrow, only
 from .text_arrays import LETTERS, Block, blocks, lowered, mixed, powers
 
-BUCKETS, DIM, GRAMS, PASSAGE, SAMPLE, EPOCHS, RATE, SEED = 1 << 18, 8, (3, 4, 5), 6, 4_000, 14, 40.0, 5
+BUCKETS, DIM, GRAMS, PASSAGE, SAMPLE, EPOCHS, RATE, SEED = 1 << 18, 8, (3, 4, 5), 6, 4_000, 18, 60.0, 5
+TOP, EARLY, SHRINK = 4, 0.35, 0.94
 THRESHOLD = 0.7
 
 
@@ -100,13 +101,16 @@ def train(texts: list[str | None], toxic: np.ndarray, buckets: int = BUCKETS, di
             bags.append((bucket[by].astype(np.int32), edge[a], edge[z], of, toxic[order[first : first + b.texts]]))
     for epoch in range(epochs):
         lr = rate * (1 - epoch / epochs)
+        E *= np.float32(SHRINK)
         for g in rng.permutation(len(bags)):
             bucket, a, z, of, y = bags[g]
             one = E @ (W[:, 1] - W[:, 0])
             s = np.concatenate(([0], np.cumsum(one[bucket], dtype=np.float64)))
             logit = (s[z] - s[a]) / (z - a) + float(bias[1] - bias[0])
             pick = np.lexsort((-logit, of))
-            pick = pick[np.concatenate(([True], of[pick][1:] != of[pick][:-1]))]  # each text's highest passage
+            new = np.concatenate(([True], of[pick][1:] != of[pick][:-1]))
+            place = np.arange(len(pick)) - np.maximum.accumulate(np.where(new, np.arange(len(pick)), 0))
+            pick = pick[place < (TOP if epoch < EARLY * epochs else 1)]  # each text's highest passages
             low, many = a[pick], (z - a)[pick]
             err = 1 / (1 + np.exp(-np.clip(logit[pick], -30, 30))) - y[of[pick]]
             row = np.repeat(np.arange(len(many)), many)
