@@ -146,9 +146,11 @@ def kept_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", stra
     lab = only(labels, key, "quality")
     d = only(docs, key, "text", stratum).select(key, F.col(stratum).alias("_stratum"), F.coalesce("text", F.lit("")).alias("_text"))
     has = d.join(lab.where("quality in (0, 1)").select(key).distinct(), key, "left_semi")
-    cutoffs = certify(with_statistics(has).drop("_text"), lab, key, "_stratum", alpha, delta, cost)
+    cutoffs = certify(written(with_statistics(has).drop("_text"), "quality-labelled"), lab, key, "_stratum", alpha, delta, cost)
     names = [f"c{i}" for i in range(len(docs.columns))]
     at = dict(zip(reversed(docs.columns), reversed(names)))
     rows = docs.toDF(*names).withColumn("_text", F.coalesce(at["text"], F.lit(""))).withColumn("_stratum", F.col(at[stratum]))
-    kept = with_statistics(rows).where(~F.col("base_failed") & verdict(cutoffs, "_stratum"))
+    # The row number keeps the optimizer from moving the filter below the statistics, which would make them twice.
+    judged = with_statistics(rows).withColumn("_row", F.monotonically_increasing_id())
+    kept = judged.where(~F.col("base_failed") & verdict(cutoffs, "_stratum") & (F.col("_row") >= 0))
     return kept.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])

@@ -200,12 +200,21 @@ def scan(docs: DataFrame, key: str = "doc_id", threshold: float = THRESHOLD, tre
     ).where(F.col("score") >= threshold)
 
 
-def redacted(docs: DataFrame, mask: str = MASK, threshold: float = THRESHOLD, trees: tuple | None = None) -> DataFrame:
-    """docs, all rows and columns, with every secret in ``text`` replaced by the mask."""
+def redacted(docs: DataFrame, mask: str = MASK, threshold: float = THRESHOLD, trees: tuple | None = None, length: str | None = None) -> DataFrame:
+    """docs, all rows and columns, with every secret in ``text`` replaced by the mask; ``length`` names a column
+    of text lengths, made anew where the text changes."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     at = docs.columns.index("text")
     d = _scored(docs.toDF(*names), names[at], trees or forest())
     hidden = lambda x: F.when(x["score"] >= threshold, F.replace(x["hit"], x["value"], F.lit(mask))).otherwise(x["hit"])
     parts = F.zip_with(F.transform("_found", hidden), F.expr("slice(_gaps, 2, size(_found))"), lambda hit, gap: F.concat(hit, gap))
-    text = F.coalesce(F.concat(F.col("_gaps")[0], F.array_join(parts, "")), F.col(names[at]))
-    return d.select(*[(text if i == at else F.col(n)).alias(c) for i, (n, c) in enumerate(zip(names, docs.columns))])
+    d = d.withColumn("_new", F.concat(F.col("_gaps")[0], F.array_join(parts, "")))
+    out = []
+    for i, (n, c) in enumerate(zip(names, docs.columns)):
+        value = F.col(n)
+        if i == at:
+            value = F.coalesce("_new", n)
+        elif c == length:
+            value = F.when(F.col("_new").isNotNull() & (F.col("_new") != F.col(names[at])), F.length("_new")).otherwise(value).cast(docs.schema[i].dataType)
+        out.append(value.alias(c))
+    return d.select(*out)
