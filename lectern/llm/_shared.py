@@ -49,6 +49,12 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.toDF(*[f"_{i}" for i in range(len(df.columns))]).select(*[F.col(f"_{at[n]}").alias(n) for n in names])
 
 
+def by_place(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """df with columns c0, c1, ... so that no name can clash, and the new names of the given columns."""
+    places = [df.columns.index(n) for n in names]
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), [f"c{i}" for i in places]
+
+
 def crc_of(col: str = "doc_id"):
     """crc32 of the id as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary"))

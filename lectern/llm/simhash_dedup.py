@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ._shared import map_arrow, only, written
+from ._shared import by_place, map_arrow, only, written
 
 SHINGLE, RADIUS, BLOCKS, FINE_BLOCKS, SHARD_LIMIT = 3, 2, 4, 8, 65_536
 HOT_ROWS = 10_000
@@ -228,7 +228,8 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     groups = grouped(docs, key, **options)
     kept = written(groups.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(key, "fp", "component_id").count(), "simhash-kept")
     ids = kept.select(F.col(key).alias("_kept"), F.col("count").alias("_n")).distinct()
-    rows = docs.join(ids, docs[key].eqNullSafe(ids["_kept"]))
+    rows, (at,) = by_place(docs, key)
+    rows = rows.join(ids, rows[at].eqNullSafe(ids["_kept"]))
     once = rows.where("_n = 1").drop("_kept", "_n")
-    again = rows.where("_n > 1").drop("_kept", "_n").dropDuplicates([key])
-    return once.unionByName(again)
+    again = rows.where("_n > 1").drop("_kept", "_n").dropDuplicates([at])
+    return once.unionByName(again).toDF(*docs.columns)
