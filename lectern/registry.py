@@ -1,6 +1,6 @@
 """All of the library's queries and their SQL."""
 
-from lectern import more_queries  # noqa: F401  adds its queries
+from lectern import more_queries, note_queries  # noqa: F401  add their queries
 from lectern.queries import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
