@@ -151,7 +151,7 @@ def rt9_weighted_fusion(spark, d):
     return L.top(U.weighted_fusion(_bm(spark, d), _cos(spark, d), "item_id", "doc_id"), "item_id", "doc_id", 10)
 
 
-@query(f"""WITH {_RRF}, s AS (SELECT f.*, (source IN ('src1', 'src2') AND item_id % 2 = 0) AS inn FROM f JOIN documents USING (doc_id)), m AS (SELECT *, max(inn::INT) OVER (PARTITION BY item_id) AS a FROM s),
+@query(f"""WITH {_RRF}, s AS (SELECT f.*, coalesce(source IN ('src1', 'src2') AND item_id % 2 = 0, false) AS inn FROM f LEFT JOIN documents USING (doc_id)), m AS (SELECT *, max(inn::INT) OVER (PARTITION BY item_id) AS a FROM s),
  x AS (SELECT item_id, doc_id, score FROM m WHERE inn OR a = 0), {_topk('x', 10)} SELECT item_id, doc_id, score, rank FROM r""")
 def fp2_scope_fallback(spark, d):
     fused = U.reciprocal_rank_fusion({"bm25": _bm(spark, d), "vector": _cos(spark, d)}, "item_id", "doc_id")
