@@ -142,11 +142,11 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str = "lang", alpha: float = 0.05, delta: float = 0.05, cost: float = 5.0) -> DataFrame:
-    """The rows of docs, with all their columns, that the rules keep. The fit reads the labelled rows alone."""
-    lab = only(labels, key, "quality")
+    """The rows of docs, with all their columns, that the rules keep. Statistics are made twice, to fit and to
+    apply: that costs less than to move whole texts to a join with the labels or with the verdicts."""
     d = only(docs, key, "text", stratum).select(key, F.col(stratum).alias("_stratum"), F.coalesce("text", F.lit("")).alias("_text"))
-    has = d.join(lab.where("quality in (0, 1)").select(key).distinct(), key, "left_semi")
-    cutoffs = certify(written(with_statistics(has).drop("_text"), "quality-labelled"), lab, key, "_stratum", alpha, delta, cost)
+    stats = written(with_statistics(d).drop("_text"), "quality-stats")
+    cutoffs = certify(stats, labels, key, "_stratum", alpha, delta, cost)
     names = [f"c{i}" for i in range(len(docs.columns))]
     at = dict(zip(reversed(docs.columns), reversed(names)))
     rows = docs.toDF(*names).withColumn("_text", F.coalesce(at["text"], F.lit(""))).withColumn("_stratum", F.col(at[stratum]))
