@@ -229,7 +229,8 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     kept = written(groups.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(key, "fp", "component_id").count(), "simhash-kept")
     ids = kept.select(F.col(key).alias("_kept"), F.col("count").alias("_n")).distinct()
     rows, (at,) = by_place(docs, key)
-    rows = rows.join(ids, rows[at].eqNullSafe(ids["_kept"]))
+    # Ids grow with the corpus, so they are never broadcast, at any size: each text moves once, dealt by its id.
+    rows = rows.join(ids.hint("merge"), rows[at].eqNullSafe(ids["_kept"]))
     once = rows.where("_n = 1").drop("_kept", "_n")
     again = rows.where("_n > 1").drop("_kept", "_n").dropDuplicates([at])
     return once.unionByName(again).toDF(*docs.columns)
