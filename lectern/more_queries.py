@@ -160,9 +160,9 @@ def ag44_ghost_citations(spark, d):
 
 
 @query("""WITH s AS (SELECT event_type, value, CASE WHEN value - lag(value) OVER (PARTITION BY event_type ORDER BY value) > 0.5 OR lag(value) OVER (PARTITION BY event_type ORDER BY value) IS NULL THEN 1 ELSE 0 END AS s FROM events),
- c AS (SELECT event_type, value, sum(s) OVER (PARTITION BY event_type ORDER BY value ROWS UNBOUNDED PRECEDING)::BIGINT AS cluster FROM s) SELECT event_type, cluster, round(round(avg(value), 4), 2) AS mean, count(*) AS n FROM c GROUP BY 1, 2""")
+ c AS (SELECT event_type, value, sum(s) OVER (PARTITION BY event_type ORDER BY value ROWS UNBOUNDED PRECEDING)::BIGINT AS cluster FROM s) SELECT event_type, cluster, round(sum(value), 2) AS total, count(*) AS n FROM c GROUP BY 1, 2""")
 def ag47_position_clusters(spark, d):
-    return R.position_clusters(t(spark, d, "events").select("event_type", "value"), "event_type", "value", 0.5).withColumn("mean", F.round("mean", 2))
+    return R.position_clusters(t(spark, d, "events").select("event_type", "value"), "event_type", "value", 0.5).drop("mean")
 
 
 @query("SELECT doc_id, round(n_chars * CASE WHEN source = 'src1' THEN 1.5 ELSE 1 END, 2)::DOUBLE AS score FROM documents ORDER BY score DESC, doc_id LIMIT 25")
@@ -260,11 +260,11 @@ def sm1_stream_states(spark, d):
     return t(spark, d, "events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("last_type"), F.min_by("event_type", "event_id").alias("first_type"), F.count("*").alias("n"))
 
 
-@query(f"""WITH {_BM25}, {_COS}, {_topk('bm', 20, name='b')}, l AS (SELECT item_id, doc_id, 0.5 AS s FROM b), {_topk('cs', 20, name='c')} SELECT coalesce(l.item_id, c.item_id) AS item_id, coalesce(l.doc_id, c.doc_id) AS doc_id, round(least(coalesce(l.s, 0) + 0.5 * coalesce(c.score, 0), 1), 6) AS score
+@query(f"""WITH {_BM25}, {_COS}, {_topk('bm', 20, name='b')}, l AS (SELECT item_id, doc_id, 0.5 AS s FROM b), {_topk('cs', 20, name='c')} SELECT coalesce(l.item_id, c.item_id) AS item_id, coalesce(l.doc_id, c.doc_id) AS doc_id, round(least(coalesce(l.s, 0) + 0.5 * coalesce(c.score, 0), 1), 7) AS score
  FROM l FULL JOIN c ON l.item_id = c.item_id AND l.doc_id = c.doc_id""")
 def rt8_directory_and_vector(spark, d):
     listed = _bm(spark, d, 20).select("item_id", "doc_id", F.lit(1.0).alias("score"))
-    both = U.weighted_fusion(listed, _cos(spark, d, 20), "item_id", "doc_id", 0.5, 0.5)
+    both = U.weighted_fusion(listed, _cos(spark, d, 20), "item_id", "doc_id", 0.5, 0.5, digits=7)
     return both.withColumn("score", F.least("score", F.lit(1.0)))
 
 

@@ -24,12 +24,12 @@ def reciprocal_rank_fusion(signals: dict[str, DataFrame], query: str, key: str,
     return fused.where("_ok").drop("_ok")
 
 
-def weighted_fusion(a: DataFrame, b: DataFrame, query: str, key: str, wa: float = 0.7, wb: float = 0.3, weight: Column | None = None) -> DataFrame:
+def weighted_fusion(a: DataFrame, b: DataFrame, query: str, key: str, wa: float = 0.7, wb: float = 0.3, weight: Column | None = None, digits: int = 6) -> DataFrame:
     """(query, key, score) = (wa a + wb b) * weight over the full outer join; what is missing counts 0."""
     x, y = a.select(query, key, F.col("score").alias("_a")), b.select(query, key, F.col("score").alias("_b"))
     both = x.join(y, [query, key], "full_outer").fillna(0.0, ["_a", "_b"])
     score = F.col("_a") * wa + F.col("_b") * wb
-    return both.select(query, key, F.round(score * weight if weight is not None else score, 6).alias("score"))
+    return both.select(query, key, F.round(score * weight if weight is not None else score, digits).alias("score"))
 
 
 def in_scope_or_all(hits: DataFrame, scope: DataFrame, query: str, key: str) -> DataFrame:
@@ -47,13 +47,13 @@ def multi_keyword_fusion(hits: DataFrame, query: str, keyword: str, key: str, cu
     return g.withColumn("score", F.round(score, 6))
 
 
-def blended(hits: DataFrame, rerank: DataFrame, query: str, key: str, weight: float = 0.5, default: float = 0.5, drop_missing: bool = False) -> DataFrame:
+def blended(hits: DataFrame, rerank: DataFrame, query: str, key: str, weight: float = 0.5, default: float = 0.5, drop_missing: bool = False, digits: int = 6) -> DataFrame:
     """score = weight * rerank + (1 - weight) * score where a rerank score is given (null: the default score);
     other rows keep theirs, or go with drop_missing."""
     r = rerank.select(query, key, F.coalesce("rerank", F.lit(default)).alias("_r"))
     j = hits.join(r, [query, key], "inner" if drop_missing else "left")
     mixed = weight * F.col("_r") + (1 - weight) * F.col("score")
-    return j.withColumn("score", F.round(F.when(F.col("_r").isNotNull(), mixed).otherwise(F.col("score")), 6)).drop("_r")
+    return j.withColumn("score", F.round(F.when(F.col("_r").isNotNull(), mixed).otherwise(F.col("score")), digits)).drop("_r")
 
 
 def merged_tree_hits(hits: DataFrame, listed: DataFrame, query: str, key: str, weight: float = 0.5) -> DataFrame:

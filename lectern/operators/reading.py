@@ -89,11 +89,11 @@ def run_difference(a: DataFrame, b: DataFrame, dimension: str, value: str, note:
 
 
 def position_clusters(points: DataFrame, by: str, x: str, gap: float) -> DataFrame:
-    """(by, cluster, mean, n): runs of sorted positions without a gap over ``gap``."""
+    """(by, cluster, mean, total, n): runs of sorted positions without a gap over ``gap``."""
     w = Window.partitionBy(by).orderBy(x)
     starts = F.coalesce((F.col(x) - F.lag(x).over(w) > gap).cast("int"), F.lit(1))
     runs = points.withColumn("_s", starts).withColumn("cluster", F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy(by, "cluster").agg(F.round(F.avg(x), 4).alias("mean"), F.count("*").alias("n"))
+    return runs.groupBy(by, "cluster").agg(F.round(F.avg(x), 4).alias("mean"), F.round(F.sum(x), 2).alias("total"), F.count("*").alias("n"))
 
 
 def subtree_sums(nodes: DataFrame, by: str, order: str, until: str, value: str) -> DataFrame:

@@ -181,11 +181,11 @@ def rt11_keyword_fusion(spark, d):
     return U.multi_keyword_fusion(hits, "grp", "item_id", "doc_id", F.col("doc_id") % 10 == 0)
 
 
-@query(f"""WITH {_BM25}, {_topk('bm', 10, name='b')} SELECT item_id, doc_id, round(CASE WHEN doc_id % 3 = 0 THEN 0.5 * (doc_id % 100 / 100.0) + 0.5 * score ELSE score END, 6) AS score FROM b""")
+@query(f"""WITH {_BM25}, {_topk('bm', 10, name='b')} SELECT item_id, doc_id, round(CASE WHEN doc_id % 3 = 0 THEN 0.5 * (doc_id % 100 / 100.0) + 0.5 * score ELSE score END, 7) AS score FROM b""")
 def ma9_rerank_blend(spark, d):
     hits = _bm(spark, d, 10).select("item_id", "doc_id", "score")
     rerank = hits.where("doc_id % 3 = 0").select("item_id", "doc_id", (F.col("doc_id") % 100 / 100.0).alias("rerank"))
-    return U.blended(hits, rerank, "item_id", "doc_id")
+    return U.blended(hits, rerank, "item_id", "doc_id", digits=7)
 
 
 @query(f"""WITH {_BM25}, {_topk('bm', 10, name='b')}, l AS (SELECT item_id, vec_id AS doc_id, vec_id % 10 AS position FROM embeddings CROSS JOIN (SELECT item_id FROM benchmark) WHERE vec_id < 10)
