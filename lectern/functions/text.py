@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 CJK = "㐀-䶿一-鿿豈-﫿"
 WIDE = CJK + "　-〿＀-￯"
-#: Words that carry no query meaning.
-STOP_WORDS = ["的", "了", "是", "在", "和", "与", "或", "也", "都", "就", "不", "有", "我", "你", "他", "这", "那", "什么", "如何", "怎么", "一个", "没有", "自己"]
+# Words that carry no query meaning.
+STOP_WORDS = [
+    "的", "了", "是", "在", "我", "有", "和", "就", "不", "人", "都", "一",
+    "一个", "上", "也", "很", "到", "说", "要", "去", "你", "会", "着", "没有",
+    "看", "好", "自己", "这", "他", "她", "它", "们", "那", "些", "个", "么",
+    "什么", "如何", "怎么", "为", "与", "及", "等", "被", "从", "把", "让",
+]
 
 
 def _nonempty(words: Column) -> Column:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: Folders that hold no notes of the user's own.
-EXCLUDED = ("**/.obsidian/**", "**/.trash/**", "**/.git/**", "**/node_modules/**")
+# Folders that hold no notes of the user's own.
+EXCLUDED = ("**/.obsidian/**", "**/.trash/**", "**/Templates/**")
 VECTOR = T.StructType([T.StructField("chunkId", T.StringType()), T.StructField("nodeId", T.StringType()), T.StructField("blockIds", T.ArrayType(T.StringType())), T.StructField("type", T.StringType()), T.StructField("level", T.StringType()), T.StructField("vector", T.ArrayType(T.FloatType()))])
 CHUNK = T.StructType([T.StructField("chunkId", T.StringType()), T.StructField("nodeId", T.StringType()), T.StructField("blockIds", T.ArrayType(T.StringType())), T.StructField("text", T.StringType()), T.StructField("type", T.StringType())])
 CARD_VECTOR = T.StructType([T.StructField("cardId", T.StringType()), T.StructField("vector", T.ArrayType(T.FloatType()))])

@@ -10,7 +10,7 @@ from lectern.streaming import streams
 
 
 def test_scan_notes(spark, tmp_path):
-    for name, text in {"a/one.md": "x", "a/b/two.md": "y", ".git/no.md": "z", "a/book.md": "---\ntype: pdf\n---\nq", "a/kept.md": "---\ntype: pdf\nindexed: true\n---\nq", "a/no.txt": "t"}.items():
+    for name, text in {"a/one.md": "x", "a/b/two.md": "y", ".trash/no.md": "z", "a/book.md": "---\ntype: pdf\n---\nq", "a/kept.md": "---\ntype: pdf\nindexed: true\n---\nq", "a/no.txt": "t"}.items():
         p = tmp_path / name
         p.parent.mkdir(parents=True, exist_ok=True)
         p.write_text(text)
