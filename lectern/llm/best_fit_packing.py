@@ -41,7 +41,7 @@ def pieces(docs: DataFrame, path: str, key: str = "doc_id", capacity: int = CAPA
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() * 1009  # rows are dealt in turn, whatever they hold
-        for b in batches:
+        for b in (whole.slice(k, 1000) for whole in batches for k in range(0, whole.num_rows, 1000)):
             texts = [t or "" for t in b.column(1).to_pylist()]
             row, cols, ids = [], [], []
             for i, x in enumerate(encoder(path).ids(texts)):

@@ -228,8 +228,9 @@ class Transducer:
             to = self.ids[key] = len(self.held)
             self.held.append(key)
             if to >= len(self.next):
-                self.next = np.concatenate((self.next, np.full_like(self.next, -1)))
-                self.last = np.concatenate((self.last, np.full_like(self.last, -1)))
+                more = max(4096, to // 4)
+                self.next = np.concatenate((self.next, np.full((more, self.width), -1, np.int32)))
+                self.last = np.concatenate((self.last, np.full(more, -1, np.int32)))
             self.last[to] = token
         value = to << 8 | change + 128
         self.next[state, self.column[symbol]] = value
@@ -239,8 +240,8 @@ class Transducer:
         new = np.flatnonzero(np.bincount(symbols, minlength=512) > 0)
         for x in new[self.column[new] < 0].tolist():
             if self.columns == self.width:
-                self.next = np.concatenate((self.next, np.full_like(self.next, -1)), axis=1)
-                self.width *= 2
+                self.next = np.concatenate((self.next, np.full((len(self.next), 32), -1, np.int32)), axis=1)
+                self.width += 32
             self.column[x] = self.columns
             self.columns += 1
         return self.column[symbols]
@@ -307,7 +308,7 @@ class Transducer:
 class Encoder:
     """Counts or ids of whole texts as the tokenizers library gives them for one of its .json files."""
 
-    def __init__(self, path: str, most_states: int = 150_000, block: int = 1 << 20):
+    def __init__(self, path: str, most_states: int = 150_000, block: int = 1 << 19):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
