@@ -1,8 +1,8 @@
 """License scan: ordered signature rules over a text's words.
 
 A text's words, lower-cased and joined by single spaces, are searched by hundreds of regular expressions. A rule
-runs only where its keyword occurs, and no rule runs where one cheap expression over the raw text finds no
-trace of a licence. A detection that lies inside another of the same or a higher priority is suppressed. Base
+runs only where its keyword occurs, and no rule runs where one expression over the raw text, derived from the rules
+and with runs of separators for blanks, finds no place for any of them. A detection that lies inside another of the same or a higher priority is suppressed. Base
 phrases are found by the same words and always stay.
 
 Only DataFrame functions run on the rows; the rules are a literal array of a fixed size.
@@ -14,6 +14,9 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import lru_cache
+from itertools import product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,7 +84,7 @@ FAMILIES = [
     ("elastic-2", "elastic", "elastic license( (version |v )?2( 0)?)?", "elastic 2 0", "elastic co licensing elastic license"),
     ("sspl-1", "server side", "server side public license( (version |v )?1)?", "sspl 1 0", "mongodb com licensing server side public license"),
     ("busl-1.1", "business source", "business source license( (version |v )?1 1)?", "busl 1 1", "mariadb com bsl11"),
-    ("odbl-1", "open database", "open (data commons )?(open )?database license( (version |v )?1( 0)?)?", "odbl 1 0", "opendatacommons org licenses odbl"),
+    ("odbl-1", "database license", "open (data commons )?(open )?database license( (version |v )?1( 0)?)?", "odbl 1 0", "opendatacommons org licenses odbl"),
     ("pddl-1", "public domain dedication", "public domain dedication and licen[cs]e", "pddl 1 0", "opendatacommons org licenses pddl"),
     ("odc-by", "open data commons", "open data commons attribution licen[cs]e", "odc by 1 0", "opendatacommons org licenses by"),
     ("cc0", "cc0", "(creative commons )?cc0( 1 0)?( universal)?", "cc0 1 0", "creativecommons org publicdomain zero 1 0"),
@@ -149,13 +152,6 @@ NOTICES = [
     ("cc", 1, "creative commons", "creative commons"),
     ("eupl", 1, "european union", "european union public licen[cs]e"),
 ]
-#: What a text must hold for any rule to run; without it no keyword can occur.
-TRACE = (
-    "licen|copyright|copies or|spdx|gpl|public domain|creative.{1,3}commons|creativecommons|all.{1,3}rights|permission|"
-    "redistribution|warrant|unlicense|wtfpl|beer|cc0|proprietary|unauthorized|endorse|free.{1,3}software|as.{1,3}is|"
-    "origin of|advertising|waived|good.{1,3}not|what the|opendatacommons|apache.org|mozilla.org|eupl.eu|boost.org|vimhelp|\\bbsd\\b|0bsd|cc0"
-)
-
 
 def rules() -> list[tuple[str, int, str, str]]:
     """(label, priority, keyword, expression) in order."""
@@ -175,6 +171,78 @@ def rules() -> list[tuple[str, int, str, str]]:
     return out
 
 
+def phrases_of(expression: str) -> set[str]:
+    """All texts an expression can begin with: alternatives and options written out, up to its first open word."""
+    if (cut := min((i for x in ("[^", "\\w") if (i := expression.find(x)) >= 0), default=-1)) >= 0:
+        expression = expression[:cut].rpartition(" ")[0]
+
+    def choice(at: int) -> tuple[set[str], int]:
+        out, parts = set(), []
+        while at < len(expression) and expression[at] != ")":
+            c = expression[at]
+            if c == "|":
+                out |= {"".join(x) for x in product(*parts)}
+                parts, at = [], at + 1
+                continue
+            if c == "(":
+                one, at = choice(at + 1)
+            elif c == "[":
+                end = expression.index("]", at)
+                one, at = set(expression[at + 1 : end]), end
+            else:
+                one = {c}
+            at += 1
+            if expression[at : at + 1] == "?":
+                one, at = one | {""}, at + 1
+            parts.append(one)
+        return out | {"".join(x) for x in product(*parts)}, at
+
+    return {" ".join(x.split()) for x in choice(0)[0]}
+
+
+@lru_cache(maxsize=1)
+def gate() -> str:
+    """What a text must hold for any rule or base phrase to match: the first words of each, as one prefix tree.
+    Phrases that hold another at a word are left out, for where they stand the other stands."""
+    tree: dict = {}
+
+    def holds(words: list[str]) -> bool:
+        for first in range(len(words)):
+            at = tree
+            for w in words[first:]:
+                at = at.get(w)
+                if at is None:
+                    break
+                if not at:
+                    return True
+        return False
+
+    every = set(PHRASES).union(*(phrases_of(x) for *_, x in rules()))
+    for p in sorted(every, key=lambda p: (len(p.split()), p)):
+        words, at = p.split(), tree
+        if not holds(words):
+            for w in words:
+                at = at.setdefault(w, {})
+
+    def letters(nodes: dict) -> dict:
+        """The words of one level as a tree of letters; "" ends a word and holds the level below."""
+        out: dict = {}
+        for word, below in nodes.items():
+            at = out
+            for c in word:
+                at = at.setdefault(c, {})
+            at[""] = below
+        return out
+
+    def written(at: dict) -> str:
+        forms = [c + written(x) for c, x in sorted(at.items()) if c]
+        if "" in at:
+            forms.append(f"[{SEPARATOR}]++" + written(letters(at[""])) if at[""] else f"(?![^{SEPARATOR}])")
+        return forms[0] if len(forms) == 1 else f"(?:{'|'.join(forms)})"
+
+    return f"(?i)(?<![^{SEPARATOR}]){written(letters(tree))}"
+
+
 def _rules_column() -> Column:
     quote = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
     rows = ", ".join(f"struct({quote(n)} as label, {p} as priority, {quote(k)} as keyword, {quote(f' {x}(?= )')} as pattern)" for n, p, k, x in rules())
@@ -219,11 +287,9 @@ def _surviving(hits: Column) -> Column:
 def scan(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, n_words, n_base, first_word, last_word, base_labels, labels, score, detections) of every row."""
     text = F.coalesce("text", F.lit(""))
-    before, after = f"(?<![^{SEPARATOR}])", f"(?![^{SEPARATOR}])"
-    raw = "|".join(p.replace(" ", f"[{SEPARATOR}]+") for p in PHRASES)
     d = only(docs, key, "text").select(key, text.alias("_text"))
     d = d.withColumn("n_words", F.regexp_count("_text", F.lit(WORD)).cast("long"))
-    d = d.withColumn("_gate", F.col("_text").rlike(f"(?i){before}(?:{raw}){after}|{TRACE}"))
+    d = d.withColumn("_gate", F.col("_text").rlike(gate()))
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     words = F.regexp_extract_all(F.translate("_text", upper, lower), F.lit(WORD), F.lit(0))
     d = d.withColumn("_words", F.when(F.col("_gate"), F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")))).drop("_text")

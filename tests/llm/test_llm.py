@@ -173,6 +173,22 @@ def test_license_scan(spark):
     assert len(license_scan.rules()) >= 200
 
 
+def test_license_gate(spark):
+    rows = [
+        ("Photo: Jane Doe, CC BY-SA 4.0", "cc-by-sa"), ("a map (CC BY 4.0)", "cc-by"), ("CC BY-ND", "cc-by-nd"), ("see eclipse.org/legal/epl-v10", "epl-1"), ("scripts.sil.org/OFL", "ofl-1.1"),
+        ("mariadb.com/bsl11", "busl-1.1"), ("MIT No Attribution", "mit-0"), ("in the public-domain now", "public-domain"), ("public\ndomain", "public-domain"), ("All\nrights reserved", "proprietary"),
+        ("Creative\nCommons", "cc"), ("Open Data Commons Database License", "odbl-1"), ("a permit to submit an e-mail", ""),
+    ]
+    got = {r["doc_id"]: r["labels"] for r in license_scan.scan(docs(spark, [(i, t) for i, (t, _) in enumerate(rows)])).collect()}
+    assert [got[i] for i in range(len(rows))] == [x for _, x in rows]
+    # Every way to write each rule, joined by any separators, passes the gate alone and holds the rule's keyword.
+    ways = [(k, x, w) for *_, k, x in license_scan.rules() for w in sorted(license_scan.phrases_of(x))]
+    assert len({x for _, x, _ in ways}) == len({x for *_, x in license_scan.rules()})
+    texts = spark.createDataFrame([(w.replace(" ", sep).upper(),) for _, _, w in ways for sep in (" ", "-", "\n", ".\t ")], "text string")
+    assert texts.where(~F.col("text").rlike(license_scan.gate())).count() == 0
+    assert all(k in w or "[^" in x or "\\w" in x for k, x, w in ways)
+
+
 def test_secret_scan(spark, edges):
     key = "9c8b45435718dcc700c184a7e303cdc64c6a8f7f"
     rows = [(1, f'say token = "{key}" and token = "{key}" end'), (2, "commit 9c8b45435718dcc700c184a7e303cdc64c6a8f7f merged"), (3, 'password = "changeme123"'), (4, None), (5, ""), (6, "plain words only")]
