@@ -9,9 +9,9 @@ them, so no row leaves its partition. The forest is trained here, on labelled fi
 Only DataFrame functions run on the rows. Numpy trains on the features of the labelled findings, a table of a
 fixed size, on the driver.
 
-Defined cases: null or empty text has no findings; texts are read whole; equal values are each a finding at
-their place; repeated rows are scanned each; extra columns stay and never clash in ``redacted`` and are ignored
-in ``scan``; an empty table gives an empty result.
+Defined cases: null or empty text has no findings; texts are read whole, and values have no greatest length;
+equal values are each a finding at their place; repeated rows are scanned each; extra columns stay and never
+clash in ``redacted`` and are ignored in ``scan``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ KNOWN = (
     r"sk_(?:live|test)_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9_-]{20,}|AIza[A-Za-z0-9_-]{35}|npm_[A-Za-z0-9]{36}|SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}|"
     r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*-----END [A-Z ]*PRIVATE KEY-----"
 )
-ASSIGNED = rf"(?i:{NAMES})[\"']?[ \t]*(?::=|=>|[:=])[ \t]*[\"']?[^\s\"',;<>]{{8,512}}"
-LONG_RUN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,64}[0-9])[A-Za-z0-9+/_=-]{32,512}"
+ASSIGNED = rf"(?i:{NAMES})[\"']?[ \t]*(?::=|=>|[:=])[ \t]*[\"']?[^\s\"',;<>]{{8,}}+"
+LONG_RUN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{32,}+"
 CANDIDATE = f"{KNOWN}|{ASSIGNED}|{LONG_RUN}"
 COMMON = (
     "the|and|for|you|your|this|that|with|from|have|test|example|sample|dummy|change|fake|demo|default|null|none|true|false|user|name|admin|pass|word|secret|"

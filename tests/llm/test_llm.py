@@ -204,6 +204,18 @@ def test_secret_scan(spark, edges):
     assert sum((i in flagged) == bool(y) for i, (_, y) in enumerate(test)) >= 285
 
 
+def test_long_secrets(spark):
+    r = random.Random(12)
+    value = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(2000))
+    symbols = "".join(r.choice("abcXYZ0189!@#$%^&*") for _ in range(2000))
+    rows = [(1, f'so private_key = "{value}" ends'), (2, f'password: "{symbols}" ends'), (3, f"the secret key is {value} and ends")]
+    d = docs(spark, rows)
+    found = {x["doc_id"]: (x["start"], x["length"], x["value"]) for x in secret_scan.scan(d).collect()}
+    assert found == {1: (18, 2000, value), 2: (11, 2000, symbols), 3: (18, 2000, value)}
+    out = {x["doc_id"]: x["text"] for x in secret_scan.redacted(d).collect()}
+    assert out == {1: 'so private_key = "[secret]" ends', 2: 'password: "[secret]" ends', 3: "the secret key is [secret] and ends"}
+
+
 # Near-duplicates -----------------------------------------------------------------------------------------------
 
 
