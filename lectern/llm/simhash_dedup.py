@@ -205,32 +205,52 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     raise RuntimeError("the components did not settle")
 
 
-def grouped(docs: DataFrame, key: str = "doc_id", shingle: int = SHINGLE, radius: int = RADIUS, **shards) -> DataFrame:
-    """(key, fp, component_id) of every row."""
+def _linked(docs: DataFrame, key: str = "doc_id", shingle: int = SHINGLE, radius: int = RADIUS, **shards) -> DataFrame:
+    """(key, fp, component_id, root) of every row; root, a fingerprint, tells components with equal ids apart."""
     own = written(fingerprints(docs, key, shingle), "simhash")
     per = written(own.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("n")), "simhash-distinct")
     roots = components(star_edges(per.select("fp"), radius, **shards))
     # Roots are fingerprints; a component's id is the smallest document id of all its fingerprints.
     of = per.join(roots, per["fp"] == roots["v"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     to = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = written(of.join(to, "root").select("fp", "n", "component_id"), "simhash-components")
+    linked = written(of.join(to, "root").select("fp", "n", "component_id", "root"), "simhash-components")
     # A fingerprint of many copies would meet in one task: there are at most 1,000 of these, so they are broadcast.
     total = per.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     many = F.col("n") > max(HOT_ROWS, total // 1000)
     hot, cold = linked.where(many).drop("n"), linked.where(~many).drop("n")
-    return own.join(F.broadcast(hot), "fp").unionByName(own.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(cold, "fp")).select(key, "fp", "component_id")
+    return own.join(F.broadcast(hot), "fp").unionByName(own.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(cold, "fp")).select(key, "fp", "component_id", "root")
+
+
+def grouped(docs: DataFrame, key: str = "doc_id", shingle: int = SHINGLE, radius: int = RADIUS, **shards) -> DataFrame:
+    """(key, fp, component_id) of every row."""
+    return _linked(docs, key, shingle, radius, **shards).drop("root")
+
+
+def _with_fingerprint(rows: DataFrame, text: str, shingle: int) -> DataFrame:
+    """rows, all columns, with ``_fp``."""
+    at = rows.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = np.fromiter((fingerprint(t, shingle) for t in b.column(at).to_pylist()), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps.view(np.int64))], names=[*b.schema.names, "_fp"])
+
+    return map_arrow(rows, run, T.StructType([*rows.schema.fields, T.StructField("_fp", T.LongType(), False)]))
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
+def one_of_each(docs: DataFrame, key: str = "doc_id", shingle: int = SHINGLE, **options) -> DataFrame:
     """docs with one row of each component: that of the smallest id, and of its repeated rows one.
 
-    Rows with a null id stay only where their component has no other id."""
-    groups = grouped(docs, key, **options)
-    kept = written(groups.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(key, "fp", "component_id").count(), "simhash-kept")
-    ids = kept.select(F.col(key).alias("_kept"), F.col("count").alias("_n")).distinct()
-    rows, (at,) = by_place(docs, key)
-    # Ids grow with the corpus, so they are never broadcast, at any size: each text moves once, dealt by its id.
-    rows = rows.join(ids.hint("merge"), rows[at].eqNullSafe(ids["_kept"]))
-    once = rows.where("_n = 1").drop("_kept", "_n")
-    again = rows.where("_n > 1").drop("_kept", "_n").dropDuplicates([at])
+    Rows with a null id stay only where their component has no other id. An id that several components share
+    keeps a row of each; of several fingerprints of the smallest id in one component the least stays."""
+    own = _linked(docs, key, shingle, **options).where(F.col(key).eqNullSafe(F.col("component_id")))
+    first = own.groupBy("root", "fp").agg(F.first(key).alias("id"), F.count("*").alias("n")).groupBy("root").agg(F.min(F.struct("fp", "id", "n")).alias("x"))
+    kept = written(first.select(F.col("x.fp").alias("_kept"), F.col("x.id").alias("_id"), F.col("x.n").alias("_n")), "simhash-kept")
+    rows, (at, text) = by_place(docs, key, "text")
+    rows = _with_fingerprint(rows, text, shingle)
+    # Kept rows grow with the corpus, so they are never broadcast, at any size: each text moves once, dealt by its
+    # fingerprint and id. Ids alone would join null or shared ids of other components.
+    rows = rows.join(kept.hint("merge"), (rows["_fp"] == kept["_kept"]) & rows[at].eqNullSafe(kept["_id"]))
+    once = rows.where("_n = 1").drop("_fp", "_kept", "_id", "_n")
+    again = rows.where("_n > 1").dropDuplicates([at, "_fp"]).drop("_fp", "_kept", "_id", "_n")
     return once.unionByName(again).toDF(*docs.columns)

@@ -271,6 +271,16 @@ def test_dedup_on_edges(spark, edges):
     assert simhash_dedup.grouped(edges.limit(0)).count() == 0
 
 
+def test_one_of_each_with_shared_ids(spark):
+    r = random.Random(13)
+    a, b, c, e, f = (" ".join("".join(r.choice("etaoinshrdlu") for _ in range(6)) for _ in range(60)) for _ in range(5))
+    rows = [(None, a), (None, a), (None, b), (None, b), (None, c), (1, c), (7, e), (7, e), (7, f), (7, f), (8, f)]
+    kept = simhash_dedup.one_of_each(docs(spark, rows))
+    assert sorted(((x["doc_id"], x["text"]) for x in kept.collect()), key=str) == sorted([(None, a), (None, b), (1, c), (7, e), (7, f)], key=str)
+    once = simhash_dedup.one_of_each(docs(spark, [(None, a), (None, b), (None, b), (None, c)]))
+    assert sorted(x["text"] for x in once.collect()) == sorted([a, b, c])
+
+
 # Decontamination -----------------------------------------------------------------------------------------------
 
 
