@@ -331,6 +331,52 @@ def test_contaminated(spark, edges):
     assert decontamination.clean(edges, it.limit(0)).count() == len(EDGES)
 
 
+def edited(r, text, rate, words):
+    """text with that share of its words replaced, or of its characters replaced, dropped or doubled by another."""
+    if words:
+        w = text.split()
+        for i in r.sample(range(len(w)), int(rate * len(w))):
+            w[i] = "".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 9)))
+        return " ".join(w)
+    c = list(text)
+    for i in sorted(r.sample(range(len(c)), max(1, round(rate * len(c)))), reverse=True):
+        x = r.choice("etaoinshrdlu")
+        c[i : i + 1] = r.choice(([x], [x], [], [c[i], x]))
+    return "".join(c)
+
+
+@pytest.mark.parametrize("size", [8, 12, 20, 40])
+def test_decontamination_recall(size):
+    """At least 0.9 of what brute force accepts is found, at every rate of edits."""
+    import pyarrow as pa
+
+    r = random.Random(size)
+    word = lambda: "".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 9)))
+    items = [" ".join(word() for _ in range(size)) for _ in range(60)]
+    known = decontamination.Index(items, 0.8)
+    for words in (False, True):
+        for rate in (0.05, 0.1, 0.15, 0.2):
+            passages = [edited(r, t, rate, words) for t in items]
+            texts = [" ".join([word() for _ in range(80)] + [p] + [word() for _ in range(80)]) for p in passages]
+            accepted = {i for i, t in enumerate(texts) if decontamination.distance(items[i], t)[0] <= int(0.2 * len(items[i]) + 1e-9)}
+            found = {i for i, got in decontamination._found(known, pa.array(texts)) if i in got}
+            assert len(accepted & found) >= 0.9 * len(accepted), (words, rate)
+
+
+def test_decontamination_of_common_windows():
+    """Windows that over HOT items share do not hide the items; equal items and short ones have their defined result."""
+    import pyarrow as pa
+
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 9)))
+    head = " ".join(word() for _ in range(6))
+    items = [f"{head} {' '.join(word() for _ in range(8))}" for _ in range(decontamination.HOT + 20)] + ["in the end"]
+    known = decontamination.Index(items, 0.8)
+    texts = [f"{word()} {t} {word()}" for t in items]
+    got = dict(decontamination._found(known, pa.array(texts)))
+    assert all(i in got.get(i, {}) for i in range(len(items) - 1))
+
+
 # Chats ---------------------------------------------------------------------------------------------------------
 
 
