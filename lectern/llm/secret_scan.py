@@ -30,7 +30,7 @@ NAMES = "token|secret|passwd|password|pwd|passphrase|api[_-]?key|access[_-]?key|
 KNOWN = (
     r"AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_-]{20}|xox[abprs]-[A-Za-z0-9-]{10,}|"
     r"sk_(?:live|test)_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9_-]{20,}|AIza[A-Za-z0-9_-]{35}|npm_[A-Za-z0-9]{36}|SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}|"
-    r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*-----END [A-Z ]*PRIVATE KEY-----"
+    r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?s:.*?)-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
 )
 ASSIGNED = rf"(?i:{NAMES})[\"']?[ \t]*(?::=|=>|[:=])[ \t]*[\"']?[^\s\"',;<>]{{8,}}+"
 LONG_RUN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{32,}+"
@@ -99,11 +99,17 @@ def labelled_findings(n: int = 2400, seed: int = 7) -> list[tuple[str, int]]:
     name = lambda: r.choice("token secret password api_key apikey access_key passwd client_key auth_key credential SECRET_KEY DB_PASSWORD".split())
     link = lambda: r.choice((" = ", "=", ": ", " := ", "="))
     quote = lambda v: (lambda q: q + v + q)(r.choice(('"', '"', "'", "")))
+    head = lambda: r.choice(("", "", "\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC," + pick(hexa, 32).upper() + "\n"))
+
+    def key_block() -> str:
+        kind = r.choice(("RSA PRIVATE KEY", "PRIVATE KEY", "EC PRIVATE KEY", "OPENSSH PRIVATE KEY"))
+        return f"-----BEGIN {kind}-----{head()}\n" + "\n".join(pick(alnum + "+/", 64) for _ in range(r.randint(3, 26))) + f"\n-----END {kind}-----"
+
     out = []
     for i in range(n):
         if i % 2:
-            v = r.choice((pick(hexa, r.choice((32, 40, 40, 48, 64))), pick(alnum, r.randint(20, 64)), pick(alnum + "+/", 40) + "==", pick(alnum + "!@#$%^&*-_", r.randint(10, 24)), pick(alnum + "-_", 43)))
-            known = ("AKIA" + pick(string.ascii_uppercase + string.digits, 16), "ghp_" + pick(alnum, 36), "xoxb-" + pick(string.digits, 12) + "-" + pick(alnum, 24), "sk_live_" + pick(alnum, 24), "AIza" + pick(alnum, 35), "eyJ" + pick(alnum, 20) + "." + pick(alnum, 40) + "." + pick(alnum, 43), "glpat-" + pick(alnum, 20))
+            v = r.choice((pick(hexa, r.choice((32, 40, 40, 48, 64))), pick(alnum, r.randint(20, 64)), pick(alnum + "+/", 40) + "==", pick(alnum + "!@#$%^&*-_", r.randint(10, 24)), pick(alnum + "-_", 43), pick(alnum + "+/", r.randint(100, 1600))))
+            known = ("AKIA" + pick(string.ascii_uppercase + string.digits, 16), "ghp_" + pick(alnum, 36), "xoxb-" + pick(string.digits, 12) + "-" + pick(alnum, 24), "sk_live_" + pick(alnum, 24), "AIza" + pick(alnum, 35), "eyJ" + pick(alnum, 20) + "." + pick(alnum, 40) + "." + pick(alnum, 43), "glpat-" + pick(alnum, 20), key_block())
             form = r.random()
             hit = name() + link() + quote(v) if form < 0.65 else r.choice(known) if form < 0.85 else f"Authorization: Bearer: {pick(alnum, 40)}" if form < 0.9 else f"{name()} {word()} {pick(alnum + '+/', 44)}"
             out.append((f"{prose()} {hit} {prose()}", 1))
@@ -194,9 +200,8 @@ def scan(docs: DataFrame, key: str = "doc_id", threshold: float = THRESHOLD, tre
     )
     rows = d.select(key, F.posexplode(F.arrays_zip(F.col("_found").alias("f"), ends.alias("e"))).alias("finding", "x"))
     f = F.col("x")["f"]
-    inside = F.length(f["hit"]) - F.instr(f["hit"], f["value"]) + 1  # from the value's start to the match's end
-    return rows.select(
-        key, "finding", (F.col("x")["e"] - inside).cast("long").alias("start"), F.length(f["value"]).cast("long").alias("length"), f["value"].alias("value"), F.round(f["score"], 6).alias("score")
+    return rows.select(  # a value ends where its match ends
+        key, "finding", (F.col("x")["e"] - F.length(f["value"])).cast("long").alias("start"), F.length(f["value"]).cast("long").alias("length"), f["value"].alias("value"), F.round(f["score"], 6).alias("score")
     ).where(F.col("score") >= threshold)
 
 
@@ -206,7 +211,7 @@ def redacted(docs: DataFrame, mask: str = MASK, threshold: float = THRESHOLD, tr
     names = [f"c{i}" for i in range(len(docs.columns))]
     at = docs.columns.index("text")
     d = _scored(docs.toDF(*names), names[at], trees or forest())
-    hidden = lambda x: F.when(x["score"] >= threshold, F.replace(x["hit"], x["value"], F.lit(mask))).otherwise(x["hit"])
+    hidden = lambda x: F.when(x["score"] >= threshold, F.concat(F.left(x["hit"], F.length(x["hit"]) - F.length(x["value"])), F.lit(mask))).otherwise(x["hit"])
     parts = F.zip_with(F.transform("_found", hidden), F.expr("slice(_gaps, 2, size(_found))"), lambda hit, gap: F.concat(hit, gap))
     d = d.withColumn("_new", F.concat(F.col("_gaps")[0], F.array_join(parts, "")))
     out = []
