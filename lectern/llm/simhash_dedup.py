@@ -7,7 +7,12 @@ shard. A shard's distinct fingerprints form one BK-tree (children keyed by their
 parent) and are searched in it along edges within the radius alone. Shards over ``shard_limit`` fingerprints
 are dealt again by ``fine_blocks`` parts, where a shard holds few bits that are free, so no shard grows with
 the input. A shard returns a star (fingerprint, root) for each component of its own: links within a group are
-never written out as pairs. Stars are joined into components over all shards.
+never written out as pairs. Stars are joined into components over all shards. Shards grow with the corpus, so they
+are dealt to tasks, none is sent to all.
+
+``near`` links texts of a Jaccard similarity of 0.8 or more over five-word shingles. Two bits of 64 cannot show that
+(edited copies differ in ten), so fingerprints have 256 bits there and link within 48, and shards are samples of bits:
+one pair in twenty of those at exactly 0.8 meets in no shard, fewer above. Pairs somewhat below 0.8 link as well.
 
 Defined cases: null or empty texts, or texts without a word, have fingerprint 0 and link like any other;
 fewer words than a shingle make one shingle; repeated rows and equal texts share fingerprint and component;
@@ -16,6 +21,7 @@ a null id is never the smallest; extra columns are ignored; an empty table gives
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -26,12 +32,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ._shared import by_place, map_arrow, only, written
+from .text_arrays import NO_SPACE, blocks, lowered, mixed
 
 SHINGLE, RADIUS, BLOCKS, FINE_BLOCKS, SHARD_LIMIT = 3, 2, 4, 8, 65_536
-HOT_ROWS = 10_000
+HOT_ROWS, FEW_SHARDS = 10_000, 100_000
+#: Wide fingerprints: words in a shingle, 64-bit words, and the bits that texts of Jaccard similarity 0.8 agree in
+#: (shared weight 2 * 0.8 / 1.8, so 1 - acos(0.889) / pi of the bits; 39 of 256 differ, and one in sixteen pairs over 48).
+NEAR_SHINGLE, NEAR_WORDS, AGREE, NEAR_RADIUS, NEAR_LIMIT, RECALL = 5, 4, 0.848, 48, 8_192, 0.95
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = 42) -> int:
@@ -52,18 +61,6 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = 42) -> int
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
-    """(key, fp) of every row; fp holds the 64 bits as a signed long."""
-    out = T.StructType([only(docs, key).schema[key], T.StructField("fp", T.LongType(), False)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps = np.fromiter((fingerprint(t, shingle) for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=[key, "fp"])
-
-    return map_arrow(only(docs, key, "text"), run, out)
-
-
 def _bounds(blocks: int) -> list[tuple[int, int]]:
     edges = [64 * i // blocks for i in range(blocks + 1)]
     return list(zip(edges[:-1], edges[1:]))
@@ -83,15 +80,17 @@ class BKForest:
     a shard is its root. ``child`` rows are sorted by (parent, distance to the parent)."""
 
     def __init__(self, fp: np.ndarray, shard: np.ndarray):
+        """fp: one row a fingerprint, as many 64-bit words as it has."""
         self.fp = fp
         first = np.concatenate(([True], shard[1:] != shard[:-1]))
         self.root = np.maximum.accumulate(np.where(first, np.arange(len(fp)), 0))
+        self.size = np.bincount(self.root, minlength=len(fp))[self.root]
         rest = np.flatnonzero(~first)
         parent, node, edge = self.root[rest], [], []
-        above = []
+        above, most = [], 64 * fp.shape[1] + 1
         while len(rest):
-            d = np.bitwise_count(fp[rest] ^ fp[parent]).astype(np.int64)
-            _, at, group = np.unique(parent * 65 + d, return_index=True, return_inverse=True)
+            d = self.distance(rest, parent)
+            _, at, group = np.unique(parent * most + d, return_index=True, return_inverse=True)
             node.append(rest[at])
             above.append(parent[at])
             edge.append(d[at])
@@ -104,13 +103,20 @@ class BKForest:
         self.child, self.edge, above = node[order], edge[order], above[order]
         self.begin = np.searchsorted(above, np.arange(len(fp) + 1))
 
-    def links(self, radius: int, rows: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Arrays of (row, other row of its shard within the radius), other > row."""
-        for at in range(0, len(self.fp), rows):
-            q = np.arange(at, min(at + rows, len(self.fp)))
+    def distance(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return sum(np.bitwise_count(self.fp[a, k] ^ self.fp[b, k]).astype(np.int64) for k in range(self.fp.shape[1]))
+
+    def links(self, radius: int, visits: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Arrays of (row, other row of its shard within the radius), other > row. Rows are searched together as
+        long as they have at most about ``visits`` nodes to visit."""
+        cost, at = np.cumsum(self.size), 0
+        while at < len(self.fp):
+            to = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + visits)))
+            q = np.arange(at, min(to, len(self.fp)))
+            at, q = to, q[self.size[q] > 1]
             n = self.root[q]
             while len(q):
-                d = np.bitwise_count(self.fp[q] ^ self.fp[n]).astype(np.int64)
+                d = self.distance(q, n)
                 hit = (d <= radius) & (n > q)
                 if hit.any():
                     yield q[hit], n[hit]
@@ -139,58 +145,118 @@ def joined_rows(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.nd
     return low
 
 
-def _stars(radius: int):
-    """(fp, choice, bits) sorted by shard -> (a, b): each fingerprint linked in its shard, with its root there."""
+def _stars(radius: int, words: int):
+    """(choice, bits, fp, words of the fingerprint) sorted by shard -> (a, b): each fp linked in its shard, with its
+    root there."""
 
-    def forest(choice: np.ndarray, bits: np.ndarray, fp: np.ndarray) -> pa.RecordBatch | None:
+    def forest(cols: list[np.ndarray]) -> pa.RecordBatch | None:
+        choice, bits, fp, *parts = cols
         shard = np.cumsum(np.concatenate(([0], (choice[1:] != choice[:-1]) | (bits[1:] != bits[:-1]))))
-        low = joined_rows(len(fp), BKForest(fp, shard).links(radius))
+        low = joined_rows(len(fp), BKForest(np.stack(parts, axis=1).view(np.uint64), shard).links(radius))
         own = np.flatnonzero(low != np.arange(len(fp)))
         if not len(own):
             return None
-        signed = fp.view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(signed[own]), pa.array(signed[low[own]])], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(fp[own]), pa.array(fp[low[own]])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = [np.empty(0, np.int64)] * 3
+        held: list[np.ndarray] = [np.empty(0, np.int64)] * (3 + words)
         for b in batches:
-            cols = [np.concatenate((h, b.column(k).to_numpy(zero_copy_only=False).astype(np.int64))) for k, h in zip(("choice", "bits", "fp"), held)]
+            cols = [np.concatenate((h, c.to_numpy(zero_copy_only=False).astype(np.int64))) for h, c in zip(held, b.columns)]
             cut = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]))
             end = int(cut[-1]) + 1 if len(cut) else 0  # the last shard may go on in the next batch
-            if end and (out := forest(cols[0][:end], cols[1][:end], cols[2][:end].view(np.uint64))):
+            if end and (out := forest([c[:end] for c in cols])):
                 yield out
             held = [c[end:] for c in cols]
-        if len(held[0]) and (out := forest(held[0], held[1], held[2].view(np.uint64))):
+        if len(held[0]) and (out := forest(held)):
             yield out
 
     return run
 
 
-def _sharded(fps: DataFrame, blocks: int, radius: int) -> DataFrame:
-    """(choice, bits, fp, n) sorted by shard, without shards of one fingerprint."""
-    keys = fps.select("fp", F.explode(shard_keys(F.col("fp"), blocks, radius)).alias("k")).select("k.choice", "k.bits", "fp")
-    return keys.withColumn("n", F.count("*").over(Window.partitionBy("choice", "bits"))).where("n > 1")
+def _trees(keys: DataFrame, radius: int) -> DataFrame:
+    """(a, b) of the shards in keys(choice, bits, fp, words...)."""
+    dealt = keys.repartition("choice", "bits").sortWithinPartitions("choice", "bits")
+    return map_arrow(dealt, _stars(radius, len(keys.columns) - 3), "a long, b long")
+
+
+def _large(keys: DataFrame, limit: int) -> DataFrame | None:
+    """(choice, bits, n) of the shards over the limit, or None. Shards are counted with partial sums, not gathered."""
+    large = written(keys.groupBy("choice", "bits").agg(F.count("*").alias("n")).where(F.col("n") > limit), "simhash-large")
+    return None if large.isEmpty() else large
+
+
+def _within(keys: DataFrame, large: DataFrame, how: str) -> DataFrame:
+    """keys joined with the large shards, which are sent to all only where they are few."""
+    few = large.count() <= FEW_SHARDS
+    return keys.join(F.broadcast(large) if few else large, ["choice", "bits"], how)
 
 
 def star_edges(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, fine_blocks: int = FINE_BLOCKS, shard_limit: int = SHARD_LIMIT) -> DataFrame:
     """(a, b) over distinct fingerprints fps(fp), whose components are those of all links within the radius."""
-    shards = written(_sharded(fps, blocks, radius), "simhash-shards")
-    schema = "a long, b long"
-    tidy = lambda x: map_arrow(x.repartition("choice", "bits").sortWithinPartitions("choice", "bits").select("choice", "bits", "fp"), _stars(radius), schema)
-    edges = tidy(shards.where(F.col("n") <= shard_limit))
-    large = shards.where(F.col("n") > shard_limit).select("fp").distinct()
-    if not large.isEmpty():
-        edges = edges.unionByName(tidy(_sharded(large, fine_blocks, radius)))
-    return edges
-
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+    def keys(some: DataFrame, parts: int) -> DataFrame:
+        k = some.select("fp", F.explode(shard_keys(F.col("fp"), parts, radius)).alias("k"))
+        return k.select("k.choice", "k.bits", "fp", F.col("fp").alias("f0"))
+
+    every = keys(fps, blocks)
+    large = _large(every, shard_limit)
+    if large is None:
+        return _trees(every, radius)
+    again = written(_within(every, large, "left_semi").select("fp").distinct(), "simhash-again")
+    return _trees(_within(every, large, "left_anti"), radius).unionByName(_trees(keys(again, fine_blocks), radius))
+
+
+def sampled_bits(n: int, agree: float, recall: float = RECALL, more: int = 0) -> tuple[int, int]:
+    """(bits in a sample, samples) for n fingerprints: a shard holds about 64 that are not alike, and two that agree
+    in a share ``agree`` of their bits meet in one with probability ``recall``."""
+    bits = max(8, math.ceil(math.log2(max(n, 1) / 64))) + more
+    return bits, math.ceil(math.log(1 - recall) / math.log(1 - agree**bits))
+
+
+def similar_edges(fps: DataFrame, n: int, radius: int = NEAR_RADIUS, agree: float = AGREE, shard_limit: int = NEAR_LIMIT) -> DataFrame:
+    """(a, b) over n distinct fingerprints fps(fp, f0, f1, ...), f being 64-bit words: links within a radius too wide for
+    whole parts in common. Shards are samples of bits instead. Shards over ``shard_limit`` are dealt again by ten more
+    bits; what agrees in those as well is one group of near copies, which is cut into parts that share members."""
+    words = [c for c in fps.columns if c != "fp"]
+
+    def keys(some: DataFrame, more: int) -> DataFrame:
+        bits, samples = sampled_bits(n, agree, more=more)
+        rng = np.random.default_rng([bits, samples])
+        out = []
+        for i in range(samples):
+            mask = np.zeros(64 * len(words), np.uint8)
+            mask[rng.choice(len(mask), bits, replace=False)] = 1
+            parts = np.packbits(mask).view(">i8").tolist()
+            key = F.xxhash64(*[F.col(w).bitwiseAND(F.lit(m).cast("long")) for w, m in zip(words, parts)])
+            out.append(F.struct(F.lit(i).alias("choice"), key.alias("bits")))
+        return some.select("fp", *words, F.explode(F.array(*out)).alias("k")).select("k.choice", "k.bits", "fp", *words)
+
+    every = keys(fps, 0)
+    large = _large(every, shard_limit)
+    if large is None:
+        return _trees(every, radius)
+    edges = _trees(_within(every, large, "left_anti"), radius)
+    again = keys(written(_within(every, large, "left_semi").select("fp", *words).distinct(), "simhash-again"), 10)
+    large = _large(again, shard_limit)
+    if large is None:
+        return edges.unionByName(_trees(again, radius))
+    edges = edges.unionByName(_trees(_within(again, large, "left_anti"), radius))
+    groups = _within(again, large, "inner")
+    parts = F.ceil(2 * F.col("n") / shard_limit).cast("int")
+    # Of about 64 members each part has a copy, the others are in one part each.
+    shared = F.pmod(F.xxhash64("fp", F.lit(1)), F.greatest(F.floor(F.col("n") / 64), F.lit(1))) == 0
+    own = F.array(F.pmod(F.xxhash64("fp"), parts).cast("int"))
+    cut = groups.withColumn("part", F.explode(F.when(shared, F.sequence(F.lit(0), parts - 1)).otherwise(own)))
+    return edges.unionByName(_trees(cut.select("choice", F.xxhash64("bits", "part").alias("bits"), "fp", *words), radius))
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(v, root) for each vertex of edges(a, b): the smallest vertex reachable. Alternating large and small stars,
     each round written to the shared folder."""
     e = edges.where("a != b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("w")).distinct()
     e = written(e, "stars")
     state = None
-    for _ in range(most_rounds):
+    while True:  # stars get flatter each round until none changes
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("v", "w").cast("decimal(38,0)")).alias("h")).first()
         if now == state or not now["n"]:
             return e.select("v", F.col("w").alias("root"))
@@ -202,55 +268,89 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         low = large.groupBy("v").agg(F.min("w").alias("m"))
         small = large.join(low, "v").where("w != m").select(F.col("w").alias("v"), F.col("m").alias("w"))
         e = written(small.unionByName(low.select("v", F.col("m").alias("w"))).where("v != w").distinct(), "stars")
-    raise RuntimeError("the components did not settle")
 
 
-def _linked(docs: DataFrame, key: str = "doc_id", shingle: int = SHINGLE, radius: int = RADIUS, **shards) -> DataFrame:
+def wide_fingerprints(texts: list[str | None], shingle: int = NEAR_SHINGLE, words: int = NEAR_WORDS, step: int = 1 << 16) -> np.ndarray:
+    """One row a text of ``words`` 64-bit words: majority bits over its shingles; A-Z lower-cased, ASCII white space."""
+    out = np.zeros((len(texts), words), np.int64)
+    for first, b in blocks(texts, NO_SPACE, 1 << 18):
+        if not len(b.begin):
+            continue
+        n = np.bincount(b.of, minlength=b.texts)
+        start = np.concatenate(([0], np.cumsum(n)[:-1]))
+        many = np.where(n > 0, np.maximum(n - shingle + 1, 1), 0)
+        of = np.repeat(np.arange(b.texts), many)
+        at = np.arange(len(of)) - np.repeat(np.concatenate(([0], np.cumsum(many)[:-1])), many) + start[of]
+        h = np.append(b.hashes(lowered(b.raw)), np.zeros(shingle, np.uint64))
+        end, ones = (start + n)[of], np.zeros((b.texts, 64 * words), np.int64)
+        for lo in range(0, len(of), step):  # bounded memory for very long texts
+            o, a, z = of[lo : lo + step], at[lo : lo + step], end[lo : lo + step]
+            key = np.zeros(len(o), np.uint64)
+            for j in range(shingle):
+                key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + np.where(a + j < z, h[a + j], np.uint64(j)))
+            every = np.stack([mixed(key * np.uint64(2 * k + 3) + np.uint64(k)) for k in range(words)], axis=1)
+            bits = np.unpackbits(every.astype(">u8").view(np.uint8).reshape(len(o), -1), axis=1)
+            edge = np.flatnonzero(np.concatenate(([True], o[1:] != o[:-1])))
+            ones[o[edge]] += np.add.reduceat(bits, edge, axis=0, dtype=np.int32)
+        out[first : first + b.texts] = np.packbits(2 * ones > many[:, None], axis=1).view(">i8")
+    return out
+
+
+def _with_fingerprint(rows: DataFrame, text: str, near: bool, shingle: int) -> DataFrame:
+    """rows, all columns, with ``_f0`` and so on, the words of the text's fingerprint."""
+    at, words = rows.columns.index(text), NEAR_WORDS if near else 1
+    names = [f"_f{k}" for k in range(words)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(at).to_pylist()
+            fps = wide_fingerprints(texts, shingle) if near else np.fromiter((fingerprint(t, shingle) for t in texts), np.uint64, len(texts)).view(np.int64)[:, None]
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(np.ascontiguousarray(c)) for c in fps.T]], names=[*b.schema.names, *names])
+
+    out = map_arrow(rows, run, T.StructType([*rows.schema.fields, *[T.StructField(n, T.LongType(), False) for n in names]]))
+    return out.withColumn("_fp", F.xxhash64(*names) if near else F.col("_f0"))
+
+
+def _linked(docs: DataFrame, key: str = "doc_id", near: bool = False, shingle: int | None = None, **options) -> DataFrame:
     """(key, fp, component_id, root) of every row; root, a fingerprint, tells components with equal ids apart."""
-    own = written(fingerprints(docs, key, shingle), "simhash")
-    per = written(own.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("n")), "simhash-distinct")
-    roots = components(star_edges(per.select("fp"), radius, **shards))
+    own = _with_fingerprint(only(docs, key, "text"), "text", near, shingle or (NEAR_SHINGLE if near else SHINGLE)).drop("text")
+    words = [c for c in own.columns if c.startswith("_f") and c != "_fp"]
+    own = written(own.select(key, F.col("_fp").alias("fp"), *[F.col(w).alias(w[1:]) for w in words]), "simhash")
+    words = [w[1:] for w in words]
+    per = written(own.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("n"), *[F.first(w).alias(w) for w in words]), "simhash-distinct")
+    total, different = own.count(), per.count()
+    edges = similar_edges(per.select("fp", *words), different, **options) if near else star_edges(per.select("fp"), **options)
+    roots = components(edges)
     # Roots are fingerprints; a component's id is the smallest document id of all its fingerprints.
     of = per.join(roots, per["fp"] == roots["v"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     to = of.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = written(of.join(to, "root").select("fp", "n", "component_id", "root"), "simhash-components")
     # A fingerprint of many copies would meet in one task: there are at most 1,000 of these, so they are broadcast.
-    total = per.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     many = F.col("n") > max(HOT_ROWS, total // 1000)
-    hot, cold = linked.where(many).drop("n"), linked.where(~many).drop("n")
+    hot, cold, own = linked.where(many).drop("n"), linked.where(~many).drop("n"), own.select(key, "fp")
     return own.join(F.broadcast(hot), "fp").unionByName(own.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(cold, "fp")).select(key, "fp", "component_id", "root")
 
 
-def grouped(docs: DataFrame, key: str = "doc_id", shingle: int = SHINGLE, radius: int = RADIUS, **shards) -> DataFrame:
-    """(key, fp, component_id) of every row."""
-    return _linked(docs, key, shingle, radius, **shards).drop("root")
-
-
-def _with_fingerprint(rows: DataFrame, text: str, shingle: int) -> DataFrame:
-    """rows, all columns, with ``_fp``."""
-    at = rows.columns.index(text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps = np.fromiter((fingerprint(t, shingle) for t in b.column(at).to_pylist()), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps.view(np.int64))], names=[*b.schema.names, "_fp"])
-
-    return map_arrow(rows, run, T.StructType([*rows.schema.fields, T.StructField("_fp", T.LongType(), False)]))
+def grouped(docs: DataFrame, key: str = "doc_id", near: bool = False, **options) -> DataFrame:
+    """(key, fp, component_id) of every row. ``near``: links of wide fingerprints (``similar_edges``) instead of
+    those that differ in a few of 64 bits."""
+    return _linked(docs, key, near, **options).drop("root")
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", shingle: int = SHINGLE, **options) -> DataFrame:
+def one_of_each(docs: DataFrame, key: str = "doc_id", near: bool = True, shingle: int | None = None, **options) -> DataFrame:
     """docs with one row of each component: that of the smallest id, and of its repeated rows one.
 
     Rows with a null id stay only where their component has no other id. An id that several components share
     keeps a row of each; of several fingerprints of the smallest id in one component the least stays."""
-    own = _linked(docs, key, shingle, **options).where(F.col(key).eqNullSafe(F.col("component_id")))
+    own = _linked(docs, key, near, shingle, **options).where(F.col(key).eqNullSafe(F.col("component_id")))
     first = own.groupBy("root", "fp").agg(F.first(key).alias("id"), F.count("*").alias("n")).groupBy("root").agg(F.min(F.struct("fp", "id", "n")).alias("x"))
     kept = written(first.select(F.col("x.fp").alias("_kept"), F.col("x.id").alias("_id"), F.col("x.n").alias("_n")), "simhash-kept")
     rows, (at, text) = by_place(docs, key, "text")
-    rows = _with_fingerprint(rows, text, shingle)
+    names = rows.columns
+    rows = _with_fingerprint(rows, text, near, shingle or (NEAR_SHINGLE if near else SHINGLE)).select(*names, "_fp")
     # Kept rows grow with the corpus, so they are never broadcast, at any size: each text moves once, dealt by its
     # fingerprint and id. Ids alone would join null or shared ids of other components.
     rows = rows.join(kept.hint("merge"), (rows["_fp"] == kept["_kept"]) & rows[at].eqNullSafe(kept["_id"]))
-    once = rows.where("_n = 1").drop("_fp", "_kept", "_id", "_n")
-    again = rows.where("_n > 1").dropDuplicates([at, "_fp"]).drop("_fp", "_kept", "_id", "_n")
+    once = rows.where("_n = 1").select(*names)
+    again = rows.where("_n > 1").dropDuplicates([at, "_fp"]).select(*names)
     return once.unionByName(again).toDF(*docs.columns)

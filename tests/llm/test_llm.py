@@ -298,6 +298,44 @@ def test_one_of_each_with_shared_ids(spark):
     assert sorted(x["text"] for x in once.collect()) == sorted([a, b, c])
 
 
+@pytest.mark.parametrize("limit", [40, 8_192])
+def test_near_copies(spark, limit):
+    """Of pairs at a Jaccard similarity of 0.8 or more at least 0.9 are linked, a large group whole, nothing else."""
+    r = random.Random(15)
+    word = lambda: "".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 8)))
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    texts, pairs = [], []
+    for i in range(150):
+        w = [word() for _ in range(r.randint(60, 400))]
+        v = list(w)
+        for k in r.sample(range(len(w)), max(1, int(0.02 * len(w)))):
+            v[k] = word()
+        a, b = shingles(w), shingles(v)
+        if len(a & b) >= 0.8 * len(a | b):
+            pairs.append((len(texts), len(texts) + 1))
+        texts += [" ".join(w), " ".join(v)]
+    base = [word() for _ in range(200)]
+    group = range(len(texts), len(texts) + 150)
+    for _ in group:
+        v = list(base)
+        v[r.randrange(200)] = word()
+        texts.append(" ".join(v))
+    d = docs(spark, list(enumerate(texts)))
+    got = {x["doc_id"]: x["component_id"] for x in simhash_dedup.grouped(d, near=True, shard_limit=limit).collect()}
+    assert len(got) == len(texts) and len({got[i] for i in group}) == 1
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.9 * len(pairs) and len(pairs) > 80
+    assert all(got[i] // 2 == i // 2 for i in range(300))
+    assert simhash_dedup.one_of_each(d, shard_limit=limit).count() == len(set(got.values()))
+
+
+def test_wide_fingerprint():
+    one = lambda t, **o: simhash_dedup.wide_fingerprints([t], **o)[0].tolist()
+    assert one(None) == one("") == one(" \n") == [0, 0, 0, 0] and one("a b") == one("A  b\n") != one("b a")
+    long = " ".join(str(i) for i in range(5000))
+    every = simhash_dedup.wide_fingerprints(["x", long, None, "one two three four five six"])
+    assert every[1].tolist() == one(long) == one(long, step=100) and every[3].tolist() == one("one two three four five six")
+
+
 # Decontamination -----------------------------------------------------------------------------------------------
 
 
