@@ -24,7 +24,6 @@ from ._shared import only
 
 PHRASES = {"the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 SEPARATOR = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
-WORD = f"[^{SEPARATOR}]+"
 
 #: label, keyword, name, identifier, place on the web; words separated by one space, each an expression.
 FAMILIES = [
@@ -288,10 +287,10 @@ def scan(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, n_words, n_base, first_word, last_word, base_labels, labels, score, detections) of every row."""
     text = F.coalesce("text", F.lit(""))
     d = only(docs, key, "text").select(key, text.alias("_text"))
-    d = d.withColumn("n_words", F.regexp_count("_text", F.lit(WORD)).cast("long"))
+    d = d.withColumn("n_words", F.size(F.array_remove(F.split("_text", f"[{SEPARATOR}]+"), "")).cast("long"))
     d = d.withColumn("_gate", F.col("_text").rlike(gate()))
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    words = F.regexp_extract_all(F.translate("_text", upper, lower), F.lit(WORD), F.lit(0))
+    words = F.array_remove(F.split(F.translate("_text", upper, lower), f"[{SEPARATOR}]+"), "")
     d = d.withColumn("_words", F.when(F.col("_gate"), F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")))).drop("_text")
     rule = _rules_column()
     hits = F.flatten(F.transform(F.filter(rule, lambda r: F.contains(F.col("_words"), r["keyword"])), lambda r: _found(F.col("_words"), r)))
