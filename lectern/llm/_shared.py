@@ -18,24 +18,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or on a local master a folder of our own.
 
-    Without the setting a cluster's warehouse folder is used, which executors share as well.
+    A cluster has to name one: no machine's own folder would do.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if spark.sparkContext.master.startswith("local["):
-        own = tempfile.mkdtemp(prefix="lectern-")
-        spark.conf.set("spark.checkpoint.dir", own)
-        return own
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_lectern"
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    own = tempfile.mkdtemp(prefix="lectern-")
+    spark.conf.set("spark.checkpoint.dir", own)
+    return own
+
+
+_tables: list[str] = []
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: cuts lineage, survives lost executors."""
+    """Write df as Parquet to the shared folder and read it again: cuts lineage, survives lost executors. Columns
+    are written under names of our own, so that names that differ in case alone cannot clash."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    plain.write.parquet(path)
+    _tables.append(path)
+    return spark.read.schema(plain.schema).parquet(path).toDF(*df.columns)
+
+
+def remove_tables(spark: SparkSession, names: list[str]) -> None:
+    """Remove tables that ``written`` made and that nothing reads any more."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in names:
+        at = hadoop(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _tables.remove(path)
+
+
+def tables() -> list[str]:
+    """The paths of all tables that ``written`` has made and that still stand."""
+    return list(_tables)
 
 
 def only(df: DataFrame, *names: str) -> DataFrame:

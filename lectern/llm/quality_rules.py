@@ -10,7 +10,8 @@ Only DataFrame functions run on the rows; the driver sees one row of counts per
 
 Defined cases: null or empty text has no words and fails the base rule; a null stratum is a stratum of its
 own; repeated rows are judged each; extra columns stay and never clash; an empty table gives an empty result;
-labels with a null quality or for unknown documents are ignored, of several labels for one document each counts.
+labels with a null quality or for unknown documents are ignored; labelled rows of one text in a stratum are one trial,
+which is good if all their labels are, so copies of a text or of a label certify nothing.
 Windows of eight words are compared by 64-bit hashes.
 """
 
@@ -21,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import only, written
+from ._shared import by_place, only, written
 
 WINDOW = 8
 SPACE = r"[ \t-\r]+"
@@ -69,6 +70,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     size = lambda c: F.size(c).cast("long")
     return w.select(
         *docs.columns,
+        F.xxhash64("_text").alias("_same"),
         size("_words").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         _kept_chars(r"#*$%&|<>").alias("n_symbols"),
@@ -94,12 +96,15 @@ def binomial_tail(n: int, k: int, p: float) -> float:
     return min(total, 1.0)
 
 
-def certify(stats: DataFrame, labels: DataFrame, key: str, stratum: str, alpha: float, delta: float, cost: float) -> dict:
-    """{stratum: {rule: cutoff}} from statistics of labelled rows; of the certified cutoffs of a rule the one
+def certify(stats: DataFrame, labels: DataFrame, key: str, stratum: str, alpha: float, delta: float, cost: float, at: str | None = None) -> dict:
+    """{stratum: {rule: cutoff}} from statistics of labelled rows, whose key is in column ``at``; of the certified cutoffs of a rule the one
     with the most rejected bad rows, less ``cost`` for each rejected good one, and the highest of equals."""
     lab = only(labels, key, "quality").where("quality in (0, 1)").select(F.col(key).alias("_key"), "quality")
+    names = sorted({w for e in RULES.values() for w in e.replace("(", " ").replace(",", " ").split() if w.startswith("n_") or w == "word_chars"})
+    labelled = stats.where("not base_failed").join(lab, stats[at or key] == lab["_key"])
+    trials = labelled.groupBy(F.col(stratum).alias("stratum"), "_same").agg(F.min("quality").alias("quality"), *[F.min(c).alias(c) for c in names])
     rows = (
-        stats.where("not base_failed").join(lab, stats[key] == lab["_key"]).groupBy(F.col(stratum).alias("stratum"), "quality")
+        trials.groupBy("stratum", "quality")
         .agg(F.count("*").alias("n"), *[F.count_if(F.expr(e) > c).alias(f"{r}:{i}") for r, e in RULES.items() for i, c in enumerate(CUTOFFS)])
         .collect()
     )  # one row a stratum and label
@@ -142,15 +147,11 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str = "lang", alpha: float = 0.05, delta: float = 0.05, cost: float = 5.0) -> DataFrame:
-    """The rows of docs, with all their columns, that the rules keep. Statistics are made twice, to fit and to
-    apply: that costs less than to move whole texts to a join with the labels or with the verdicts."""
-    d = only(docs, key, "text", stratum).select(key, F.col(stratum).alias("_stratum"), F.coalesce("text", F.lit("")).alias("_text"))
-    stats = written(with_statistics(d).drop("_text"), "quality-stats")
-    cutoffs = certify(stats, labels, key, "_stratum", alpha, delta, cost)
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    at = dict(zip(reversed(docs.columns), reversed(names)))
-    rows = docs.toDF(*names).withColumn("_text", F.coalesce(at["text"], F.lit(""))).withColumn("_stratum", F.col(at[stratum]))
-    # The row number keeps the optimizer from moving the filter below the statistics, which would make them twice.
-    judged = with_statistics(rows).withColumn("_row", F.monotonically_increasing_id())
-    kept = judged.where(~F.col("base_failed") & verdict(cutoffs, "_stratum") & (F.col("_row") >= 0))
-    return kept.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
+    """The rows of docs, with all their columns, that the rules keep. Rows are written once with their statistics, so
+    these are made once and no text moves to a join with the labels or with the verdicts."""
+    rows, (k, text, own) = by_place(docs, key, "text", stratum)
+    names = rows.columns
+    rows = rows.withColumn("_text", F.coalesce(text, F.lit(""))).withColumn("_stratum", F.col(own))
+    stats = written(with_statistics(rows).drop("_text"), "quality-stats")
+    cutoffs = certify(stats, labels, key, "_stratum", alpha, delta, cost, at=k)
+    return stats.where(~F.col("base_failed") & verdict(cutoffs, "_stratum")).select(*names).toDF(*docs.columns)
