@@ -11,35 +11,42 @@ Two machines in a row replace the tokenizer's loops:
   there against now. A transition's annotation is the change in the number of tokens. States are compiled when
   first met and kept for the worker's life; ``most_states`` bounds them, beyond it the machine starts afresh.
 
-Both are exact. Characters whose Unicode category is not the same since version 3.2 could be classed
-differently by the library's own tables; a text with one of them is encoded by the library itself.
+Both are exact. The library itself says once which class a character has and how a text outside ASCII is normalised;
+only a text that holds a special string is encoded by it.
 """
 
 from __future__ import annotations
 
 import json
 import re
-import unicodedata
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 
 _GAP = re.compile(r"[^ \t-\r][ \t-\r]")
-END, SYMBOL, LETTER, NUMBER, SPACE, WHITE, SHORT, LONG, SPACE_LAST, WHITE_LAST, UNSTABLE, UNKNOWN = range(12)
-WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+END, SYMBOL, LETTER, NUMBER, SPACE, WHITE, SHORT, LONG, SPACE_LAST, WHITE_LAST, UNKNOWN = range(11)
 _classes = np.full(0x110000, UNKNOWN, np.uint8)
-_classes[WHITE_SPACE] = WHITE
 _classes[0x20] = SPACE
 
 
 def char_classes(points: np.ndarray) -> np.ndarray:
-    """The class of each code point; the table fills as code points are met."""
+    """The class of each code point, by the library's own expressions; the table fills as code points are met."""
     found = _classes[points]
     if (found == UNKNOWN).any():
-        for p in np.unique(points[found == UNKNOWN]).tolist():
-            now = unicodedata.category(chr(p))
-            stable = now != "Cn" and now == unicodedata.ucd_3_2_0.category(chr(p))
-            _classes[p] = {"L": LETTER, "N": NUMBER}.get(now[0], SYMBOL) if stable else UNSTABLE
+        from tokenizers import Regex
+        from tokenizers.pre_tokenizers import Split
+
+        new = np.unique(points[found == UNKNOWN])
+        # Outside the planes of characters the encoder has no text; lone surrogates are symbols.
+        new = new[(new < 0xD800) | (new > 0xDFFF)]
+        text = "".join(map(chr, new.tolist()))
+        _classes[0xD800:0xE000] = SYMBOL
+        _classes[new] = SYMBOL
+        for pattern, kind in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER), (r"\s", WHITE)):
+            rest = np.zeros(len(new), bool)
+            for _, (a, z) in Split(Regex(pattern), "removed").pre_tokenize_str(text):
+                rest[a:z] = True
+            _classes[new[~rest]] = kind
         found = _classes[points]
     return found
 
@@ -49,7 +56,7 @@ class Splitter:
 
     def __init__(self, states: int, rules, chunk: int = 64):
         self.states, self.chunk = states, chunk
-        table = [[rules(s, c) for c in range(UNSTABLE)] for s in range(states)]
+        table = [[rules(s, c) for c in range(UNKNOWN)] for s in range(states)]
         self.next = np.array([[x[0] for x in row] for row in table], np.uint8)
         self.starts = np.array([[x[1] for x in row] for row in table], bool)
 
@@ -328,23 +335,17 @@ class Encoder:
             return None
         if not self.words or not text:
             return text
-        if not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
-        text = text.replace("Σ", "σ").lower()  # character by character, without the final sigma
+        text = text.lower() if text.isascii() else self.library.normalizer.normalize_str(text)
         return None if any(s in text for s in self.special) else text
 
-    def _run(self, texts: Sequence[str], ids: bool) -> list | None:
-        """Of each text the number of tokens or the ids; None where a character is not stable."""
+    def _run(self, texts: Sequence[str], ids: bool) -> list:
+        """Of each text the number of tokens or the ids."""
         joined = "\n".join(texts) + "\n"
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         size = np.fromiter(map(len, texts), np.int64, len(texts))
         ends = np.cumsum(size + 1) - 1
         c = char_classes(points)
         c[ends] = END
-        unstable = np.zeros(len(texts), bool)
-        if (c == UNSTABLE).any():
-            unstable[np.searchsorted(ends, np.flatnonzero(c == UNSTABLE))] = True
-            c[c == UNSTABLE] = SYMBOL
         quote = np.flatnonzero(points == 39)
         if len(quote):
             padded = np.concatenate((points, np.zeros(2, np.uint32)))
@@ -368,8 +369,7 @@ class Encoder:
         trace = np.zeros(len(raw), np.int32) if ids else None
         count = self.machine.encode(raw, at, n, trace)
         total = np.bincount(of, weights=count, minlength=len(texts)).astype(np.int64)
-        out = np.split(self.machine.tokens(trace, at, n, count), np.cumsum(total)[:-1]) if ids else total.tolist()
-        return [None if u else x for u, x in zip(unstable, out)]
+        return np.split(self.machine.tokens(trace, at, n, count), np.cumsum(total)[:-1]) if ids else total.tolist()
 
     def _all(self, texts: Sequence[str], ids: bool) -> Iterator:
         plain = [self._plain(t) for t in texts]
@@ -380,7 +380,7 @@ class Encoder:
                 chars += len(plain[to] or "")
                 to += 1
             for t, p, x in zip(texts[at:to], plain[at:to], self._run([p or "" for p in plain[at:to]], ids)):
-                if p is None or x is None:
+                if p is None:
                     found = self.library.encode(t, add_special_tokens=False).ids
                     x = np.array(found, np.uint32) if ids else len(found)
                 yield x
@@ -400,27 +400,26 @@ class Encoder:
             at = m.start() + 1
         return [*out, text[at:]]
 
-    def each_count(self, texts: Sequence[str]) -> Iterator[int]:
-        for t, parts in self._parts(texts):
-            yield sum(self._all(parts, False)) if parts else t
-
-    def _parts(self, texts: Sequence[str]) -> Iterator[tuple]:
+    def _each(self, texts: Sequence[str], ids: bool) -> Iterator:
         """Runs of ordinary texts are encoded together, a long one by its parts."""
         run: list[str] = []
         for t in texts:
             if len(t) > 4 * self.block:
-                yield from ((n, None) for n in self._all(run, False))
-                run = []
-                yield None, self.cuts(t)
+                yield from self._all(run, ids)
+                run, parts = [], self._all(self.cuts(t), ids)
+                yield np.concatenate(list(parts)) if ids else sum(parts)
             else:
                 run.append(t)
-        yield from ((n, None) for n in self._all(run, False))
+        yield from self._all(run, ids)
+
+    def each_count(self, texts: Sequence[str]) -> Iterator[int]:
+        return self._each(texts, False)
 
     def counts(self, texts: Sequence[str]) -> list[int]:
         return list(self.each_count(texts))
 
     def ids(self, texts: Sequence[str]) -> Iterator[np.ndarray]:
-        return self._all(texts, True)
+        return self._each(texts, True)
 
 
 _encoders: dict[tuple, Encoder] = {}
