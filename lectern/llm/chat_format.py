@@ -2,10 +2,11 @@
 
 A turn's node is the hash of its whole prefix, so equal prefixes are equal nodes whoever holds them.
 Conversations sorted by their chains of hashes visit the tree depth first; each emits the turns beyond what it
-shares with the one before it. Output comes in blocks, each a training sequence of its own: the text in
-depth-first order, and for each node its place, its position ids (they go on from the parent's last), the
-intervals of its ancestors that it attends to, and the stretch under the loss mask (an assistant's text). A
-block closes at about ``block_chars``; what a subtree shares with the block before is emitted again once at the
+shares with the one before it. Output comes in blocks, each a training sequence of its own: the tokens and the
+text in depth-first order, and for each node its tokens' place, the position id of their first (positions go on from
+the parent's last), the intervals of its ancestors' tokens that it attends to, and the tokens under the loss mask (an
+assistant's text); the places of node and mask in the text beside. A turn's marks and its text are tokenised apart, so
+that equal turns are equal tokens and the mask ends where a token ends. A block closes at about ``block_chars``; what a subtree shares with the block before is emitted again once at the
 head of the next, so no task holds a whole tree, however many conversations start alike.
 
 The template marks a turn as ``<s>[INST] text [/INST]`` (user), ``<s><<SYS>> text <</SYS>>`` (system), ``text
@@ -36,17 +37,9 @@ _INSIDE = re.compile(r"\\|" + "|".join(f"{re.escape(c[0])}(?={re.escape(c[1:])})
 _MARKED = re.compile(r"\\(\\?)")
 _TURN = re.compile(r"<s>\[INST\] (.*?) \[/INST\]|<s><<SYS>> (.*?) <</SYS>>|<s>\[ROLE\](.*?)\[/ROLE\] (.*?) \[/TURN\]|(.*?) </s>", re.S)
 
-NODE = T.StructType(
-    [
-        T.StructField("begin", T.LongType()),
-        T.StructField("end", T.LongType()),
-        T.StructField("position", T.LongType()),
-        T.StructField("parent", T.LongType()),
-        T.StructField("ancestors", T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))),
-        T.StructField("loss_begin", T.LongType()),
-        T.StructField("loss_end", T.LongType()),
-    ]
-)
+#: Places in the block's text, in its tokens, the first token's position id, the parent's number (-1: none).
+_PLACES = ("begin", "end", "loss_begin", "loss_end", "token_begin", "token_end", "loss_token_begin", "loss_token_end", "position", "parent")
+NODE = T.StructType([T.StructField(n, T.LongType()) for n in _PLACES] + [T.StructField("ancestors", T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())])))])
 
 
 def escaped(text: str) -> str:
@@ -108,10 +101,10 @@ def chains(rows: DataFrame, key: str = "conv_id") -> DataFrame:
 
 
 class _Block:
-    """One block under way: its text, nodes, the open path from the root, and where its conversations end."""
+    """One block under way: its text and tokens, nodes, the open path from the root, and where its conversations end."""
 
-    def __init__(self):
-        self.parts, self.size, self.nodes, self.path, self.ends = [], 0, [], [], []
+    def __init__(self, tokenizer):
+        self.tokenizer, self.parts, self.size, self.tokens, self.nodes, self.path, self.ends = tokenizer, [], 0, [], [], [], []
 
     def add(self, key, roles, texts, chain) -> None:
         shared = 0
@@ -120,49 +113,59 @@ class _Block:
         del self.path[shared:]
         for role, text, h in zip(roles[shared:], texts[shared:], chain[shared:]):
             formatted, a, z = turn_text(role, text)
-            at, parent = self.size, self.path[-1][1] if self.path else -1
+            at, first, parent = self.size, len(self.tokens), self.path[-1][1] if self.path else -1
             up = self.nodes[parent] if self.path else None
-            position = up["position"] + up["end"] - up["begin"] if up else 0
-            above = self.nodes[parent]["ancestors"] if up else []
+            above = up["ancestors"] if up else []
             if up:  # neighbouring intervals are one
-                if above and above[-1]["end"] == up["begin"]:
-                    above = [*above[:-1], {"begin": above[-1]["begin"], "end": up["end"]}]
-                else:
-                    above = [*above, {"begin": up["begin"], "end": up["end"]}]
-            self.nodes.append({"begin": at, "end": at + len(formatted), "position": position, "parent": parent, "ancestors": above, "loss_begin": at + a, "loss_end": at + z})
+                begin = above[-1]["begin"] if above and above[-1]["end"] == up["token_begin"] else up["token_begin"]
+                above = [*[x for x in above if x["begin"] < begin], {"begin": begin, "end": up["token_end"]}]
+            edges = [first]
+            for e in self.tokenizer.encode_batch([formatted[:a], formatted[a:z], formatted[z:]], add_special_tokens=False):
+                self.tokens += e.ids
+                edges.append(len(self.tokens))
+            self.nodes.append(
+                {"begin": at, "end": at + len(formatted), "loss_begin": at + a, "loss_end": at + z, "token_begin": first, "token_end": edges[3], "loss_token_begin": edges[1], "loss_token_end": edges[2],
+                 "position": up["position"] + up["token_end"] - up["token_begin"] if up else 0, "parent": parent, "ancestors": above}
+            )
             self.path.append((h, len(self.nodes) - 1))
             self.parts.append(formatted)
             self.size += len(formatted)
         self.ends.append((key, self.path[-1][1]))
 
 
-def blocks(rows: DataFrame, key: str = "conv_id", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(text, nodes, keys, leaves): one row a block; conversation keys[i] ends in node leaves[i]."""
+def blocks(rows: DataFrame, path: str, key: str = "conv_id", block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(text, tokens, nodes, keys, leaves): one row a block; conversation keys[i] ends in node leaves[i]. Tokens are
+    those of the tokenizers file at path."""
     per = written(chains(rows, key), "chat")
     kind = per.schema[key].dataType
-    schema = T.StructType([T.StructField("text", T.StringType()), T.StructField("nodes", T.ArrayType(NODE)), T.StructField("keys", T.ArrayType(kind)), T.StructField("leaves", T.ArrayType(T.LongType()))])
+    fields = [("text", T.StringType()), ("tokens", T.ArrayType(T.IntegerType())), ("nodes", T.ArrayType(NODE)), ("keys", T.ArrayType(kind)), ("leaves", T.ArrayType(T.LongType()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_, arrow = _Block(), None
+        from tokenizers import Tokenizer
+
+        tokenizer, arrow = Tokenizer.from_file(path), None
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        open_ = _Block(tokenizer)
 
         def closed(b: _Block) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([{"text": "".join(b.parts), "nodes": b.nodes, "keys": [k for k, _ in b.ends], "leaves": [n for _, n in b.ends]}], schema=arrow)
+            return pa.RecordBatch.from_pylist([{"text": "".join(b.parts), "tokens": b.tokens, "nodes": b.nodes, "keys": [k for k, _ in b.ends], "leaves": [n for _, n in b.ends]}], schema=arrow)
 
         for b in batches:
             if arrow is None:
-                node = pa.struct([(f, pa.int64()) for f in ("begin", "end", "position", "parent")] + [("ancestors", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), ("loss_begin", pa.int64()), ("loss_end", pa.int64())])
-                arrow = pa.schema([("text", pa.string()), ("nodes", pa.list_(node)), ("keys", pa.list_(b.column(0).type)), ("leaves", pa.list_(pa.int64()))])
+                node = pa.struct([(f, pa.int64()) for f in _PLACES] + [("ancestors", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))])
+                arrow = pa.schema([("text", pa.string()), ("tokens", pa.list_(pa.int32())), ("nodes", pa.list_(node)), ("keys", pa.list_(b.column(0).type)), ("leaves", pa.list_(pa.int64()))])
             for i in range(b.num_rows):
                 open_.add(*[c[i].as_py() for c in b.columns])
                 if open_.size + 64 * len(open_.ends) >= block_chars:
                     yield closed(open_)
-                    open_ = _Block()
+                    open_ = _Block(tokenizer)
         if open_.ends:
             yield closed(open_)
 
     # Equal chains are dealt by the key as well, so that a conversation's copies do not meet in one task.
     dealt = per.repartitionByRange("chain", key).sortWithinPartitions("chain", key)
-    return map_arrow(dealt, run, schema)
+    return map_arrow(dealt, run, T.StructType([T.StructField(n, t) for n, t in fields]))
 
 
 def read_back(formatted: DataFrame, key: str = "conv_id") -> DataFrame:
@@ -173,20 +176,19 @@ def read_back(formatted: DataFrame, key: str = "conv_id") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in range(b.num_rows):
-                text, nodes, keys, leaves = (b.column(i)[row].as_py() for i in range(4))
+                text, nodes, keys, leaves = (b.column(n)[row].as_py() for n in ("text", "nodes", "keys", "leaves"))
                 out = []
-                for leaf in leaves:
-                    n = nodes[leaf]
-                    path = [*((a["begin"], a["end"]) for a in n["ancestors"]), (n["begin"], n["end"])]
-                    own = "".join(text[x:y] for x, y in path)
-                    at, loss = leaf, []
+                for at in leaves:
+                    path, loss = [], []
                     while at >= 0:
-                        loss.append(unescaped(text[nodes[at]["loss_begin"] : nodes[at]["loss_end"]]))
-                        at = nodes[at]["parent"]
-                    masked = "".join(reversed(loss))
+                        n = nodes[at]
+                        path.append(text[n["begin"] : n["end"]])
+                        loss.append(unescaped(text[n["loss_begin"] : n["loss_end"]]))
+                        at = n["parent"]
+                    own, masked = "".join(reversed(path)), "".join(reversed(loss))
                     turns = turns_of(own)
                     digest = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode("utf-8", "surrogatepass")).hexdigest()
                     out.append((len(turns), digest, len(masked), hashlib.sha256(masked.encode("utf-8", "surrogatepass")).hexdigest(), len(own)))
-                yield pa.RecordBatch.from_arrays([pa.array(keys, b.column(2).type.value_type), *[pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()))]], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, b.column("keys").type.value_type), *[pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()))]], names=schema.names)
 
     return map_arrow(formatted, run, schema)
