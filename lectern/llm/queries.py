@@ -37,11 +37,12 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat_format import blocks, read_back
+    from .token_counts import vocabulary
 
     text = "</s>[INST] ok [/INST]"
     more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return read_back(blocks(rows.unionByName(more)))
+    return read_back(blocks(rows.unionByName(more), vocabulary("byte_bpe_50k.json")))
 
 
 def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,13 +87,14 @@ _OP3 = r"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce
  win AS (SELECT rid, unnest(range(1, len(words) - 6)) AS i, unnest(list_transform(range(1, len(words) - 6), lambda i: array_to_string(list_slice(words, i, i + 7), ' '))) AS x FROM w WHERE len(words) >= 8),
  twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, x) AS n FROM win) WHERE n > 1),
  rep AS (SELECT rid, count(DISTINCT k) AS n FROM (SELECT rid, unnest(range(i, i + 8)) AS k FROM twice) GROUP BY 1),
- s AS (SELECT rid, doc_id, lang, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+ s AS (SELECT rid, doc_id, lang, text, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
   coalesce(rep.n, 0) AS n_repeat_words, len(lines) AS n_lines, length(regexp_replace(text, '[^A-Z]+', '', 'g')) AS n_capitals, length(regexp_replace(text, '[^!?]+', '', 'g')) AS n_shouts FROM w LEFT JOIN rep USING (rid)),
  b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM s),
- r AS (SELECT rid, doc_id, lang, base_failed, unnest(range(5)) AS rule, unnest([n_symbols / greatest(word_chars, 1), n_dup_lines / greatest(n_lines, 1), n_repeat_words / greatest(n_words, 1), n_capitals / greatest(word_chars, 1), n_shouts / greatest(word_chars, 1)]) AS v FROM b),
+ r AS (SELECT rid, doc_id, lang, text, base_failed, unnest(range(5)) AS rule, unnest([n_symbols / greatest(word_chars, 1), n_dup_lines / greatest(n_lines, 1), n_repeat_words / greatest(n_words, 1), n_capitals / greatest(word_chars, 1), n_shouts / greatest(word_chars, 1)]) AS v FROM b),
  cut AS (SELECT unnest(range({n})) AS i, unnest([{cutoffs}]::DOUBLE[]) AS c),
  l AS (SELECT doc_id, quality FROM labels WHERE quality IN (0, 1)),
- k AS (SELECT lang, rule, i, c, count(*) FILTER (quality = 1) AS n, count(*) FILTER (quality = 1 AND v > c) AS k, count(*) FILTER (quality = 0) AS bad, count(*) FILTER (quality = 0 AND v > c) AS caught FROM r JOIN l USING (doc_id) CROSS JOIN cut WHERE NOT base_failed GROUP BY ALL),
+ t AS (SELECT lang, text, rule, min(v) AS v, min(quality) AS quality FROM r JOIN l USING (doc_id) WHERE NOT base_failed GROUP BY ALL),
+ k AS (SELECT lang, rule, i, c, count(*) FILTER (quality = 1) AS n, count(*) FILTER (quality = 1 AND v > c) AS k, count(*) FILTER (quality = 0) AS bad, count(*) FILTER (quality = 0 AND v > c) AS caught FROM t CROSS JOIN cut GROUP BY ALL),
  m AS (SELECT (count(DISTINCT lang) + max((lang IS NULL)::INT)) * 5 * {n} AS tests FROM k),
  p AS (SELECT k.*, CASE WHEN k >= n THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - CASE WHEN j = 0 THEN 0 ELSE lgamma(j + 1) END - lgamma(n - j + 1) + j * ln({alpha}) + (n - j) * ln(1 - {alpha})))) END AS tail FROM k),
  best AS (SELECT lang, rule, c FROM p CROSS JOIN m WHERE n > 0 AND bad > 0 AND tail <= {delta} / tests AND caught - 5 * k > 0 QUALIFY row_number() OVER (PARTITION BY lang, rule ORDER BY caught - 5 * k DESC, i DESC) = 1),

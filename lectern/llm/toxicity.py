@@ -31,6 +31,8 @@ from .text_arrays import LETTERS, Block, blocks, lowered, mixed, powers
 BUCKETS, DIM, GRAMS, PASSAGE, SAMPLE, EPOCHS, RATE, SEED = 1 << 18, 8, (3, 4, 5), 6, 4_000, 18, 60.0, 5
 TOP, EARLY, SHRINK = 4, 0.35, 0.94
 THRESHOLD = 0.7
+#: No text over so many bytes is learned from, so a sample of 4,000 rows has at most 128 MB.
+SAMPLE_BYTES = 32_768
 
 
 def subwords(b: Block, lower: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,13 +127,13 @@ def train(texts: list[str | None], toxic: np.ndarray, buckets: int = BUCKETS, di
     return E @ (W[:, 1] - W[:, 0]), float(bias[1] - bias[0])
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, sample: int, key: str) -> tuple[list, np.ndarray]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, sample: int, key: str, most_bytes: int = SAMPLE_BYTES) -> tuple[list, np.ndarray]:
     """At most ``sample`` labelled rows that may be learned, half of them of either label at most, with whole
-    texts, in order of a hash of the id."""
+    texts of up to ``most_bytes``, in order of a hash of the id."""
     lab = only(labels, key, label).where(F.col(label).isin(0, 1) & learn & F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label"))
     by = (F.xxhash64("_key"), "_key")
     half = [lab.where(F.col("_label") == x).orderBy(*by).limit(sample // 2) for x in (0, 1)]
-    d = only(docs, key, "text")
+    d = only(docs, key, "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes)
     rows = d.join(F.broadcast(half[0].unionByName(half[1])), d[key] == F.col("_key")).orderBy(*by, "_label", "text").select("text", "_label").limit(sample)
     got = rows.collect()
     return [r[0] for r in got], np.array([r[1] for r in got], int)

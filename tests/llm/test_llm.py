@@ -46,6 +46,8 @@ def test_transducer_equals_library(name):
     r = random.Random(1)
     e = bpe_transducer.Encoder(vocabulary(name), block=500)
     texts = ["".join(r.choice(POOL) for _ in range(r.randint(0, 40))) for _ in range(2000)]
+    r2 = [chr(c) for c in range(0xA0, 0x30000) if not 0xD800 <= c <= 0xDFFF]
+    texts += ["a" + "b1 ".join(r2[i : i + 300]) for i in range(0, len(r2), 300)]
     texts += ["", "ab" * 3000, "thntreou" * 900, " " * 3001 + "x", "one two  three\n" * 400]
     want = [x.ids for x in e.library.encode_batch(texts, add_special_tokens=False)]
     assert e.counts(texts) == [len(x) for x in want]
@@ -150,6 +152,33 @@ def test_certified_cutoffs(spark):
     assert few == 2300  # too few labels certify nothing
 
 
+def test_cutoffs_in_sql(spark, tmp_path):
+    """The SQL gives the same rows where cutoffs are certified in several strata; copies of a label or text are no trials."""
+    import duckdb
+
+    from lectern.llm import queries
+
+    r = random.Random(16)
+    rows, lab = [], []
+    for i in range(5200):
+        lang, bad = ("en", "de", None)[i % 3], i % 11 == 0
+        words = [r.choice(PROSE.split()) + ("##" if bad and r.random() < 0.5 else "") for _ in range(30)]
+        rows.append((i, " ".join(words) + ("!" * r.randint(0, 9) if bad else ""), lang, None, 0))
+        lab += [(i, int(not bad))] * (2 if i % 7 == 0 else 1)
+    rows += [(6000 + i, f"{PROSE} {'#' * 60}", "fr", None, 0) for i in range(400)] + [(7000, f"{PROSE} {'#' * 80}", "fr", None, 0)]
+    lab += [(6000 + i, 1) for i in range(400)] + [(7000, 0)] * 50  # one good text and one bad text certify nothing
+    spark.createDataFrame([x[:3] for x in rows], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(lab, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    c = duckdb.connect()
+    for t in ("documents", "labels"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = queries.op3_quality_rules(spark, str(tmp_path))
+    want = c.execute(queries.ORACLE_SQL["op3_quality_rules"]).df()[got.columns]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.itertuples(index=False)))
+    rejected = {lang: sum(not k for x, k in zip(rows, [kept[i] for i in (x[0] for x in rows)]) if x[2] == lang) for kept in [{x["doc_id"]: x["kept"] for x in got.collect()}] for lang in ("en", "de", None, "fr")}
+    assert all(rejected[x] > 100 for x in ("en", "de", None)) and rejected["fr"] == 0
+
+
 def test_binomial_tail():
     from math import comb
 
@@ -444,25 +473,33 @@ def test_template_round_trip():
         assert not any(c in chat_format.escaped(t) for _, t in turns for c in ("<s>", "</s>", "[INST]", "[/INST]"))
 
 
+BYTES = vocabulary("byte_bpe_50k.json")
+
+
 def test_chat_tree(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(BYTES)
     rows = [(c, i, r, x) for c in range(8) for i, (r, x) in enumerate([("user", "same"), ("assistant", "start </s>"), ("user", f"then {c % 3}"), ("assistant", None)][: 2 + c % 3])]
     rows += [(None, 0, "user", "x"), (50, 1, None, "y"), (50, 0, "system", "z"), (50, 0, "system", "z")]
     d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     for size in (1, 60, 1 << 18):
-        b = chat_format.blocks(d, block_chars=size)
+        b = chat_format.blocks(d, BYTES, block_chars=size)
         got = {r["conv_id"]: r for r in chat_format.read_back(b).collect()}
         for c in {r[0] for r in rows}:
             own = [(r or "", x or "") for _, _, r, x in sorted((x for x in rows if x[0] == c), key=lambda x: (x[1], x[2] or ""))]
             loss = "".join(x for r, x in own if r == "assistant")
             want = (len(own), hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in own).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
             assert tuple(got[c][k] for k in ("n_turns", "turns_sha256", "loss_chars", "loss_sha256")) == want
-    whole = chat_format.blocks(d.coalesce(1)).collect()
+    whole = chat_format.blocks(d.coalesce(1), BYTES).collect()
     assert sum(r["text"].count("same") for r in whole) <= len(whole)  # shared turns stand once a block
     for r in whole:
         for n in r["nodes"]:
             up = r["nodes"][n["parent"]] if n["parent"] >= 0 else None
-            assert n["position"] == (up["position"] + up["end"] - up["begin"] if up else 0) == sum(a["end"] - a["begin"] for a in n["ancestors"])
-    assert chat_format.blocks(d.limit(0)).count() == 0
+            assert n["position"] == (up["position"] + up["token_end"] - up["token_begin"] if up else 0) == sum(a["end"] - a["begin"] for a in n["ancestors"])
+            for lo, hi, a, z in (("begin", "end", "token_begin", "token_end"), ("loss_begin", "loss_end", "loss_token_begin", "loss_token_end")):
+                assert tokenizer.decode(r["tokens"][n[a] : n[z]], skip_special_tokens=False) == r["text"][n[lo] : n[hi]]
+    assert chat_format.blocks(d.limit(0), BYTES).count() == 0
 
 
 # Models --------------------------------------------------------------------------------------------------------
