@@ -94,6 +94,16 @@ def ship(spark: SparkSession) -> None:
     context._lectern_code = str(at)
 
 
+_kept: dict[str, dict] = {}
+
+
+def kept_by(operator: str) -> dict:
+    """What a Python worker keeps between tasks of an operator; what other operators kept there goes."""
+    for other in [k for k in _kept if k != operator]:
+        del _kept[other]
+    return _kept.setdefault(operator, {})
+
+
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     """mapInArrow, whose functions executors can import."""
     ship(df.sparkSession)

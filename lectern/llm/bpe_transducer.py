@@ -23,6 +23,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 
+from ._shared import kept_by
+
 _GAP = re.compile(r"[^ \t-\r][ \t-\r]")
 END, SYMBOL, LETTER, NUMBER, SPACE, WHITE, SHORT, LONG, SPACE_LAST, WHITE_LAST, UNKNOWN = range(11)
 _classes = np.full(0x110000, UNKNOWN, np.uint8)
@@ -422,12 +424,9 @@ class Encoder:
         return self._each(texts, True)
 
 
-_encoders: dict[tuple, Encoder] = {}
-
-
 def encoder(path: str, most_states: int = 150_000) -> Encoder:
     """The worker's own encoder of a file; its compiled states serve all of the worker's tasks."""
-    key = (path, most_states)
-    if key not in _encoders:
-        _encoders[key] = Encoder(path, most_states)
-    return _encoders[key]
+    held, key = kept_by("encoder"), (path, most_states)
+    if key not in held:
+        held[key] = Encoder(path, most_states)
+    return held[key]

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import by_place, map_arrow, only, written
+from ._shared import by_place, kept_by, map_arrow, only, written
 from .text_arrays import NO_SPACE, blocks, lowered, mixed
 
 SHINGLE, RADIUS, BLOCKS, FINE_BLOCKS, SHARD_LIMIT = 3, 2, 4, 8, 65_536
@@ -106,7 +106,7 @@ class BKForest:
     def distance(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return sum(np.bitwise_count(self.fp[a, k] ^ self.fp[b, k]).astype(np.int64) for k in range(self.fp.shape[1]))
 
-    def links(self, radius: int, visits: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def links(self, radius: int, visits: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Arrays of (row, other row of its shard within the radius), other > row. Rows are searched together as
         long as they have at most about ``visits`` nodes to visit."""
         cost, at = np.cumsum(self.size), 0
@@ -159,6 +159,7 @@ def _stars(radius: int, words: int):
         return pa.RecordBatch.from_arrays([pa.array(fp[own]), pa.array(fp[low[own]])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("simhash")
         held: list[np.ndarray] = [np.empty(0, np.int64)] * (3 + words)
         for b in batches:
             cols = [np.concatenate((h, c.to_numpy(zero_copy_only=False).astype(np.int64))) for h, c in zip(held, b.columns)]
@@ -302,6 +303,7 @@ def _with_fingerprint(rows: DataFrame, text: str, near: bool, shingle: int) -> D
     names = [f"_f{k}" for k in range(words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("simhash")
         for b in batches:
             texts = b.column(at).to_pylist()
             fps = wide_fingerprints(texts, shingle) if near else np.fromiter((fingerprint(t, shingle) for t in texts), np.uint64, len(texts)).view(np.int64)[:, None]
