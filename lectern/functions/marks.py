@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import json
 import re
-import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
@@ -33,8 +32,15 @@ def stripped_with_map(text: str) -> tuple[str, list[int]]:
     return "".join(out), places
 
 
+# The characters that a comparison passes over.
+_PASSED = set("，。！？、；：\"\"''（）《》【】「」『』…—·-,.!?:;'\"()[]{}<>/\\@#$%^&*_+=|~`")
+# Full-width letters and digits stand for the plain ones.
+_FOLDED = {chr(c): chr(c - 0xFEE0) for a, z in ("ＡＺ", "ａｚ", "０９") for c in range(ord(a), ord(z) + 1)}
+
+
 def _bare_with_map(text: str, places: list[int]) -> tuple[str, list[int]]:
-    keep = [(c.lower(), p) for c, p in zip(text, places) if not c.isspace() and not unicodedata.category(c).startswith("P")]
+    """The text without white space and punctuation, folded and lower-cased, and where its characters stand."""
+    keep = [(_FOLDED.get(c, c).lower(), p) for c, p in zip(text, places) if not c.isspace() and c not in _PASSED]
     return "".join(c[0] for c, _ in keep), [p for _, p in keep]
 
 
@@ -55,11 +61,10 @@ def fuzzy_matches(text: str, part: str, most: int = 5) -> list[tuple[int, int, s
     if found:
         return [(a, a + len(part), "exact") for a in found]
     plain, places = stripped_with_map(text)
-    own = stripped_with_map(part)[0]
-    if own and (found := _all(plain, own, most)):
-        return [(places[a], places[a + len(own) - 1] + 1, "stripped") for a in found]
+    if found := _all(plain, part, most):
+        return [(places[a], places[a + len(part) - 1] + 1, "stripped") for a in found]
     bare, places = _bare_with_map(plain, places)
-    own = _bare_with_map(own, list(range(len(own))))[0]
+    own = _bare_with_map(part, list(range(len(part))))[0]
     return [(places[a], places[a + len(own) - 1] + 1, "bare") for a in _all(bare, own, most)] if own else []
 
 

@@ -37,9 +37,9 @@ def reciprocal_rank(rank: Column, k: int = 60) -> Column:
     return 1.0 / (k + rank)
 
 
-def book_level_weight(depth: Column) -> Column:
-    """1.0 for a root, 0.9 for its inner children, 0.7 for leaves; 0.5 where the node is not known."""
-    return F.when(depth.isNull(), 0.5).when(depth == 0, 1.0).when(depth == 1, 0.9).otherwise(0.7)
+def book_level_weight(depth: Column, has_children: Column) -> Column:
+    """1.0 for a root, else 0.9 for a node with children and 0.7 for a leaf; 0.5 where the node is not known."""
+    return F.when(depth.isNull(), 0.5).when(depth == 0, 1.0).when(has_children, 0.9).otherwise(0.7)
 
 
 def vault_level_weight(depth: Column) -> Column:
@@ -58,12 +58,12 @@ def bigram_overlap(a: Column, b: Column) -> Column:
 
 
 def string_similarity(a: Column, b: Column) -> Column:
-    """1 if equal, the length ratio if one holds the other, else the share of the shorter's characters in the other."""
-    short, long = F.when(F.length(a) <= F.length(b), a).otherwise(b), F.when(F.length(a) <= F.length(b), b).otherwise(a)
-    chars = F.filter(F.split(short, ""), lambda c: c != "")
-    common = F.size(F.filter(chars, lambda c: F.contains(long, c)))
-    longest = F.greatest(F.length(long), F.lit(1))
-    return F.when(a == b, 1.0).when((F.length(short) > 0) & F.contains(long, short), F.length(short) / longest).otherwise(common / longest)
+    """1 if equal, the length ratio if one holds the other whatever the case, else the characters of the first that
+    the second has, over the longer's length."""
+    x, y = F.lower(a), F.lower(b)
+    longest = F.greatest(F.length(a), F.length(b), F.lit(1))
+    common = F.size(F.filter(F.split(x, ""), lambda c: (c != "") & F.contains(y, c)))
+    return F.when(a == b, 1.0).when(F.contains(x, y) | F.contains(y, x), F.least(F.length(a), F.length(b)) / longest).otherwise(common / longest)
 
 
 def recall_k(query: Column, most: int, middle: int, least: int, last: int = 15) -> Column:

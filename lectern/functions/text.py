@@ -30,7 +30,7 @@ def cjk_runs(text: Column) -> Column:
 
 def plain_words(text: Column) -> Column:
     """Lower-cased ASCII words; every other character separates."""
-    return _nonempty(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9_]+", " "), " "))
+    return F.array_remove(F.split(F.lower(text), "[^a-z0-9_]+"), "")
 
 
 def lexical_tokens(text: Column) -> Column:
@@ -38,14 +38,16 @@ def lexical_tokens(text: Column) -> Column:
     bigrams; of the rest the plain words."""
     text = F.coalesce(text, F.lit(""))
     of_run = lambda r: F.concat(F.when(F.length(r) >= 2, F.array(r)).otherwise(F.array().cast("array<string>")), _ngrams(r, 1), _ngrams(r, 2))
-    return F.concat(F.flatten(F.transform(cjk_runs(text), of_run)), plain_words(text))
+    mixed = F.concat(F.flatten(F.transform(cjk_runs(text), of_run)), plain_words(text))
+    return F.when(text.rlike(f"[{CJK}]"), mixed).otherwise(plain_words(text))
 
 
 def vault_tokens(text: Column) -> Column:
     """Distinct keyword tokens: words with CJK runs and the runs' bigrams, no single characters."""
     text = F.coalesce(text, F.lit(""))
-    words = _nonempty(F.split(F.regexp_replace(F.lower(text), f"[^a-z0-9_{CJK}]+", " "), " "))
-    return F.array_distinct(F.concat(words, F.flatten(F.transform(cjk_runs(text), lambda r: _ngrams(r, 2)))))
+    words = F.array_remove(F.split(F.lower(text), f"[^a-z0-9_{CJK}]+"), "")
+    mixed = F.concat(words, F.flatten(F.transform(cjk_runs(text), lambda r: _ngrams(r, 2))))
+    return F.array_distinct(F.when(text.rlike(f"[{CJK}]"), mixed).otherwise(plain_words(text)))
 
 
 def query_tokens(text: Column) -> Column:
@@ -68,9 +70,57 @@ def bare(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[\s\p{P}]+", "")
 
 
+# The punctuation that titles and authors are compared without.
+_PUNCTUATION = r"""[，。！？：；""''【】《》、·—…\-\.,!?;:'"()\[\]{}<>/\\@#$%^&*+=~`|]"""
+_ROUND = r"（[^）]*）|\([^)]*\)"
+_LENTICULAR = r"【[^】]*】"
+
+
+def _plain_name(text: Column, brackets: str) -> Column:
+    for pattern in (brackets, _PUNCTUATION, r"\s+"):
+        text = F.regexp_replace(text, pattern, "")
+    return F.lower(text)
+
+
 def normal_title(text: Column) -> Column:
-    """A title without bracketed parts, punctuation and spaces, in lower case."""
-    return F.regexp_replace(F.lower(F.regexp_replace(text, r"\([^)]*\)|\[[^\]]*\]|（[^）]*）|【[^】]*】|《|》", "")), r"[\s\p{P}]+", "")
+    """A title without bracketed parts, punctuation and spaces, in lower case. Square brackets lose only their marks."""
+    return _plain_name(text, f"{_ROUND}|{_LENTICULAR}")
+
+
+def normal_author(text: Column) -> Column:
+    """An author without countries in square brackets, bracketed parts, punctuation and spaces, in lower case."""
+    return _plain_name(text, rf"\[[^\]]*\]|{_ROUND}|{_LENTICULAR}")
+
+
+def truncated_for(text: Column, model: Column) -> Column:
+    """What a model can embed of a text: 400 characters for the bge family, else 8,000."""
+    return F.left(text, F.when(F.contains(F.lower(F.coalesce(model, F.lit(""))), F.lit("bge")), 400).otherwise(8000))
+
+
+def first_sentence(text: Column) -> Column:
+    """struct(sentence, rest): up to the first sentence end; null and the whole text where there is none."""
+    found = F.regexp_extract(text, r"(?s)^(.*?[。！？!?])", 1)
+    some = found != ""
+    return F.struct(F.when(some, found).alias("sentence"), F.when(some, F.substring(text, F.length(found) + 1, F.length(text))).otherwise(text).alias("rest"))
+
+
+def head_and_tail_exact(text: Column, most: int) -> Column:
+    """As head_and_tail, where the mark between counts as well."""
+    head = int(most * 0.6)
+    tail = most - head - 5
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.left(text, F.lit(head)), F.lit(" ... "), F.right(text, F.lit(tail))))
+
+
+def topic_of(message: Column) -> Column:
+    """What a question is about: without its opening words and punctuation."""
+    bare = F.regexp_replace(message, r"(?i)^(什么是|如何理解|请问|帮我|解释一下|讲讲|详细说说)", "")
+    return head_and_tail_exact(F.btrim(F.regexp_replace(bare, r"[？?。.!！，,]", "")), 150)
+
+
+def spoken_links(text: Column) -> Column:
+    """[[target|alias]] as the alias, [[path/target]] as the last part of the path."""
+    with_alias = F.regexp_replace(text, r"\[\[[^\]|]+\|\s*([^\]|]*?)\s*(\|[^\]]*)?\]\]", "$1")
+    return F.regexp_replace(with_alias, r"\[\[\s*(?:[^\]|]*/)?([^\]|/]*?)\s*\]\]", "$1")
 
 
 def clean_title(text: Column) -> Column:

@@ -71,23 +71,22 @@ def jn20_composite_anti(spark, d):
     return e.join(e.where("event_id % 3 = 0").select("user_id", "event_type"), ["user_id", "event_type"], "left_anti").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
-@query("""WITH a AS (SELECT p_partkey AS k, lower(p_name) AS x FROM part WHERE p_partkey % 10 = 0), b AS (SELECT p_partkey AS k2, lower(p_type) AS y FROM part WHERE p_partkey % 10 = 1),
- s AS (SELECT k, k2, CASE WHEN length(x) <= length(y) THEN x ELSE y END AS sh, CASE WHEN length(x) <= length(y) THEN y ELSE x END AS lg, x, y FROM a CROSS JOIN b
- WHERE len(list_intersect(list_transform(range(1, length(replace(x, ' ', ''))), lambda i: substr(replace(x, ' ', ''), i, 2)), list_transform(range(1, length(replace(y, ' ', ''))), lambda i: substr(replace(y, ' ', ''), i, 2)))) > 0),
- r AS (SELECT k, k2, round(CASE WHEN x = y THEN 1.0 WHEN contains(lg, sh) THEN length(sh) / length(lg) ELSE len(list_filter(string_split(sh, ''), lambda c: c <> '' AND contains(lg, c))) / length(lg) END, 6) AS similarity FROM s)
+@query("""WITH a AS (SELECT p_partkey AS k, p_name AS x FROM part WHERE p_partkey % 50 = 0), b AS (SELECT p_partkey AS k2, p_type AS y FROM part),
+ r AS (SELECT k, k2, round(CASE WHEN x = y THEN 1.0 WHEN contains(lower(x), lower(y)) OR contains(lower(y), lower(x)) THEN least(length(x), length(y)) / greatest(length(x), length(y), 1)
+ ELSE len(list_filter(string_split(lower(x), ''), lambda c: c <> '' AND contains(lower(y), c))) / greatest(length(x), length(y), 1) END, 6) AS similarity FROM a CROSS JOIN b)
  SELECT k, k2, similarity FROM r WHERE similarity > 0.4 QUALIFY row_number() OVER (PARTITION BY k ORDER BY similarity DESC, k2) = 1""")
 def jn26_best_similar(spark, d):
+    """The stated query set, every name whose id is divisible by 50, against all types."""
     p = t(spark, d, "part")
-    a = p.where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("k"), F.lower("p_name").alias("x"))
-    b = p.where("p_partkey % 10 = 1").select(F.col("p_partkey").alias("k2"), F.lower("p_type").alias("x"))
-    return R.best_similar(a, b, "k", "k2", "x")
+    wanted = p.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("x"))
+    return R.best_similar(wanted, p.select(F.col("p_partkey").alias("k2"), F.col("p_type").alias("x")), "k", "k2", "x")
 
 
-@query("""WITH w AS (SELECT source, doc_id FROM documents WHERE doc_id % 3 = 0), k AS (SELECT source AS s, doc_id AS n FROM documents WHERE doc_id % 7 = 0)
- SELECT source, doc_id, n AS nearest FROM w LEFT JOIN k ON source = s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY abs(n - doc_id), n) = 1""")
+@query("""SELECT source, w.doc_id, k.doc_id AS nearest FROM documents w JOIN documents k USING (source) QUALIFY row_number() OVER (PARTITION BY w.doc_id ORDER BY abs(k.doc_id - w.n_chars), k.doc_id) = 1""")
 def jn27_nearest_number(spark, d):
-    n = nodes(spark, d).select("source", "doc_id", F.col("doc_id").alias("n"))
-    return R.nearest_number(n.where("doc_id % 3 = 0"), n.where("doc_id % 7 = 0"), "source", "doc_id", "n")
+    """Each document's number of characters against the numbers of its source's documents."""
+    n = t(spark, d, "documents").select("source", "doc_id", "n_chars")
+    return R.nearest_number(n.select("source", "doc_id", F.col("n_chars").alias("n")), n.select("source", F.col("doc_id").alias("n")), "source", "doc_id", "n")
 
 
 @query("""SELECT event_id, user_id, last_value(CASE WHEN event_type <> 'error' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.operators import notes as O
-from lectern.queries import nodes, query, t
+from lectern.operators import structure as N
+from lectern.queries import _LINES, nodes, query, t
 
 
-@query("SELECT a.source, a.lang, a.doc_id AS start, b.doc_id AS found_page FROM documents a JOIN documents b ON a.source = b.source AND a.lang = b.lang AND b.doc_id >= a.doc_id WHERE a.doc_id % 9 = 0 AND b.doc_id % 11 = 0")
+@query("WITH d AS (SELECT source, md5(text) AS title, doc_id FROM documents) SELECT a.source, a.title, a.doc_id AS start, b.doc_id AS found_page FROM d a JOIN d b ON a.source = b.source AND a.title = b.title AND b.doc_id >= a.doc_id")
 def jn13_contents_with_pages(spark, d):
-    docs = t(spark, d, "documents").select("source", "lang", "doc_id")
-    toc = docs.where("doc_id % 9 = 0").withColumnRenamed("doc_id", "start")
-    return O.toc_with_pages(toc, docs.where("doc_id % 11 = 0").withColumnRenamed("doc_id", "page"), "source", "lang", "start")
+    docs = t(spark, d, "documents").select("source", F.md5("text").alias("title"), "doc_id")
+    return O.toc_with_pages(docs.withColumnRenamed("doc_id", "start"), docs.withColumnRenamed("doc_id", "page"), "source", "title", "start")
 
 
 @query("""WITH k AS (SELECT user_id, event_type, count(*) AS readers FROM events WHERE event_id % 4 = 0 GROUP BY 1, 2) SELECT event_id, user_id, event_type, coalesce(readers, 0) AS readers FROM events LEFT JOIN k USING (user_id, event_type)""")
@@ -54,10 +54,12 @@ def wn23_paragraph_ids(spark, d):
     return O.paragraph_ids(n, "source", "section", "doc_id").drop("section")
 
 
-@query("""WITH s AS (SELECT source, doc_id, list(doc_id ORDER BY doc_id) OVER (PARTITION BY source) AS a FROM documents) SELECT source, doc_id, array_to_string(list_transform(list_sort(list_filter(a, lambda x: x <> doc_id)), lambda x: x::VARCHAR), ',') AS siblings FROM s""")
+@query(f"""WITH {_LINES}, s AS (SELECT doc_id, line, list(line ORDER BY line) OVER (PARTITION BY doc_id, line // 8) AS a FROM ln)
+ SELECT doc_id, line, array_to_string(list_transform(list_sort(list_filter(a, lambda x: x <> line)), lambda x: x::VARCHAR), ',') AS siblings FROM s""")
 def ar5_siblings(spark, d):
-    n = nodes(spark, d).select("source", "doc_id", F.col("doc_id").cast("string").alias("title"))
-    return O.siblings(n, ["source"], "doc_id", "title").drop("title")
+    """A text's lines, eight below each parent."""
+    n = N.lines(nodes(spark, d), "doc_id").select("doc_id", "line", F.floor(F.col("line") / 8).alias("parent"), F.col("line").cast("string").alias("title"))
+    return O.siblings(n, ["doc_id", "parent"], "line", "title").select("doc_id", "line", "siblings")
 
 
 @query("SELECT i.k, left(d.text, 500) || CASE WHEN length(d.text) > 500 THEN chr(10) || '...' ELSE '' END AS text, length(d.text) > 500 AS cut FROM (SELECT item_id * 37 AS k FROM benchmark) i LEFT JOIN documents d ON d.doc_id = i.k")

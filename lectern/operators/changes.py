@@ -82,19 +82,30 @@ def removed_links(before: DataFrame, now: DataFrame, columns: list[str]) -> Data
     return before.select(*columns).distinct().join(now.select(*columns).distinct(), columns, "left_anti")
 
 
+def _holders(needles: DataFrame, holders: DataFrame, needle: str, holder: str) -> DataFrame:
+    """Rows of both with the needle inside the holder. A needle meets holders on the rarest of its character pairs (on
+    itself if it is one character), so a common pair joins nothing but needles that have no rarer one."""
+    from lectern.functions.similarity import bigrams
+
+    grams = lambda c: F.when(F.length(c) == 1, F.array(F.col(c))).otherwise(bigrams(F.col(c)))
+    n = needles.where(F.length(needle) > 0).withColumn("_id", F.xxhash64(needle))
+    own = n.select(needle, "_id").distinct().withColumn("_g", F.explode(grams(needle)))
+    single = own.where(F.length("_g") == 1).select("_g").distinct()
+    held = holders.withColumn("_two", F.explode(F.array_distinct(F.concat(bigrams(F.col(holder)), F.filter(F.split(F.col(holder), ""), lambda c: c != "")))))
+    held = held.where(F.length("_two") == 2).unionByName(held.where(F.length("_two") == 1).join(single, F.col("_two") == F.col("_g"), "left_semi"))
+    often = held.groupBy(F.col("_two").alias("_g")).agg(F.count("*").alias("_n"))
+    rarest = own.join(often, "_g", "left").groupBy(needle, "_id").agg(F.min_by("_g", F.struct(F.coalesce("_n", F.lit(0)), "_g")).alias("_g"))
+    return n.join(rarest.select("_id", "_g"), "_id").join(held, F.col("_g") == F.col("_two")).where(F.contains(holder, needle)).drop("_id", "_g", "_two")
+
+
 def fuzzy_first_match(left: DataFrame, right: DataFrame, left_key: str, right_key: str, title: str, author: str) -> DataFrame:
     """(left_key, right_key): each left row's first right row whose title holds the other's or is held by it, and
-    whose authors share a part or are empty. Titles are compared in their normal form, and only within groups
-    that share their first two characters or, for containment elsewhere, a bigram of the shorter title."""
-    from lectern.functions.similarity import bigrams
-    from lectern.functions.text import normal_title
-
-    a = left.select(left_key, normal_title(F.col(title)).alias("_ta"), F.lower(F.coalesce(author, F.lit(""))).alias("_aa"))
-    b = right.select(right_key, normal_title(F.col(title)).alias("_tb"), F.lower(F.coalesce(author, F.lit(""))).alias("_ab"))
-    # A title that is held shares its first bigram with the holder: one bigram a title joins its holders' bigrams.
-    head = lambda c: F.substring(c, 1, 2)
-    holds = lambda x, y, t, s: x.where(F.length(t) >= 2).withColumn("_g", F.explode(bigrams(F.col(t)))).join(y.where(F.length(s) >= 2).withColumn("_g", head(F.col(s))), "_g").where(F.contains(F.col(t), F.col(s)))
-    pairs = holds(a, b, "_ta", "_tb").unionByName(holds(b, a, "_tb", "_ta")).where(
+    whose authors hold one another or are empty; titles and authors in their normal form, empty titles match nothing."""
+    from lectern.functions.text import normal_author, normal_title
+
+    a = left.select(left_key, normal_title(F.col(title)).alias("_ta"), normal_author(F.coalesce(author, F.lit(""))).alias("_aa"))
+    b = right.select(right_key, normal_title(F.col(title)).alias("_tb"), normal_author(F.coalesce(author, F.lit(""))).alias("_ab"))
+    pairs = _holders(b, a, "_tb", "_ta").unionByName(_holders(a, b, "_ta", "_tb")).where(
         (F.col("_aa") == "") | (F.col("_ab") == "") | F.contains(F.col("_aa"), F.col("_ab")) | F.contains(F.col("_ab"), F.col("_aa"))
     )
     return pairs.groupBy(left_key).agg(F.min(right_key).alias(right_key))

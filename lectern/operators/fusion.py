@@ -57,10 +57,12 @@ def blended(hits: DataFrame, rerank: DataFrame, query: str, key: str, weight: fl
 
 
 def merged_tree_hits(hits: DataFrame, listed: DataFrame, query: str, key: str, weight: float = 0.5) -> DataFrame:
-    """Blend in a list of nodes at positions 0, 1, ...: e^(-0.2 position); nodes not among the hits are added."""
+    """Blend in a list of nodes at positions 0, 1, ...: e^(-0.2 position). Where a query has such a list every hit keeps
+    ``1 - weight`` of its score, listed nodes get ``weight`` of theirs, and those not among the hits are added."""
     t = listed.select(query, key, F.exp(-0.2 * F.col("position")).alias("_t"))
     j = hits.select(query, key, "score").join(t, [query, key], "full_outer")
-    score = F.when(F.col("_t").isNull(), F.col("score")).when(F.col("score").isNull(), F.col("_t")).otherwise((1 - weight) * F.col("score") + weight * F.col("_t"))
+    some = F.max("_t").over(Window.partitionBy(query)).isNotNull()
+    score = F.when(some, (1 - weight) * F.coalesce("score", F.lit(0.0)) + weight * F.coalesce("_t", F.lit(0.0))).otherwise(F.col("score"))
     return j.select(query, key, F.round(score, 6).alias("score"))
 
 
@@ -83,6 +85,5 @@ def early_stop(hits: DataFrame, query: str, key: str, threshold: float = 0.6) ->
 def books_then_hits(hits: DataFrame, query: str, book: str, key: str, books: int = 5, per_book: int = 5) -> DataFrame:
     """The best books by the sum of their best hits, and these hits."""
     own = hits.withColumn("place", F.row_number().over(Window.partitionBy(query, book).orderBy(F.desc("score"), key)).cast("long")).where(F.col("place") <= per_book)
-    total = own.groupBy(query, book).agg(F.round(F.sum("score"), 6).alias("total"))
-    best = total.withColumn("book_rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("total"), book)).cast("long")).where(F.col("book_rank") <= books)
-    return own.join(best, [query, book])
+    total = own.withColumn("total", F.round(F.sum("score").over(Window.partitionBy(query, book)), 6))
+    return total.withColumn("book_rank", F.dense_rank().over(Window.partitionBy(query).orderBy(F.desc("total"), book)).cast("long")).where(F.col("book_rank") <= books)

@@ -75,7 +75,8 @@ def with_preface(sections: DataFrame, by: str, start: str, title: str) -> DataFr
 
 
 def siblings(nodes: DataFrame, by: list[str], order: str, title: str) -> DataFrame:
-    """With ``siblings``: the titles of the other nodes below the same parent, in order."""
+    """With ``siblings``: the titles of the other nodes below the same parent, in order. A parent's children are a level
+    of one table of contents."""
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     all_ = F.collect_list(F.struct(F.col(order).alias("o"), F.col(title).alias("t"))).over(w)
     return nodes.withColumn("siblings", F.array_join(F.transform(F.filter(all_, lambda x: x["o"] != F.col(order)), lambda x: x["t"]), ","))

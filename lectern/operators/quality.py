@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def retrieval_metrics(hits: DataFrame, relevant: DataFrame, query: str, key: str) -> DataFrame:
-    """(query, mrr, hit5, hit10, ndcg5) of ranked hits(query, key, rank) against relevant(query, key)."""
+def retrieval_metrics(hits: DataFrame, relevant: DataFrame, query: str, key: str, counts: DataFrame | None = None) -> DataFrame:
+    """(query, mrr, hit5, hit10, ndcg5) of ranked hits(query, key, rank) against relevant(query, key). With
+    counts(query, n) relevant need not hold more than the hits that are."""
     rel = relevant.select(query, key).distinct().withColumn("_r", F.lit(1))
-    n = rel.groupBy(query).agg(F.count("*").alias("_n"))
+    n = rel.groupBy(query).agg(F.count("*").alias("_n")) if counts is None else counts.select(query, F.col("n").alias("_n"))
     j = hits.join(rel, [query, key], "left").withColumn("_r", F.coalesce("_r", F.lit(0)))
     found = F.when(F.col("_r") == 1, F.col("rank"))
     m = j.groupBy(query).agg(F.min(found).alias("_first"), F.sum(F.when(F.col("rank") <= 5, F.col("_r") / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias("_dcg")).join(n, query, "left")
@@ -51,3 +52,15 @@ def heading_quality(nodes: DataFrame, by: list[str], title: str, book_title: str
     g = d.groupBy(*by).agg(F.count("*").alias("titles"), flag(F.col("_same") > 1).alias("duplicates"), flag(X.is_truncated(F.col(title))).alias("truncated"), flag(X.too_long_title(F.col(title))).alias("long"), flag(X.bare(F.col(title)) == X.bare(F.col(book_title))).alias("placeholders"))
     bad = lambda c: F.col(c) / F.col("titles") >= 0.3
     return g.withColumn("verdict", F.when(bad("placeholders"), "placeholders").when(bad("truncated") | bad("long"), "truncations").when(bad("duplicates"), "duplicates").otherwise("good"))
+
+
+def mean_metrics(per_query: DataFrame, metrics: list[str], by: str | None = None) -> DataFrame:
+    """(by, queries, metrics...): the mean of each metric over queries, in all or for each book."""
+    g = per_query.groupBy(by) if by else per_query.groupBy()
+    return g.agg(F.count("*").alias("queries"), *[F.round(F.avg(m), 4).alias(m) for m in metrics])
+
+
+def answerable(golden: DataFrame, catalog: DataFrame, book: str) -> tuple[DataFrame, DataFrame]:
+    """(golden queries of books in the catalog, one row: how many are skipped because theirs is not)."""
+    books = catalog.select(book).distinct()
+    return golden.join(books, book, "left_semi"), golden.join(books, book, "left_anti").agg(F.count("*").alias("skipped"))

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from lectern.functions import similarity as S
 from lectern.functions import text as X
+from lectern.operators import vectors as V
 
 
 def any_prefix(path: Column, prefixes: list[str]) -> Column:
@@ -30,12 +31,10 @@ def first_rule(rows: DataFrame, column: str, rules: list[tuple[str, str]], name:
     return rows.withColumn(name, F.coalesce(*[F.when(F.col(column).rlike(p), F.lit(r)) for p, r in rules]))
 
 
-def keyword_matches(texts: DataFrame, keywords: DataFrame, key: str, word: str, most: int = 10_000) -> DataFrame:
-    """(key, word): keywords found anywhere in a text. Keywords are a stated set, checked against ``most``."""
-    n = keywords.select(word).distinct().limit(most + 1).count()
-    if n > most:
-        raise ValueError(f"more than {most} keywords; pass them in parts")
-    return texts.join(F.broadcast(keywords.select(word).distinct()), F.contains(F.lower("text"), F.lower(word))).select(key, word)
+def keyword_matches(texts: DataFrame, keywords: DataFrame, key: str, word: str) -> DataFrame:
+    """(key, word): keywords found anywhere in a text. Keywords are a stated set, sent to the texts in blocks."""
+    blocks = V.query_blocks(keywords.select(word).distinct(), word)
+    return reduce(DataFrame.unionByName, [texts.join(F.broadcast(b), F.contains(F.lower("text"), F.lower(word))).select(key, word) for b in blocks])
 
 
 def outline_quality(entries: DataFrame, book: str, page: str, pages: DataFrame, least: int = 5, span: float = 0.6) -> DataFrame:
@@ -53,14 +52,16 @@ def depth_ladder(model: Column, initial: Column, correction: Column, booklist: C
     return F.when(missing, F.lit(0)).otherwise(d)
 
 
-def best_similar(left: DataFrame, right: DataFrame, left_key: str, right_key: str, text: str, least: float = 0.4) -> DataFrame:
-    """(left_key, right_key, similarity): each left text's most similar right text above a bound; only pairs that
-    share a bigram are compared."""
-    a = left.select(left_key, F.col(text).alias("_a")).withColumn("_g", F.explode(S.bigrams(F.col("_a"))))
-    b = right.select(right_key, F.col(text).alias("_b")).withColumn("_g", F.explode(S.bigrams(F.col("_b"))))
-    pairs = a.join(b, "_g").groupBy(left_key, right_key).agg(F.first("_a").alias("_a"), F.first("_b").alias("_b"))
-    s = pairs.select(left_key, right_key, F.round(S.string_similarity(F.col("_a"), F.col("_b")), 6).alias("similarity")).where(F.col("similarity") > least)
-    return s.groupBy(left_key).agg(F.max_by(F.struct(right_key, "similarity"), F.struct("similarity", -F.col(right_key))).alias("x")).select(left_key, "x.*")
+def best_similar(wanted: DataFrame, known: DataFrame, wanted_key: str, known_key: str, text: str, least: float = 0.4) -> DataFrame:
+    """(wanted_key, known_key, similarity): each wanted text's most similar known text above a bound, the first of
+    equals. wanted is a stated set, sent to the known texts in blocks; these do not move."""
+    b = known.select(known_key, F.col(text).alias("_b"))
+    found = []
+    for block in V.query_blocks(wanted.select(wanted_key, F.col(text).alias("_a")), wanted_key):
+        s = b.crossJoin(F.broadcast(block)).select(wanted_key, known_key, F.round(S.string_similarity(F.col("_a"), F.col("_b")), 6).alias("similarity"))
+        found.append(s.where(F.col("similarity") > least))
+    best = reduce(DataFrame.unionByName, found).groupBy(wanted_key).agg(F.max_by(F.struct(known_key, "similarity"), F.struct("similarity", -F.col(known_key))).alias("x"))
+    return best.select(wanted_key, "x.*")
 
 
 def neighbours(rows: DataFrame, by: str, order: str, ok: Column, value: str) -> DataFrame:

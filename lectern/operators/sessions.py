@@ -21,15 +21,18 @@ def last_by_role(messages: DataFrame, session: str, seq: str, role: str = "assis
     return messages.where(F.col("role") == role).groupBy(session).agg(F.max_by("text", seq).alias("text"), F.max(seq).alias("last"))
 
 
-def consolidation_boundary(messages: DataFrame, session: str, seq: str, target: int) -> DataFrame:
-    """(session, boundary, removed): the first user turn before which at least ``target`` estimated tokens stand,
-    else the last user turn; and the tokens before it."""
+def consolidation_boundary(messages: DataFrame, session: str, seq: str, target: int, since: str | None = None) -> DataFrame:
+    """(session, boundary, removed): counted from the session's watermark (column ``since``, the first message without
+    one), the first later user turn before which at least ``target`` estimated tokens stand, else the last later user
+    turn, else null; and the tokens from the watermark to it."""
     w = Window.partitionBy(session).orderBy(seq)
+    kept = messages if since is None else messages.where(F.col(seq) >= F.coalesce(since, F.lit(0)))
     before = F.coalesce(F.sum(F.round(F.length("text") / 2)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
-    users = messages.withColumn("removed", before).where("role = 'user'")
-    pick = F.coalesce(F.min(F.when(F.col("removed") >= target, F.col(seq))), F.max(seq))
-    at = users.groupBy(session).agg(pick.alias("boundary"))
-    return at.join(users, (at[session] == users[session]) & (at["boundary"] == users[seq])).select(at[session], "boundary", "removed")
+    able = (F.col("role") == "user") & (F.row_number().over(w) > 1)
+    rows = kept.select(session, F.col(seq).alias("_s"), before.alias("_r"), able.alias("_u"))
+    first, last = F.min(F.when(F.col("_u") & (F.col("_r") >= target), F.struct("_s", "_r"))), F.max(F.when(F.col("_u"), F.struct("_s", "_r")))
+    at = rows.groupBy(session).agg(F.coalesce(first, last).alias("x"))
+    return at.select(session, F.col("x._s").alias("boundary"), F.col("x._r").alias("removed"))
 
 
 def aligned_history(messages: DataFrame, session: str, seq: str, n: int) -> DataFrame:
@@ -40,11 +43,13 @@ def aligned_history(messages: DataFrame, session: str, seq: str, n: int) -> Data
     return last.withColumn("_f", first).where(F.col(seq) >= F.col("_f")).drop("_b", "_f")
 
 
-def compressed(messages: DataFrame, session: str, seq: str, role: str, whole: int = 2, most: int = 150) -> DataFrame:
-    """Older messages of a role cut to ``most`` characters; its newest stay whole."""
+def compressed(messages: DataFrame, session: str, seq: str, role: str, whole: int = 2, most: int = 150, least: int = 4, mark: str = "[已压缩] ") -> DataFrame:
+    """In sessions of more than ``least`` messages those of a role but its newest ``whole`` are marked and cut to
+    ``most`` characters; a session with no more of that role stays as it is."""
     back = F.row_number().over(Window.partitionBy(session, "role").orderBy(F.desc(seq)))
-    cut = (F.col("role") == role) & (F.col("_b") > whole) & (F.length("text") > most)
-    return messages.withColumn("_b", back).withColumn("text", F.when(cut, F.concat(F.left("text", F.lit(most)), F.lit("..."))).otherwise(F.col("text"))).drop("_b")
+    old = (F.col("role") == role) & (F.col("_b") > whole) & (F.count("*").over(Window.partitionBy(session)) > least)
+    short = F.when(F.length("text") > most, F.concat(F.left("text", F.lit(most)), F.lit("..."))).otherwise(F.col("text"))
+    return messages.withColumn("_b", back).withColumn("text", F.when(old, F.concat(F.lit(mark), short)).otherwise(F.col("text"))).drop("_b")
 
 
 def inherited_depth(messages: DataFrame, session: str, seq: str, short: int = 5, long: int = 200) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -67,42 +68,49 @@ def callouts(rows: DataFrame, key: str) -> DataFrame:
 
 
 def split_long(text: str, most: int) -> list[str]:
-    """Cut at sentence ends, else at clause ends, else hard; a cut may take the character at ``most`` as well."""
+    """Trimmed parts: cut after the last sentence end in the upper half of what may stay, else after the last clause
+    end there, else hard; a cut may take the character at ``most`` as well."""
     out = []
     while len(text) > most:
-        window = text[: most + 1]
-        at = max(window.rfind(c) for c in "。？！")
-        if at <= 0:
-            at = max(window.rfind(c) for c in "，；、,;")
-        cut = at + 1 if at > 0 else most
-        out.append(text[:cut])
-        text = text[cut:]
+        low = most // 2 + 1
+        places = (max(text.rfind(c, low, most + 1) for c in marks) for marks in ("。？！", "，；、,;"))
+        cut = next((p + 1 for p in places if p >= 0), most)
+        out.append(text[:cut].strip())
+        text = text[cut:].strip()
     return [*out, text] if text else out
 
 
-def chunk_paragraphs(paragraphs: list[tuple[str, str]], least: int = 300, most: int = 800, overlap: int = 80) -> list[tuple[list[str], str]]:
-    """Chunks (block ids, text) of a node's paragraphs (id, text): parts are gathered until ``least`` characters,
-    then flushed; the tail of ``overlap`` characters begins the next chunk, also after the last flush."""
-    out: list[tuple[list[str], str]] = []
+def chunk_paragraphs(paragraphs: list[tuple[str, str]], least: int = 300, most: int = 800, overlap: int = 80) -> list[tuple[str, list[str], str]]:
+    """Chunks (id in the node, block ids, text) of a node's paragraphs (block id, text).
+
+    Paragraphs are gathered until they have ``least`` characters. The next chunk then begins with the last of them, as
+    many whole ones as fit in ``overlap``, one at least; it is given at the end even if nothing follows. A paragraph
+    over ``most`` ends what is gathered and gives a chunk for each of its parts."""
+    out: list[tuple[str, list[str], str]] = []
     held: list[tuple[str, str]] = []
+    size = 0
 
-    def flush() -> None:
+    def give() -> None:
         if held:
-            out.append((list(dict.fromkeys(i for i, _ in held)), "\n".join(t for _, t in held)))
-            last = held[-1]
-            held.clear()
-            held.append((last[0], last[1][-overlap:]))
+            out.append((held[0][0] or f"auto{len(out)}", [b for b, _ in held], " ".join(t for _, t in held)))
 
-    fresh = False
     for block, text in paragraphs:
-        for piece in split_long(text, most) if len(text) > most else [text]:
-            held.append((block, piece))
-            fresh = True
-            if sum(len(t) for _, t in held) >= least:
-                flush()
-                fresh = False
-    if held and (fresh or out):
-        out.append((list(dict.fromkeys(i for i, _ in held)), "\n".join(t for _, t in held)))
+        if len(text) > most:
+            give()
+            held, size = [], 0
+            out += [(f"{block}_{i}" if i else block, [block], part) for i, part in enumerate(split_long(text, most))]
+            continue
+        held.append((block, text))
+        size += len(text)
+        if size >= least:
+            give()
+            keep, room = 1, overlap - len(held[-1][1])
+            while keep < len(held) and len(held[-keep - 1][1]) <= room:
+                room -= len(held[-keep - 1][1])
+                keep += 1
+            held = held[-keep:]
+            size = len(" ".join(t for _, t in held))
+    give()
     return out
 
 
@@ -117,23 +125,28 @@ def chunks(paragraphs: DataFrame, node: str, order: str, block: str, least: int
         for d in batches:
             rows = []
             for key, ids, texts in zip(d[node], d["b"], d["t"]):
-                for n, (blocks, text) in enumerate(chunk_paragraphs(list(zip(ids, texts)), least, most, overlap)):
-                    rows.append((key, n, f"{key}_{blocks[0]}", ",".join(blocks), text))
+                for n, (name, blocks, text) in enumerate(chunk_paragraphs(list(zip(ids, texts)), least, most, overlap)):
+                    rows.append((key, n, f"{key}_{name}", ",".join(blocks), text))
             yield pd.DataFrame(rows, columns=schema.names)
 
     return per.mapInPandas(run, schema)
 
 
-def group_pages(sizes: list[int], budget: int, overlap: int = 1) -> list[tuple[int, int]]:
-    """(first, end) of page groups under a token budget, each beginning with the last pages of the one before."""
+def group_pages(sizes: list[int], most: int, overlap: int = 1) -> list[tuple[int, int]]:
+    """(first, end) of page groups, each beginning with the last pages of the one before. All pages are one group if
+    they fit; else a group closes before it passes the mean of ``most`` and of an even share."""
+    total = sum(sizes)
+    if total <= most:
+        return [(0, len(sizes))]
+    budget = math.ceil((total / math.ceil(total / most) + most) / 2)
     out, first, used = [], 0, 0
     for i, n in enumerate(sizes):
-        if used and used + n > budget:
+        if used + n > budget:
             out.append((first, i))
-            first = max(first + 1, i - overlap)
+            first = max(i - overlap, 0)
             used = sum(sizes[first:i])
         used += n
-    return [*out, (first, len(sizes))] if sizes else out
+    return [*out, (first, len(sizes))]
 
 
 def page_groups(pages: DataFrame, doc: str, page: str, tokens: str, budget: int, overlap: int = 1) -> DataFrame:

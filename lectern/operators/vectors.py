@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,13 +16,25 @@ from .lexical import top
 QUERY_BLOCK = 1_000
 
 
-def cosine_scores(vectors: DataFrame, queries: DataFrame, key: str, query: str, where: Column | None = None) -> DataFrame:
-    """(query, key, score). vectors(key, vector) stay in place; queries(query, vector) are a stated, bounded set
-    that is sent to them. Vectors of another dimension than the query's are left out."""
+def query_blocks(queries: DataFrame, query: str, block: int = QUERY_BLOCK) -> list[DataFrame]:
+    """The queries in blocks of about ``block`` or fewer, by a hash of their key."""
+    n = queries.count()
+    parts = 1 if n <= block else -(-2 * n // block)
+    return [queries.where(F.pmod(F.xxhash64(query), F.lit(parts)) == i) for i in range(parts)] if parts > 1 else [queries]
+
+
+def of_dimension(queries: DataFrame, dimension: int) -> DataFrame:
+    """The queries whose vectors the index can answer; for the others the vector signal is off."""
+    return queries.where(F.size("vector") == dimension)
+
+
+def cosine_scores(vectors: DataFrame, queries: DataFrame, key: str, query: str, where: Column | None = None, block: int = QUERY_BLOCK) -> DataFrame:
+    """(query, key, score). vectors(key, vector) stay in place; queries(query, vector) are a stated set that is sent
+    to them in blocks. A query of another dimension than a vector has no score there."""
     v = vectors if where is None else vectors.where(where)
     v = v.select(key, F.col("vector").alias("_v"), S.norm(F.col("vector")).alias("_n"))
     q = queries.select(query, F.col("vector").alias("_q"), S.norm(F.col("vector")).alias("_m"))
-    pairs = v.crossJoin(F.broadcast(q)).where(F.size("_v") == F.size("_q"))
+    pairs = reduce(DataFrame.unionByName, [v.crossJoin(F.broadcast(b)) for b in query_blocks(q, query, block)]).where(F.size("_v") == F.size("_q"))
     n = F.col("_n") * F.col("_m")
     return pairs.select(query, key, F.round(F.when(n == 0, 0.0).otherwise(S.dot(F.col("_v"), F.col("_q")) / n), 6).alias("score"))
 

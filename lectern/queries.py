@@ -7,6 +7,8 @@ traces, orders are two states of a shelf.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,6 +22,8 @@ from lectern.operators import quality as Q
 from lectern.operators import sessions as M
 from lectern.operators import structure as N
 from lectern.operators import vectors as V
+from lectern.plans.book_search import book_search
+from lectern.sources.sinks import work_dir
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -52,8 +56,26 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vector_queries(spark: SparkSession, d: str) -> DataFrame:
-    """The vectors of the first forty items, one for each query text."""
-    return vectors(spark, d).where("doc_id < 40").select(F.col("doc_id").alias("item_id"), "vector")
+    """The stated query set: every vector whose id is divisible by 50."""
+    return vectors(spark, d).where("doc_id % 50 = 0").select(F.col("doc_id").alias("item_id"), "vector")
+
+
+def item_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """A vector for each query text: the one of its number."""
+    return vectors(spark, d).select(F.col("doc_id").alias("item_id"), "vector").join(asked(spark, d).select("item_id"), "item_id", "left_semi")
+
+
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def index(spark: SparkSession, d: str) -> L.Index:
+    """The lexical index of the documents, built once a session and table, then read."""
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _STORED:
+        path = f"{work_dir(spark)}/lexical-{uuid.uuid4().hex}"
+        L.write_index(nodes(spark, d), "doc_id", path)
+        _STORED[at] = path
+    return L.read_index(spark, _STORED[at])
 
 
 _WORDS = "list_filter(string_split(regexp_replace(lower({0}), '[^a-z0-9_]+', ' ', 'g'), ' '), lambda x: x <> '')"
@@ -62,8 +84,9 @@ _LEN = f"len AS (SELECT doc_id, len({_WORDS.format('text')})::BIGINT AS length F
 _TERMS = f"terms AS (SELECT DISTINCT item_id, unnest({_WORDS.format('text')}) AS token FROM benchmark)"
 _BM25 = f"""{_TOK}, {_LEN}, {_TERMS}, bm AS (SELECT item_id, doc_id, round(sum(ln(1 + (total - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * length / mean))), 6) AS score
  FROM terms JOIN tf USING (token) JOIN df USING (token) JOIN len USING (doc_id) CROSS JOIN st GROUP BY 1, 2)"""
-_COS = """q AS (SELECT vec_id AS item_id, embedding AS qv FROM embeddings WHERE vec_id < 40),
+_COS_OF = """q AS (SELECT vec_id AS item_id, embedding AS qv FROM embeddings WHERE {0}),
  cs AS (SELECT item_id, vec_id AS doc_id, round(list_cosine_similarity(embedding::DOUBLE[], qv::DOUBLE[]), 6) AS score FROM embeddings CROSS JOIN q)"""
+_STATED, _COS = _COS_OF.format("vec_id % 50 = 0"), _COS_OF.format("vec_id IN (SELECT item_id FROM benchmark)")
 
 
 def _topk(src: str, k: int, by: str = "item_id", key: str = "doc_id", name: str = "r") -> str:
@@ -87,7 +110,7 @@ def ag3_length_statistics(spark, d):
 
 @query(f"WITH {_BM25}, {_topk('bm', 10)} SELECT item_id, doc_id, score, rank FROM r")
 def rt2_bm25_search(spark, d):
-    return L.bm25_search(nodes(spark, d), asked(spark, d), "doc_id", "item_id")
+    return L.bm25_search(index(spark, d), asked(spark, d), "doc_id", "item_id")
 
 
 @query(f"""WITH terms AS (SELECT DISTINCT item_id, unnest({_WORDS.format('text')}) AS token FROM benchmark), post AS (SELECT DISTINCT doc_id, unnest({_WORDS.format('text')}) AS token FROM documents),
@@ -100,7 +123,7 @@ def ag5_keyword_scores(spark, d):
  v AS (SELECT item_id, sum(CASE WHEN df IS NOT NULL THEN greatest(0, ln((total - df + 0.5) / (df + 0.5))) * 2.5 END) AS v FROM terms LEFT JOIN df USING (token) CROSS JOIN n GROUP BY 1)
  SELECT item_id, round(CASE WHEN v > 0 THEN v ELSE 10.0 END, 6) AS max_score FROM v""")
 def ag40_theoretical_maximum(spark, d):
-    return L.theoretical_maximum(nodes(spark, d), asked(spark, d), "doc_id", "item_id")
+    return L.theoretical_maximum(index(spark, d), asked(spark, d), "item_id")
 
 
 @query(f"""WITH {_TERMS}, a AS (SELECT doc_id AS item_id, lower(text) AS answer FROM documents), n AS (SELECT item_id, count(*) AS n FROM terms GROUP BY 1)
@@ -109,18 +132,18 @@ def ag43_keyword_coverage(spark, d):
     return L.keyword_coverage(nodes(spark, d).select(F.col("doc_id").alias("item_id"), "text"), asked(spark, d), "item_id")
 
 
-@query(f"WITH {_COS}, {_topk('cs', 10)} SELECT item_id, doc_id, score, rank FROM r")
+@query(f"WITH {_STATED}, {_topk('cs', 10)} SELECT item_id, doc_id, score, rank FROM r")
 def tk2_cosine_search(spark, d):
     return V.cosine_search(vectors(spark, d), vector_queries(spark, d), "doc_id", "item_id")
 
 
-@query(f"WITH {_COS}, p AS (SELECT item_id, label, max(score) AS score, count(*) AS chunks FROM cs JOIN embeddings ON doc_id = vec_id GROUP BY 1, 2) SELECT item_id, label, score, chunks FROM p")
+@query(f"WITH {_STATED}, p AS (SELECT item_id, label, max(score) AS score, count(*) AS chunks FROM cs JOIN embeddings ON doc_id = vec_id GROUP BY 1, 2) SELECT item_id, label, score, chunks FROM p")
 def ag6_chunk_pooling(spark, d):
     hits = V.cosine_scores(vectors(spark, d), vector_queries(spark, d), "doc_id", "item_id").join(vectors(spark, d).select("doc_id", "label"), "doc_id")
     return V.pooled(hits, "item_id", "label")
 
 
-@query(f"""WITH {_COS}, h AS (SELECT item_id, doc_id, score, CASE WHEN label < 3 THEN 'L2' ELSE 'L1' END AS level FROM cs JOIN embeddings ON doc_id = vec_id WHERE score > 0.2),
+@query(f"""WITH {_STATED}, h AS (SELECT item_id, doc_id, score, CASE WHEN label < 3 THEN 'L2' ELSE 'L1' END AS level FROM cs JOIN embeddings ON doc_id = vec_id WHERE score > 0.2),
  m AS (SELECT *, max((level = 'L2')::INT) OVER (PARTITION BY item_id) AS s FROM h) SELECT item_id, doc_id, score, level FROM m WHERE level = 'L2' OR s = 0""")
 def tk4_level_fallback(spark, d):
     hits = V.cosine_scores(vectors(spark, d), vector_queries(spark, d), "doc_id", "item_id").where("score > 0.2")
@@ -129,11 +152,11 @@ def tk4_level_fallback(spark, d):
 
 
 def _bm(spark, d, k=50):
-    return L.bm25_search(nodes(spark, d), asked(spark, d), "doc_id", "item_id", k)
+    return L.bm25_search(index(spark, d), asked(spark, d), "doc_id", "item_id", k)
 
 
 def _cos(spark, d, k=50):
-    return V.cosine_search(vectors(spark, d), vector_queries(spark, d), "doc_id", "item_id", k)
+    return V.cosine_search(vectors(spark, d), item_vectors(spark, d), "doc_id", "item_id", k)
 
 
 _TWO = f"{_BM25}, {_COS}, {_topk('bm', 50, name='b')}, {_topk('cs', 50, name='c')}"
@@ -159,19 +182,32 @@ def fp2_scope_fallback(spark, d):
     return L.top(U.in_scope_or_all(fused, where, "item_id", "doc_id").select("item_id", "doc_id", "score"), "item_id", "doc_id", 10)
 
 
-_LEVEL = "CASE WHEN doc_id % 7 = 0 THEN 1.0 WHEN doc_id % 7 < 3 THEN 0.9 ELSE 0.7 END"
+_RT5 = f"""WITH {_BM25}, {_COS}, scope AS (SELECT item_id, doc_id FROM documents CROSS JOIN benchmark WHERE source IN ('src1', 'src2') AND item_id % 2 = 0),
+ dep AS (SELECT item_id, CASE WHEN length(text) < 5 THEN 50 WHEN length(text) <= 15 THEN 30 ELSE 15 END * CASE WHEN item_id % 2 = 0 THEN 5 ELSE 1 END AS k FROM benchmark),
+ b AS (SELECT item_id, doc_id, score FROM bm JOIN dep USING (item_id) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= k),
+ ch AS (SELECT item_id, doc_id AS block, doc_id // 2 AS doc_id, score FROM cs JOIN dep USING (item_id) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, cs.doc_id) <= k),
+ v AS (SELECT item_id, doc_id, max(score) AS score FROM ch GROUP BY 1, 2),
+ ca AS (SELECT item_id, cs.doc_id, score FROM cs JOIN embeddings e ON cs.doc_id = e.vec_id JOIN dep USING (item_id) WHERE label < 3 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, cs.doc_id) <= k),
+ c AS (SELECT item_id, doc_id, max(score) AS score FROM ca WHERE score > 0.3 GROUP BY 1, 2),
+ r AS (SELECT 's' AS s, * FROM b UNION ALL SELECT 'v', * FROM v UNION ALL SELECT 'c', * FROM c), p AS (SELECT *, 1.0 / (60 + row_number() OVER (PARTITION BY s, item_id ORDER BY score DESC, doc_id)) AS part FROM r),
+ f AS (SELECT item_id, doc_id, sum(part) AS rrf, coalesce(max(CASE WHEN s = 's' THEN score END), 0) AS bm25, coalesce(max(CASE WHEN s = 'v' THEN score END), 0) AS vector, coalesce(max(CASE WHEN s = 'c' THEN score END), 0) AS card FROM p GROUP BY 1, 2 HAVING max((s <> 'c')::INT) = 1),
+ m AS (SELECT f.*, max((scope.doc_id IS NOT NULL)::INT) OVER (PARTITION BY f.item_id) AS anyin, scope.doc_id IS NOT NULL AS inn FROM f LEFT JOIN scope ON f.item_id = scope.item_id AND f.doc_id = scope.doc_id),
+ w AS (SELECT *, CASE WHEN doc_id NOT IN (SELECT doc_id FROM documents) THEN 0.5 WHEN doc_id % 7 = 0 THEN 1.0 WHEN doc_id % 3 = 0 THEN 0.9 ELSE 0.7 END AS level FROM m WHERE inn OR anyin = 0), x AS (SELECT *, round(rrf * level, 9) AS s0 FROM w),
+ y AS (SELECT item_id, doc_id, bm25, vector, card, level, round(CASE WHEN row_number() OVER (PARTITION BY item_id ORDER BY s0 DESC, doc_id) <= 20 THEN 0.5 * (doc_id % 100 / 100.0) + 0.5 * s0 ELSE s0 END, 9) AS score FROM x), {_topk('y', 5, name='z')},
+ bl AS (SELECT item_id, doc_id, block, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY score DESC, block) AS p FROM ch), bs AS (SELECT item_id, doc_id, string_agg(block::VARCHAR, ',' ORDER BY p) AS blocks FROM bl WHERE p <= 3 GROUP BY 1, 2)
+ SELECT item_id, doc_id, round(score, 7) AS score, bm25, vector, card, level::DOUBLE AS level, rank, blocks FROM z LEFT JOIN bs USING (item_id, doc_id)"""
 
 
-@query(f"""WITH {_RRF}, p AS (SELECT item_id, label, max(score) AS best FROM cs JOIN embeddings ON doc_id = vec_id WHERE score > 0.3 GROUP BY 1, 2),
- g AS (SELECT f.item_id, f.doc_id, round(score * {_LEVEL}, 6) AS score FROM f), {_topk('g', 10)}
- SELECT item_id, doc_id, score, rank, source, left(text, 80) AS preview FROM r JOIN documents USING (doc_id)""")
+@query(_RT5)
 def rt5_hybrid_search(spark, d):
-    """Lexical and vector recall, reciprocal ranks, level weight, top ten with title context."""
-    fused = U.reciprocal_rank_fusion({"bm25": _bm(spark, d), "vector": _cos(spark, d)}, "item_id", "doc_id")
-    depth = F.when(F.col("doc_id") % 7 == 0, 0).when(F.col("doc_id") % 7 < 3, 1).otherwise(2)
-    scored = fused.select("item_id", "doc_id", F.round(F.col("score") * S.book_level_weight(depth), 6).alias("score"))
-    best = L.top(scored, "item_id", "doc_id", 10)
-    return best.join(nodes(spark, d).select("doc_id", "source", F.left("text", F.lit(80)).alias("preview")), "doc_id")
+    """All eight stages: even items have a scope, cards are the vectors of three labels, levels and re-ranking by id."""
+    e = vectors(spark, d)
+    chunks = e.select(F.col("doc_id").alias("block"), F.floor(F.col("doc_id") / 2).alias("doc_id"), "vector")
+    cards = e.where("label < 3").select(F.col("doc_id").alias("card"), "doc_id", "vector")
+    tree = nodes(spark, d).select("doc_id", F.when(F.col("doc_id") % 7 == 0, 0).otherwise(1).alias("depth"), (F.col("doc_id") % 3 == 0).alias("has_children"))
+    scope = nodes(spark, d).where("source in ('src1', 'src2')").select("doc_id").crossJoin(F.broadcast(asked(spark, d).where("item_id % 2 = 0").select("item_id")))
+    found = book_search(index(spark, d), asked(spark, d), tree, "doc_id", "item_id", chunks, item_vectors(spark, d), cards, scope, F.col("doc_id") % 100 / 100.0)
+    return found.withColumn("score", F.round("score", 7))
 
 
 @query(f"""WITH {_BM25}, {_topk('bm', 20, name='b')}, k AS (SELECT item_id % 5 AS grp, item_id, doc_id, score FROM b), g AS (SELECT grp, doc_id, max(score) AS best, count(DISTINCT item_id) AS hits FROM k GROUP BY 1, 2)
@@ -188,12 +224,15 @@ def ma9_rerank_blend(spark, d):
     return U.blended(hits, rerank, "item_id", "doc_id", digits=7)
 
 
-@query(f"""WITH {_BM25}, {_topk('bm', 10, name='b')}, l AS (SELECT item_id, vec_id AS doc_id, vec_id % 10 AS position FROM embeddings CROSS JOIN (SELECT item_id FROM benchmark) WHERE vec_id < 10)
- SELECT coalesce(b.item_id, l.item_id) AS item_id, coalesce(b.doc_id, l.doc_id) AS doc_id, round(CASE WHEN l.doc_id IS NULL THEN b.score WHEN b.doc_id IS NULL THEN exp(-0.2 * position) ELSE 0.5 * b.score + 0.5 * exp(-0.2 * position) END, 6) AS score
- FROM b FULL JOIN l ON b.item_id = l.item_id AND b.doc_id = l.doc_id""")
+@query(f"""WITH {_BM25}, {_topk('bm', 10, name='b')}, l AS (SELECT item_id, doc_id, rank - 1 AS position FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score, doc_id) AS rank FROM bm QUALIFY rank <= 10) WHERE item_id % 3 > 0),
+ j AS (SELECT coalesce(b.item_id, l.item_id) AS item_id, coalesce(b.doc_id, l.doc_id) AS doc_id, b.score, exp(-0.2 * position) AS t FROM b FULL JOIN l ON b.item_id = l.item_id AND b.doc_id = l.doc_id)
+ SELECT item_id, doc_id, round(CASE WHEN max(t) OVER (PARTITION BY item_id) IS NULL THEN score ELSE 0.5 * coalesce(score, 0) + 0.5 * coalesce(t, 0) END, 6) AS score FROM j""")
 def jn9_tree_hits(spark, d):
-    listed = asked(spark, d).select("item_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))).alias("doc_id")).withColumn("position", F.col("doc_id") % 10)
-    return U.merged_tree_hits(_bm(spark, d, 10), listed, "item_id", "doc_id")
+    """Hits of all items, blended with a list for two thirds of them: their ten weakest nodes."""
+    scores = L.bm25_scores(index(spark, d), asked(spark, d), "doc_id", "item_id")
+    place = F.row_number().over(Window.partitionBy("item_id").orderBy("score", "doc_id"))
+    listed = scores.where("item_id % 3 > 0").withColumn("position", place - 1).where("position < 10")
+    return U.merged_tree_hits(L.top(scores, "item_id", "doc_id", 10), listed, "item_id", "doc_id")
 
 
 @query(f"""WITH {_BM25}, {_topk('bm', 20, name='b')}, h AS (SELECT b.*, source, row_number() OVER (PARTITION BY item_id, source ORDER BY score DESC, doc_id) AS p FROM b JOIN documents USING (doc_id))
@@ -222,13 +261,13 @@ def rt12_cross_book_search(spark, d):
  SELECT item_id, round(coalesce(1.0 / f, 0), 6) AS mrr, coalesce((f <= 5)::INT, 0) AS hit5, coalesce((f <= 10)::INT, 0) AS hit10,
  round(CASE WHEN coalesce(n, 0) > 0 THEN dcg / list_sum(list_transform(range(1, least(n, 5) + 1), lambda i: 1 / log2(i + 1))) ELSE 0 END, 6) AS ndcg5 FROM m LEFT JOIN n USING (item_id)""")
 def ag33_retrieval_metrics(spark, d):
+    """Relevance is asked for the hits alone; how many there are for a query is counted by the rule, without pairs."""
     good = t(spark, d, "labels").where("quality = 1").select("doc_id")
     hits = _bm(spark, d, 10)
-    # Relevance is asked for the hits and the count of each query alone, never for all pairs.
-    ids = asked(spark, d).select("item_id")
-    by = good.groupBy((F.col("doc_id") % 3).alias("m")).agg(F.collect_list("doc_id").alias("ids"))
-    rel = ids.withColumn("m", (3 - F.col("item_id") % 3) % 3).join(by, "m").select("item_id", F.explode("ids").alias("doc_id"))
-    return Q.retrieval_metrics(hits, rel, "item_id", "doc_id")
+    relevant = hits.where((F.col("doc_id") + F.col("item_id")) % 3 == 0).join(good, "doc_id", "left_semi").select("item_id", "doc_id")
+    by = good.groupBy((F.col("doc_id") % 3).alias("_m")).agg(F.count("*").alias("n"))
+    counts = asked(spark, d).select("item_id", ((3 - F.col("item_id") % 3) % 3).alias("_m")).join(F.broadcast(by), "_m").select("item_id", "n")
+    return Q.retrieval_metrics(hits, relevant, "item_id", "doc_id", counts)
 
 
 # Changes -------------------------------------------------------------------------------------------------------
@@ -313,15 +352,17 @@ def jn25_removed_links(spark, d):
 
 
 _NORMAL = "regexp_replace(lower({0}), '[\\s\\p{{P}}]+', '', 'g')"
+_TITLE = "lower(regexp_replace({0}, '[^A-Za-z]+', '', 'g'))"
 
 
-@query(f"""WITH a AS (SELECT p_partkey AS k, {_NORMAL.format('p_name')} AS t FROM part WHERE p_partkey % 4 = 0), b AS (SELECT p_partkey AS k2, {_NORMAL.format("string_split(p_name, ' ')[1]")} AS t2 FROM part WHERE p_partkey % 4 = 1)
- SELECT k, min(k2) AS k2 FROM a JOIN b ON length(t) >= 2 AND length(t2) >= 2 AND (contains(t, t2) OR contains(t2, t)) GROUP BY 1""")
+@query(f"""WITH a AS (SELECT p_partkey AS k, {_TITLE.format('p_name')} AS t FROM part), b AS (SELECT p_partkey AS k2, {_TITLE.format("CASE WHEN p_partkey % 9 = 0 THEN left(p_name, 1) ELSE string_split(p_name, ' ')[1] END")} AS t2 FROM part)
+ SELECT k, min(k2) AS k2 FROM a JOIN b ON t <> '' AND t2 <> '' AND (contains(t, t2) OR contains(t2, t)) GROUP BY 1""")
 def jn17_fuzzy_match(spark, d):
+    """Names against first words, of which one in nine is a single letter."""
     p = t(spark, d, "part").select("p_partkey", "p_name")
-    a = p.where("p_partkey % 4 = 0").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("title"), F.lit("").alias("author"))
-    b = p.where("p_partkey % 4 = 1").select(F.col("p_partkey").alias("k2"), F.split("p_name", " ")[0].alias("title"), F.lit("").alias("author"))
-    return C.fuzzy_first_match(a, b, "k", "k2", "title", "author")
+    a = p.select(F.col("p_partkey").alias("k"), F.col("p_name").alias("title"), F.lit("").alias("author"))
+    word = F.when(F.col("p_partkey") % 9 == 0, F.left("p_name", F.lit(1))).otherwise(F.split("p_name", " ")[0])
+    return C.fuzzy_first_match(a, p.select(F.col("p_partkey").alias("k2"), word.alias("title"), F.lit("").alias("author")), "k", "k2", "title", "author")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
@@ -348,11 +389,12 @@ def wn15_last_assistant(spark, d):
     return M.last_by_role(_chat(spark, d), "conv_id", "turn")
 
 
-@query("""WITH r AS (SELECT conv_id, turn, role, coalesce(sum(round(length(text) / 2)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS removed FROM conversations),
- u AS (SELECT * FROM r WHERE role = 'user'), b AS (SELECT conv_id, coalesce(min(CASE WHEN removed >= 300 THEN turn END), max(turn)) AS boundary FROM u GROUP BY 1)
- SELECT u.conv_id, boundary, removed FROM b JOIN u ON u.conv_id = b.conv_id AND u.turn = boundary""")
+@query("""WITH r AS (SELECT conv_id, turn, role, row_number() OVER w AS p, coalesce(sum(round(length(text) / 2)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS removed FROM conversations WHERE turn >= conv_id % 2 WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+ u AS (SELECT * FROM r WHERE role = 'user' AND p > 1), b AS (SELECT conv_id, coalesce(min(CASE WHEN removed >= 300 THEN turn END), max(turn)) AS boundary FROM u GROUP BY 1)
+ SELECT DISTINCT r.conv_id, boundary, u.removed FROM r LEFT JOIN b USING (conv_id) LEFT JOIN u ON u.conv_id = b.conv_id AND u.turn = boundary""")
 def wn16_consolidation_boundary(spark, d):
-    return M.consolidation_boundary(_chat(spark, d), "conv_id", "turn", 300)
+    """Odd conversations have their watermark after the first turn."""
+    return M.consolidation_boundary(_chat(spark, d).withColumn("since", F.col("conv_id") % 2), "conv_id", "turn", 300, "since")
 
 
 @query("""WITH l AS (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4), f AS (SELECT *, min(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id) AS f FROM l)
@@ -361,7 +403,8 @@ def wn17_aligned_history(spark, d):
     return M.aligned_history(_chat(spark, d), "conv_id", "turn", 4).select("conv_id", "turn", "role", "text")
 
 
-@query("""SELECT conv_id, turn, role, CASE WHEN role = 'assistant' AND row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC) > 1 AND length(text) > 150 THEN left(text, 150) || '...' ELSE text END AS text FROM conversations""")
+@query("""SELECT conv_id, turn, role, CASE WHEN role = 'assistant' AND row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC) > 1 AND count(*) OVER (PARTITION BY conv_id) > 4
+ THEN '[已压缩] ' || CASE WHEN length(text) > 150 THEN left(text, 150) || '...' ELSE text END ELSE text END AS text FROM conversations""")
 def wn18_compressed(spark, d):
     return M.compressed(_chat(spark, d), "conv_id", "turn", "assistant", 1).select("conv_id", "turn", "role", "text")
 
@@ -426,8 +469,8 @@ def ma11_bigram_overlap(spark, d):
     return t(spark, d, "part").select("p_partkey", F.round(S.bigram_overlap(F.lower("p_name"), F.lower("p_type")), 6).alias("overlap"))
 
 
-@query("""WITH p AS (SELECT p_partkey, p_name AS a, p_type AS b FROM part), s AS (SELECT p_partkey, a, b, CASE WHEN length(a) <= length(b) THEN a ELSE b END AS sh, CASE WHEN length(a) <= length(b) THEN b ELSE a END AS lg FROM p)
- SELECT p_partkey, round(CASE WHEN a = b THEN 1.0 WHEN length(sh) > 0 AND contains(lg, sh) THEN length(sh) / length(lg) ELSE len(list_filter(string_split(sh, ''), lambda c: c <> '' AND contains(lg, c))) / length(lg) END, 6) AS similarity FROM s""")
+@query("""WITH p AS (SELECT p_partkey, p_name AS a, p_type AS b, lower(p_name) AS x, lower(p_type) AS y FROM part)
+ SELECT p_partkey, round(CASE WHEN a = b THEN 1.0 WHEN contains(x, y) OR contains(y, x) THEN least(length(a), length(b)) / greatest(length(a), length(b), 1) ELSE len(list_filter(string_split(x, ''), lambda c: c <> '' AND contains(y, c))) / greatest(length(a), length(b), 1) END, 6) AS similarity FROM p""")
 def ma10_string_similarity(spark, d):
     return t(spark, d, "part").select("p_partkey", F.round(S.string_similarity(F.col("p_name"), F.col("p_type")), 6).alias("similarity"))
 
@@ -467,5 +510,6 @@ def wn9_chunks(spark, d):
 
 @query()
 def wn11_page_groups(spark, d):
-    pages = nodes(spark, d).select("source", F.col("doc_id").alias("page"), X.token_estimate(F.col("text")).alias("tokens"))
-    return N.page_groups(pages, "source", "page", "tokens", 4_000)
+    """A text's lines are its pages."""
+    pages = N.lines(nodes(spark, d), "doc_id").select("doc_id", F.col("line").alias("page"), X.token_estimate(F.col("text")).alias("tokens"))
+    return N.page_groups(pages, "doc_id", "page", "tokens", 400)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,7 +46,7 @@ def scan_notes(spark: SparkSession, root: str, excluded: tuple[str, ...] = EXCLU
     """(path, directory, content, hash, mtime, size) of the Markdown notes under root that are not derived files."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
     base = root.rstrip("/").split(":", 1)[-1].lstrip("/")
-    path = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:/+", ""), f"^{base}/", "")
+    path = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:/+", ""), "^" + re.escape(base) + "/", "")
     d = raw.select(path.alias("path"), F.col("content").cast("string").alias("content"), F.substring(F.sha2("content", 256), 1, 16).alias("hash"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
     for p in excluded:
         d = d.where(~path_matches(F.col("path"), p))
@@ -86,7 +88,8 @@ def classified_directories(files: DataFrame, most: int = 30) -> DataFrame:
 
 def sessions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(sessions, messages) of session logs: a metadata line, then one line a message; corrupt lines are skipped."""
-    raw = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("_n"), F.col("value"))
+    # A log is read whole, so that its lines keep their order however files are cut.
+    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("_n", "value"))
     kind = "_type string, id string, title string, createdAt string, role string, content string, ts string, hidden boolean"
     d = raw.withColumn("j", F.from_json("value", kind)).where("j is not null")
     meta = d.where(F.col("j._type") == "metadata").select("file", "j.id", "j.title", "j.createdAt")

@@ -47,8 +47,11 @@ def windowed_counts(stream: DataFrame, time: str, by: str, window: str = "1 hour
 
 
 def debounced(stream: DataFrame, key: str, time: str, wait: str = "200 milliseconds") -> DataFrame:
-    """The last row of each burst of a key: session windows that close after a silence."""
-    return stream.withWatermark(time, wait).groupBy(key, F.session_window(time, wait)).agg(F.max(time).alias("last"), F.count("*").alias("n"))
+    """The last row of each burst of a key, with how many rows it had: session windows that close after a silence."""
+    others = [c for c in stream.columns if c not in (key, time)]
+    last = F.max_by(F.struct(F.col(time).alias("last"), *others), time).alias("_row")
+    g = stream.withWatermark(time, wait).groupBy(key, F.session_window(time, wait)).agg(last, F.count("*").alias("n"))
+    return g.select(key, "session_window", F.col("_row.last").alias("last"), *[F.col(f"_row.{c}").alias(c) for c in others], "n")
 
 
 def consolidation_pointer(stream: DataFrame, session: str, seq: str, tokens: str, target: int) -> DataFrame:

@@ -50,13 +50,18 @@ def test_similarity(spark):
     assert one(spark, S.string_similarity(F.lit("abc"), F.lit("abcdef"))) == 0.5
 
 
-def test_bm25(spark):
+def test_bm25(spark, tmp_path):
     nodes = spark.createDataFrame([(1, "hello world"), (2, "hello foo"), (3, "")], "id long, text string")
     asked = spark.createDataFrame([(0, "hello world")], "q long, text string")
-    got = {r["id"]: r["score"] for r in L.bm25_search(nodes, asked, "id", "q").collect()}
+    got = {r["id"]: r["score"] for r in L.bm25_search(L.index_of(nodes, "id"), asked, "id", "q").collect()}
     mean, total = 4 / 3, 3
     w = lambda df: math.log(1 + (total - df + 0.5) / (df + 0.5)) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * 2 / mean))
     assert got == {1: round(w(2) + w(1), 6), 2: round(w(2), 6)}
+    L.write_index(nodes, "id", f"{tmp_path}/index", 4, 2)
+    stored = L.read_index(spark, f"{tmp_path}/index", 4)
+    assert {r["id"]: r["score"] for r in L.bm25_search(stored, asked, "id", "q").collect()} == got
+    deep = L.bm25_search(stored, asked, "id", "q", F.length("text") - 10)
+    assert [r["id"] for r in deep.collect()] == [1]
 
 
 def test_fusion_and_scope(spark):
@@ -76,9 +81,9 @@ def test_changes(spark):
     then = spark.createDataFrame([(1, 5), (2, 7), (3, 1), (4, None)], "k long, n long")
     got = {r["k"]: r["change"] for r in C.change_classes(now, then, "k", ["n"]).collect()}
     assert got == {1: "unchanged", 2: "changed", 3: "deleted", 4: "unchanged"}
-    left = spark.createDataFrame([(1, "深度学习（中文版）", ""), (2, "Other", "x")], "a long, title string, author string")
-    right = spark.createDataFrame([(10, "深度学习", "Ian"), (11, "深度学习", "Ian"), (12, "Other", "y")], "b long, title string, author string")
-    assert [tuple(r) for r in C.fuzzy_first_match(left, right, "a", "b", "title", "author").collect()] == [(1, 10)]
+    left = spark.createDataFrame([(1, "深度学习（中文版）", ""), (2, "Other", "x"), (3, "书", "")], "a long, title string, author string")
+    right = spark.createDataFrame([(10, "深度学习", "Ian"), (11, "深度学习", "Ian"), (12, "Other", "y"), (13, "书", "")], "b long, title string, author string")
+    assert [tuple(r) for r in C.fuzzy_first_match(left, right, "a", "b", "title", "author").orderBy("a").collect()] == [(1, 10), (3, 13)]
 
 
 def test_sessions(spark):
@@ -99,11 +104,12 @@ def test_structure(spark):
 
 
 def test_folds():
-    assert [len(x) for x in N.split_long("A" * 400 + "。" + "B" * 500, 800)] == [401, 500]
+    assert [len(x) for x in N.split_long("A" * 400 + "。" + "B" * 500, 800)] == [800, 101]  # not in the upper half
+    assert [len(x) for x in N.split_long("A" * 401 + "。" + "B" * 500, 800)] == [402, 500]
     assert len(N.chunk_paragraphs([("p0", "short")])) == 1
     two = N.chunk_paragraphs([("p0", "x" * 150), ("p1", "y" * 200), ("p2", "z" * 10)])
-    assert two[0][0] == ["p0", "p1"] and two[1][0] == ["p1", "p2"]
-    assert N.group_pages([10, 10, 10], 20, 1) == [(0, 2), (1, 3)]
+    assert [x[:2] for x in two] == [("p0", ["p0", "p1"]), ("p1", ["p1", "p2"])]
+    assert N.group_pages([10, 10, 10], 20, 1) == [(0, 1), (0, 2), (1, 3)] and N.group_pages([], 5) == [(0, 0)]
 
 
 def test_metrics(spark):
