@@ -94,7 +94,7 @@ texts("fp20_existence_bigrams", lambda c: joined(S.bigrams(c)), [("价值投资"
 texts("tk14_pre_search_depth", lambda c: F.when(F.length(c) < 8, "5").when(F.length(c) > 30, "15").otherwise("10"), [("短问题", "5"), ("这是一个长度适中的问题", "10"), ("长" * 31, "15")])
 texts("dt1_reading_time", lambda c: X.duration_text(c.cast("long")), [("66600", "18小时30分钟"), ("59", "0分钟"), ("3600", "1小时0分钟"), ("600", "10分钟")])
 texts("js7_front_matter", lambda c: K.column(lambda t: "|".join(f"{k}={v}" for k, v in K.front_matter(t).items()), "string")(c), [("---\ntitle: 书\ntags: [a, b]\n---\nx", "title=书|tags=a,b"), ("---\ntags:\n  - a\n  - b\n---", "tags=a,b"), ("none", "")])
-texts("tx26_cited_chapters", lambda c: joined(X.chapter_ids(c)), [("见第3章与第12章", "0003|0012"), ("Chapter 7, 第7章", "0007"), ("none", "")])
+texts("tx26_cited_chapters", lambda c: joined(X.chapter_ids(c)), [("见 [[财富书/24 - 复利]] 与 [[3–风险]]", "0024|0003"), ("> — 7 - 标题", "0007"), ("如 — 12 - 所说 > — 9", "0009|0012"), ("[[0 - x]] [[10000 - y]] [[0042 - z]]", "0042"), ("none", "")])
 
 # Matching ------------------------------------------------------------------------------------------------------
 
@@ -253,3 +253,35 @@ fixture("sc12_directory_kinds", _VAULT, _LINKS, lambda d: _compiled(d, "director
 fixture("tk11_shelf_order", "id long, status string, title string", [(1, "ready", "b"), (2, "processing", "z"), (3, "ready", "a"), (4, "error", "c")], lambda d: B.shelf_order(d, "status", [F.col("title")]).select("id", "place"), "id, place", [(2, 0), (3, 1), (1, 2), (4, 3)])
 fixture("st6_distinct_paths", "path string, mtime long", [("a/x.md", 5), ("b/y.md", 9), ("a/x.md", 5)], lambda d: d.groupBy("path").agg(F.max("mtime").alias("mtime")), "path, mtime", [("a/x.md", 5), ("b/y.md", 9)])
 fixture("jn12_first_of", "id string, o long, v string", [("p1", 0, "a"), ("p1", 1, "b"), ("p2", 2, "c")], lambda d: C.first_of(d, "id", [F.col("o")]), "id, o, v", [("p1", 0, "a"), ("p2", 2, "c")])
+
+texts("tx11_note_name", X.file_name, [("# A &amp; B: C?", "A & B C"), ("字" * 120, "字" * 100)])
+texts("tx11_dashed_name", X.dashed_name, [("a/b: c", "a-b--c"), ("x  y", "x-y")])
+texts("tx11_bounded_name", X.bounded_name, [("a/b:  c", "ab c"), ("", "untitled"), ("字" * 100, "字" * 80), ("x" + "字" * 100, "x" + "字" * 79), ("?", "untitled")])
+texts("tx36_mended_bold", X.mended_bold, [("**我**们**要**学**习**", "**我们要学习**"), ("**重点内容** 其他 **a** **b** **c**", "**重点内容** 其他 **a** **b** **c**"), ("# **a** **b** **c**", "# **a** **b** **c**"), ("一行\n**我**和**你**和**他**", "一行\n**我和你和他**")])
+texts("tx35_implicit_heading", X.implicit_heading, [("<p>◆ 模仿的心态</p>", "模仿的心态"), ("<p><b>加粗标题</b></p>", "加粗标题"), ('<p><span class="bold-x">标题</span></p>', "标题"), ('<p><a id="c1"></a>第一节</p>', "第一节"), ("<p>普通段落</p>", None), ("<p><b>半</b>段落</p>", None), ("<div><b>x</b></div>", None), ("<p><b>" + "长" * 61 + "</b></p>", None)])
+texts("tx35_contents_entries", lambda c: X.implicit_heading(c, diamonds=False), [("<p>◆ 目录条目</p>", None), ("<p><strong>题</strong></p>", "题")])
+texts("tx42_heading_lines", lambda c: F.concat_ws(",", X.looks_like_heading(c, F.lit("x")).cast("string"), X.looks_like_item(c).cast("string")), [("Chapter One", "true,false"), ("第三章 复利", "true,false"), ("THE END 2", "true,false"), ("a plain sentence here", "false,false"), ("1. 第一", "true,true"), ("- item", "false,true"), ("(a) item", "false,true"), ("Ends with stop.", "false,false")])
+texts("js2_clean_json", X.clean_json, [("{'a': None, 'b': [True, False,],}", '{"a": null, "b": [true, false]}'), ("[1, 2, ]", "[1, 2]")])
+texts("js3_broken_fields", lambda c: (lambda m: F.array_join(F.transform(F.array_sort(F.map_keys(m)), lambda k: F.concat(k, F.lit("="), m[k])), "|"))(X.broken_json_fields(c)), [('{"thinking": "He said", "Answer": "Yes", "physicalIndex": 12, "title": "标题"', "answer=yes|physical_index=12|thinking=he said|title=标题"), ("{'toc_detected': 'no'", "toc_detected=no"), ("none", None)])
+texts("fp23_diagram_intent", lambda c: I.wants_diagram(c).cast("string"), [("画一张流程图", "true"), ("画个关系图吧", "true"), ("帮我做思维导图", "true"), ("什么是复利", "false"), ("make an infographic", "true")])
+texts("fp20_asked_concept", I.asked_concept, [("书里有没有提到复利效应？", "复利效应"), ("是否讨论了风险", "风险")])
+fixture("fp21_existence_match", "id long, concept string, score double, content string", [(0, "复利的效应", 0.6, "关于效应的讨论"), (1, "复利", 0.4, "复利"), (2, "书", 0.9, "一本书"), (3, "风险", 0.9, "没有相关")], lambda d: d.select("id", I.strong_match(F.col("concept"), F.col("score"), F.col("content")).alias("found")), "id, found", [(0, True), (1, False), (2, True), (3, False)])
+fixture("fp18_correction_rules", "id long, s string", [(0, "你说得不对"), (1, "不，再看看"), (2, "再搜索一下"), (3, "明明就有"), (4, "不对"), (5, "什么是复利"), (6, "引错章节了")], lambda d: d.select("id", I.is_correction(F.col("s")).alias("yes"), I.correction_reason(F.col("s")).alias("reason")), "id, yes, reason", [(0, True, "否定词"), (1, True, "开头否定"), (2, True, "重新检索"), (3, True, "坚持存在"), (4, False, "否定词"), (5, False, None), (6, True, "引用质疑")])
+fixture("fp19_negative_claims", "id long, a string, q string", [(0, "书中未提及此概念", "复利"), (1, "书里没有提到", ""), (2, "书里讲了", "复利")], lambda d: d.select("id", I.claims_absence(F.col("a"), F.col("q")).alias("yes")), "id, yes", [(0, True), (1, False), (2, False)])
+fixture("fp22_syntopical_words", "id long, q string", [(0, "对比两本书"), (1, "复利是什么"), (2, "它们的异同")], lambda d: d.select("id", I.compares_books(F.col("q")).alias("yes")), "id, yes", [(0, True), (1, False), (2, True)])
+fixture("fp30_small_talk", "id long, q string, c boolean, k boolean", [(0, "你好！", False, False), (1, "继续", True, False), (2, "继续", False, False), (3, "不对", False, True), (4, "什么是复利效应", False, False)], lambda d: d.select("id", I.is_small_talk(F.col("q"), F.col("c"), F.col("k")).alias("yes")), "id, yes", [(0, True), (1, False), (2, True), (3, False), (4, False)])
+fixture(
+    "fp26_routed_intents", "k long, s string", [(1, "搜索复利"), (1, "对比一下"), (2, "你好"), (3, "搜索并对比")],
+    lambda d: (r := O.routed_intents(d, [("搜索", "search", ["search_book"], 3), ("对比", "compare", ["search_book", "read_section"], 8)], "k", "s", ("chat", ["none"], 1))).select("k", joined("intents").alias("intents"), joined("tools").alias("tools"), "iterations"),
+    "k, intents, tools, iterations", [(1, "search|compare", "search_book|read_section", 8), (2, "chat", "none", 1), (3, "search|compare", "search_book|read_section", 8)],
+)
+fixture("jn38_index_changes", "side string, id string, status string, progress long, message string", [("n", "a", "ready", 100, ""), ("n", "b", "processing", 54, "x"), ("n", "c", "Ready", 100, None), ("n", "d", "processing", 55, "x"), ("b", "b", "processing", 50, "x"), ("b", "c", "indexing", 98, ""), ("b", "d", "processing", 50, "x")], lambda d: O.index_changes(d.where("side = 'n'"), d.where("side = 'b'"), "id"), "id, new, changed, completed", [("a", True, False, False), ("b", False, False, False), ("c", False, True, True), ("d", False, True, False)])
+fixture("st13_index_lists", "side string, id string, o long, status string", [("f", "a", 0, "ready"), ("f", "b", 1, "ready"), ("c", "b", 0, "processing"), ("c", "temp_1", 1, "new"), ("c", "z", 2, "indexing"), ("c", "gone", 3, "ready")], lambda d: O.merged_index_lists(d.where("side = 'f'"), d.where("side = 'c'"), "id", "o", "b").select("id", "side", "status"), "id, side, status", [("a", "f", "ready"), ("b", "c", "processing"), ("temp_1", "c", "new"), ("z", "c", "indexing")])
+fixture("st11_toggled_archive", "side string, id string, archived boolean", [("c", "a", True), ("c", "b", None), ("c", "c", True), ("w", "a", None), ("w", "b", None), ("w", "z", None)], lambda d: O.toggled_archive(d.where("side = 'c'"), d.where("side = 'w'"), "id"), "id, archived, toggled", [("a", False, True), ("b", True, True), ("c", True, False), ("z", True, True)])
+fixture("jn11_enriched_tree", "side string, id string, title string, start long, \"end\" long, summary string, text string".replace('"', "`"), [("t", "0001", "一", 1, 2, "旧", None), ("t", "0002", "二", 3, 4, "有", "x"), ("n", "0001", "", 5, None, "新", "正文"), ("n", "0002", "", None, None, "", None)], lambda d: O.enriched_tree(d.where("side = 't'").drop("side"), d.where("side = 'n'"), "id"), "id, title, start, end, summary, text", [("0001", "一", 5, 2, "新", "正文"), ("0002", "二", 3, 4, "有", "x")])
+_RAW = [("b", '[{"chapterUid": 1, "title": "第一章"}]', '[{"bookmarkId": "m1", "markText": "甲", "chapterUid": 1, "chapterName": "旧名"}, {"bookmarkId": "m2", "markText": "乙", "chapterUid": 2, "chapterName": "二"}, {"bookmarkId": "m3", "markText": "丙", "chapterUid": 3}]', '[{"reviewId": "r1", "review": {"content": "好", "type": 4}}, {"reviewId": "r2", "review": {"reviewId": "x2", "content": "c", "htmlContent": "<p>富</p>", "chapterUid": 1, "chapterName": "一"}}, {"reviewId": "r3"}]')]
+fixture("jn37_highlights", "book string, chapters string, highlights string, reviews string", _RAW, lambda d: O.normalised_notebook(d, "book")[0].select("bookmark_id", "chapter_uid", "chapter_title"), "bookmark_id, chapter_uid, chapter_title", [("m1", 1, "第一章"), ("m2", 2, "二"), ("m3", 3, "")])
+fixture("jn37_reviews", "book string, chapters string, highlights string, reviews string", _RAW, lambda d: O.normalised_notebook(d, "book")[1].drop("book"), "review_id, content, md_content, chapter_uid, chapter_title, create_time, type", [("r1", "好", "好", 0, "", 0, 4), ("x2", "c", "富", 1, "一", 0, 1), ("r3", "", "", 0, "", 0, 1)])
+fixture("wn27_rolled_up", "b long, line long, level long, n long", [(1, 0, 1, 10), (1, 5, 2, 20), (1, 7, 3, 5), (1, 9, 2, 1), (1, 12, 1, 2)], lambda d: N.rolled_up(d, "b", "n").select("line", "parent", "end", "total"), "line, parent, end, total", [(0, None, 9, 31), (5, 0, 7, 25), (7, 5, 7, 5), (9, 0, 9, 1), (12, None, 12, 2)])
+fixture("wn25_merged_fragments", "k long, line long, text string", [(1, 0, "这句话没有 ^p1"), (1, 1, "说完。 ^p2"), (1, 2, "# 标题 ^p3"), (1, 3, "完整。 ^p4"), (1, 4, "末尾没有 ^p5"), (1, 5, "![图](x) ^p6")], lambda d: N.merged_fragments(d, "k"), "k, line, text, block, parts", [(1, 0, "这句话没有说完。", "p2", 2), (1, 2, "# 标题", "p3", 1), (1, 3, "完整。", "p4", 1), (1, 4, "末尾没有", "p5", 1), (1, 5, "![图](x)", "p6", 1)])
+fixture("rt26_consolidated", "s long, n long, role string, text string", [(1, i, "user" if i % 2 == 0 else "assistant", "x" * 100) for i in range(20)] + [(2, 0, "user", "x" * 50)], lambda d: M.consolidated(d, "s", "n", 400, 0.5), "s, since", [(1, 16), (2, 0)])

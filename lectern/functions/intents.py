@@ -50,3 +50,22 @@ def asked_concept(query: Column) -> Column:
     for pattern, to in ((r"^.*?(?:有没有|是否)(?:提到|讲到|说到|涉及|讨论)?\s*", ""), (r"[？?。！!《》]", ""), (r"\s*(?:的|内容|相关|有关)$", ""), (r"^[的了着过吗呢吧啊]+\s*|\s*[的了着过吗呢吧啊]+$", "")):
         query = F.regexp_replace(query, pattern, to)
     return F.trim(query)
+
+
+# Words that ask for a drawing, that ask whether a book holds something, and particles.
+DIAGRAM = "思维导图|脑图|流程图|概念图|画.{0,6}图|可视化展示|可视化|导图|示意图|infographic|图表|知识图谱"
+PARTICLES = "[的了着过吗呢吧啊\\s]"
+
+
+def wants_diagram(text):
+    return text.rlike(DIAGRAM)
+
+
+def strong_match(concept, score, content, least: float = 0.5):
+    """Whether a hit shows that a book holds a concept: its score, and any pair of the concept's characters (the concept
+    itself if it has fewer than two) in its content."""
+    from lectern.functions.similarity import bigrams
+
+    bare = F.regexp_replace(concept, PARTICLES, "")
+    held = F.when(F.length(bare) < 2, F.contains(content, bare)).otherwise(F.exists(bigrams(bare), lambda g: F.contains(content, g)))
+    return (score >= least) & held

@@ -136,7 +136,83 @@ def simple_title(text: Column) -> Column:
 
 
 def file_name(text: Column, most: int = 100) -> Column:
-    return F.left(F.trim(F.regexp_replace(F.regexp_replace(text, r'[\\/:*?"<>|#^\[\]]+', "_"), r"\s+", " ")), F.lit(most))
+    """A note's file name: the clean title without characters that paths or links read, at most ``most`` characters."""
+    return F.left(F.regexp_replace(clean_title(text), r'[<>:"/\\|?*#]', ""), F.lit(most))
+
+
+def dashed_name(text: Column, by: str = "-") -> Column:
+    """A file name with a dash for each character that paths read and for each run of white space."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r'[/\\:*?"<>|]', by), r"\s+", by))
+
+
+def bounded_name(text: Column, most_bytes: int = 240) -> Column:
+    """A file name without control characters and those that paths read, of at most ``most_bytes`` in UTF-8, whole
+    characters; untitled if nothing is left."""
+    plain = F.btrim(F.regexp_replace(F.regexp_replace(text, r'[\x00-\x1f\\/:*?"<>|]', ""), r"\s+", " "))
+    cut = F.regexp_replace(F.make_valid_utf8(F.substring(F.encode(plain, "UTF-8"), 1, most_bytes).cast("string")), "\ufffd+$", "")
+    return F.coalesce(F.nullif(F.when(F.octet_length(plain) <= most_bytes, plain).otherwise(cut), F.lit("")), F.lit("untitled"))
+
+
+def mended_bold(text: Column) -> Column:
+    """Lines that a converter cut into bold pieces become bold as a whole: three and more pieces, each of at most two
+    characters, over 0.15 of the line. Headings, code marks, quotes and list items stay."""
+    piece = r"\*\*([^*]+?)\*\*"
+
+    def line(x: Column) -> Column:
+        inner = F.regexp_extract_all(x, F.lit(piece), F.lit(1))
+        size = F.aggregate(inner, F.lit(0), lambda s, y: s + F.length(y))
+        broken = (F.size(inner) >= 3) & ~F.exists(inner, lambda y: F.length(y) > 2) & (size / F.length(F.replace(x, F.lit("**"), F.lit(""))) > 0.15)
+        special = x.rlike(r"^#{1,6}\s|^```|^>\s|^\s*[-*+]\s")
+        return F.when(~special & broken, F.concat(F.lit("**"), F.regexp_replace(x, piece, "$1"), F.lit("**"))).otherwise(x)
+
+    return F.array_join(F.transform(F.split(text, "\n"), line), "\n")
+
+
+def implicit_heading(html: Column, diamonds: bool = True) -> Column:
+    """The heading that an HTML paragraph stands for, or null: a text after ◆ (unless these are contents entries), one
+    bold child that is the whole paragraph, up to 60 characters, or a text up to 30 with an anchor of its own."""
+    inner = F.regexp_extract(html, r"(?is)^\s*<p\b[^>]*>(.*)</p>\s*$", 1)
+    text = F.btrim(F.regexp_replace(inner, r"<[^>]+>", ""))
+    bold = inner.rlike(r"(?is)^\s*<(b|strong)\b[^>]*>(?:(?!</?\1\b).)*</\1>\s*$") | inner.rlike(r"""(?is)^\s*<span\b[^>]*class\s*=\s*["'](?:[^"']*\s)?bold[^>]*>(?:(?!</?span\b).)*</span>\s*$""")
+    mark = text.rlike(r"^◆\s+")
+    return F.when(inner == "", None).when(mark, F.regexp_replace(text, r"^◆\s+", "") if diamonds else None).when(bold & F.length(text).between(1, 60), text).when(
+        F.length(text).between(1, 30) & inner.rlike(r"""(?i)<a\b[^>]*\bid\s*=\s*["'][^"']+"""), text
+    )
+
+
+def looks_like_heading(line: Column, before: Column) -> Column:
+    """Whether a line of plain text reads as a heading, by its form, or short after an empty line."""
+    t = F.btrim(line, F.lit(" \t\r\n"))
+    form = t.rlike(r"^[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*$") | t.rlike(r"^[A-Z\s\d]{5,}$") | t.rlike(r"^(?i:Chapter|Section|Part|第[一二三四五六七八九十\d]+章|\d+\.)")
+    return (F.length(t).between(4, 99) & ~t.rlike("[.，。；：]$") & form) | ((F.length(t) < 50) & (before == ""))
+
+
+def looks_like_item(line: Column) -> Column:
+    return line.rlike(r"^\s*[-•·\d][.)\s]") | line.rlike(r"^\s*\(\w\)")
+
+
+def clean_json(text: Column) -> Column:
+    """A model's JSON with Python's constants, trailing commas and single quotes put right, wherever they stand."""
+    for pattern, to in (("None", "null"), ("True", "true"), ("False", "false"), (r",\s*]", "]"), (r",\s*\}", "}"), ("'", '"')):
+        text = F.regexp_replace(text, pattern, to)
+    return text
+
+
+# The fields a broken answer is searched for.
+TEXT_FIELDS = ["toc_detected", "answer", "start_begin", "completed", "page_index_given", "page_index_given_in_toc", "reasoning", "thinking", "structure", "appear_start"]
+NUMBER_FIELDS = ["confidence", "page", "physical_index"]
+
+
+def broken_json_fields(text: Column) -> Column:
+    """A map of the known fields of JSON that does not parse, by name in snake case; either spelling is found, texts in
+    lower case, the title as it is; null if there is none."""
+    both = lambda f: f"(?:{f}|{''.join(x if i == 0 else x.title() for i, x in enumerate(f.split('_')))})"
+    strings = {f: F.lower(F.trim(F.regexp_extract(text, rf"""(?i)["']{both(f)}["']\s*:\s*["']([^"']*?)["']""", 1))) for f in TEXT_FIELDS}
+    numbers = {f: F.regexp_extract(text, rf"""(?i)["']{both(f)}["']\s*:\s*([\d.]+)""", 1) for f in NUMBER_FIELDS}
+    title = {"title": F.regexp_extract(text, r"""(?i)["']title["']\s*:\s*["']([^"']+)["']""", 1)}
+    pairs = F.array(*[F.struct(F.lit(n).alias("k"), v.alias("v")) for n, v in {**strings, **numbers, **title}.items()])
+    found = F.filter(pairs, lambda x: x["v"] != "")
+    return F.when(F.size(found) > 0, F.map_from_entries(found))
 
 
 def strip_markdown(text: Column) -> Column:
@@ -164,9 +240,12 @@ def block_ids(text: Column) -> Column:
 
 
 def chapter_ids(text: Column) -> Column:
-    """Cited chapter numbers of four digits, in order, once each."""
-    found = F.regexp_extract_all(text, F.lit(r"(?:第|[Cc]hapter |#)(\d{1,4})"), F.lit(1))
-    return F.array_distinct(F.transform(F.filter(found, lambda x: x.cast("int") >= 1), lambda x: F.lpad(x.cast("int").cast("string"), 4, "0")))
+    """Chapter numbers that a message cites, once each: those of [[book/24 - title]] links, of quotes ``> — 24``, then of
+    ``— 24 -``; from 1 to 9999, padded to four digits unless they have more."""
+    patterns = (r"\[\[(?:[^\]]*?/)?(\d+)\s*[-–—]\s*[^\]]*?\]\]", r">\s*[—–-]\s*(\d+)(?:\s*[-–—][^\n]*)?", r"[—–-]\s*(\d+)\s*[-–—]")
+    found = F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in patterns])
+    able = F.filter(found, lambda x: x.try_cast("bigint").between(1, 9999))
+    return F.array_distinct(F.transform(able, lambda x: F.when(F.length(x) >= 4, x).otherwise(F.lpad(x, 4, "0"))))
 
 
 def head_and_tail(text: Column, most: int) -> Column:
@@ -196,7 +275,7 @@ def html_text(html: Column) -> Column:
     """A page's words: scripts, styles and tags away, the common entities resolved."""
     for pattern, to in ((r"(?is)<(script|style)[^>]*>.*?</\1>", " "), (r"(?i)<br\s*/?>|</(p|div|h[1-6]|li|tr)>", "\n"), (r"<[^>]+>", ""), ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&"), (r"[ \t]+", " ")):
         html = F.regexp_replace(html, pattern, to)
-    return F.trim(html)
+    return F.btrim(html, F.lit(" \t\r\n"))
 
 
 def json_in_text(text: Column) -> Column:

@@ -43,9 +43,13 @@ def ag46_sync_counters(spark, d):
     return O.sync_counters(t(spark, d, "orders"), "o_orderstatus")
 
 
-@query("""WITH g AS (SELECT source, count(*) AS nodes, round(avg((trim(text) = '' OR starts_with(text, '##'))::INT), 6) AS blank_share, round(avg((length(lang) > 0)::INT), 6) AS summarised FROM documents GROUP BY 1) SELECT *, blank_share < 0.1 AND summarised > 0.5 AS healthy FROM g""")
+@query("""WITH d AS (SELECT source, CASE WHEN doc_id % 97 = 0 THEN '##' WHEN doc_id % 10 = 0 THEN '第' || (doc_id % 100)::VARCHAR || '章' ELSE text END AS title, lang FROM documents), g AS (SELECT source, count(*) AS nodes, count(*) FILTER (trim(title) IN ('', '##')) AS blank,
+ round(100 * avg((trim(title) IN ('', '##'))::INT), 1) AS blank_share, count(*) FILTER (regexp_matches(title, '^第[一二三四五六七八九十百千0-9]+章')) AS chapters, count(*) FILTER (trim(title) IN ('', '##') AND length(lang) > 0) AS misplaced FROM d GROUP BY 1)
+ SELECT *, blank = 0 AND chapters > 0 AND misplaced = 0 AS healthy FROM g""")
 def ag48_index_health(spark, d):
-    return O.index_health(t(spark, d, "documents"), "source", "text", "lang")
+    number = F.concat(F.lit("第"), (F.col("doc_id") % 100).cast("string"), F.lit("章"))
+    title = F.when(F.col("doc_id") % 97 == 0, "##").when(F.col("doc_id") % 10 == 0, number).otherwise(F.col("text"))
+    return O.index_health(t(spark, d, "documents").select("source", title.alias("title"), "lang"), "source", "title", "lang")
 
 
 @query("SELECT doc_id, source, 's' || (doc_id % 4)::VARCHAR || '-' || lpad((row_number() OVER (PARTITION BY source, doc_id % 4 ORDER BY doc_id))::VARCHAR, 3, '0') AS block_id FROM documents")

@@ -57,10 +57,89 @@ def sync_counters(log: DataFrame, status: str) -> DataFrame:
 
 
 def index_health(nodes: DataFrame, by: str, title: str, summary: str) -> DataFrame:
-    """(by, nodes, blank_share, summarised, healthy): titles that are blank or raw marks, and summaries present."""
-    bad = (F.trim(F.coalesce(title, F.lit(""))) == "") | F.col(title).startswith("##")
-    g = nodes.groupBy(by).agg(F.count("*").alias("nodes"), F.round(F.avg(bad.cast("int")), 6).alias("blank_share"), F.round(F.avg((F.coalesce(F.length(summary), F.lit(0)) > 0).cast("int")), 6).alias("summarised"))
-    return g.withColumn("healthy", (F.col("blank_share") < 0.1) & (F.col("summarised") > 0.5))
+    """(by, nodes, blank, blank_share, chapters, misplaced, healthy): titles that are blank or ##, titles of numbered
+    chapters, summaries under such a blank title; healthy with chapters and none of the others."""
+    bad = F.trim(F.coalesce(title, F.lit(""))).isin("", "##")
+    chapter = F.coalesce(F.col(title).rlike("^第[一二三四五六七八九十百千\\d]+章"), F.lit(False))
+    g = nodes.groupBy(by).agg(
+        F.count("*").alias("nodes"), F.count_if(bad).alias("blank"), F.round(100 * F.avg(bad.cast("int")), 1).alias("blank_share"), F.count_if(chapter).alias("chapters"), F.count_if(bad & (F.length(F.coalesce(summary, F.lit(""))) > 0)).alias("misplaced")
+    )
+    return g.withColumn("healthy", (F.col("blank") == 0) & (F.col("chapters") > 0) & (F.col("misplaced") == 0))
+
+
+def enriched_tree(tree: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
+    """Tree rows with the start, end, summary and text of the flat nodes of the same id where these have them."""
+    fields = ("start", "end", "summary", "text")
+    j = tree.join(nodes.select(key, *[F.col(f).alias(f"_{f}") for f in fields]), key, "left")
+    own = {f: F.coalesce(f"_{f}", f) for f in ("start", "end")} | {f: F.coalesce(F.nullif(f"_{f}", F.lit("")), F.nullif(f, F.lit(""))) for f in ("summary", "text")}
+    return j.select(*[own[c].alias(c) if c in own else F.col(c) for c in tree.columns])
+
+
+def normalised_notebook(raw: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(highlights, reviews) of a service's answers raw(key, chapters, highlights, reviews) as JSON: a highlight's chapter
+    title is that of the chapter list, else its own, else empty; reviews are unnested, with defaults."""
+    chapters = raw.select(key, F.explode(F.from_json("chapters", "array<struct<chapterUid:int,title:string>>")).alias("c")).select(key, F.col("c.chapterUid").alias("chapter_uid"), F.col("c.title").alias("_title"))
+    marks = raw.select(key, F.explode(F.from_json("highlights", "array<struct<bookmarkId:string,markText:string,chapterUid:int,chapterName:string,createTime:bigint>>")).alias("h"))
+    marks = marks.select(key, F.col("h.bookmarkId").alias("bookmark_id"), F.col("h.markText").alias("mark_text"), F.col("h.chapterUid").alias("chapter_uid"), F.col("h.chapterName").alias("_name"), F.col("h.createTime").alias("create_time"))
+    highlights = marks.join(chapters.dropDuplicates([key, "chapter_uid"]), [key, "chapter_uid"], "left").withColumn("chapter_title", F.coalesce("_title", "_name", F.lit(""))).drop("_title", "_name")
+    kind = "array<struct<reviewId:string,review:struct<reviewId:string,content:string,htmlContent:string,chapterUid:int,chapterTitle:string,chapterName:string,createTime:bigint,type:int>>>"
+    r = raw.select(key, F.explode(F.from_json("reviews", kind)).alias("r")).select(key, "r.reviewId", F.col("r.review").alias("v"))
+    content = F.coalesce(F.col("v.content"), F.lit(""))
+    reviews = r.select(
+        key, F.coalesce("v.reviewId", "reviewId").alias("review_id"), content.alias("content"), F.when(F.coalesce("v.htmlContent", F.lit("")) != "", X.html_text(F.col("v.htmlContent"))).otherwise(content).alias("md_content"),
+        F.coalesce("v.chapterUid", F.lit(0)).alias("chapter_uid"), F.coalesce("v.chapterTitle", "v.chapterName", F.lit("")).alias("chapter_title"), F.coalesce("v.createTime", F.lit(0).cast("long")).alias("create_time"), F.coalesce("v.type", F.lit(1)).alias("type"),
+    )
+    return highlights, reviews
+
+
+# What an index's status says.
+UNDER_WAY = ["processing", "indexing", "started", "created", "running", "active", "pending", "queued", "uploading"]
+READY = ["ready", "completed", "success"]
+
+
+def index_changes(now: DataFrame, before: DataFrame, key: str) -> DataFrame:
+    """(key, new, changed, completed) of index states(key, status, progress, message): changed if status or message
+    differ or progress moved by 5 and more, completed if it was under way and is ready."""
+    b = before.select(key, F.lit(True).alias("_known"), F.lower("status").alias("_s"), F.col("progress").alias("_p"), F.coalesce("message", F.lit("")).alias("_m"))
+    j = now.join(b, key, "left").withColumn("_k", F.coalesce("_known", F.lit(False)))
+    status = F.lower(F.coalesce("status", F.lit("")))
+    differs = (F.when(status == "", "unknown").otherwise(status) != F.col("_s")) | (F.abs(F.coalesce("progress", F.lit(0)) - F.col("_p")) >= 5) | (F.coalesce("message", F.lit("")) != F.col("_m"))
+    return j.select(key, (~F.col("_k")).alias("new"), (F.col("_k") & F.coalesce(differs, F.lit(False))).alias("changed"), (F.col("_k") & F.coalesce(F.col("_s").isin(*UNDER_WAY), F.lit(False)) & status.isin(*READY)).alias("completed"))
+
+
+def merged_index_lists(fresh: DataFrame, current: DataFrame, key: str, order: str, active: str | None = None) -> DataFrame:
+    """Fresh indexes in order but the one being made, then its current row, then current rows that are temporary or under
+    way and not among the fresh ones; the first of a key stays."""
+    cols = fresh.columns
+    busy = F.startswith(key, F.lit("temp_")) | F.lower("status").isin(*UNDER_WAY)
+    part = lambda d, n: d.select(*cols, F.lit(n).alias("_part"))
+    rest = current.join(fresh.select(key), key, "left_anti").where(busy)
+    every = part(fresh.where(F.col(key) != F.lit(active or "")), 0).unionByName(part(current.where(F.col(key) == F.lit(active or "")), 1)).unionByName(part(rest, 2))
+    place = F.row_number().over(Window.partitionBy(key).orderBy("_part", order))
+    return every.withColumn("_r", place).where("_r = 1").drop("_r", "_part")
+
+
+def toggled_archive(catalog: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The catalog(key, archived) after wanted keys were toggled, with ``toggled``; unknown ones come in archived."""
+    w = wanted.select(key).distinct().withColumn("_w", F.lit(True))
+    j = catalog.select(key, F.coalesce("archived", F.lit(False)).alias("archived"), F.lit(True).alias("_c")).join(w, key, "full_outer")
+    hit = F.coalesce("_w", F.lit(False))
+    return j.select(key, F.when(F.col("_c").isNull(), True).when(hit, ~F.col("archived")).otherwise(F.col("archived")).alias("archived"), hit.alias("toggled"))
+
+
+def routed_intents(inputs: DataFrame, rules: list[tuple[str, str, list[str], int]], key: str, text: str, fallback: tuple[str, list[str], int], default: int = 10) -> DataFrame:
+    """(key, intents, tools, iterations): of all rules (pattern, intent, tools, iterations) that any text of a key meets,
+    the intents and tools once each, in order of the rules, and the most iterations; the fallback where none does."""
+    hit = F.array(*[F.when(F.col(text).rlike(p), F.lit(i)) for i, (p, *_) in enumerate(rules)])
+    g = inputs.groupBy(key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array_compact(hit))))).alias("_hits"))
+    of = F.array(*[F.struct(F.lit(intent).alias("intent"), F.array(*[F.lit(t) for t in tools]).cast("array<string>").alias("tools"), F.lit(n or default).alias("n")) for _, intent, tools, n in rules])
+    met = F.transform("_hits", lambda i: F.get(of, i))
+    none = F.size("_hits") == 0
+    return g.select(
+        key, F.when(none, F.array(F.lit(fallback[0]))).otherwise(F.array_distinct(F.transform(met, lambda x: x["intent"]))).alias("intents"),
+        F.when(none, F.array(*[F.lit(t) for t in fallback[1]]).cast("array<string>")).otherwise(F.array_distinct(F.flatten(F.transform(met, lambda x: x["tools"])))).alias("tools"),
+        F.when(none, F.lit(fallback[2])).otherwise(F.array_max(F.transform(met, lambda x: x["n"]))).alias("iterations"),
+    )
 
 
 def complete_indexes(files: DataFrame, book: str, name: str, needed: tuple[str, ...] = ("tree.json", "book-meta.json", "bm25.json")) -> DataFrame:

@@ -21,16 +21,17 @@ def last_by_role(messages: DataFrame, session: str, seq: str, role: str = "assis
     return messages.where(F.col("role") == role).groupBy(session).agg(F.max_by("text", seq).alias("text"), F.max(seq).alias("last"))
 
 
-def consolidation_boundary(messages: DataFrame, session: str, seq: str, target: int, since: str | None = None) -> DataFrame:
-    """(session, boundary, removed): counted from the session's watermark (column ``since``, the first message without
+def consolidation_boundary(messages: DataFrame, session: str, seq: str, target: int | str, since: str | None = None) -> DataFrame:
+    """(session, boundary, removed), target being a number or a column: counted from the session's watermark (column ``since``, the first message without
     one), the first later user turn before which at least ``target`` estimated tokens stand, else the last later user
     turn, else null; and the tokens from the watermark to it."""
     w = Window.partitionBy(session).orderBy(seq)
     kept = messages if since is None else messages.where(F.col(seq) >= F.coalesce(since, F.lit(0)))
     before = F.coalesce(F.sum(F.round(F.length("text") / 2)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
     able = (F.col("role") == "user") & (F.row_number().over(w) > 1)
-    rows = kept.select(session, F.col(seq).alias("_s"), before.alias("_r"), able.alias("_u"))
-    first, last = F.min(F.when(F.col("_u") & (F.col("_r") >= target), F.struct("_s", "_r"))), F.max(F.when(F.col("_u"), F.struct("_s", "_r")))
+    goal = F.col(target) if isinstance(target, str) else F.lit(target)
+    rows = kept.select(session, F.col(seq).alias("_s"), before.alias("_r"), able.alias("_u"), goal.alias("_t"))
+    first, last = F.min(F.when(F.col("_u") & (F.col("_r") >= F.col("_t")), F.struct("_s", "_r"))), F.max(F.when(F.col("_u"), F.struct("_s", "_r")))
     at = rows.groupBy(session).agg(F.coalesce(first, last).alias("x"))
     return at.select(session, F.col("x._s").alias("boundary"), F.col("x._r").alias("removed"))
 
@@ -62,3 +63,17 @@ def inherited_depth(messages: DataFrame, session: str, seq: str, short: int = 5,
 
 def session_sizes(messages: DataFrame, session: str) -> DataFrame:
     return messages.groupBy(session).agg(F.count("*").alias("messages"), F.sum(F.length("text")).cast("long").alias("chars"))
+
+
+def consolidated(messages: DataFrame, session: str, seq: str, threshold: int, ratio: float = 0.5, rounds: int = 5) -> DataFrame:
+    """(session, since): each session's watermark after up to ``rounds`` rounds. While the messages from it on have
+    ``threshold`` estimated tokens, it moves to the boundary that leaves ``ratio`` of these; without one it stays. What
+    a model makes of the messages before it is a hook's work."""
+    at = messages.select(session).distinct().withColumn("since", F.lit(0).cast("long"))
+    for _ in range(rounds):
+        live = messages.join(at, session).where(F.col(seq) >= F.col("since"))
+        size = F.round(F.sum(F.length("text")).over(Window.partitionBy(session)) / 2)
+        over = live.withColumn("_size", size).where(F.col("_size") >= threshold).withColumn("_goal", F.col("_size") - threshold * ratio)
+        moved = consolidation_boundary(over, session, seq, "_goal", "since").select(session, "boundary")
+        at = at.join(moved, session, "left").select(session, F.coalesce("boundary", "since").alias("since"))
+    return at

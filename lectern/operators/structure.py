@@ -159,3 +159,28 @@ def page_groups(pages: DataFrame, doc: str, page: str, tokens: str, budget: int,
             yield pd.DataFrame([(k, g, a, z) for k, n in zip(d[doc], d["n"]) for g, (a, z) in enumerate(group_pages([int(x) for x in n], budget, overlap))], columns=schema.names)
 
     return per.mapInPandas(run, schema)
+
+
+def rolled_up(heads: DataFrame, by: str, tokens: str) -> DataFrame:
+    """Heads(by, line, level, tokens) with ``parent``, ``end`` (the last direct child's line, its own without one) and
+    ``total`` (its tokens and those of its direct children)."""
+    tree = parents(heads, by)
+    kids = tree.where("parent is not null").groupBy(by, "parent").agg(F.max("line").alias("_end"), F.sum(tokens).alias("_more")).withColumnRenamed("parent", "line")
+    j = tree.join(kids, [by, "line"], "left")
+    return j.withColumn("end", F.coalesce("_end", "line")).withColumn("total", F.col(tokens) + F.coalesce("_more", F.lit(0))).drop("_end", "_more")
+
+
+_SENTENCE_END = r"[。？！.?!、”’'\")）》」\d]$"
+
+
+def merged_fragments(lines_: DataFrame, key: str) -> DataFrame:
+    """(key, line, text, block, parts) of paragraph lines ``text ^block``: a paragraph that ends in no sentence end goes
+    on in the paragraph right after it, whose block id stays. Headings and images are never joined."""
+    d = lines_.withColumn("block", F.regexp_extract(F.trim("text"), r" \^([a-zA-Z0-9_-]+)$", 1)).where("block <> ''")
+    d = d.withColumn("_t", F.trim(F.regexp_replace(F.trim("text"), r" \^[a-zA-Z0-9_-]+$", ""))).withColumn("_special", F.col("_t").rlike(r"^(#|!\[)"))
+    w = Window.partitionBy(key).orderBy("line")
+    last = F.lag(F.struct("line", "_t", "_special")).over(w)
+    goes_on = last.isNotNull() & ~F.col("_special") & ~last["_special"] & ~last["_t"].rlike(_SENTENCE_END)
+    d = d.withColumn("_new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w))
+    g = d.groupBy(key, "_run").agg(F.min("line").alias("line"), F.array_sort(F.collect_list(F.struct("line", "_t", "block"))).alias("p"))
+    return g.select(key, "line", F.array_join(F.transform("p", lambda x: x["_t"]), "").alias("text"), F.element_at("p", -1)["block"].alias("block"), F.size("p").cast("long").alias("parts"))

@@ -71,3 +71,9 @@ def consolidation_pointer(stream: DataFrame, session: str, seq: str, tokens: str
 
     kind = dict(stream.dtypes)[session]
     return stream.groupBy(session).applyInPandasWithState(step, f"{session} {kind}, pointer long, consolidated long", "held long, pointer long", "update", GroupStateTimeout.NoTimeout)
+
+
+def fresh_values(stream: DataFrame, key: str, time: str, lifetime: str = "20 minutes") -> DataFrame:
+    """The first row of each key within a lifetime: state of a key goes when the watermark has passed it, so a cache of
+    this kind never holds more than what is still fresh."""
+    return stream.withWatermark(time, lifetime).dropDuplicatesWithinWatermark([key])

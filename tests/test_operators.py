@@ -33,7 +33,7 @@ def test_text_functions(spark):
     assert one(spark, X.simple_title(F.lit("Deep: a story - two"))) == "Deep"
     assert one(spark, X.strip_markdown(F.lit("# A **b** [[x|y]] [l](u)"))) == "A b y l"
     assert one(spark, X.wiki_links(F.lit("[[a|b]] and [[c#d]]"))) == ["a", "c"]
-    assert one(spark, X.chapter_ids(F.lit("第3 and chapter 12 and #3"))) == ["0003", "0012"]
+    assert one(spark, X.chapter_ids(F.lit("[[a/3 - x]] and > — 12 and [[3-y]]"))) == ["0003", "0012"]
     assert one(spark, X.json_in_text(F.lit('<think>x</think>```json\n{"a": None,}\n```'))) == '{"a": null}'
     assert one(spark, X.duration_text(F.lit(66600))) == "18小时30分钟"
     assert one(spark, X.chunk_kind(F.lit("  > said"))) == "quote"
