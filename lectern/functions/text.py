@@ -24,6 +24,12 @@ def _ngrams(run: Column, n: int) -> Column:
     return F.when(F.length(run) >= n, F.transform(F.sequence(F.lit(1), F.length(run) - (n - 1)), lambda i: F.substring(run, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
 
+def padded(number: Column, width: int) -> Column:
+    """A number with leading zeros up to ``width`` digits; more digits stay."""
+    text = number.cast("string")
+    return F.lpad(text, F.greatest(F.length(text), F.lit(width)), "0")
+
+
 def cjk_runs(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"[{CJK}]+"), F.lit(0))
 

@@ -13,6 +13,7 @@ from lectern.operators import lexical as L
 from lectern.operators import quality as Q
 from lectern.operators import reading as R
 from lectern.operators import structure as N
+from lectern.operators.ordered import placed
 from lectern.queries import _BM25, _COS, _LINES, _NORMAL, _WORDS, _bm, _chat, _cos, _topk, asked, nodes, query, t
 
 
@@ -172,8 +173,8 @@ def tk7_current_boost(spark, d):
 
 @query("SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY (source <> 'src0')::INT, n_chars DESC, doc_id) AS place FROM documents")
 def tk11_library_order(spark, d):
-    w = Window.partitionBy("lang").orderBy(F.col("source") != "src0", F.desc("n_chars"), "doc_id")
-    return t(spark, d, "documents").select("doc_id", F.row_number().over(w).cast("long").alias("place"))
+    rows = t(spark, d, "documents").select("doc_id", "lang", "n_chars", (F.col("source") != "src0").alias("other"))
+    return placed(rows, ["lang"], ["other", F.desc("n_chars"), "doc_id"]).select("doc_id", (F.col("place") + 1).alias("place"))
 
 
 @query("""WITH x AS (SELECT doc_id, 0 AS place, 'scope' AS reason FROM documents WHERE doc_id % 5 = 0 UNION ALL SELECT doc_id, 1, 'cited' FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 2, 'current' FROM documents WHERE doc_id % 2 = 0)

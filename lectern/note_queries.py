@@ -52,7 +52,7 @@ def ag48_index_health(spark, d):
     return O.index_health(t(spark, d, "documents").select("source", title.alias("title"), "lang"), "source", "title", "lang")
 
 
-@query("SELECT doc_id, source, 's' || (doc_id % 4)::VARCHAR || '-' || lpad((row_number() OVER (PARTITION BY source, doc_id % 4 ORDER BY doc_id))::VARCHAR, 3, '0') AS block_id FROM documents")
+@query("SELECT doc_id, source, 's' || (doc_id % 4)::VARCHAR || '-' || lpad(n::VARCHAR, greatest(3, length(n::VARCHAR))::INT, '0') AS block_id FROM (SELECT *, row_number() OVER (PARTITION BY source, doc_id % 4 ORDER BY doc_id) AS n FROM documents)")
 def wn23_paragraph_ids(spark, d):
     n = nodes(spark, d).select("doc_id", "source", (F.col("doc_id") % 4).alias("section"))
     return O.paragraph_ids(n, "source", "section", "doc_id").drop("section")

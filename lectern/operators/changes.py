@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lectern.operators.ordered import placed
+
 
 def change_classes(current: DataFrame, stored: DataFrame, key: str, watched: list[str]) -> DataFrame:
     """(key, change): new, changed (any watched column differs), unchanged, or deleted."""
@@ -42,9 +44,8 @@ def newest(rows: DataFrame, order: list[Column], n: int, by: list[str] | None =
 
 def archive_split(rows: DataFrame, by: str, order: str, most: int = 200, keep: int = 150) -> DataFrame:
     """With ``archived``: in groups of more than ``most`` rows all but the last ``keep``."""
-    w = Window.partitionBy(by)
-    back = F.row_number().over(w.orderBy(F.desc(order)))
-    return rows.withColumn("_n", F.count("*").over(w)).withColumn("_b", back).withColumn("archived", (F.col("_n") > most) & (F.col("_b") > keep)).drop("_n", "_b")
+    d = placed(rows, [by], [F.desc(order)], "_b", "_n")
+    return d.withColumn("archived", (F.col("_n") > most) & (F.col("_b") >= keep)).drop("_n", "_b")
 
 
 def first_of(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:

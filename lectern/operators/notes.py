@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.functions import text as X
+from lectern.operators.ordered import placed
 
 
 def toc_with_pages(toc: DataFrame, found: DataFrame, by: str, title: str, start: str) -> DataFrame:
@@ -163,8 +164,9 @@ def siblings(nodes: DataFrame, by: list[str], order: str, title: str) -> DataFra
 
 def paragraph_ids(paragraphs: DataFrame, by: str, section: str, order: str) -> DataFrame:
     """With ``block_id``: s{section}-{place of three digits} in each section."""
-    place = F.row_number().over(Window.partitionBy(by, section).orderBy(order))
-    return paragraphs.withColumn("block_id", F.concat(F.lit("s"), F.col(section).cast("string"), F.lit("-"), F.lpad(place.cast("string"), 3, "0")))
+    d = placed(paragraphs, [by, section], [order], "_place")
+    number = X.padded(F.col("_place") + 1, 3)
+    return d.withColumn("block_id", F.concat(F.lit("s"), F.col(section).cast("string"), F.lit("-"), number)).drop("_place")
 
 
 def split_at_anchors(pages: DataFrame, anchors: DataFrame, key: str, html: str = "html") -> DataFrame:

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from lectern.functions.text import padded
+from lectern.operators.ordered import placed
+
 
 def lines(docs: DataFrame, key: str) -> DataFrame:
     """(key, line, text): a text's lines from 0."""
@@ -52,8 +55,7 @@ def subtree_end(heads: DataFrame, key: str) -> DataFrame:
 
 def numbered(rows: DataFrame, by: str, order: list, width: int = 4) -> DataFrame:
     """With ``node_id``: the place in order from 0, padded, in each group."""
-    place = F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1
-    return rows.withColumn("node_id", F.lpad(place.cast("string"), width, "0"))
+    return placed(rows, [by], order, "_place").withColumn("node_id", padded(F.col("_place"), width)).drop("_place")
 
 
 def callouts(rows: DataFrame, key: str) -> DataFrame:

@@ -6,11 +6,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lectern.functions import text as X
 from lectern.operators import changes as C
 from lectern.operators.links import merge_plan
+from lectern.operators.ordered import placed
 from lectern.sources.files import classified_directories
 
 
@@ -108,10 +108,5 @@ def latest_logs(logs: DataFrame, order: str, most: int = 10) -> DataFrame:
 
 
 def shelf_order(books: DataFrame, status: str, by: list[Column]) -> DataFrame:
-    """With ``place``: books under way come first, then the others by the given columns. Places over all books need one
-    order of all; ranges are sorted in parallel and numbered by running counts of the ranges."""
-    pinned = F.when(F.col(status) == "processing", 0).otherwise(1)
-    dealt = books.orderBy(pinned, *by).withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33))
-    count = dealt.groupBy("_part").agg(F.count("*").alias("_n"))  # one row a range
-    before = count.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return dealt.join(F.broadcast(before.select("_part", "_before")), "_part").withColumn("place", F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id", "_part", "_before")
+    """With ``place``: books under way come first, then the others by the given columns."""
+    return placed(books, [], [F.when(F.col(status) == "processing", 0).otherwise(1), *by])

@@ -23,7 +23,7 @@ from lectern.operators import sessions as M
 from lectern.operators import structure as N
 from lectern.operators import vectors as V
 from lectern.plans.book_search import book_search
-from lectern.sources.sinks import work_dir
+from lectern.sources.folders import work_dir
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -425,7 +425,7 @@ def wn3_next_start(spark, d):
     return rows.select("doc_id", "line", F.lead("line").over(Window.partitionBy("doc_id").orderBy("line")).alias("next_line"), F.length("text").cast("long").alias("chars"))
 
 
-@query("SELECT doc_id, source, lpad((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1)::VARCHAR, 6, '0') AS node_id FROM documents")
+@query("SELECT doc_id, source, lpad(n::VARCHAR, greatest(6, length(n::VARCHAR))::INT, '0') AS node_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n FROM documents)")
 def wn24_preorder_ids(spark, d):
     return N.numbered(nodes(spark, d).select("doc_id", "source"), "source", ["doc_id"], 6)
 
@@ -504,7 +504,7 @@ def ag45_bars(spark, d):
 
 @query()
 def wn9_chunks(spark, d):
-    rows = N.lines(nodes(spark, d), "doc_id").withColumn("block", F.concat(F.lit("p"), F.lpad(F.col("line").cast("string"), 3, "0")))
+    rows = N.lines(nodes(spark, d), "doc_id").withColumn("block", F.concat(F.lit("p"), X.padded(F.col("line"), 3)))
     return N.chunks(rows, "doc_id", "line", "block")
 
 
