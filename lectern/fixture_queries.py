@@ -11,6 +11,7 @@ from lectern.functions import similarity as S
 from lectern.functions import text as X
 from lectern.operators import changes as C
 from lectern.operators import evaluation as E
+from lectern.operators import fusion as U
 from lectern.operators import links as W
 from lectern.operators import notes as O
 from lectern.operators import quality as Q
@@ -140,13 +141,13 @@ fixture(
 
 
 def _checked(d):
-    known = d.where("side = 'k'").select("k", F.col("t").alias("link"))
-    return W.without_fabricated(d.where("side = 'a'").select("k", "t"), known, "k", "t")
+    return W.without_fabricated(d.where("side = 'a'").select("k", "t"), d.where("side = 'i'").select("k", "t"), "k", "t")
 
 
 fixture(
-    "jn29_fabricated_links", "side string, k long, t string", [("a", 1, "真 [[书/a#^p1|甲]] 假 [[书/b|乙]] [[c]]"), ("a", 2, "无链接"), ("k", 1, "书/a#^p1|甲")],
-    _checked, "k, t", [(1, "真 [[书/a#^p1|甲]] 假 乙 c"), (2, "无链接")],
+    "jn29_fabricated_links", "side string, k long, t string",
+    [("a", 1, "真 [[书/0001-起点#^p1|甲]] 假 [[书/b|乙]] [[c]] 序号 [[02 - 复利]] 尾 [[深入/起点]]"), ("i", 1, "[[书/0001-起点]] file_name: \"复利\""), ("a", 2, "无来源 [[x]]"), ("i", 2, "没有链接"), ("a", 3, "[[第一章]] [[第二章|别名]]"), ("i", 3, "目录 '第一章'(12)")],
+    _checked, "k, t", [(1, "真 [[书/0001-起点#^p1|甲]] 假 乙 c 序号 [[02 - 复利]] 尾 [[深入/起点]]"), (2, "无来源 [[x]]"), (3, "[[第一章]] 别名")],
 )
 fixture(
     "tx46_merge_plan", "path string, existing array<string>, tags array<string>, links array<struct<target:string,text:string>>, removed array<string>",
@@ -285,3 +286,17 @@ fixture("jn37_reviews", "book string, chapters string, highlights string, review
 fixture("wn27_rolled_up", "b long, line long, level long, n long", [(1, 0, 1, 10), (1, 5, 2, 20), (1, 7, 3, 5), (1, 9, 2, 1), (1, 12, 1, 2)], lambda d: N.rolled_up(d, "b", "n").select("line", "parent", "end", "total"), "line, parent, end, total", [(0, None, 9, 31), (5, 0, 7, 25), (7, 5, 7, 5), (9, 0, 9, 1), (12, None, 12, 2)])
 fixture("wn25_merged_fragments", "k long, line long, text string", [(1, 0, "这句话没有 ^p1"), (1, 1, "说完。 ^p2"), (1, 2, "# 标题 ^p3"), (1, 3, "完整。 ^p4"), (1, 4, "末尾没有 ^p5"), (1, 5, "![图](x) ^p6")], lambda d: N.merged_fragments(d, "k"), "k, line, text, block, parts", [(1, 0, "这句话没有说完。", "p2", 2), (1, 2, "# 标题", "p3", 1), (1, 3, "完整。", "p4", 1), (1, 4, "末尾没有", "p5", 1), (1, 5, "![图](x)", "p6", 1)])
 fixture("rt26_consolidated", "s long, n long, role string, text string", [(1, i, "user" if i % 2 == 0 else "assistant", "x" * 100) for i in range(20)] + [(2, 0, "user", "x" * 50)], lambda d: M.consolidated(d, "s", "n", 400, 0.5), "s, since", [(1, 16), (2, 0)])
+_NOTE = "---\ntitle: x\n---\n正文 [[链接]] %%注%% ^p1\n> [!note] 标\n> 内容\n尾\n---\n末\n"
+texts("tx14_indexed_text", X.indexed_text, [(_NOTE, "正文 [[链接]] %%注%% ^p1\n尾\n---\n末"), ("plain", "plain")])
+texts("tx14_card_source", X.card_source, [(_NOTE, "正文   \n尾\n---\n末"), ("a ^b1", "a")])
+texts("tx14_reading_source", X.reading_source, [(_NOTE, "正文  %%注%% ^p1\n尾\n\n末")])
+fixture("tx5_message_tokens", "id long, c string, j string", [(0, "你好吗", None), (1, None, '[{"name":"x"}]'), (2, "ab", '["c"]'), (3, "", None)], lambda d: d.select("id", X.message_tokens(F.col("c"), F.col("j")).alias("n")), "id, n", [(0, 2), (1, 7), (2, 4), (3, 0)])
+fixture(
+    "wn25_chapter_levels", "b long, o long, title string, n long", [(1, 0, "封面", 5), (1, 1, "前言", 900), (1, 2, "第一部 起源", 10), (1, 3, "第一章 甲", 900), (1, 4, "第2节", 100), (1, 5, "附录", 90), (1, 6, "杂谈", 900), (1, 7, "后记", 90), (1, 8, "第二章 乙", 900), (1, 9, "短", 9)],
+    lambda d: G.chapter_levels(d, "b", "o", "title", "n").select("o", "level"), "o, level", [(0, 0), (1, 0), (2, 0), (3, 1), (4, 2), (5, 2), (6, 1), (7, 0), (8, 0), (9, 0)],
+)
+fixture(
+    "rt13_search_phase", "id long, r long, top double, most double, c double, b string, n long, f boolean", [(0, 1, 9.0, 10.0, 1.0, "p1", 300, False), (1, 5, 8.0, 10.0, 0.9, "p1", 60, False), (2, 5, 8.0, 10.0, 0.9, "p1", 60, True), (3, 5, 3.0, 10.0, 0.1, None, 0, False), (4, 5, 1.0, 10.0, 1.0, "p", 300, False), (5, 5, 8.0, 10.0, 0.9, "p1", 10, False)],
+    lambda d: d.select("id", U.search_phase(*[F.col(x) for x in ("r", "top", "most", "c", "b", "n", "f")]).alias("phase")), "id, phase", [(0, "none"), (1, "stop"), (2, "hybrid"), (3, "hybrid"), (4, "keep"), (5, "hybrid")],
+)
+fixture("st8_searched_blocks", "id long, a array<string>, b array<string>", [(0, ["p1", "p2"], ["p2", "p3"]), (1, [], ["p9"]), (2, ["p1"], [])], lambda d: d.select("id", joined(F.array_union("a", "b"), ",").alias("blocks")), "id, blocks", [(0, "p1,p2,p3"), (1, "p9"), (2, "p1")])

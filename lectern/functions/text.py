@@ -231,6 +231,35 @@ def strip_markdown(text: Column) -> Column:
     return F.trim(text)
 
 
+_FRONT, _CALLOUT = r"^---[\s\S]*?---\n", r"> \[!.*?\][^\n]*\n(> .*\n)*"
+
+
+def _without(text: Column, *patterns: tuple[str, str]) -> Column:
+    for pattern, to in patterns:
+        text = F.regexp_replace(text, pattern, to)
+    return F.btrim(text, F.lit(" \t\r\n"))
+
+
+def indexed_text(text: Column) -> Column:
+    """A note for chunking: without front matter and callouts."""
+    return _without(text, (_FRONT, ""), (_CALLOUT, ""))
+
+
+def card_source(text: Column) -> Column:
+    """A note for cards: without front matter, links, callouts, comments and block ids."""
+    return _without(text, (_FRONT, ""), (r"\[\[.*?\]\]", ""), (_CALLOUT, ""), (r"%%.*?%%", ""), (r"\^[a-zA-Z0-9_-]+", ""))
+
+
+def reading_source(text: Column) -> Column:
+    """A note for reading: without front matter, links, callouts and rules."""
+    return _without(text, (_FRONT, ""), (r"\[\[.*?\]\]", ""), (_CALLOUT, ""), (r"\n---+\n", "\n\n"))
+
+
+def message_tokens(content: Column, tool_calls: Column) -> Column:
+    """Half the characters of a message and of its tool calls as JSON, rounded."""
+    return chat_token_estimate(F.coalesce(F.length(content), F.lit(0)) + F.coalesce(F.length(tool_calls), F.lit(0)))
+
+
 def strip_controls(text: Column) -> Column:
     out = F.regexp_replace(text, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
     return F.when(F.trim(out) == "", F.lit(" ")).otherwise(out)

@@ -87,3 +87,12 @@ def books_then_hits(hits: DataFrame, query: str, book: str, key: str, books: int
     own = hits.withColumn("place", F.row_number().over(Window.partitionBy(query, book).orderBy(F.desc("score"), key)).cast("long")).where(F.col("place") <= per_book)
     total = own.withColumn("total", F.round(F.sum("score").over(Window.partitionBy(query, book)), 6))
     return total.withColumn("book_rank", F.dense_rank().over(Window.partitionBy(query).orderBy(F.desc("total"), book)).cast("long")).where(F.col("book_rank") <= books)
+
+
+def search_phase(results: Column, top: Column, most: Column, coverage: Column, block: Column, size: Column, forced: Column) -> Column:
+    """What follows a first, lexical search: ``none`` (fewer than two results), ``stop`` (its best is sure: 0.7 of the
+    most a query can score, 0.8 of the words, a substantial block, and no deeper reading is forced), ``hybrid`` (0.25 and
+    more: search again with vectors and re-ranking) or ``keep``."""
+    substance = F.when(F.coalesce(block, F.lit("")) != "", 20).otherwise(0) + F.least(F.coalesce(size, F.lit(0)) / 10, F.lit(30.0)) + F.when(F.coalesce(size, F.lit(0)) > 20, 15).otherwise(0)
+    sure = (top / most >= 0.7) & (coverage >= 0.8) & (substance >= 40) & ~forced
+    return F.when(results < 2, "none").when(sure, "stop").when(top / most >= 0.25, "hybrid").otherwise("keep")

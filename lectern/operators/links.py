@@ -72,13 +72,28 @@ def repaired_blocks(wanted: DataFrame, known: DataFrame, by: str, key: str, bloc
     return j.groupBy(key).agg(F.min_by("_k", F.struct("_c", far, "_o")).alias(block))
 
 
-def without_fabricated(answers: DataFrame, known: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, text): links that no known(key, link) equals become their alias, or the target where they have none."""
-    own = known.groupBy(key).agg(F.collect_set("link").alias("_known"))
-    d = answers.select(key, text).join(own, key, "left").withColumn("_links", F.array_distinct(F.regexp_extract_all(text, F.lit(LINK), F.lit(1))))
-    bad = F.array_except("_links", F.coalesce("_known", F.array().cast("array<string>")))
-    plain = lambda x: F.when(F.contains(x, F.lit("|")), F.trim(F.split(x, r"\|")[1])).otherwise(x)
-    return d.select(key, F.aggregate(bad, F.col(text), lambda t, x: F.replace(t, F.concat(F.lit("[["), x, F.lit("]]")), plain(x))).alias(text))
+def _names(text: Column) -> Column:
+    """What an input text names: the targets of its links and their last parts, file_name: "x", and 'x'(12)."""
+    path = F.transform(F.regexp_extract_all(text, F.lit(LINK), F.lit(1)), lambda x: F.substring_index(F.substring_index(x, "#", 1), "|", 1))
+    last = F.transform(path, lambda x: F.substring_index(x, "/", -1))
+    return F.concat(path, last, F.regexp_extract_all(text, F.lit(r'file_name:\s*"([^"]+)"'), F.lit(1)), F.regexp_extract_all(text, F.lit(r"'([^']+)'\(\d+\)"), F.lit(1)))
+
+
+def without_fabricated(answers: DataFrame, inputs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, text): links whose target no input of the answer names become plain words: the alias, else the target. A
+    target is named if it or its last part equals a name, ends with one or is the end of one, or equals one without its
+    number. An answer whose inputs name nothing stays as it is."""
+    named = inputs.select(key, F.explode(_names(F.col(text))).alias("_n")).groupBy(key).agg(F.collect_set("_n").alias("_known"))  # what one answer was given
+    d = answers.select(key, text).join(named, key, "left").withColumn("_links", F.array_distinct(F.regexp_extract_all(text, F.lit(LINK), F.lit(1))))
+    bare = lambda c: F.regexp_replace(c, r"^\d+\s*[-–]\s*", "")
+
+    def fabricated(x: Column) -> Column:
+        path = F.substring_index(F.substring_index(x, "#", 1), "|", 1)
+        file = F.substring_index(path, "/", -1)
+        return ~F.exists("_known", lambda n: (n == path) | F.endswith(n, file) | F.endswith(file, n) | (bare(n) == bare(file)))
+
+    bad = F.when(F.col("_known").isNull(), F.array().cast("array<string>")).otherwise(F.filter("_links", fabricated))
+    return d.select(key, F.aggregate(bad, F.col(text), lambda t, x: F.replace(t, F.concat(F.lit("[["), x, F.lit("]]")), F.substring_index(x, "|", -1))).alias(text))
 
 
 def merge_plan(notes: DataFrame, key: str) -> DataFrame:

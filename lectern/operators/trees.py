@@ -98,3 +98,25 @@ def inside_part(rows: DataFrame, by: str, order: str, kind: str) -> DataFrame:
     w = Window.partitionBy(by).orderBy(order)
     flag = F.when(F.col(kind) == "part", 1).when(F.col(kind) == "special", 0)
     return rows.withColumn("inside", F.coalesce(F.last(flag, ignorenulls=True).over(w), F.lit(0)) == 1)
+
+
+# Special titles that stand outside all parts, and those that belong to the chapter before.
+OUTSIDE = "^(前言|序[言章]?|引言|导言|结束语|后记|参考文献|参考书目|致谢)$"
+BELONGING = "^(结语|扩展阅读|附录)$"
+
+
+def chapter_levels(chapters: DataFrame, by: str, order: str, title: str, tokens: str, least: int = 50) -> DataFrame:
+    """With ``level``: parts 0; chapters, other specials and other titles 1 inside a part, else 0; sections 2; specials
+    outside all parts 0 and end the part; those that belong to a chapter 2; other titles of few tokens 0."""
+    from lectern.functions.marks import title_kind
+
+    w = Window.partitionBy(by).orderBy(order)
+    d = chapters.withColumn("_kind", title_kind(F.col(title))).withColumn("_top", (F.col("_kind") == "special") & F.col(title).rlike(OUTSIDE))
+    d = d.withColumn("_in", F.coalesce(F.last(F.when(F.col("_kind") == "part", 1).when(F.col("_top"), 0), ignorenulls=True).over(w), F.lit(0)))
+    level = (
+        F.when((F.col("_kind") == "part") | F.col("_top"), 0)
+        .when((F.col("_kind") == "section") | ((F.col("_kind") == "special") & F.col(title).rlike(BELONGING)), 2)
+        .when((F.col("_kind") == "plain") & (F.col(tokens) < least), 0)
+        .otherwise(F.col("_in"))
+    )
+    return d.withColumn("level", level.cast("long")).drop("_kind", "_top", "_in")
