@@ -148,9 +148,11 @@ def test_op8(spark, texts):
     assert got == {i: (f"{fps[i]:016x}", find(i)) for i in fps}
 
 
-def test_op9(spark, texts):
-    """Every assignment of a long hexadecimal value to a telling name in the documents is found, at its place."""
-    want = {(i, m.start(1), m[1]) for i, x in texts.items() for m in re.finditer(r"(?i)(?:token|password|secret|api_key)[\"']?\s*[:=]\s*[\"']?([0-9a-f]{16,})", x)}
-    got = {(r["doc_id"], r["start"], r["length"]) for r in rows(spark, "op9_secret_scan")}
-    assert {(i, a, len(v)) for i, a, v in want} <= got and want
-    assert len(got) <= 1.2 * len(want)
+def test_op9(spark):
+    """Every assignment of a long hexadecimal value to a telling name in the documents is found, at its place. The
+    smallest tables hold none, so these are the next ones."""
+    larger = SF.replace("sf0.001", "sf0.01")
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{larger}/documents.parquet").select("doc_id", "text").collect()}
+    want = {(i, m.start(1), len(m[1])) for i, x in texts.items() for m in re.finditer(r"(?i)(?:token|password|secret|api_key)[\"']?\s*[:=]\s*[\"']?([0-9a-f]{16,})", x)}
+    got = {(r["doc_id"], r["start"], r["length"]) for r in queries.op9_secret_scan(spark, larger).collect()}
+    assert want and want <= got and len(got) <= 1.2 * len(want)
