@@ -104,9 +104,12 @@ def fuzzy_first_match(left: DataFrame, right: DataFrame, left_key: str, right_ke
     whose authors hold one another or are empty; titles and authors in their normal form, empty titles match nothing."""
     from lectern.functions.text import normal_author, normal_title
 
-    a = left.select(left_key, normal_title(F.col(title)).alias("_ta"), normal_author(F.coalesce(author, F.lit(""))).alias("_aa"))
-    b = right.select(right_key, normal_title(F.col(title)).alias("_tb"), normal_author(F.coalesce(author, F.lit(""))).alias("_ab"))
+    rows = left.select(left_key, normal_title(F.col(title)).alias("_ta"), normal_author(F.coalesce(author, F.lit(""))).alias("_aa"))
+    a = rows.select("_ta", "_aa").distinct()
+    # Of equal titles and authors the first row alone can be a match.
+    b = right.select(right_key, normal_title(F.col(title)).alias("_tb"), normal_author(F.coalesce(author, F.lit(""))).alias("_ab")).groupBy("_tb", "_ab").agg(F.min(right_key).alias(right_key))
     pairs = _holders(b, a, "_tb", "_ta").unionByName(_holders(a, b, "_ta", "_tb")).where(
         (F.col("_aa") == "") | (F.col("_ab") == "") | F.contains(F.col("_aa"), F.col("_ab")) | F.contains(F.col("_ab"), F.col("_aa"))
     )
-    return pairs.groupBy(left_key).agg(F.min(right_key).alias(right_key))
+    first = pairs.groupBy("_ta", "_aa").agg(F.min(right_key).alias(right_key))
+    return rows.join(first, ["_ta", "_aa"]).select(left_key, right_key)
