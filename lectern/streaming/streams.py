@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -22,20 +22,29 @@ def append_log(stream: DataFrame, path: str, checkpoint: str):
 
 
 def incremental_index(stream: DataFrame, path: str, key: str, order: str, checkpoint: str, derive: Callable[[DataFrame], DataFrame] = lambda d: d):
-    """Keep a table of the newest row of each key. A batch's version is named by its number, so a batch that runs
-    again after a failure writes the same version anew."""
+    """Keep what derive makes of the newest row of each key. A batch writes its own rows alone, into a folder of its
+    number, so a batch that runs again after a failure writes the same folder anew; ``indexed_rows`` reads the table."""
 
     def batch(df: DataFrame, number: int) -> None:
-        spark = df.sparkSession
         fresh = derive(changes.first_of(df, key, [F.desc(order)]))
-        before = f"{path}/{number - 1:012d}"
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(before)
-        stored = spark.read.parquet(before) if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at) else fresh.limit(0)
-        changes.upsert(stored, fresh, key).write.mode("overwrite").parquet(f"{path}/{number:012d}")
+        fresh.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def indexed_rows(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """The table that incremental_index keeps: of each key all rows of the last batch that has it."""
+    rows = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
+    last = rows.groupBy(key).agg(F.max("batch").alias("batch"))
+    return rows.join(last, [key, "batch"]).select(*[c for c in rows.columns if c != "batch"])
+
+
+def compacted(spark: SparkSession, path: str, key: str, to: str) -> None:
+    """Write the table anew as one batch under another path, from which further batches can go on."""
+    last = spark.read.option("basePath", path).parquet(f"{path}/batch=*").agg(F.max("batch")).first()[0]
+    indexed_rows(spark, path, key).write.mode("overwrite").parquet(f"{to}/batch={last}")
+
+
 def latest_values(stream: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """(key, value, last): the last value of each key so far."""
     return stream.groupBy(key).agg(F.max_by(value, order).alias(value), F.max(order).alias("last"))

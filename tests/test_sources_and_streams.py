@@ -50,6 +50,9 @@ def test_sinks(spark, tmp_path):
     sinks.upsert_table(a, p, "k", "0001")
     to = sinks.upsert_table(spark.createDataFrame([(2, "c"), (3, "d")], "k long, v string"), p, "k", "0002")
     assert sorted(tuple(r) for r in spark.read.parquet(to).collect()) == [(1, "a"), (2, "c"), (3, "d")]
+    for n in (9, 10, 11):  # versions count, whatever the order of their names as text
+        to = sinks.upsert_table(spark.createDataFrame([(n, "x")], "k long, v string"), str(tmp_path / "v"), "k", f"v{n}")
+    assert spark.read.parquet(to).count() == 3
     note = sinks.directory_note(spark.createDataFrame([("d", "b.md", "two"), ("d", "a.md", None)], "directory string, name string, summary string")).first()["note"]
     assert note == "# d\n\n- [[a]]\n- [[b]] two"
 
@@ -61,8 +64,10 @@ def test_streams(spark, tmp_path):
     for _ in range(2):
         streams.incremental_index(stream(), str(tmp_path / "out"), "k", "n", str(tmp_path / "cp")).awaitTermination()
         rows.where("n >= 4").write.mode("append").parquet(str(tmp_path / "in"))
-    newest = sorted(tmp_path.glob("out/*"))[-1]
-    assert sorted((r["k"], r["v"]) for r in spark.read.parquet(str(newest)).collect()) == [(0, 40), (1, 50)]
+    held = lambda at: sorted((r["k"], r["v"]) for r in streams.indexed_rows(spark, str(tmp_path / at), "k").collect())
+    assert held("out") == [(0, 40), (1, 50)]
+    streams.compacted(spark, str(tmp_path / "out"), "k", str(tmp_path / "whole"))
+    assert held("whole") == [(0, 40), (1, 50)] and len(list(tmp_path.glob("whole/*"))) == 1
     q = streams.latest_values(stream(), "k", "n", "v").writeStream.format("memory").queryName("latest").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {r["k"]: r["v"] for r in spark.table("latest").collect()} == {0: 40, 1: 50}
