@@ -19,12 +19,15 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 
 from ._shared import kept_by
 
+#: What lies outside has normal forms and cases that follow the library's own tables alone.
+_RARE = re.compile(r"[^\x00-\u024f\u2010-\u206f\u3001-\u3029\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff]")
 _GAP = re.compile(r"[^ \t-\r][ \t-\r]")
 END, SYMBOL, LETTER, NUMBER, SPACE, WHITE, SHORT, LONG, SPACE_LAST, WHITE_LAST, UNKNOWN = range(11)
 _classes = np.full(0x110000, UNKNOWN, np.uint8)
@@ -337,7 +340,12 @@ class Encoder:
             return None
         if not self.words or not text:
             return text
-        text = text.lower() if text.isascii() else self.library.normalizer.normalize_str(text)
+        if text.isascii():
+            text = text.lower()
+        elif _RARE.search(text):
+            text = self.library.normalizer.normalize_str(text)
+        else:
+            text = unicodedata.normalize("NFC", text).lower()
         return None if any(s in text for s in self.special) else text
 
     def _run(self, texts: Sequence[str], ids: bool) -> list:
