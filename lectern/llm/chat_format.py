@@ -24,12 +24,14 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._shared import map_arrow, only, written
+from .bpe_transducer import encoder
 
 BLOCK_CHARS = 1 << 18
 _CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "[ROLE]", "[/ROLE]", "[/TURN]")
@@ -101,10 +103,11 @@ def chains(rows: DataFrame, key: str = "conv_id") -> DataFrame:
 
 
 class _Block:
-    """One block under way: its text and tokens, nodes, the open path from the root, and where its conversations end."""
+    """One block under way: its text, nodes, the open path from the root, and where its conversations end. Tokens are
+    made when it closes, those of all its turns at once."""
 
-    def __init__(self, tokenizer):
-        self.tokenizer, self.parts, self.size, self.tokens, self.nodes, self.path, self.ends = tokenizer, [], 0, [], [], [], []
+    def __init__(self):
+        self.parts, self.size, self.pieces, self.nodes, self.path, self.ends = [], 0, [], [], [], []
 
     def add(self, key, roles, texts, chain) -> None:
         shared = 0
@@ -113,25 +116,28 @@ class _Block:
         del self.path[shared:]
         for role, text, h in zip(roles[shared:], texts[shared:], chain[shared:]):
             formatted, a, z = turn_text(role, text)
-            at, first, parent = self.size, len(self.tokens), self.path[-1][1] if self.path else -1
-            up = self.nodes[parent] if self.path else None
-            above = up["ancestors"] if up else []
-            if up:  # neighbouring intervals are one
-                begin = above[-1]["begin"] if above and above[-1]["end"] == up["token_begin"] else up["token_begin"]
-                above = [*[x for x in above if x["begin"] < begin], {"begin": begin, "end": up["token_end"]}]
-            edges = [first]
-            for e in self.tokenizer.encode_batch([formatted[:a], formatted[a:z], formatted[z:]], add_special_tokens=False):
-                self.tokens += e.ids
-                edges.append(len(self.tokens))
-            self.nodes.append(
-                {"begin": at, "end": at + len(formatted), "loss_begin": at + a, "loss_end": at + z, "token_begin": first, "token_end": edges[3], "loss_token_begin": edges[1], "loss_token_end": edges[2],
-                 "position": up["position"] + up["token_end"] - up["token_begin"] if up else 0, "parent": parent, "ancestors": above}
-            )
+            at, parent = self.size, self.path[-1][1] if self.path else -1
+            self.pieces += (formatted[:a], formatted[a:z], formatted[z:])
+            self.nodes.append({"begin": at, "end": at + len(formatted), "loss_begin": at + a, "loss_end": at + z, "parent": parent})
             self.path.append((h, len(self.nodes) - 1))
             self.parts.append(formatted)
             self.size += len(formatted)
         self.ends.append((key, self.path[-1][1]))
 
+    def tokens(self, encoder) -> np.ndarray:
+        """The tokens of all nodes in order; nodes get their places, positions and ancestors."""
+        ids = list(encoder.ids(self.pieces))
+        edge = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(int).tolist()
+        for i, n in enumerate(self.nodes):
+            n["token_begin"], n["loss_token_begin"], n["loss_token_end"], n["token_end"] = edge[3 * i : 3 * i + 4]
+            up = self.nodes[n["parent"]] if n["parent"] >= 0 else None
+            above = up["ancestors"] if up else []
+            if up:  # neighbouring intervals are one
+                begin = above[-1]["begin"] if above and above[-1]["end"] == up["token_begin"] else up["token_begin"]
+                above = [*[x for x in above if x["begin"] < begin], {"begin": begin, "end": up["token_end"]}]
+            n["position"], n["ancestors"] = up["position"] + up["token_end"] - up["token_begin"] if up else 0, above
+        return np.concatenate([np.empty(0, np.uint32), *ids]).astype(np.int32)
+
 
 def blocks(rows: DataFrame, path: str, key: str = "conv_id", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(text, tokens, nodes, keys, leaves): one row a block; conversation keys[i] ends in node leaves[i]. Tokens are
@@ -141,15 +147,12 @@ def blocks(rows: DataFrame, path: str, key: str = "conv_id", block_chars: int =
     fields = [("text", T.StringType()), ("tokens", T.ArrayType(T.IntegerType())), ("nodes", T.ArrayType(NODE)), ("keys", T.ArrayType(kind)), ("leaves", T.ArrayType(T.LongType()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        tokenizer, arrow = Tokenizer.from_file(path), None
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        open_ = _Block(tokenizer)
+        open_, arrow = _Block(), None
 
         def closed(b: _Block) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([{"text": "".join(b.parts), "tokens": b.tokens, "nodes": b.nodes, "keys": [k for k, _ in b.ends], "leaves": [n for _, n in b.ends]}], schema=arrow)
+            tokens = b.tokens(encoder(path))
+            row = ["".join(b.parts)], pa.ListArray.from_arrays([0, len(tokens)], pa.array(tokens)), [b.nodes], [[k for k, _ in b.ends]], [[n for _, n in b.ends]]
+            return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(row, arrow)], schema=arrow)
 
         for b in batches:
             if arrow is None:
@@ -159,7 +162,7 @@ def blocks(rows: DataFrame, path: str, key: str = "conv_id", block_chars: int =
                 open_.add(*[c[i].as_py() for c in b.columns])
                 if open_.size + 64 * len(open_.ends) >= block_chars:
                     yield closed(open_)
-                    open_ = _Block(tokenizer)
+                    open_ = _Block()
         if open_.ends:
             yield closed(open_)
 
