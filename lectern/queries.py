@@ -43,8 +43,14 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df, dealt out where it has fewer parts than there are cores: a small file of one row group is one task's work."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def nodes(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "documents").select("doc_id", "text", "source")
+    return dealt(t(spark, d, "documents").select("doc_id", "text", "source"))
 
 
 def asked(spark: SparkSession, d: str) -> DataFrame:
