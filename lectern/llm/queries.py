@@ -79,7 +79,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_of() % 3 == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_quality_rules, op4_license_scan, op5_chat_format, op6_quality_model, op7_decontamination, op8_simhash_near_dedup, op9_secret_scan, op10_toxicity)}
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_codes import encode
+
+    return encode(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_quality_rules, op4_license_scan, op5_chat_format, op6_quality_model, op7_decontamination, op8_simhash_near_dedup, op9_secret_scan, op10_toxicity, op12_vector_codes)}
 
 #: The rules of op3 in SQL: statistics, counts of labelled rows over each cutoff, exact binomial tails, cutoffs.
 _OP3 = r"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text FROM documents),
@@ -112,4 +118,22 @@ def _op3_sql() -> str:
     return out
 
 
-ORACLE_SQL: dict[str, str] = {"op3_quality_rules": _op3_sql()}
+def _op12_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Lloyd's rounds without bounds: every distance, one assignment and one update a round."""
+    distance = "list_sum(list_transform(range(1, len(x.v) + 1), lambda i: (x.v[i] - b.v[i]) * (x.v[i] - b.v[i])))::BIGINT"
+    out = [f"""WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding::DOUBLE[], lambda x: floor(4096 * x)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ x AS MATERIALIZED (SELECT rid, vec_id, p, list_slice(v, p * len(v) // {parts} + 1, (p + 1) * len(v) // {parts}) AS v FROM kept CROSS JOIN range({parts}) AS r(p)),
+ b0 AS MATERIALIZED (SELECT p, c, v FROM x JOIN (SELECT rid, row_number() OVER (ORDER BY vec_id) - 1 AS c FROM kept QUALIFY c < {entries}) USING (rid))"""]
+    for r in range(rounds + 1):
+        out.append(f" a{r} AS MATERIALIZED (SELECT rid, p, min({distance} * {entries} + c) AS best FROM x JOIN b{r} AS b USING (p) GROUP BY ALL)")
+        if r < rounds:
+            out.append(f""" n{r} AS (SELECT p, best % {entries} AS c, i, floor(sum(v[i]) / count(*))::BIGINT AS m FROM a{r} JOIN x USING (rid, p) CROSS JOIN range(1, 99) AS d(i) WHERE i <= len(v) GROUP BY ALL),
+ b{r + 1} AS MATERIALIZED (SELECT b.p, b.c, coalesce(n.v, b.v) AS v FROM b{r} AS b LEFT JOIN (SELECT p, c, list(m ORDER BY i) AS v FROM n{r} GROUP BY ALL) AS n ON n.p = b.p AND n.c = b.c)""")
+    out.append(f""" sha AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, c)) AS codebooks_sha256 FROM b{rounds}),
+ e AS (SELECT rid, string_agg(printf('%02x', (best % {entries})::INT), '' ORDER BY p) AS code, sum(best // {entries})::BIGINT AS error FROM a{rounds} GROUP BY 1)
+ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM kept JOIN e USING (rid) CROSS JOIN sha""")
+    return ",\n".join(out[:-1]) + ",\n" + out[-1]
+
+
+ORACLE_SQL: dict[str, str] = {"op3_quality_rules": _op3_sql(), "op12_vector_codes": _op12_sql()}
