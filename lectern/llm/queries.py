@@ -85,7 +85,13 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_quality_rules, op4_license_scan, op5_chat_format, op6_quality_model, op7_decontamination, op8_simhash_near_dedup, op9_secret_scan, op10_toxicity, op12_vector_codes)}
+def op13_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .context_tree import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"), crc_of() % 7 != 2)
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_quality_rules, op4_license_scan, op5_chat_format, op6_quality_model, op7_decontamination, op8_simhash_near_dedup, op9_secret_scan, op10_toxicity, op12_vector_codes, op13_lm_score)}
 
 #: The rules of op3 in SQL: statistics, counts of labelled rows over each cutoff, exact binomial tails, cutoffs.
 _OP3 = r"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text FROM documents),
