@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,3 +114,19 @@ def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     """mapInArrow, whose functions executors can import."""
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
+
+
+def packed(rows: DataFrame, words: bool) -> DataFrame:
+    """rows(block, item, value) with all of a batch's items of a block in one row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            block, value = b.column(0).to_numpy(), b.column(2).to_numpy()
+            by = np.argsort(block, kind="stable")
+            items = b.column(1).to_pylist() if words else b.column(1).to_numpy()
+            edge = np.flatnonzero(np.concatenate(([True], block[by][1:] != block[by][:-1], [True]))) if len(by) else []
+            out = [(int(block[by[a]]), b"\n".join(items[i] for i in by[a:z].tolist()) if words else items[by[a:z]].tobytes(), value[by[a:z]].tobytes()) for a, z in zip(edge, edge[1:])]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], names=["block", "items", "value"])
+
+    return map_arrow(rows, run, "block long, items binary, value binary")

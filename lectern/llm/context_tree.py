@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ._shared import map_arrow, only, written
+from ._shared import map_arrow, only, packed, written
 
 DEPTH, ROOT, BLOCK, SLICE, STRETCH, GROUP = 5, 3, 1 << 25, 1 << 22, 1 << 21, 1 << 19
 #: Stands before a text and after it; no UTF-8 text holds this byte.
@@ -236,22 +236,6 @@ def _unpacked(blocks: DataFrame, what: str) -> DataFrame:
     return map_arrow(held, run, f"block long, item {'binary' if words else 'long'}, n long")
 
 
-def _packed(rows: DataFrame, words: bool) -> DataFrame:
-    """rows(block, item, value) with all of a batch's items of a block in one row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            block, value = b.column(0).to_numpy(), b.column(2).to_numpy()
-            by = np.argsort(block, kind="stable")
-            items = b.column(1).to_pylist() if words else b.column(1).to_numpy()
-            edge = np.flatnonzero(np.concatenate(([True], block[by][1:] != block[by][:-1], [True]))) if len(by) else []
-            out = [(int(block[by[a]]), b"\n".join(items[i] for i in by[a:z].tolist()) if words else items[by[a:z]].tobytes(), value[by[a:z]].tobytes()) for a, z in zip(edge, edge[1:])]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], names=["block", "items", "value"])
-
-    return map_arrow(rows, run, "block long, items binary, value binary")
-
-
 def _shorter(node: Column) -> Column:
     """The node of the next shorter context."""
     return F.shiftleft(F.shiftright(node, 16), 8).bitwiseOR(node.bitwiseAND(255))
@@ -304,7 +288,7 @@ def predictions(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
 
 def score_documents(docs: DataFrame, learn: Column, key: str = "doc_id", depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
     """(key, n_bytes, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every row of docs(key, text), learned
-    from those that ``learn`` names. Scores are log10 probabilities."""
+    from those that ``learn``, a condition on the key, names. Scores are log10 probabilities."""
     d = only(docs, key, "text").select(key, F.col("text").cast("binary").alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
     blocks = _blocks(d, key, depth, block)
     words = _unpacked(blocks, "words")
@@ -313,8 +297,8 @@ def score_documents(docs: DataFrame, learn: Column, key: str = "doc_id", depth:
     grams_ = _unpacked(blocks, "grams")
     told = predictions(grams_.groupBy("item").agg(F.sum("n").alias("n")), depth)
     none = F.lit(None)
-    answers = _packed(words.select("block", "item").join(counts, "item").select("block", "item", "value"), True).withColumn("kind", F.lit(0))
-    answers = answers.unionByName(_packed(grams_.select("block", "item").join(told, "item").select("block", "item", "value"), False).withColumn("kind", F.lit(1)))
+    answers = packed(words.select("block", "item").join(counts, "item").select("block", "item", "value"), True).withColumn("kind", F.lit(0))
+    answers = answers.unionByName(packed(grams_.select("block", "item").join(told, "item").select("block", "item", "value"), False).withColumn("kind", F.lit(1)))
     texts = blocks.where("text IS NOT NULL").select("block", F.lit(2).alias("kind"), none.cast("binary").alias("items"), none.cast("binary").alias("value"), "ids", "learn", "ends", "text")
     for c in ("ids", "learn", "ends", "text"):
         answers = answers.withColumn(c, none.cast(texts.schema[c].dataType))

@@ -79,6 +79,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_of() % 3 == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .alignment import align
+    from .token_counts import vocabulary
+
+    return align(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .vector_codes import encode
 
@@ -91,7 +98,7 @@ def op13_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), crc_of() % 7 != 2)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_quality_rules, op4_license_scan, op5_chat_format, op6_quality_model, op7_decontamination, op8_simhash_near_dedup, op9_secret_scan, op10_toxicity, op12_vector_codes, op13_lm_score)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_quality_rules, op4_license_scan, op5_chat_format, op6_quality_model, op7_decontamination, op8_simhash_near_dedup, op9_secret_scan, op10_toxicity, op11_token_alignment, op12_vector_codes, op13_lm_score)}
 
 #: The rules of op3 in SQL: statistics, counts of labelled rows over each cutoff, exact binomial tails, cutoffs.
 _OP3 = r"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text FROM documents),
