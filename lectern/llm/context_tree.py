@@ -37,8 +37,9 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ._shared import map_arrow, only, packed, written
+from .text_arrays import ODD
 
-DEPTH, ROOT, BLOCK, SLICE, STRETCH, GROUP = 5, 3, 1 << 25, 1 << 22, 1 << 21, 1 << 19
+DEPTH, ROOT, BLOCK, SLICE, STRETCH, GROUP = 5, 3, 1 << 25, 1 << 20, 1 << 19, 1 << 19
 #: Stands before a text and after it; no UTF-8 text holds this byte.
 EDGE, END = b"\xff", b" "
 HALF = float(np.log(0.5))
@@ -56,16 +57,50 @@ def log_kt(zeros, ones, log=np.log):
 
 
 def grams(text: np.ndarray, begin: np.ndarray, size: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(gram, text's number) of stretches of the positions begin .. begin + size of each text."""
-    edge = np.concatenate(([0], np.cumsum(size)))
-    for at in range(0, int(edge[-1]), STRETCH):
-        place = np.arange(at, min(at + STRETCH, int(edge[-1])))
-        of = np.searchsorted(edge, place, side="right") - 1
-        place += begin[of] - edge[of]
-        g = np.zeros(len(place), np.int64)
+    """(gram, text's number) of the positions begin .. begin + size of each text, in stretches; ``depth`` edges stand
+    before each text."""
+    stop = np.concatenate(([0], begin + size))
+    for low in range(depth, len(text), STRETCH):
+        high = min(low + STRETCH, len(text))
+        part = text[low - depth : high].astype(np.int64)
+        g = np.zeros(high - low, np.int64)
         for i in range(1, depth + 1):
-            g = g << 8 | text[place - i]
-        yield g << 8 | text[place], of
+            g = g << 8 | part[depth - i : len(part) - i]
+        g = g << 8 | part[depth:]
+        first, last = np.searchsorted(stop, (low, high - 1), side="right") - 1
+        of = np.repeat(np.arange(first, last + 1), np.minimum(stop[first + 1 : last + 2], high) - np.maximum(stop[first : last + 1], low))
+        real = np.arange(low, high) >= begin[of]
+        yield g[real], of[real]
+
+
+class Lookup:
+    """The value of each key by hash: whoever finds its place taken goes to the next, smaller table."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, self.values, self.tables = keys, values, []
+        rest = np.arange(len(keys), dtype=np.int32)
+        while len(rest):
+            bits = len(rest).bit_length() + 1
+            factor, table = np.uint64(ODD * (2 * len(self.tables) + 1) % (1 << 64)), np.zeros(1 << bits, np.int32)
+            slot = self._slot(keys[rest], factor, bits)
+            table[slot] = rest
+            self.tables.append((factor, bits, table))
+            rest = rest[table[slot] != rest]
+
+    @staticmethod
+    def _slot(keys: np.ndarray, factor: np.uint64, bits: int) -> np.ndarray:
+        return (keys.view(np.uint64) * factor >> np.uint64(64 - bits)).view(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """Values of keys that are all known."""
+        factor, bits, table = self.tables[0]
+        at = table[self._slot(keys, factor, bits)]
+        for factor, bits, table in self.tables[1:]:
+            gone = np.flatnonzero(self.keys[at] != keys)
+            if not len(gone):
+                break
+            at[gone] = table[self._slot(keys[gone], factor, bits)]
+        return self.values[at]
 
 
 def joined(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -190,8 +225,10 @@ def _blocks(docs: DataFrame, key: str, depth: int, block: int) -> DataFrame:
     schema = T.StructType([T.StructField("block", T.LongType()), *[T.StructField(n, T.ArrayType(t)) for n, t in (("ids", id_type), ("learn", T.BooleanType()), ("ends", T.LongType()))], *held])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
         from pyspark import TaskContext
 
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         number, held = TaskContext.get().partitionId() << 32, Held(depth)
 
         def all_of() -> pa.RecordBatch:
@@ -208,7 +245,7 @@ def _blocks(docs: DataFrame, key: str, depth: int, block: int) -> DataFrame:
                 learn = np.array(s.column(2).to_pylist(), np.int64)
                 held.add(texts, learn)
                 ends = np.cumsum([len(t) for t in texts])
-                yield pa.RecordBatch.from_pylist([{"block": number, "ids": s.column(0).to_pylist(), "learn": learn.astype(bool).tolist(), "ends": ends.tolist(), "text": b"".join(texts)}], schema=arrow)
+                yield pa.RecordBatch.from_pylist([{"block": number, "ids": s.column(0).to_pylist(), "learn": learn.astype(bool).tolist(), "ends": ends.tolist(), "text": squeeze(b"".join(texts))}], schema=arrow)
                 at = to
                 if held.bytes >= block:
                     yield all_of()
@@ -298,7 +335,7 @@ def score_documents(docs: DataFrame, learn: Column, key: str = "doc_id", depth:
     told = predictions(grams_.groupBy("item").agg(F.sum("n").alias("n")), depth)
     none = F.lit(None)
     answers = packed(words.select("block", "item").join(counts, "item").select("block", "item", "value"), True).withColumn("kind", F.lit(0))
-    answers = answers.unionByName(packed(grams_.select("block", "item").join(told, "item").select("block", "item", "value"), False).withColumn("kind", F.lit(1)))
+    answers = answers.unionByName(packed(grams_.select("block", "item").join(told, "item").select("block", "item", F.col("value").cast("float").alias("value")), False).withColumn("kind", F.lit(1)))
     texts = blocks.where("text IS NOT NULL").select("block", F.lit(2).alias("kind"), none.cast("binary").alias("items"), none.cast("binary").alias("value"), "ids", "learn", "ends", "text")
     for c in ("ids", "learn", "ends", "text"):
         answers = answers.withColumn(c, none.cast(texts.schema[c].dataType))
@@ -307,28 +344,29 @@ def score_documents(docs: DataFrame, learn: Column, key: str = "doc_id", depth:
     names = [key, "held_out", "n_bytes", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, known, found, gram, value = None, {}, [], None, None
+        import zstandard
+
+        now, known, found, value = None, {}, [], None
         for b in batches:
             kinds, blocks_ = b.column(1).to_pylist(), b.column(0).to_pylist()
             for i, (block, kind) in enumerate(zip(blocks_, kinds)):
                 if block != now:
-                    now, known, found, gram = block, {}, [], None
+                    now, known, found, value = block, {}, [], None
                 row = {c: b.column(k)[i].as_py() for k, c in enumerate(b.schema.names) if k > 1}
                 if kind == 0:
                     known.update(zip(row["items"].split(b"\n"), np.frombuffer(row["value"], np.int64).tolist()))
                     continue
                 if kind == 1:
-                    found.append((np.frombuffer(row["items"], np.int64), np.frombuffer(row["value"], np.float64)))
+                    found.append((np.frombuffer(row["items"], np.int64), np.frombuffer(row["value"], np.float32)))
                     continue
-                if gram is None:
-                    gram, value = (np.concatenate(x) for x in zip(*found))
-                    by, found = np.argsort(gram), []
-                    gram, value = gram[by], value[by]
+                if value is None:
+                    value, found = Lookup(*(np.concatenate(x) for x in zip(*found))), []
                 edge = [0, *row["ends"]]
-                texts = [row["text"][a:z] for a, z in zip(edge, edge[1:])]
+                text = zstandard.decompress(row["text"])
+                texts = [text[a:z] for a, z in zip(edge, edge[1:])]
                 score = np.zeros(len(texts))
                 for g, of in grams(*joined(texts, depth), depth):
-                    score += np.bincount(of, value[np.searchsorted(gram, g)], len(texts))
+                    score += np.bincount(of, value(g), len(texts))
                 many, seen, base = [], [], []
                 for t in texts:
                     c = np.fromiter(map(known.__getitem__, (*t.split(), END)), np.int64)
