@@ -37,3 +37,17 @@ def placed(rows: DataFrame, by: list[str], order: list[Column | str], name: str
         on = on & F.col(b).eqNullSafe(F.col(f"_k{i}"))
     j = dealt.withColumn("_own", own).join(per, on).withColumn(name, (F.col("_before") + F.col("_own")).cast("long"))
     return (j.withColumn(count, F.col("_all")) if count else j).select(*rows.columns, name, *([count] if count else []))
+
+
+def summed(rows: DataFrame, by: list[str], order: list[Column | str], value: str, name: str) -> DataFrame:
+    """With ``name``: the sum of value over the rows before this one in its group, in order (0 for the first)."""
+    order = [F.col(o) if isinstance(o, str) else o for o in order]
+    dealt = _ranges(rows, [*[F.col(b) for b in by], *order])
+    per = dealt.groupBy(*by, "_part").agg(F.coalesce(F.sum(value), F.lit(0)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = per.select(*[F.col(b).alias(f"_k{i}") for i, b in enumerate(by)], F.col("_part").alias("_p"), before.alias("_before"))
+    own = F.coalesce(F.sum(value).over(Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    on = F.col("_part") == F.col("_p")
+    for i, b in enumerate(by):
+        on = on & F.col(b).eqNullSafe(F.col(f"_k{i}"))
+    return dealt.withColumn("_own", own).join(per, on).select(*rows.columns, (F.col("_before") + F.col("_own")).alias(name))

@@ -512,10 +512,3 @@ def ag45_bars(spark, d):
 def wn9_chunks(spark, d):
     rows = N.lines(nodes(spark, d), "doc_id").withColumn("block", F.concat(F.lit("p"), X.padded(F.col("line"), 3)))
     return N.chunks(rows, "doc_id", "line", "block")
-
-
-@query()
-def wn11_page_groups(spark, d):
-    """A text's lines are its pages."""
-    pages = N.lines(nodes(spark, d), "doc_id").select("doc_id", F.col("line").alias("page"), X.token_estimate(F.col("text")).alias("tokens"))
-    return N.page_groups(pages, "doc_id", "page", "tokens", 400)
