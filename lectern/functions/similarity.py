@@ -42,8 +42,10 @@ def book_level_weight(depth: Column, has_children: Column) -> Column:
     return F.when(depth.isNull(), 0.5).when(depth == 0, 1.0).when(has_children, 0.9).otherwise(0.7)
 
 
-def vault_level_weight(depth: Column) -> Column:
-    return F.when(depth.isNull(), 0.5).when(depth == 0, 1.0).when(depth == 1, 0.8).when(depth == 2, 0.7).when(depth == 3, 0.5).otherwise(0.3)
+def vault_level_weight(depth: Column, descendants: Column) -> Column:
+    """1.0 for a root with more than two nodes below it, 0.8 for another root, then 0.7, 0.5 and 0.3 by depth; 0.5 where the
+    node is not known."""
+    return F.when(depth.isNull(), 0.5).when((depth == 0) & (descendants > 2), 1.0).when(depth == 0, 0.8).when(depth == 1, 0.7).when(depth == 2, 0.5).otherwise(0.3)
 
 
 def bigrams(text: Column) -> Column:
@@ -51,10 +53,16 @@ def bigrams(text: Column) -> Column:
     return F.when(F.length(t) >= 2, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2))))).otherwise(F.array().cast("array<string>"))
 
 
+def all_bigrams(text: Column) -> Column:
+    """Every pair of neighbouring characters, repeats included, white space apart."""
+    t = F.regexp_replace(text, r"\s+", "")
+    return F.when(F.length(t) >= 2, F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+
+
 def bigram_overlap(a: Column, b: Column) -> Column:
-    """The share of a's distinct bigrams that b has."""
-    x = bigrams(a)
-    return F.when(F.size(x) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(x, bigrams(b))) / F.size(x))
+    """The share of b's bigrams, repeats included, that a has; 0 where either has none."""
+    x, y = bigrams(a), all_bigrams(b)
+    return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).otherwise(F.size(F.filter(y, lambda g: F.array_contains(x, g))) / F.size(y))
 
 
 def string_similarity(a: Column, b: Column) -> Column:
@@ -66,6 +74,12 @@ def string_similarity(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when(F.contains(x, y) | F.contains(y, x), F.least(F.length(a), F.length(b)) / longest).otherwise(common / longest)
 
 
+def vault_recall_k(query: Column) -> Column:
+    """How many hits a search over notes recalls: 50 for under 5 characters, 30 for under 15, else 10."""
+    n = F.length(query)
+    return F.when(n < 5, 50).when(n < 15, 30).otherwise(10)
+
+
 def recall_k(query: Column, most: int, middle: int, least: int, last: int = 15) -> Column:
     """How many hits to recall by the query's length: under 5, up to ``last``, longer."""
     n = F.length(query)

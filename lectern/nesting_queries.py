@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lectern.functions import similarity as S
 from lectern.functions import text as X
 from lectern.operators import nesting as H
+from lectern.operators import notes as O
 from lectern.operators import structure as N
 from lectern.operators.ordered import placed
 from lectern.queries import _LINES, nodes, query, t
@@ -75,3 +77,29 @@ def ar2_dotted_parents(spark, d):
     i = F.col("doc_id")
     s = F.concat(number(i % 4 + 1), F.when(i % 3 > 0, F.concat(F.lit("."), number(F.floor(i / 4) % 3 + 1))).otherwise(""), F.when(i % 3 == 2, F.concat(F.lit("."), number(F.floor(i / 7) % 5 + 1))).otherwise(""))
     return H.dotted_parents(nodes(spark, d).select("source", "doc_id", s.alias("structure")), "source", "doc_id", "structure").select("doc_id", "structure", "parent")
+
+
+_WEIGHED = _LINES + """, h AS (SELECT doc_id, line, (length(text) + line) % 5 AS depth FROM ln), e AS (SELECT a.doc_id, a.line, a.depth, min(b.line) AS until FROM h a LEFT JOIN h b ON a.doc_id = b.doc_id AND b.line > a.line AND b.depth <= a.depth GROUP BY 1, 2, 3),
+ g AS (SELECT e.*, coalesce(until, n) - line - 1 AS below FROM e JOIN (SELECT doc_id, count(*) AS n FROM h GROUP BY 1) USING (doc_id))"""
+
+
+@query(f"WITH {_WEIGHED} SELECT doc_id, line, (CASE WHEN depth = 0 AND below > 2 THEN 1.0 WHEN depth = 0 THEN 0.8 WHEN depth = 1 THEN 0.7 WHEN depth = 2 THEN 0.5 ELSE 0.3 END)::DOUBLE AS weight FROM g")
+def ma7_vault_level_weight(spark, d):
+    """A text's lines as a tree of depths 0 to 4."""
+    rows = N.lines(nodes(spark, d), "doc_id").select("doc_id", "line", ((F.length("text") + F.col("line")) % 5).alias("depth"))
+    return H.descendants(rows, "doc_id", level="depth").select("doc_id", "line", S.vault_level_weight(F.col("depth"), F.col("descendants")).alias("weight"))
+
+
+_MARKED = """a AS (SELECT p_partkey AS k, CASE p_partkey % 6 WHEN 0 THEN left(p_name, 1) WHEN 1 THEN upper(p_name) WHEN 2 THEN replace(p_name, ' ', '-') WHEN 3 THEN '.' WHEN 4 THEN p_name || ' (' || p_brand || ')' ELSE p_name END AS t FROM part),
+ b AS (SELECT p_partkey AS mark, CASE WHEN p_partkey % 8 = 0 THEN string_split(p_name, ' ')[1] WHEN p_partkey % 12 = 0 THEN left(p_name, 2) ELSE replace(p_name, ' ', ' · ') END AS t FROM part WHERE p_partkey % 4 = 0)"""
+
+
+@query(f"""WITH {_MARKED}, x AS (SELECT k, lower(regexp_replace(t, '[\s\-—:：.·]', '', 'g')) AS t FROM a), y AS (SELECT mark, lower(regexp_replace(t, '[\s\-—:：.·]', '', 'g')) AS t FROM b)
+ SELECT k, coalesce(min(CASE WHEN x.t = y.t THEN mark END), min(CASE WHEN length(y.t) > 2 AND (contains(x.t, y.t) OR contains(y.t, x.t)) THEN mark END)) AS mark FROM x JOIN y ON x.t = y.t OR (length(y.t) > 2 AND (contains(x.t, y.t) OR contains(y.t, x.t))) GROUP BY 1""")
+def jn14_bookmark_of(spark, d):
+    """Titles in six forms, one of them empty in the form they are compared in, against names and first words."""
+    p, k, name = t(spark, d, "part"), F.col("p_partkey"), F.col("p_name")
+    forms = F.when(k % 6 == 0, F.left(name, F.lit(1))).when(k % 6 == 1, F.upper(name)).when(k % 6 == 2, F.replace(name, F.lit(" "), F.lit("-"))).when(k % 6 == 3, ".").when(k % 6 == 4, F.concat(name, F.lit(" ("), "p_brand", F.lit(")"))).otherwise(name)
+    marks = F.when(k % 8 == 0, F.split(name, " ")[0]).when(k % 12 == 0, F.left(name, F.lit(2))).otherwise(F.replace(name, F.lit(" "), F.lit(" · ")))
+    titles = p.select(k.alias("k"), forms.alias("title"))
+    return O.bookmark_of(titles, p.where("p_partkey % 4 = 0").select(k.alias("mark"), marks.alias("title")), "k", "mark", "title")

@@ -16,19 +16,20 @@ def toc_with_pages(toc: DataFrame, found: DataFrame, by: str, title: str, start:
 
 
 def bookmark_of(titles: DataFrame, bookmarks: DataFrame, key: str, mark: str, title: str, least: int = 3) -> DataFrame:
-    """(key, mark): a title's first bookmark of the same bare form, else the first whose bare form holds it or is
-    held by it; pairs meet on a shared bigram."""
-    from lectern.functions.similarity import bigrams
-
-    a = titles.select(key, X.bare(F.col(title)).alias("_a"))
-    b = bookmarks.select(mark, X.bare(F.col(title)).alias("_b"))
-    exact = a.join(b, F.col("_a") == F.col("_b")).groupBy(key).agg(F.min(mark).alias("_x"))
-    head = lambda c: F.substring(c, 1, 2)
-    long = lambda c: F.length(c) >= least
-    up = a.where(long("_a")).withColumn("_g", F.explode(bigrams(F.col("_a")))).join(b.where(long("_b")).withColumn("_g", head("_b")), "_g").where(F.contains("_a", "_b"))
-    down = b.where(long("_b")).withColumn("_g", F.explode(bigrams(F.col("_b")))).join(a.where(long("_a")).withColumn("_g", head("_a")), "_g").where(F.contains("_b", "_a"))
-    part = up.select(key, mark).unionByName(down.select(key, mark)).groupBy(key).agg(F.min(mark).alias("_y"))
-    return a.select(key).join(exact, key, "left").join(part, key, "left").select(key, F.coalesce("_x", "_y").alias(mark)).where(F.col(mark).isNotNull())
+    """(key, mark): a title's first bookmark of the same form (without blanks and ``-—:：.·``, in lower case), else the first
+    of ``least`` characters or more that holds the title or is held by it; an empty title is held by all of these."""
+    from lectern.operators.changes import _holders
+
+    form = F.regexp_replace(F.lower(title), r"[\s\-—:：.·]", "")
+    a = titles.select(key, form.alias("_a"))
+    b = bookmarks.groupBy(form.alias("_b")).agg(F.min(mark).alias(mark))  # of equal forms the first alone can be met
+    long = b.where(F.length("_b") >= least)
+    forms = a.select("_a").distinct()
+    held = _holders(long, forms, "_b", "_a").select("_a", mark).unionByName(_holders(forms.where("_a <> ''"), long, "_a", "_b").select("_a", mark))
+    empty = forms.where("_a = ''").crossJoin(F.broadcast(long.agg(F.min(mark).alias(mark)).where(F.col(mark).isNotNull())))  # a row at most on either side
+    part = held.unionByName(empty).groupBy("_a").agg(F.min(mark).alias("_y"))
+    exact = b.select(F.col("_b").alias("_a"), F.col(mark).alias("_x"))
+    return a.join(exact, "_a", "left").join(part, "_a", "left").select(key, F.coalesce("_x", "_y").alias(mark)).where(F.col(mark).isNotNull())
 
 
 def with_popularity(highlights: DataFrame, popular: DataFrame, keys: list[str], count: str = "readers") -> DataFrame:
@@ -48,9 +49,12 @@ def merged_facts(old: DataFrame, new: DataFrame, dimension: str, fact: str) -> D
     return first.groupBy(dimension).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", fact))), lambda x: x[fact]), "；").alias("facts"))
 
 
-def substantive_score(blocks: DataFrame, by: str, text: str) -> DataFrame:
-    """(by, score): the best block's 20 + min(length / 10, 30) + 15."""
-    return blocks.groupBy(by).agg(F.round(F.max(F.lit(35.0) + F.least(F.length(text) / 10, F.lit(30.0))), 4).alias("score"))
+def substantive_score(blocks: DataFrame, by: str, block: str, text: str) -> DataFrame:
+    """(by, score): the best block's 20 with a block id, a tenth of its length up to 30, 15 over 20 characters; 0 where no
+    block has an id."""
+    named, size = F.coalesce(F.col(block), F.lit("")) != "", F.length(F.coalesce(text, F.lit("")))
+    best = F.max(F.when(named, 20.0).otherwise(0.0) + F.least(size / 10, F.lit(30.0)) + F.when(size > 20, 15.0).otherwise(0.0))
+    return blocks.groupBy(by).agg(F.round(F.when(F.max(named), best).otherwise(0.0), 4).alias("score"))
 
 
 def sync_counters(log: DataFrame, status: str) -> DataFrame:

@@ -14,9 +14,21 @@ from lectern.operators import vectors as V
 CARD_BOUND = 0.3
 
 
-def _best(hits: DataFrame, query: str, key: str, depth: DataFrame) -> DataFrame:
-    """Each query's hits down to its own depth(query, _k)."""
-    return L.top(hits, query, key, 1 << 30).join(depth, query).where(F.col("rank") <= F.col("_k")).drop("rank", "_k")
+#: The deepest recall there is: 50 hits, five times as many in a scope; of chunks three times as many.
+DEEPEST = 250
+
+
+def _best(hits: DataFrame, query: str, key: str, depth: DataFrame, times: int = 1) -> DataFrame:
+    """Each query's hits down to ``times`` its own depth(query, _k)."""
+    return L.top(hits, query, key, DEEPEST * times).join(depth, query).where(F.col("rank") <= F.col("_k") * times).drop("rank", "_k")
+
+
+def _chunks(vectors: DataFrame, query_vectors: DataFrame, key: str, query: str, depth: DataFrame) -> DataFrame:
+    """(query, block, key, score): three times as many L2 chunks as a query's depth; where it met none, its depth of L1."""
+    scores = V.cosine_scores(vectors.withColumnRenamed(key, "_node"), query_vectors, "block", query).join(vectors.select("block", key, F.coalesce("level", F.lit("L2")).alias("level")), "block")
+    two = _best(scores.where("level = 'L2'"), query, "block", depth, 3)
+    one = _best(scores.where("level = 'L1'").join(two.select(query), query, "left_anti"), query, "block", depth)
+    return two.unionByName(one)
 
 
 def recall_depth(queries: DataFrame, scope: DataFrame | None, query: str) -> DataFrame:
@@ -34,7 +46,8 @@ def book_search(
 ) -> DataFrame:
     """(query, key, score, bm25, vector, card, level, rank, blocks) of queries(query, text).
 
-    vectors(block, key, vector) are a node's chunks, cards(card, key, vector) its propositions, query_vectors(query,
+    vectors(block, key, vector, level) are a node's chunks, of level L2 where nothing else is said (those of L1 stand in for a
+    query that meets none of L2, and name no blocks), cards(card, key, vector) its propositions, query_vectors(query,
     vector) the queries'; scope(query, key) limits a query unless nothing recalled lies in it; tree(key, depth,
     has_children) gives level weights; rerank is a score of (query, key) as a column. Cards add to what the other
     signals recall, but recall nothing of their own."""
@@ -42,8 +55,7 @@ def book_search(
     signals = {"bm25": _best(L.bm25_scores(index, queries, key, query), query, key, depth)}
     chunks = None
     if vectors is not None and query_vectors is not None:
-        chunks = _best(V.cosine_scores(vectors.withColumnRenamed(key, "_node"), query_vectors, "block", query), query, "block", depth)
-        chunks = chunks.join(vectors.select("block", key), "block")
+        chunks = _chunks(vectors if "level" in vectors.columns else vectors.withColumn("level", F.lit("L2")), query_vectors, key, query, depth)
         signals["vector"] = V.pooled(chunks, query, key).select(query, key, "score")
         if cards is not None:
             near = _best(V.cosine_scores(cards.withColumnRenamed(key, "_node"), query_vectors, "card", query), query, "card", depth)
@@ -67,4 +79,4 @@ def book_search(
     best = L.top(scored, query, key, k)
     if chunks is None:
         return best.withColumn("blocks", F.lit(None).cast("string"))
-    return best.join(U.block_to_node(chunks, query, key, "block", blocks).select(query, key, "blocks"), [query, key], "left")
+    return best.join(U.block_to_node(chunks.where("level = 'L2'"), query, key, "block", blocks).select(query, key, "blocks"), [query, key], "left")

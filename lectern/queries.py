@@ -71,12 +71,18 @@ def item_vectors(spark: SparkSession, d: str) -> DataFrame:
     return vectors(spark, d).select(F.col("doc_id").alias("item_id"), "vector").join(asked(spark, d).select("item_id"), "item_id", "left_semi")
 
 
-_STORED: dict[tuple[str, str], str] = {}
+_STORED: dict[tuple, str] = {}
+
+
+def state_of(df: DataFrame) -> tuple:
+    """The files a table is read from with their sizes and times: another table, or the same one written anew, differs."""
+    m = df.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    return tuple(sorted((r[0], r[1], str(r[2])) for r in m.collect()))
 
 
 def index(spark: SparkSession, d: str) -> L.Index:
-    """The lexical index of the documents, built once a session and table, then read."""
-    at = (spark.sparkContext.applicationId, d)
+    """The lexical index of the documents, built once a session and state of the table, then read."""
+    at = (spark.sparkContext.applicationId, state_of(t(spark, d, "documents")))
     if at not in _STORED:
         path = f"{work_dir(spark)}/lexical-{uuid.uuid4().hex}"
         L.write_index(nodes(spark, d), "doc_id", path)
@@ -191,7 +197,7 @@ def fp2_scope_fallback(spark, d):
 _RT5 = f"""WITH {_BM25}, {_COS}, scope AS (SELECT item_id, doc_id FROM documents CROSS JOIN benchmark WHERE source IN ('src1', 'src2') AND item_id % 2 = 0),
  dep AS (SELECT item_id, CASE WHEN length(text) < 5 THEN 50 WHEN length(text) <= 15 THEN 30 ELSE 15 END * CASE WHEN item_id % 2 = 0 THEN 5 ELSE 1 END AS k FROM benchmark),
  b AS (SELECT item_id, doc_id, score FROM bm JOIN dep USING (item_id) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= k),
- ch AS (SELECT item_id, doc_id AS block, doc_id // 2 AS doc_id, score FROM cs JOIN dep USING (item_id) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, cs.doc_id) <= k),
+ ch AS (SELECT item_id, cs.doc_id AS block, cs.doc_id // 2 AS doc_id, score FROM cs JOIN embeddings e ON cs.doc_id = e.vec_id JOIN dep USING (item_id) WHERE {{0}} QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, cs.doc_id) <= {{1}} * k),
  v AS (SELECT item_id, doc_id, max(score) AS score FROM ch GROUP BY 1, 2),
  ca AS (SELECT item_id, cs.doc_id, score FROM cs JOIN embeddings e ON cs.doc_id = e.vec_id JOIN dep USING (item_id) WHERE label < 3 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, cs.doc_id) <= k),
  c AS (SELECT item_id, doc_id, max(score) AS score FROM ca WHERE score > 0.3 GROUP BY 1, 2),
@@ -200,15 +206,13 @@ _RT5 = f"""WITH {_BM25}, {_COS}, scope AS (SELECT item_id, doc_id FROM documents
  m AS (SELECT f.*, max((scope.doc_id IS NOT NULL)::INT) OVER (PARTITION BY f.item_id) AS anyin, scope.doc_id IS NOT NULL AS inn FROM f LEFT JOIN scope ON f.item_id = scope.item_id AND f.doc_id = scope.doc_id),
  w AS (SELECT *, CASE WHEN doc_id NOT IN (SELECT doc_id FROM documents) THEN 0.5 WHEN doc_id % 7 = 0 THEN 1.0 WHEN doc_id % 3 = 0 THEN 0.9 ELSE 0.7 END AS level FROM m WHERE inn OR anyin = 0), x AS (SELECT *, round(rrf * level, 9) AS s0 FROM w),
  y AS (SELECT item_id, doc_id, bm25, vector, card, level, round(CASE WHEN row_number() OVER (PARTITION BY item_id ORDER BY s0 DESC, doc_id) <= 20 THEN 0.5 * (doc_id % 100 / 100.0) + 0.5 * s0 ELSE s0 END, 9) AS score FROM x), {_topk('y', 5, name='z')},
- bl AS (SELECT item_id, doc_id, block, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY score DESC, block) AS p FROM ch), bs AS (SELECT item_id, doc_id, string_agg(block::VARCHAR, ',' ORDER BY p) AS blocks FROM bl WHERE p <= 3 GROUP BY 1, 2)
+ bl AS (SELECT item_id, doc_id, block, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY score DESC, block) AS p FROM ch WHERE {{1}} = 3), bs AS (SELECT item_id, doc_id, string_agg(block::VARCHAR, ',' ORDER BY p) AS blocks FROM bl WHERE p <= 3 GROUP BY 1, 2)
  SELECT item_id, doc_id, round(score, 7) AS score, bm25, vector, card, level::DOUBLE AS level, rank, blocks FROM z LEFT JOIN bs USING (item_id, doc_id)"""
 
 
-@query(_RT5)
-def rt5_hybrid_search(spark, d):
-    """All eight stages: even items have a scope, cards are the vectors of three labels, levels and re-ranking by id."""
+def _hybrid(spark, d, level):
     e = vectors(spark, d)
-    chunks = e.select(F.col("doc_id").alias("block"), F.floor(F.col("doc_id") / 2).alias("doc_id"), "vector")
+    chunks = e.select(F.col("doc_id").alias("block"), F.floor(F.col("doc_id") / 2).alias("doc_id"), "vector", level.alias("level"))
     cards = e.where("label < 3").select(F.col("doc_id").alias("card"), "doc_id", "vector")
     tree = nodes(spark, d).select("doc_id", F.when(F.col("doc_id") % 7 == 0, 0).otherwise(1).alias("depth"), (F.col("doc_id") % 3 == 0).alias("has_children"))
     scope = nodes(spark, d).where("source in ('src1', 'src2')").select("doc_id").crossJoin(F.broadcast(asked(spark, d).where("item_id % 2 = 0").select("item_id")))
@@ -216,6 +220,19 @@ def rt5_hybrid_search(spark, d):
     return found.withColumn("score", F.round("score", 7))
 
 
+@query(_RT5.replace("{0}", "label <> 9").replace("{1}", "3"))
+def rt5_hybrid_search(spark, d):
+    """All eight stages: even items have a scope, cards are the vectors of three labels, chunks of label 9 are of another
+    level, levels and re-ranking by id."""
+    return _hybrid(spark, d, F.when(F.col("label") == 9, "L1").otherwise("L2"))
+
+
+@query(_RT5.replace("{0}", "true").replace("{1}", "1"))
+def rt5_without_chunks(spark, d):
+    """An index of the older form: no L2 chunks, so L1 stands in, as deep as the other signals and without blocks."""
+    return _hybrid(spark, d, F.lit("L1"))
+
+
 @query(f"""WITH {_BM25}, {_topk('bm', 20, name='b')}, k AS (SELECT item_id % 5 AS grp, item_id, doc_id, score FROM b), g AS (SELECT grp, doc_id, max(score) AS best, count(DISTINCT item_id) AS hits FROM k GROUP BY 1, 2)
  SELECT grp, doc_id, best, hits, round(best + 0.1 * hits + CASE WHEN doc_id % 10 = 0 THEN 0.2 ELSE 0 END, 6) AS score FROM g""")
 def rt11_keyword_fusion(spark, d):
@@ -464,13 +481,15 @@ def dt1_duration(spark, d):
     return t(spark, d, "orders").select("o_orderkey", X.duration_text(F.col("o_orderkey")).alias("duration"))
 
 
-@query("SELECT item_id, CASE WHEN length(text) < 5 THEN 50 WHEN length(text) <= 150 THEN 30 ELSE 15 END AS k FROM benchmark")
+@query("WITH q AS (SELECT item_id, left(text, (item_id % 20)::INT) AS q FROM benchmark) SELECT item_id, CASE WHEN length(q) < 5 THEN 50 WHEN length(q) <= 15 THEN 30 ELSE 15 END AS book_k, CASE WHEN length(q) < 5 THEN 50 WHEN length(q) < 15 THEN 30 ELSE 10 END AS vault_k FROM q")
 def tk3_dynamic_k(spark, d):
-    return asked(spark, d).select("item_id", S.recall_k(F.col("text"), 50, 30, 15, 150).alias("k"))
+    """Queries of 0 to 19 characters: the depths of a book's search and of a search over notes."""
+    q = F.left("text", (F.col("item_id") % 20).cast("int"))
+    return asked(spark, d).select("item_id", S.recall_k(q, 50, 30, 15).alias("book_k"), S.vault_recall_k(q).alias("vault_k"))
 
 
-@query("""WITH p AS (SELECT p_partkey, lower(p_name) AS a, lower(p_type) AS b FROM part), g AS (SELECT p_partkey, list_distinct(list_transform(range(1, length(replace(a, ' ', ''))), lambda i: substr(replace(a, ' ', ''), i, 2))) AS x,
- list_distinct(list_transform(range(1, length(replace(b, ' ', ''))), lambda i: substr(replace(b, ' ', ''), i, 2))) AS y FROM p) SELECT p_partkey, round(CASE WHEN len(x) = 0 THEN 0 ELSE len(list_intersect(x, y)) / len(x) END, 6) AS overlap FROM g""")
+@query("""WITH p AS (SELECT p_partkey, lower(p_name) AS a, lower(p_type) AS b FROM part), g AS (SELECT p_partkey, list_transform(range(1, length(replace(a, ' ', ''))), lambda i: substr(replace(a, ' ', ''), i, 2)) AS x,
+ list_transform(range(1, length(replace(b, ' ', ''))), lambda i: substr(replace(b, ' ', ''), i, 2)) AS y FROM p) SELECT p_partkey, round(CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0 ELSE len(list_filter(y, lambda g: list_contains(x, g))) / len(y) END, 6) AS overlap FROM g""")
 def ma11_bigram_overlap(spark, d):
     return t(spark, d, "part").select("p_partkey", F.round(S.bigram_overlap(F.lower("p_name"), F.lower("p_type")), 6).alias("overlap"))
 

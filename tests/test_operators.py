@@ -58,7 +58,7 @@ def test_bm25(spark, tmp_path):
     w = lambda df: math.log(1 + (total - df + 0.5) / (df + 0.5)) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * 2 / mean))
     assert got == {1: round(w(2) + w(1), 6), 2: round(w(2), 6)}
     L.write_index(nodes, "id", f"{tmp_path}/index", 4, 2)
-    stored = L.read_index(spark, f"{tmp_path}/index", 4)
+    stored = L.read_index(spark, f"{tmp_path}/index")
     assert {r["id"]: r["score"] for r in L.bm25_search(stored, asked, "id", "q").collect()} == got
     deep = L.bm25_search(stored, asked, "id", "q", F.length("text") - 10)
     assert [r["id"] for r in deep.collect()] == [1]
