@@ -5,10 +5,6 @@ A slice of texts becomes two rows of tokens over one run of bytes. The ends of e
 bytes lies in one token of either row, and two tokens share at most one). Running sums of the three marks, read at the
 documents' own ends, give every document's figures.
 
-Neither tokenizer joins a blank to the character before it, so texts fall into chunks (a blank and what follows)
-that are encoded by themselves; a worker keeps the tokens of the chunks it has met, up to ``CHUNKS``. That no piece
-of B's vocabulary holds a blank after another character is looked up, not taken for granted: otherwise texts stay whole.
-
 A slice is written with its links as numbers of its own distinct (A id, B id) pairs. Corpus counts are one ``groupBy``
 over slices' pairs; the highest count of a B id is a row an id of the vocabulary (32,000 at most) and goes to all.
 Counts return to the slices that asked, packed.
@@ -20,7 +16,10 @@ extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import json
+import os
 import re
 from collections.abc import Iterator
 
@@ -34,74 +33,56 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ._shared import kept_by, map_arrow, only, packed, written
 
-SLICE, CHUNKS = 1 << 22, 300_000
-_CUT = re.compile(r"(?<=\S)(?= )")
+SLICE, AT_ONCE = 1 << 20, 16
+#: A run that might be one word of more than so many characters: merging by ranks takes its square.
+RUN = re.compile(r"\S{2000}|\s{2000}")
 BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
 class Tokens:
-    """Of chunks that were met: both tokenizers' ids and their byte lengths, flat, and whether they spell the chunk."""
+    """Both tokenizers: ids of whole texts, and the bytes of every id.
+
+    A byte-level file whose merges make tokens in the order of their ids is the same encoding by ranks, which
+    ``tiktoken`` runs faster; texts with characters that its expressions may class by another Unicode table, and
+    files of another kind, go to the library of the file."""
 
     def __init__(self, a_path: str, b_path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import sentencepiece
+        import tiktoken
+        from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
 
-        from .bpe_transducer import _unicode_bytes
+        from .bpe_transducer import _RARE, _unicode_bytes
 
-        self.a, self.b = Tokenizer.from_file(a_path), sentencepiece.SentencePieceProcessor(model_file=b_path)
+        self.rare, self.a, self.b = _RARE, Tokenizer.from_file(a_path), sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.a.encode_special_tokens = True
         self.a.no_truncation()
         self.a.no_padding()
-        to_byte = _unicode_bytes()
-        vocab = self.a.get_vocab()
-        self.a_bytes = [b""] * (max(vocab.values()) + 1)
+        to_byte, vocab = _unicode_bytes(), self.a.get_vocab()
+        a_bytes = [b""] * (max(vocab.values()) + 1)
         for t, i in vocab.items():
-            self.a_bytes[i] = bytes(to_byte[c] for c in t) if all(c in to_byte for c in t) else t.encode()
+            a_bytes[i] = bytes(to_byte[c] for c in t) if all(c in to_byte for c in t) else t.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.b_bytes = [bytes([int(m[1], 16)]) if (m := BYTE.fullmatch(p)) else p.replace("▁", " ").encode() for p in pieces]
-        self.cuts = not any(re.search("[^▁]▁", p) for p in pieces)
-        self.forget()
-
-    def forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.spelled = np.zeros(0, bool)
-        self.ids = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
-        self.size = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
-        self.start = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
-        self.many = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
-
-    def chunks(self, text: str) -> list[str]:
-        return _CUT.split(" " + text) if self.cuts else [" " + text]
-
-    def learn(self, chunks: list[str]) -> None:
-        """Encode the chunks that were not met before."""
-        if len(self.number) > CHUNKS:
-            self.forget()
-        new = [c for c in dict.fromkeys(chunks) if c not in self.number]
-        if not new:
-            return
-        for c in new:
-            self.number[c] = len(self.number)
-        raw = [c.encode("utf-8", "surrogatepass") for c in new]
-        both = [[e.ids for e in self.a.encode_batch(new, add_special_tokens=False)], self.b.encode([c[1:] for c in new], num_threads=1)]
-        if " " in new:  # the blank at a text's end: of nothing at all the library makes no token
-            both[1][new.index(" ")] = [self.b.piece_to_id("▁")]
-        fine = np.ones(len(new), bool)
-        for k, (found, table) in enumerate(zip(both, (self.a_bytes, self.b_bytes))):
-            fine &= np.fromiter((bool(ids) and all(table[i] for i in ids) and b"".join([table[i] for i in ids]) == r for ids, r in zip(found, raw)), bool, len(new))
-            many = np.fromiter(map(len, found), np.int64, len(new))
-            flat = np.fromiter((i for ids in found for i in ids), np.int64, int(many.sum()))
-            self.start[k] = np.concatenate((self.start[k], len(self.ids[k]) + np.cumsum(many) - many))
-            self.many[k] = np.concatenate((self.many[k], many))
-            self.ids[k] = np.concatenate((self.ids[k], flat))
-            self.size[k] = np.concatenate((self.size[k], np.array([len(x) for x in table], np.int64)[flat]))
-        self.spelled = np.concatenate((self.spelled, fine))
-
-    def rows(self, k: int, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, byte lengths) of tokenizer k's tokens of chunks one after the other."""
-        many = self.many[k][number]
-        at = np.repeat(self.start[k][number] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-        return self.ids[k][at], self.size[k][at]
+        b_bytes = [bytes([int(m[1], 16)]) if (m := BYTE.fullmatch(p)) else p.replace("▁", " ").encode() for p in pieces]
+        self.bytes = (a_bytes, b_bytes)
+        self.sizes = [np.array([len(x) for x in table], np.int64) for table in self.bytes]
+        with open(a_path, encoding="utf-8") as f:
+            whole = json.load(f)
+        model, before = whole["model"], whole["pre_tokenizer"]
+        made = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        ranked = before["type"] == "ByteLevel" and not before.get("add_prefix_space") and not whole["normalizer"] and not model.get("end_of_word_suffix") and made == sorted(made)
+        special = {t.content for t in self.a.get_added_tokens_decoder().values()}
+        ranks = {a_bytes[i]: i for t, i in vocab.items() if t not in special}
+        self.ranked = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if ranked else None
+        gc.collect()  # what the file was read into
+
+    def ids(self, texts: list[str]) -> tuple[list, list]:
+        """Of each text A's ids, with a blank before it, and B's, which adds the blank itself."""
+        slow = [i for i, t in enumerate(texts) if self.ranked is None or self.rare.search(t) or RUN.search(t)]
+        by_library = dict(zip(slow, self.a.encode_batch_fast([" " + texts[i] for i in slow], add_special_tokens=False)))
+        a = [by_library[i].ids if i in by_library else self.ranked.encode_ordinary(" " + t) for i, t in enumerate(texts)]
+        return a, self.b.encode(texts, num_threads=1)
 
 
 class Aligned:
@@ -111,14 +92,14 @@ class Aligned:
         self.ids, last, total = (a[0], b[0]), (np.cumsum(a[1]), np.cumsum(b[1])), int(ends[-1]) if len(ends) else 0
         mark = [np.bincount(e, minlength=total + 1).astype(bool) for e in last]
         both, either = mark[0] & mark[1], mark[0] | mark[1]
-        self.cut = np.cumsum(both)
-        so_far = [np.cumsum(m) for m in mark]
+        self.cut = np.cumsum(both, dtype=np.int32)
+        so_far = [np.cumsum(m, dtype=np.int32) for m in mark]
         place = np.flatnonzero(either)
         self.link = [ids[(s - m)[place]] for ids, s, m in zip(self.ids, so_far, mark)]
         self.group = [self.cut[e] - both[e] for e in last]
-        of = lambda sums: np.diff(sums[ends], prepend=0)
+        of = lambda sums: np.diff(sums[ends], prepend=0).astype(np.int64)
         self.n = [of(s) for s in so_far]
-        self.n_groups, self.n_links = of(self.cut), of(np.cumsum(either))
+        self.n_groups, self.n_links = of(self.cut), of(np.cumsum(either, dtype=np.int32))
 
     def spelled_out(self) -> tuple[np.ndarray, np.ndarray]:
         """The groups of all texts as ``a1,a2|b1;a3|b2,b3;`` in bytes, and each text's length in it."""
@@ -159,18 +140,18 @@ def _decimals() -> tuple[np.ndarray, np.ndarray]:
 
 def aligned(texts: list[str | None], tokens: Tokens) -> Aligned:
     """All texts at once; those without tokens have zeros."""
-    cut = [tokens.chunks(t) if t else [] for t in texts]
-    tokens.learn([c for chunks in cut for c in chunks])
-    many = np.fromiter(map(len, cut), np.int64, len(cut))
-    number = np.fromiter((tokens.number[c] for chunks in cut for c in chunks), np.int64, int(many.sum()))
-    of = np.repeat(np.arange(len(cut)), many)
-    bad = np.zeros(len(cut), bool)
-    bad[of[~tokens.spelled[number]]] = True
-    keep = ~bad[of]
-    number, of = number[keep], of[keep]
-    a, b = tokens.rows(0, number), tokens.rows(1, number)
-    size = np.add.reduceat(a[1], np.cumsum(tokens.many[0][number]) - tokens.many[0][number]) if len(number) else np.zeros(0)
-    return Aligned(a, b, np.cumsum(np.bincount(of, size, len(cut))).astype(np.int64))
+    at, size = [i for i, t in enumerate(texts) if t], np.zeros(len(texts), np.int64)
+    flat: tuple[list, list] = ([], [])
+    for few in range(0, len(at), AT_ONCE):  # lists of ids are many times their arrays
+        some = at[few : few + AT_ONCE]
+        for i, *ids in zip(some, *tokens.ids([texts[i] for i in some])):
+            raw = (" " + texts[i]).encode("utf-8", "surrogatepass")
+            if all(b"".join([table[x] for x in own]) == raw for own, table in zip(ids, tokens.bytes)):
+                size[i] = len(raw)
+                for held, own in zip(flat, ids):
+                    held.append(np.array(own, np.int32))
+    a, b = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in flat)
+    return Aligned((a, tokens.sizes[0][a]), (b, tokens.sizes[1][b]), np.cumsum(size))
 
 
 def _pack(a: np.ndarray, b: np.ndarray) -> np.ndarray:
