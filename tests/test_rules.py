@@ -1,8 +1,9 @@
-"""Queries over small literal tables, Chinese texts among them, that the shared tables do not hold: a rule's input rows,
-and as SQL the rows that the rule gives by its definition."""
+"""Rules over a few literal rows, Chinese texts among them, that the shared tables do not hold, and the rows that each
+gives by its definition. The registered queries of these rules run over whole tables."""
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import intents as I
@@ -20,30 +21,14 @@ from lectern.operators import sessions as M
 from lectern.operators import structure as N
 from lectern.operators import trees as G
 from lectern.plans import library as B
-from lectern.queries import query
 
 
-def _literal(v) -> str:
-    if v is None:
-        return "NULL"
-    if isinstance(v, bool):
-        return str(v).upper()
-    if isinstance(v, int):
-        return f"{v}::BIGINT"
-    return f"{v}::DOUBLE" if isinstance(v, float) else "'" + v.replace("'", "''") + "'"
+RULES: list[tuple] = []
 
 
 def fixture(name: str, schema: str, rows: list[tuple], f, columns: str, expected: list[tuple]) -> None:
-    """Register f over the rows; its SQL is the expected rows. Integers come out as long."""
-
-    def run(spark, d):
-        out = f(spark.createDataFrame(rows, schema))
-        return out.select(*[F.col(c).cast("long") if t in ("int", "smallint") else F.col(c) for c, t in out.dtypes])
-
-    run.__name__ = name
-    names = ", ".join(f'"{c.strip()}"' for c in columns.split(","))
-    values = ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in expected)
-    query(f"SELECT * FROM (VALUES {values}) AS expected({names})")(run)
+    """A rule over a few rows and the rows that it gives by its definition. Integers come out as long."""
+    RULES.append((name, schema, rows, f, [c.strip() for c in columns.split(",")], expected))
 
 
 def texts(name: str, column, pairs: list[tuple]) -> None:
@@ -300,3 +285,12 @@ fixture(
     lambda d: d.select("id", U.search_phase(*[F.col(x) for x in ("r", "top", "most", "c", "b", "n", "f")]).alias("phase")), "id, phase", [(0, "none"), (1, "stop"), (2, "hybrid"), (3, "hybrid"), (4, "keep"), (5, "hybrid")],
 )
 fixture("st8_searched_blocks", "id long, a array<string>, b array<string>", [(0, ["p1", "p2"], ["p2", "p3"]), (1, [], ["p9"]), (2, ["p1"], [])], lambda d: d.select("id", joined(F.array_union("a", "b"), ",").alias("blocks")), "id, blocks", [(0, "p1,p2,p3"), (1, "p9"), (2, "p1")])
+
+
+@pytest.mark.parametrize("name, schema, rows, f, columns, expected", RULES, ids=[r[0] for r in RULES])
+def test_rule(spark, name, schema, rows, f, columns, expected):
+    out = f(spark.createDataFrame(rows, schema))
+    assert sorted(out.columns) == sorted(columns)
+    plain = lambda v: round(float(v), 5) if isinstance(v, float) else v
+    got = sorted((tuple(plain(r[c]) for c in columns) for r in out.collect()), key=str)
+    assert [tuple(float(v) if isinstance(w, float) else v for v, w in zip(g, e)) for g, e in zip(got, sorted(map(tuple, expected), key=str))] == sorted((tuple(map(plain, e)) for e in expected), key=str) and len(got) == len(expected)
