@@ -30,10 +30,20 @@ NAMES = "token|secret|passwd|password|pwd|passphrase|api[_-]?key|access[_-]?key|
 KNOWN = (
     r"AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_-]{20}|xox[abprs]-[A-Za-z0-9-]{10,}|"
     r"sk_(?:live|test)_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9_-]{20,}|AIza[A-Za-z0-9_-]{35}|npm_[A-Za-z0-9]{36}|SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}|"
-    r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?s:.*?)-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+    r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?:(?s:.*?)-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----|"
+    r"(?:\s+(?:[A-Z][A-Za-z-]*+: [^\n]*|[A-Za-z0-9+/=]{16,}+))++)"
 )
-ASSIGNED = rf"(?i:{NAMES})[\"']?[ \t]*(?::=|=>|[:=])[ \t]*[\"']?[^\s\"',;<>]{{8,}}+"
-LONG_RUN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{32,}+"
+#: What leads to a value: a telling name, alone or within a longer one, and a sign or the word ``is``; a bearer; a user in
+#: a URL. A quoted value goes on to its quote, blanks and all.
+_NAMED = rf"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]*?(?i:{NAMES})[A-Za-z0-9_-]*+[\"']?[ \t]*(?::=|=>|[:=]|(?<=[ \t])is(?=[ \t]))[ \t]*"
+_BEARER, _USER = r"(?i:\bbearer)[ \t]++", r"\b(?i:[a-z][a-z0-9+.-]{1,15}+://)[^\s:/@\"']{0,64}:"
+LEAD = f"{_NAMED}[\"']?|{_BEARER}|{_USER}"
+ASSIGNED = (
+    rf"{_NAMED}(?:\"[^\"\n]{{8,200}}(?=\")|'[^'\n]{{8,200}}(?=')|[\"']?[^\s\"',;<>]{{8,}}+)|"
+    rf"{_BEARER}[A-Za-z0-9._~+/-]{{16,}}+=*+|{_USER}[^\s/@\"']{{4,128}}(?=@)"
+)
+#: A run that names nothing; what stands before a sign is not part of it.
+LONG_RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{32,}+=*+"
 CANDIDATE = f"{KNOWN}|{ASSIGNED}|{LONG_RUN}"
 COMMON = (
     "the|and|for|you|your|this|that|with|from|have|test|example|sample|dummy|change|fake|demo|default|null|none|true|false|user|name|admin|pass|word|secret|"
@@ -82,12 +92,15 @@ def with_candidates(docs: DataFrame, text: str) -> DataFrame:
     head = F.expr("slice(_gaps, 1, size(_hits))")
     tail = F.expr("slice(_gaps, 2, size(_hits))")
     trios = F.zip_with(F.zip_with(head, "_hits", lambda g, h: F.struct(g.alias("left"), h.alias("hit"))), tail, lambda x, r: F.struct(x["left"].alias("left"), x["hit"].alias("hit"), r.alias("right")))
-    value = lambda x: F.when(x["hit"].rlike(f"^(?:{KNOWN})"), x["hit"]).otherwise(F.regexp_extract(x["hit"], rf"^(?:(?i:{NAMES})[\"']?[ \t]*(?::=|=>|[:=])[ \t]*[\"']?)?(.*)$", 1))
+    value = lambda x: F.when(x["hit"].rlike(f"^(?:{KNOWN})"), x["hit"]).otherwise(F.regexp_extract(x["hit"], rf"^(?:{LEAD})?(.*)$", 1))
     d = d.withColumn("_found", F.transform(trios, lambda x: F.struct(value(x).alias("value"), x["hit"].alias("hit"), x["left"].alias("left"), x["right"].alias("right"))))
     row = lambda x: F.struct(x["value"].alias("value"), x["hit"].alias("hit"), F.length(x["left"]).alias("gap"), *[f.alias(n) for n, f in zip(FEATURES, _features(x["value"], x["hit"], x["left"], x["right"]))])
     return d.withColumn("_found", F.transform("_found", row)).drop("_hits")
 
 
+WORDS = "correct horse battery staple river orange window candle mountain silver garden pencil rocket winter bridge falcon marble velvet copper island lantern puzzle thunder walnut".split()
+
+
 def labelled_findings(n: int = 2400, seed: int = 7) -> list[tuple[str, int]]:
     """(text with one candidate, 1 for a secret): n texts made from a seed, half of them secrets."""
     r = random.Random(seed)
@@ -96,14 +109,15 @@ def labelled_findings(n: int = 2400, seed: int = 7) -> list[tuple[str, int]]:
     syllables = "the ing er on an re ha th ti or en st ed nd to it le is ou ar as de rt ve".split()
     word = lambda a=1, b=4: "".join(r.choice(syllables) for _ in range(r.randint(a, b)))
     prose = lambda: " ".join(word() for _ in range(r.randint(2, 8)))
-    name = lambda: r.choice("token secret password api_key apikey access_key passwd client_key auth_key credential SECRET_KEY DB_PASSWORD".split())
+    name = lambda: r.choice("token secret password api_key apikey access_key passwd client_key auth_key credential SECRET_KEY DB_PASSWORD AWS_SECRET_ACCESS_KEY GITLAB_TOKEN db_password_prod stripe_api_key_live".split())
     link = lambda: r.choice((" = ", "=", ": ", " := ", "="))
     quote = lambda v: (lambda q: q + v + q)(r.choice(('"', '"', "'", "")))
     head = lambda: r.choice(("", "", "\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC," + pick(hexa, 32).upper() + "\n"))
 
     def key_block() -> str:
         kind = r.choice(("RSA PRIVATE KEY", "PRIVATE KEY", "EC PRIVATE KEY", "OPENSSH PRIVATE KEY"))
-        return f"-----BEGIN {kind}-----{head()}\n" + "\n".join(pick(alnum + "+/", 64) for _ in range(r.randint(3, 26))) + f"\n-----END {kind}-----"
+        end = f"\n-----END {kind}-----" if r.random() < 0.8 else ""  # a text can be cut off
+        return f"-----BEGIN {kind}-----{head()}\n" + "\n".join(pick(alnum + "+/", 64) for _ in range(r.randint(3, 26))) + end
 
     out = []
     for i in range(n):
@@ -111,7 +125,11 @@ def labelled_findings(n: int = 2400, seed: int = 7) -> list[tuple[str, int]]:
             v = r.choice((pick(hexa, r.choice((32, 40, 40, 48, 64))), pick(alnum, r.randint(20, 64)), pick(alnum + "+/", 40) + "==", pick(alnum + "!@#$%^&*-_", r.randint(10, 24)), pick(alnum + "-_", 43), pick(alnum + "+/", r.randint(100, 1600))))
             known = ("AKIA" + pick(string.ascii_uppercase + string.digits, 16), "ghp_" + pick(alnum, 36), "xoxb-" + pick(string.digits, 12) + "-" + pick(alnum, 24), "sk_live_" + pick(alnum, 24), "AIza" + pick(alnum, 35), "eyJ" + pick(alnum, 20) + "." + pick(alnum, 40) + "." + pick(alnum, 43), "glpat-" + pick(alnum, 20), key_block())
             form = r.random()
-            hit = name() + link() + quote(v) if form < 0.65 else r.choice(known) if form < 0.85 else f"Authorization: Bearer: {pick(alnum, 40)}" if form < 0.9 else f"{name()} {word()} {pick(alnum + '+/', 44)}"
+            user = f"{r.choice(('postgres', 'mysql', 'https', 'redis', 'amqp'))}://{word()}:{pick(alnum + '!$%^&*_', r.randint(9, 24))}@{word()}.{r.choice(('com', 'net', 'internal'))}/{word()}"
+            phrase = f'{name()}{link()}"{" ".join(r.choice(WORDS) for _ in range(r.randint(4, 6)))}"'
+            said = f"{r.choice(('password', 'passphrase', 'token', 'secret'))} is {pick(alnum + '!@#$%^&*-_', r.randint(12, 20))}"
+            bearer = f"Authorization: Bearer {pick(alnum + '-._', r.randint(24, 60))}"
+            hit = r.choice((user, phrase, said, bearer)) if form < 0.2 else name() + link() + quote(v) if form < 0.65 else r.choice(known) if form < 0.85 else f"Authorization: Bearer: {pick(alnum, 40)}" if form < 0.9 else f"{name()} {word()} {pick(alnum + '+/', 44)}"
             out.append((f"{prose()} {hit} {prose()}", 1))
         else:
             holder = r.choice(("your_token_here", "changeme123", "<insert-key>value", "xxxxxxxxxxxxxxxx", "example_password", "${SECRET_VALUE}", "os.environ.get(KEY)", "process.env.API_KEY", "test-password", "null_or_none", "aaaaaaaaaaaa", "****************", "dummy_secret_key", "placeholder", "config.get_token()", "replace_me_please", word(3, 5), word(4, 6) + "1"))
@@ -125,6 +143,10 @@ def labelled_findings(n: int = 2400, seed: int = 7) -> list[tuple[str, int]]:
                 "=" * r.randint(33, 60) + str(r.randint(1, 9)) + "-" * 8,
                 f"{word(8, 12)}{r.randint(1, 9)}{word(8, 12)}",
                 "".join(str(r.randint(0, 9)) for _ in range(r.randint(33, 60))),
+                f"{r.choice(('password', 'token', 'secret', 'passphrase'))} is {r.choice(('required', 'incorrect', 'optional', 'generated', 'validated', 'something', 'displayed', 'encrypted', 'different', 'forgotten'))}",
+                f"{r.choice(('https', 'postgres', 'mysql'))}://{r.choice(('user:password', 'username:password', 'admin:changeme', 'user:example', 'root:placeholder'))}@{r.choice(('localhost', 'example.com', 'host'))}/{word()}",
+                f"Bearer {r.choice(('your_access_token_here', 'example-token-value', 'placeholder-token-string', 'insert_your_token_here'))}",
+                f'{name()}{link()}"{r.choice(("enter your password here", "insert the api key here", "your secret goes here", "replace with your own value", "set in the environment file"))}"',
             )
             hit = name() + link() + quote(holder) if r.random() < 0.45 else r.choice(benign)
             out.append((f"{prose()} {hit} {prose()}", 0))
