@@ -66,19 +66,6 @@ def wn11_page_groups(spark, d):
     return H.page_groups(pages, "doc_id", "page", "tokens", 400)
 
 
-#: Dotted numbers of sections, some of whose parents come later or not at all.
-_DOTTED = "s AS (SELECT doc_id AS o, source AS book, (doc_id % 4 + 1)::VARCHAR || CASE WHEN doc_id % 3 > 0 THEN '.' || (doc_id // 4 % 3 + 1)::VARCHAR ELSE '' END || CASE WHEN doc_id % 3 = 2 THEN '.' || (doc_id // 7 % 5 + 1)::VARCHAR ELSE '' END AS s FROM documents)"
-
-
-@query(f"""WITH {_DOTTED}, p AS (SELECT *, CASE WHEN contains(s, '.') THEN regexp_replace(s, '\\.[^.]+$', '') END AS up FROM s), x AS (SELECT book, s, o FROM p)
- SELECT p.o AS doc_id, p.s AS structure, max(x.o) AS parent FROM p LEFT JOIN x ON x.book IS NOT DISTINCT FROM p.book AND x.s = p.up AND x.o < p.o GROUP BY 1, 2""")
-def ar2_dotted_parents(spark, d):
-    number = lambda e: e.cast("string")
-    i = F.col("doc_id")
-    s = F.concat(number(i % 4 + 1), F.when(i % 3 > 0, F.concat(F.lit("."), number(F.floor(i / 4) % 3 + 1))).otherwise(""), F.when(i % 3 == 2, F.concat(F.lit("."), number(F.floor(i / 7) % 5 + 1))).otherwise(""))
-    return H.dotted_parents(nodes(spark, d).select("source", "doc_id", s.alias("structure")), "source", "doc_id", "structure").select("doc_id", "structure", "parent")
-
-
 _WEIGHED = _LINES + """, h AS (SELECT doc_id, line, (length(text) + line) % 5 AS depth FROM ln), e AS (SELECT a.doc_id, a.line, a.depth, min(b.line) AS until FROM h a LEFT JOIN h b ON a.doc_id = b.doc_id AND b.line > a.line AND b.depth <= a.depth GROUP BY 1, 2, 3),
  g AS (SELECT e.*, coalesce(until, n) - line - 1 AS below FROM e JOIN (SELECT doc_id, count(*) AS n FROM h GROUP BY 1) USING (doc_id))"""
 

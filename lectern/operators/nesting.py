@@ -244,15 +244,3 @@ def page_groups(pages: DataFrame, doc: str, page: str, tokens: str, budget: int,
     met = path(steps.select(doc, "place", "to", "_pages"), doc, "place", "to")
     g = met.select(doc, F.when(F.col("place") == 0, 0).otherwise(F.greatest(F.col("place") - 1 - overlap, F.lit(0))).cast("long").alias("first_page"), F.coalesce(F.col("to") - 1, F.col("_pages")).cast("long").alias("end_page"), "place")
     return placed(g, [doc], [F.col("place")], "page_group").select(doc, "page_group", "first_page", "end_page")
-
-
-def dotted_parents(rows: DataFrame, group: str, order: str, structure: str, name: str = "parent") -> DataFrame:
-    """With ``name``: the last earlier row that bears this row's dotted number without its last part (1.2 for 1.2.3);
-    null for top numbers and where no such row came before. Each number and its children are one small sorted run."""
-    up = F.when(F.contains(structure, F.lit(".")), F.regexp_replace(structure, r"\.[^.]+$", ""))
-    one = rows.select(F.struct(F.col(group).alias("g"), F.col(structure).alias("s")).alias("_key"), F.col(order).alias("_o"), F.lit(0).alias("_kind"))
-    kid = rows.where(up.isNotNull()).select(F.struct(F.col(group).alias("g"), up.alias("s")).alias("_key"), F.col(order).alias("_o"), F.lit(1).alias("_kind"))
-    text = F.concat_ws("\u0001", F.coalesce(F.col("_key.g").cast("string"), F.lit("\u0002")), F.col("_key.s"))
-    found = nearest(one.unionByName(kid).withColumn("_text", text), "_text", ["_o", "_kind"], "_kind", "_o", "_up").where("_kind = 1")
-    back = found.select(F.col("_key.g").alias("_g"), F.col("_o").alias("_at"), F.col("_up").alias(name))
-    return rows.join(back, F.col(group).eqNullSafe(F.col("_g")) & (F.col(order) == F.col("_at")), "left").select(*rows.columns, name)

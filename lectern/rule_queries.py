@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lectern.functions import intents as I
+from lectern.functions import marks as K
 from lectern.functions import similarity as S
 from lectern.functions import text as X
 from lectern.operators import changes as C
@@ -21,8 +22,10 @@ from lectern.operators import notes as O
 from lectern.operators import quality as Q
 from lectern.operators import sessions as M
 from lectern.operators import structure as N
+from lectern.operators import trees as G
 from lectern.plans import library as B
 from lectern.queries import _LINES, _chat, asked, nodes, query, t
+from lectern.sources.files import classified_directories
 
 
 def quoted(s: str) -> str:
@@ -70,7 +73,7 @@ _CLEAN = "trim(" + replaced("replace(replace(replace(replace(replace(s, '&amp;',
 rule("tx9_clean_title", TITLES, X.clean_title, _CLEAN)
 rule("tx11_note_name", TITLES, X.file_name, f"left({replaced(_CLEAN, (r'[<>:"/\\|?*#]', ''))}, 100)")
 rule("tx11_dashed_name", TITLES, X.dashed_name, f"trim({replaced('s', (r'[/\\:*?"<>|]', '-'), (r'\s+', '-'))})")
-rule("tx10_simple_title", TITLES, X.simple_title, "CASE " + " ".join(f"WHEN contains(s, '{c}') THEN trim(string_split(s, '{c}')[1])" for c in "：:—-｜|") + " ELSE s END")
+rule("tx10_title_separators", TITLES, X.simple_title, "CASE " + " ".join(f"WHEN contains(s, '{c}') THEN trim(string_split(s, '{c}')[1])" for c in "：:—-｜|") + " ELSE s END")
 rule("fp17_language", TITLES, X.language, "CASE WHEN regexp_matches(s, '[㐀-䶿一-鿿豈-﫿]') THEN 'zh' ELSE 'en' END")
 rule("fp16_truncated_title", TITLES, lambda c: X.is_truncated(c), "ends_with(trim(s), '...') OR ends_with(trim(s), '…')")
 rule("fp16_long_title", TITLES + ["{p_name} {p_type} {p_name} {p_type} {p_brand} {p_name} {p_type}", "复{p_name}{p_type}{p_brand}"], X.too_long_title, "length(s) > CASE WHEN regexp_matches(s, '[㐀-䶿一-鿿豈-﫿]') THEN 50 ELSE 100 END")
@@ -311,3 +314,102 @@ def tk8_annotations(spark, d):
     entries = q.where("q % 3 > 0").join(docs, F.col("doc_id") % 40 == F.col("q") % 40).select("q", F.col("doc_id").alias("k"), F.round((F.col("doc_id") % 13 + 1) / 10.0, 2).alias("score"))
     notes = q.join(docs, F.col("doc_id") % 60 == F.col("q") % 60).select("q", F.col("doc_id").alias("k"))
     return W.with_annotations(entries, notes, "q", "k")
+
+
+# Tokens, marks and lists ---------------------------------------------------------------------------------------
+
+_MIXED = ["{p_name} 机器学习 {p_brand}", "{p_type} of the 复利", "{p_name}你好 a a b", "自己投资{p_partkey}", "{p_type}", ""]
+_CJK = "[㐀-䶿一-鿿豈-﫿]"
+_RUNS = f"regexp_extract_all(s, '{_CJK}+')"
+_OF = "list_transform(range(1, length({0}) + 2 - {1}), lambda i: substr({0}, i, {1}))"
+_WORDS_OF = "list_filter(string_split_regex(lower(s), '[^a-z0-9_]+'), lambda w: w <> '')"
+_LEXICAL = f"list_concat(flatten(list_transform({_RUNS}, lambda r: list_concat(CASE WHEN length(r) >= 2 THEN [r] ELSE [] END, list_concat({_OF.format('r', 1)}, {_OF.format('r', 2)})))), {_WORDS_OF})"
+_STOPS = "[" + ", ".join(quoted(w) for w in X.STOP_WORDS) + "]"
+_JOINED = "array_to_string(list_sort({0}), '|')"
+joined = lambda c: F.array_join(F.array_sort(c), "|")
+rule("tx1_lexical_tokens", _MIXED, lambda c: joined(X.lexical_tokens(c)), _JOINED.format(_LEXICAL))
+rule("tx3_stop_words", _MIXED, lambda c: joined(X.query_tokens(c)), _JOINED.format(f"list_filter(list_distinct({_LEXICAL}), lambda w: NOT list_contains({_STOPS}, w))"))
+rule("tx2_vault_tokens", _MIXED, lambda c: joined(X.vault_tokens(c)), _JOINED.format(f"list_distinct(CASE WHEN regexp_matches(s, '{_CJK}') THEN list_concat(list_filter(string_split_regex(lower(s), '[^a-z0-9_{_CJK[1:-1]}]+'), lambda w: w <> ''), flatten(list_transform({_RUNS}, lambda r: {_OF.format('r', 2)}))) ELSE {_WORDS_OF} END)"))
+rule("fp20_existence_bigrams", _MIXED, lambda c: joined(S.bigrams(c)), _JOINED.format("list_distinct(" + _OF.format(replaced("s", (r"\s+", "")), 2) + ")"))
+rule("fp20_asked_concept", ["书里有没有提到{p_name}？", "是否讨论了{p_type}", "作者有没有讲到《{p_brand}》的内容", "{p_name}吗？"], I.asked_concept, "trim(" + replaced("s", (r"^.*?(?:有没有|是否)(?:提到|讲到|说到|涉及|讨论)?\s*", ""), (r"[？?。！!《》]", ""), (r"\s*(?:的|内容|相关|有关)$", ""), (r"^[的了着过吗呢吧啊]+\s*|\s*[的了着过吗呢吧啊]+$", "")) + ")")
+rule("tx11_bounded_name", ["{p_name}/{p_brand}:  {p_type}", "???", "{p_name}", ""], X.bounded_name, "coalesce(nullif(left(trim(" + replaced("s", (r'[\x00-\x1f\\/:*?"<>|]', ""), (r"\s+", " ")) + "), 240), ''), 'untitled')")
+rule("tx38_dotted_leaders", ["{p_name}......{p_partkey}", "{p_name}. {p_type}", "{p_name} . . . . . . . {p_partkey}"], K.dotted_leaders, replaced("s", (r"\.{5,}", ": "), (r"(?:\. ){5,}\.?", ": ")))
+rule("tx39_page_marks", ["<start_index_{p_partkey}> {p_name} <start_index_7>", "<start_index_{p_size}>", "{p_name}"], lambda c: F.concat_ws(",", K.page_marks(c)["first"].cast("string"), K.page_marks(c)["last"].cast("string")), "coalesce(regexp_extract_all(s, '<start_index_(\\d+)>', 1)[1] || ',' || regexp_extract_all(s, '<start_index_(\\d+)>', 1)[-1], '')")
+rule("tx40_physical_index", ["<physical_index_{p_partkey}>", "{p_size}", "{p_name}"], lambda c: K.physical_index(c).cast("long"), "TRY_CAST(regexp_extract(s, '(\\d+)', 1) AS BIGINT)")
+rule("tx37_title_kind", ["第一部 {p_name}", "第{p_partkey}章 {p_type}", "第2节 {p_name}", "1.{p_size} Setup", "前言", "Chapter {p_size}", "part two {p_name}", "{p_name}", "Appendix {p_brand}"], K.title_kind,
+     r"CASE WHEN regexp_matches(s, '^(第[一二三四五六七八九十百零\d]+[部篇卷]|(?i:part|book|volume)\s)') THEN 'part' WHEN regexp_matches(s, '^(第[一二三四五六七八九十百零\d]+[章回]|(?i:chapter)\s)') THEN 'chapter' WHEN regexp_matches(s, '^(第[一二三四五六七八九十百零\d]+节|\d+\.\d+)') THEN 'section' WHEN regexp_matches(s, '^(?i:前言|序言?|目录|附录|后记|致谢|preface|foreword|contents|appendix|index|acknowledg)') THEN 'special' ELSE 'plain' END")
+rule("tx29_moved_links", ["[[old]] {p_name} [[old#{p_brand}]]", "[[old|{p_name}]] [[older]]", "{p_type} [[{p_name}]]"], lambda c: K.moved_links(c, "old", "new"), replaced("s", (r"\[\[old([\]|#])", r"[[new\1")))
+rule("tx41_facts", ["[{p_brand}] {p_name}；{p_type}", "[a] {p_name}\n[b] y;{p_type}", "{p_name}"], lambda c: F.array_join(F.transform(K.labelled_facts(c), lambda x: F.concat(x["dimension"], F.lit("="), x["fact"])), "|"),
+     r"coalesce(array_to_string(flatten(list_transform(list_filter(string_split(s, chr(10)), lambda l: regexp_matches(l, '^\s*\[[^\]]+\]')), lambda l: list_transform(list_filter(string_split_regex(regexp_extract(l, '^\s*\[[^\]]+\]\s*(.*)$', 1), '[；;]'), lambda f: trim(f) <> ''), lambda f: regexp_extract(l, '\[([^\]]+)\]', 1) || '=' || trim(f)))), '|'), '')")
+rule("js1_json_in_text", ["<think>{p_name}</think>```json\n{\"a\": {p_partkey}}\n```", "so: {\"a\": [{p_size}, 2,]} done", "{p_name}", "{\"a\": None, \"b\": \"{p_name}\"}"], X.json_in_text,
+     "nullif(" + replaced("regexp_extract(CASE WHEN regexp_extract({0}, '(?s)```(?:json)?\\s*(.*?)```', 1) <> '' THEN regexp_extract({0}, '(?s)```(?:json)?\\s*(.*?)```', 1) ELSE {0} END, '(?s)([\\[{{].*[\\]}}])', 1)".format(replaced("s", (r"(?s)<think>.*?</think>", ""))), (r"\bNone\b", "null"), (r"\bTrue\b", "true"), (r"\bFalse\b", "false"), (r",\s*([\]}])", r"\1")) + ", '')")
+
+
+@query("""WITH m AS (SELECT conv_id, turn, CASE (conv_id + turn) % 5 WHEN 0 THEN 'special' WHEN 1 THEN 'part' ELSE 'chapter' END AS kind FROM conversations)
+ SELECT conv_id, turn, kind, coalesce(last_value(CASE kind WHEN 'part' THEN 1 WHEN 'special' THEN 0 END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) = 1 AS inside FROM m""")
+def wn26_inside_part(spark, d):
+    k = (F.col("conv_id") + F.col("turn")) % 5
+    rows = _chat(spark, d).select("conv_id", "turn", F.when(k == 0, "special").when(k == 1, "part").otherwise("chapter").alias("kind"))
+    return G.inside_part(rows, "conv_id", "turn", "kind")
+
+
+@query("""WITH f AS (SELECT 'd' || (o_custkey % 60)::VARCHAR || '/' || CASE WHEN o_custkey % 60 % 7 = 0 AND o_orderkey % 40 = 1 THEN '_目录.md' WHEN o_orderkey % 5 < o_custkey % 60 % 6 THEN '1995-01-0' || (o_orderkey % 9 + 1)::VARCHAR || '.md' ELSE o_orderkey::VARCHAR || '-' || o_orderpriority || '.md' END AS path FROM orders),
+ g AS (SELECT string_split(path, '/')[1] AS directory, count(*) AS files, bool_or(ends_with(path, '/_目录.md')) AS book, avg(regexp_matches(regexp_extract(path, '([^/]+)$', 1), '^\\d{4}[-./]?\\d{2}([-./]?\\d{2})?')::INT) AS dated FROM f GROUP BY 1)
+ SELECT directory, files, CASE WHEN book THEN 'book' WHEN dated > 0.6 THEN 'timeline' ELSE 'mixed' END AS kind, NOT book AND files > 30 AS needs_reorg FROM g""")
+def sc12_directory_kinds(spark, d):
+    o, k, c = t(spark, d, "orders"), F.col("o_orderkey"), F.col("o_custkey") % 60
+    name = F.when((c % 7 == 0) & (k % 40 == 1), "_目录.md").when(k % 5 < c % 6, F.concat(F.lit("1995-01-0"), (k % 9 + 1).cast("string"), F.lit(".md"))).otherwise(F.concat(k.cast("string"), F.lit("-"), "o_orderpriority", F.lit(".md")))
+    return classified_directories(o.select(F.concat(F.lit("d"), c.cast("string"), F.lit("/"), name).alias("path")))
+
+
+@query("""WITH t AS (SELECT o_orderkey AS id, o_orderpriority AS title, o_orderkey % 50 AS start, NULL::BIGINT AS "end", CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE 'old' END AS summary FROM orders), n AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 9 END AS start, o_orderkey % 8 AS "end", CASE WHEN o_orderkey % 5 = 0 THEN 'new' ELSE '' END AS summary FROM orders WHERE o_orderkey % 7 > 0)
+ SELECT t.id, title, coalesce(n.start, t.start) AS start, coalesce(n."end", t."end") AS "end", coalesce(nullif(n.summary, ''), nullif(t.summary, '')) AS summary FROM t LEFT JOIN n USING (id)""")
+def jn11_enriched_tree(spark, d):
+    o, k = t(spark, d, "orders"), F.col("o_orderkey")
+    tree = o.select(k.alias("id"), F.col("o_orderpriority").alias("title"), (k % 50).alias("start"), F.lit(None).cast("long").alias("end"), F.when(k % 4 == 0, "").otherwise("old").alias("summary"), F.lit(None).cast("string").alias("text"))
+    flat = o.where("o_orderkey % 7 > 0").select(k.alias("id"), F.when(k % 3 == 0, k % 9).alias("start"), (k % 8).alias("end"), F.when(k % 5 == 0, "new").otherwise("").alias("summary"), F.lit("").alias("text"))
+    return O.enriched_tree(tree, flat, "id").drop("text")
+
+
+@query("""WITH n AS (SELECT p_partkey AS id, list_distinct([p_brand, p_container]) AS tags, [p_brand] AS existing, p_type AS target, CASE WHEN p_partkey % 3 = 0 THEN [p_type] ELSE [] END AS removed FROM (SELECT *, 'c' || (p_size % 7)::VARCHAR AS p_container FROM part))
+ SELECT id, array_to_string(list_filter(tags, lambda x: NOT list_contains(existing, x)), '|') AS tags, CASE WHEN list_contains(removed, target) THEN '' ELSE '[[' || target || '|' || target || ']]' END AS links FROM n""")
+def tx46_merge_plan(spark, d):
+    tag, none = F.concat(F.lit("c"), (F.col("p_size") % 7).cast("string")), F.array().cast("array<string>")
+    notes = t(spark, d, "part").select(
+        F.col("p_partkey").alias("id"), F.array_distinct(F.array("p_brand", tag)).alias("tags"), F.array("p_brand").alias("existing"), F.array(F.struct(F.col("p_type").alias("target"), F.col("p_type").alias("text"))).alias("links"),
+        F.when(F.col("p_partkey") % 3 == 0, F.array("p_type")).otherwise(none).alias("removed"),
+    )
+    out = W.merge_plan(notes, "id")
+    return out.select("id", F.array_join("new_tags", "|").alias("tags"), F.array_join(F.transform("links", lambda x: x["replacement"]), "|").alias("links"))
+
+
+@query("""WITH e AS (SELECT conv_id, turn, text, '《' || lower(regexp_extract(text, '[A-Za-z]+')) || '》《' || role || '》' AS entry FROM conversations), n AS (SELECT conv_id * 1000 + turn AS o, unnest(regexp_extract_all(entry, '《(.+?)》', 1)) AS title, generate_subscripts(regexp_extract_all(entry, '《(.+?)》', 1), 1) AS p FROM e),
+ f AS (SELECT title, min(o * 10 + p) AS first FROM n GROUP BY 1), l AS (SELECT * FROM f ORDER BY first DESC LIMIT 5) SELECT (SELECT count(*) FROM f) AS books, string_agg(title, '、' ORDER BY first) AS recent FROM l""")
+def ag28_reading_summary(spark, d):
+    """The first word of every message, and its role, as titles read."""
+    entry = F.concat(F.lit("《"), F.lower(F.regexp_extract("text", "[A-Za-z]+", 0)), F.lit("》《"), F.col("role"), F.lit("》"))
+    return B.reading_summary(_chat(spark, d).select((F.col("conv_id") * 1000 + F.col("turn")).alias("n"), entry.alias("entry")), "n", "entry")
+
+
+_VAULT = """e AS (SELECT DISTINCT o_custkey % 300 AS path, CASE WHEN o_orderkey % 3 = 0 THEN '新建:' ELSE '' END || o_orderpriority AS topic, 'n' || (o_orderkey % 50)::VARCHAR AS target FROM orders),
+ r AS (SELECT DISTINCT path, target FROM e WHERE path % 4 = 0 EXCEPT SELECT path, target FROM e WHERE path % 8 = 0 AND length(target) = 2)"""
+
+
+def _vault(spark, d):
+    o, k = t(spark, d, "orders"), F.col("o_orderkey")
+    e = o.select((F.col("o_custkey") % 300).cast("string").alias("path"), F.concat(F.when(k % 3 == 0, "新建:").otherwise(""), "o_orderpriority").alias("topic"), F.concat(F.lit("n"), (k % 50).cast("string")).alias("target")).distinct()
+    before = e.where("cast(path as int) % 4 = 0").select("path", "target").distinct()
+    now = before.where((F.col("path").cast("int") % 8 == 0) & (F.length("target") == 2))
+    found = e.select("path", "topic", F.array("topic").alias("tags"), F.array(F.struct("target", F.col("target").alias("text"))).alias("links"))
+    files = found.select("path").distinct().withColumn("existing", F.lit(None).cast("array<string>"))
+    return B.compiled_vault(files, found, before, now)
+
+
+@query(f"WITH {_VAULT} SELECT replace(topic, '新建:', '') AS topic, count(*) AS notes, count(DISTINCT path) AS sources FROM e GROUP BY 1")
+def ag23_topic_groups(spark, d):
+    return _vault(spark, d).topics
+
+
+@query(f"WITH {_VAULT} SELECT target, count(DISTINCT path) AS sources FROM e WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.path = e.path AND r.target = e.target) GROUP BY 1")
+def rt21_backlinks(spark, d):
+    return _vault(spark, d).backlinks

@@ -87,10 +87,7 @@ def test_lines_by_height(spark):
     assert got == [("p", 0, 0, 2), ("p", 1, 2, 3), ("p", 2, 3, 4), ("q", 0, 0, 1)]
 
 
-def test_empty_and_dotted(spark):
+def test_empty(spark):
     none = spark.createDataFrame([], "g string, line long, level long")
     assert H.parents(none, "g").count() == 0 and H.descendants(none, "g").count() == 0
     assert H.size_batches(none, "g", ["line"], "level", 5).count() == 0
-    rows = [("b", 0, "1.1"), ("b", 1, "1"), ("b", 2, "1.1"), ("b", 3, "1.1.2"), ("c", 4, "1.2"), (None, 5, "2"), (None, 6, "2.1")]
-    got = {r["o"]: r["parent"] for r in H.dotted_parents(spark.createDataFrame(rows, "g string, o long, s string"), "g", "o", "s").collect()}
-    assert got == {0: None, 1: None, 2: 1, 3: 2, 4: None, 5: None, 6: 5}
