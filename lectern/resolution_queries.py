@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.operators import best_blocks as K
+from lectern.operators import reorganise as R
 from lectern.operators import structure as N
 from lectern.plans import structure_resolution as P
-from lectern.queries import _LINES, asked, nodes, query
+from lectern.queries import _LINES, asked, nodes, query, t
 
 #: A text's lines are pages; every third one is named by the contents, by its first twelve characters. The first reading
 #: is a page off in a third of the books and at every fifth item in the others, the second at every fourth.
@@ -41,3 +42,29 @@ def jn30_best_block(spark, d):
     """The line of all documents, up to 120 characters of it, that each benchmark text is most like."""
     lines = N.lines(nodes(spark, d), "doc_id").select((F.col("doc_id") * 1_000_000 + F.col("line")).alias("block"), F.left("text", F.lit(120)).alias("excerpt"))
     return K.best_blocks(asked(spark, d), lines, "item_id", "text", "block", "block", "excerpt")
+
+
+#: Notes of 25 directories, of which ten are no timelines; every text links its own note in three forms.
+_NOTED = """n AS (SELECT o_orderkey AS k, 'd' || (o_orderkey % 25)::VARCHAR AS dir, CASE WHEN o_orderkey % 25 < 10 AND o_orderkey % 3 > 0 THEN 'note-' ELSE '' END || strftime(o_orderdate, '%Y-%m-%d') || '-' || o_orderkey::VARCHAR AS name, strftime(o_orderdate, '%Y/%m') AS ym FROM orders),
+ x AS (SELECT *, dir || '/' || name AS old, 'see [[' || dir || '/' || name || '#^p1|' || name || ']] and [[' || dir || '/' || name || ']] not [[' || dir || '/' || name || '0]] [x] [[other|' || dir || ']]' AS text FROM n),
+ g AS (SELECT dir FROM n GROUP BY 1 HAVING count(*) > 30 AND avg((NOT starts_with(name, 'note-'))::INT) > 0.6), m AS (SELECT k, old, dir || '/' || ym || '/' || name AS new FROM x WHERE dir IN (SELECT dir FROM g) AND NOT starts_with(name, 'note-'))"""
+
+
+def _notes(spark, d):
+    o, k = t(spark, d, "orders"), F.col("o_orderkey")
+    name = F.concat(F.when((k % 25 < 10) & (k % 3 > 0), "note-").otherwise(""), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("-"), k.cast("string"))
+    return o.select(k.alias("k"), F.concat(F.lit("d"), (k % 25).cast("string"), F.lit("/"), name).alias("old"), name.alias("name"), F.concat(F.lit("d"), (k % 25).cast("string")).alias("dir"))
+
+
+@query(f"WITH {_NOTED} SELECT old, new FROM m")
+def rt21_planned_moves(spark, d):
+    return R.planned_moves(_notes(spark, d).select(F.concat("old", F.lit(".md")).alias("path"))).select("old", "new")
+
+
+@query(f"WITH {_NOTED} SELECT k, replace(replace(text, '[[' || m.old || '#', '[[' || new || '#'), '[[' || m.old || ']]', '[[' || new || ']]') AS text, 2::BIGINT AS links FROM x JOIN m USING (k)")
+def tx29_links_after_moves(spark, d):
+    notes = _notes(spark, d)
+    link = lambda *more: F.concat(F.lit("[["), F.col("old"), *[F.lit(m) if isinstance(m, str) else m for m in more], F.lit("]]"))
+    texts = notes.select("k", F.concat(F.lit("see "), link("#^p1|", F.col("name")), F.lit(" and "), link(), F.lit(" not "), link("0"), F.lit(" [x] [[other|"), "dir", F.lit("]]")).alias("text"))
+    moves = R.planned_moves(notes.select(F.concat("old", F.lit(".md")).alias("path")))
+    return R.moved_texts(texts, moves, "k")
