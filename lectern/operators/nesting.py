@@ -22,7 +22,8 @@ from lectern.operators.ordered import placed, summed
 from lectern.sources.folders import work_dir
 
 
-def _written(df: DataFrame, what: str) -> DataFrame:
+def written(df: DataFrame, what: str) -> DataFrame:
+    """df written as a table of the library's own and read again."""
     path = f"{work_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -43,7 +44,7 @@ def _folded(rows: DataFrame, keys: list[Column], fold, more: list[T.StructField]
         columns = [*t.columns, pa.array(np.full(t.num_rows, TaskContext.get().partitionId())), *fold(t)]
         yield from pa.Table.from_arrays(columns, names=schema.names).cast(arrow).to_batches(1 << 16)
 
-    return _written(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema), what)
+    return written(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema), what)
 
 
 def _starts(t: pa.Table, group: str) -> np.ndarray:
