@@ -32,27 +32,31 @@ def quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def formed(forms: list[str], key: str) -> tuple[Column, str]:
-    """The text of a row, as a column and as SQL: its key's form with the row's values put in."""
-    columns, sql = [], []
-    for f in forms:
-        parts = [(p, i % 2) for i, p in enumerate(re.split(r"\{(\w+)\}", f)) if p]
-        columns.append(F.concat(*[F.col(p).cast("string") if own else F.lit(p) for p, own in parts]) if parts else F.lit(""))
-        sql.append(" || ".join(f"{p}::VARCHAR" if own else quoted(p) for p, own in parts) or "''")
-    n = len(forms)
-    column = reduce(lambda c, i: c.when(F.col(key) % n == i, columns[i]), range(1, n), F.when(F.col(key) % n == 0, columns[0]))
-    return column, f"CASE {key} % {n} " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(sql)) + " END"
+def _parts(form: str) -> list[tuple[str, bool]]:
+    """The pieces of a form: (text or column, whether it is a column)."""
+    return [(p, i % 2 == 1) for i, p in enumerate(re.split(r"\{(\w+)\}", form)) if p]
+
+
+def formed(forms: list[str], key: str) -> Column:
+    """The text of a row: its key's form with the row's values put in."""
+    made = [F.concat(F.lit(""), *[F.col(p).cast("string") if own else F.lit(p) for p, own in _parts(f)]) for f in forms]
+    return reduce(lambda c, i: c.when(F.col(key) % len(forms) == i, made[i]), range(1, len(forms)), F.when(F.col(key) % len(forms) == 0, made[0]))
+
+
+def formed_sql(forms: list[str], key: str) -> str:
+    """The same in SQL."""
+    made = [" || ".join(f"{p}::VARCHAR" if own else quoted(p) for p, own in _parts(f)) or "''" for f in forms]
+    return f"CASE {key} % {len(forms)} " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(made)) + " END"
 
 
 def rule(name: str, forms: list[str], column, sql: str, table: str = "part", key: str = "p_partkey") -> None:
     """Register a rule on one text: ``column`` of the text in Spark, ``sql`` of the text ``s`` in SQL."""
-    made, text = formed(forms, key)
 
     def run(spark, d):
-        return t(spark, d, table).select(key, made.alias("s")).select(key, column(F.col("s")).alias("v"))
+        return t(spark, d, table).select(key, formed(forms, key).alias("s")).select(key, column(F.col("s")).alias("v"))
 
     run.__name__ = name
-    query(f"WITH x AS (SELECT {key}, {text} AS s FROM {table}) SELECT {key}, {sql} AS v FROM x")(run)
+    query(f"WITH x AS (SELECT {key}, {formed_sql(forms, key)} AS s FROM {table}) SELECT {key}, {sql} AS v FROM x")(run)
 
 
 def replaced(s: str, *pairs: tuple[str, str]) -> str:
@@ -62,10 +66,6 @@ def replaced(s: str, *pairs: tuple[str, str]) -> str:
     return s
 
 
-def text_of(c) -> Column:
-    return c.cast("string")
-
-
 # Titles and names ----------------------------------------------------------------------------------------------
 
 TITLES = ["# {p_name} &amp; {p_brand}", "* **{p_name}  {p_type}**", "-  {p_name}...", "{p_name}：{p_type}", "{p_name}—{p_brand}: {p_type}", "  {p_name} &lt;{p_brand}&gt; ", "第{p_partkey}章 {p_name} 复利与风险{p_type}…", "{p_name} | {p_brand}"]
