@@ -81,7 +81,7 @@ _MARKED = """a AS (SELECT p_partkey AS k, CASE p_partkey % 6 WHEN 0 THEN left(p_
  b AS (SELECT p_partkey AS mark, CASE WHEN p_partkey % 8 = 0 THEN string_split(p_name, ' ')[1] WHEN p_partkey % 12 = 0 THEN left(p_name, 2) ELSE replace(p_name, ' ', ' · ') END AS t FROM part WHERE p_partkey % 4 = 0)"""
 
 
-@query(f"""WITH {_MARKED}, x AS (SELECT k, lower(regexp_replace(t, '[\s\-—:：.·]', '', 'g')) AS t FROM a), y AS (SELECT mark, lower(regexp_replace(t, '[\s\-—:：.·]', '', 'g')) AS t FROM b)
+@query(f"""WITH {_MARKED}, x AS (SELECT k, lower(regexp_replace(t, '[\\s\\-—:：.·]', '', 'g')) AS t FROM a), y AS (SELECT mark, lower(regexp_replace(t, '[\\s\\-—:：.·]', '', 'g')) AS t FROM b)
  SELECT k, coalesce(min(CASE WHEN x.t = y.t THEN mark END), min(CASE WHEN length(y.t) > 2 AND (contains(x.t, y.t) OR contains(y.t, x.t)) THEN mark END)) AS mark FROM x JOIN y ON x.t = y.t OR (length(y.t) > 2 AND (contains(x.t, y.t) OR contains(y.t, x.t))) GROUP BY 1""")
 def jn14_bookmark_of(spark, d):
     """Titles in six forms, one of them empty in the form they are compared in, against names and first words."""
