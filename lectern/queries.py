@@ -74,15 +74,15 @@ def item_vectors(spark: SparkSession, d: str) -> DataFrame:
 _STORED: dict[tuple, str] = {}
 
 
-def state_of(df: DataFrame) -> tuple:
-    """The files a table is read from with their sizes and times: another table, or the same one written anew, differs."""
-    m = df.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
-    return tuple(sorted((r[0], r[1], str(r[2])) for r in m.collect()))
+def state_of(spark: SparkSession, d: str, name: str) -> tuple:
+    """The files of a table with their sizes and times, a row a file: another table, or the same one written anew, differs."""
+    files = spark.read.format("binaryFile").load(f"{d}/{name}.parquet").select("path", "length", "modificationTime")
+    return tuple(sorted((r[0], r[1], str(r[2])) for r in files.collect()))
 
 
 def index(spark: SparkSession, d: str) -> L.Index:
     """The lexical index of the documents, built once a session and state of the table, then read."""
-    at = (spark.sparkContext.applicationId, state_of(t(spark, d, "documents")))
+    at = (spark.sparkContext.applicationId, state_of(spark, d, "documents"))
     if at not in _STORED:
         path = f"{work_dir(spark)}/lexical-{uuid.uuid4().hex}"
         L.write_index(nodes(spark, d), "doc_id", path)
