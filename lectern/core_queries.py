@@ -123,7 +123,7 @@ def ag39_longest_message(spark, d):
 
 # Sources -------------------------------------------------------------------------------------------------------
 
-_PATHS = ["notes/{p_name}/a.md", "notes/.obsidian/{p_name}.md", "Templates/{p_name}.md", "deep/Templates/{p_partkey}/x.md", "draft-{p_size}.md", "notes/draft-{p_size}.md", "{p_brand}/Templates2/x.md"]
+_PATHS = ["notes/{p_name}/a.md", "notes/.trash/{p_name}.md", "Templates/{p_name}.md", "deep/Templates/{p_partkey}/x.md", "draft-{p_size}.md", "notes/draft-{p_size}.md", "{p_brand}/Templates2/x.md"]
 rule("fp4_excluded_folder", _PATHS, lambda c: R.path_matches(c, "**/Templates/**"), "list_contains(string_split(s, '/'), 'Templates')")
 rule("sc2_excluded_glob", _PATHS, lambda c: R.path_matches(c, "draft-*.md"), "regexp_matches(s, '^draft-[^/]*\\.md$')")
 rule("sc3_directory_of", _PATHS, lambda c: R.directory_of(c, ["notes", "deep/Templates"]), "CASE WHEN regexp_extract(s, '^(.*)/[^/]*$', 1) = 'notes' OR starts_with(s, 'notes/') THEN 'notes' WHEN starts_with(s, 'deep/Templates/') THEN 'deep/Templates' ELSE regexp_extract(s, '^(.*)/[^/]*$', 1) END")
