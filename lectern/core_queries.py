@@ -13,7 +13,8 @@ from lectern.operators import notes as O
 from lectern.operators import quality as Q
 from lectern.operators import structure as N
 from lectern.operators import vectors as V
-from lectern.queries import _BM25, _COS, _LINES, _STATED, _STATES, _TOK, _bm, _cos, _states, _topk, index, nodes, query, t, vector_queries, vectors
+from lectern.plans.note_search import note_search
+from lectern.queries import _BM25, _COS, _LINES, _STATED, _STATES, _TOK, _WORDS, _bm, _cos, _states, _topk, index, item_vectors, nodes, query, t, vector_queries, vectors
 from lectern.rule_queries import rule
 from lectern.sources import files as R
 from lectern.sources.folders import work_dir
@@ -138,3 +139,38 @@ def sc5_vector_lines(spark, d):
     line = F.to_json(F.struct(i.cast("string").alias("chunkId"), F.concat(F.lit("L"), (i % 3).cast("string")).alias("level"), "vector"))
     vectors(spark, d).select(F.when(i % 9 == 0, F.left(line, F.lit(40))).otherwise(line).alias("value")).write.text(path)
     return R.json_lines(spark, path, R.VECTOR).select("chunkId", "level", F.size("vector").cast("long").alias("dimension"))
+
+
+# Notes ---------------------------------------------------------------------------------------------------------
+
+
+def _asked_notes(spark, d):
+    """Queries of 3 to 42 characters; those of even items look into two folders."""
+    i = F.col("item_id")
+    return t(spark, d, "benchmark").select("item_id", F.left("text", (i % 40 + 3).cast("int")).alias("text"), F.when(i % 2 == 0, "some").alias("scope"))
+
+
+def _note_tree(spark, d):
+    i = F.col("doc_id")
+    return nodes(spark, d).select("doc_id", F.concat("source", F.lit("/"), i.cast("string"), F.lit(".md")).alias("file"), (i % 5).alias("depth"), (i % 4).alias("descendants"))
+
+
+_NOTE = f"""qs AS (SELECT item_id, left(text, (3 + item_id % 40)::INT) AS text FROM benchmark), dep AS (SELECT item_id, CASE WHEN length(text) < 5 THEN 50 WHEN length(text) < 15 THEN 30 ELSE 10 END AS k FROM qs),
+ te AS (SELECT DISTINCT item_id, unnest({_WORDS.format('text')}) AS token FROM qs), po AS (SELECT DISTINCT doc_id, unnest({_WORDS.format('text')}) AS token FROM documents), hi AS (SELECT item_id, doc_id, count(*) AS n FROM te JOIN po USING (token) GROUP BY 1, 2),
+ kw AS (SELECT item_id, doc_id, round(n / max(n) OVER (PARTITION BY item_id), 6) AS score FROM hi), kr AS (SELECT item_id, doc_id, score FROM kw JOIN dep USING (item_id) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= any_value(k) OVER (PARTITION BY item_id))"""
+_LEVEL = "CASE WHEN d.doc_id IS NULL THEN 0.5 WHEN d.doc_id % 5 = 0 AND d.doc_id % 4 > 2 THEN 1.0 WHEN d.doc_id % 5 = 0 THEN 0.8 WHEN d.doc_id % 5 = 1 THEN 0.7 WHEN d.doc_id % 5 = 2 THEN 0.5 ELSE 0.3 END"
+
+
+@query(f"""WITH {_COS}, {_NOTE}, vr AS (SELECT item_id, doc_id, score FROM cs JOIN dep USING (item_id) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= any_value(k) OVER (PARTITION BY item_id)), vp AS (SELECT item_id, doc_id // 2 AS doc_id, greatest(max(score), 0) AS score FROM vr GROUP BY 1, 2),
+ m AS (SELECT coalesce(a.item_id, b.item_id) AS item_id, coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(b.score, 0) AS vector, coalesce(a.score, 0) AS keyword FROM kr a FULL JOIN vp b ON a.item_id = b.item_id AND a.doc_id = b.doc_id),
+ s AS (SELECT m.*, ({_LEVEL})::DOUBLE AS level, round((vector * 0.7 + keyword * 0.3) * ({_LEVEL})::DOUBLE, 6) AS score FROM m LEFT JOIN documents d USING (doc_id) WHERE item_id % 2 = 1 OR coalesce(starts_with(source, 'src1') OR starts_with(source, 'src3'), false)), {_topk('s', 10)}
+ SELECT item_id, doc_id, vector, keyword, level, score, rank FROM r""")
+def rt7_note_search(spark, d):
+    chunks = vectors(spark, d).select(F.col("doc_id").alias("block"), F.floor(F.col("doc_id") / 2).alias("doc_id"), "vector")
+    return note_search(nodes(spark, d), _asked_notes(spark, d), _note_tree(spark, d), "doc_id", "item_id", chunks, item_vectors(spark, d), {"some": ["src1", "src3"]})
+
+
+@query(f"""WITH {_NOTE}, s AS (SELECT kr.item_id, kr.doc_id, 0.0::DOUBLE AS vector, kr.score AS keyword, ({_LEVEL})::DOUBLE AS level, round(kr.score * ({_LEVEL})::DOUBLE, 6) AS score FROM kr LEFT JOIN documents d USING (doc_id)), {_topk('s', 10)} SELECT item_id, doc_id, vector, keyword, level, score, rank FROM r""")
+def rt7_keywords_alone(spark, d):
+    """Without vectors the keywords have all the weight."""
+    return note_search(nodes(spark, d), _asked_notes(spark, d).drop("scope"), _note_tree(spark, d), "doc_id", "item_id")
