@@ -13,8 +13,9 @@ from lectern.operators import notes as O
 from lectern.operators import quality as Q
 from lectern.operators import structure as N
 from lectern.operators import vectors as V
+from lectern.plans import indexing as P
 from lectern.plans.note_search import note_search
-from lectern.queries import _BM25, _COS, _LINES, _STATED, _STATES, _TOK, _WORDS, _bm, _cos, _states, _topk, index, item_vectors, nodes, query, t, vector_queries, vectors
+from lectern.queries import _BM25, _COS, _LEN, _LINES, _STATED, _STATES, _TOK, _WORDS, _bm, _cos, _states, _topk, index, item_vectors, nodes, query, t, vector_queries, vectors
 from lectern.rule_queries import rule
 from lectern.sources import files as R
 from lectern.sources.folders import work_dir
@@ -174,3 +175,15 @@ def rt7_note_search(spark, d):
 def rt7_keywords_alone(spark, d):
     """Without vectors the keywords have all the weight."""
     return note_search(nodes(spark, d), _asked_notes(spark, d).drop("scope"), _note_tree(spark, d), "doc_id", "item_id")
+
+
+_CLAIMED = f"""cl AS (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'zq' || item_id::VARCHAR || 'x' ELSE string_split(text, ' ')[3] END AS text FROM benchmark), ct AS (SELECT DISTINCT item_id, unnest({_WORDS.format('text')}) AS token FROM cl)"""
+
+
+@query(f"""WITH {_TOK}, {_LEN}, {_CLAIMED}, bm AS (SELECT item_id, doc_id, round(sum(ln(1 + (total - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * length / mean))), 6) AS score FROM ct JOIN tf USING (token) JOIN df USING (token) JOIN len USING (doc_id) CROSS JOIN st GROUP BY 1, 2)
+ SELECT item_id, coalesce(max(score), 0) >= 3 AS contradicted FROM cl LEFT JOIN bm USING (item_id) GROUP BY 1""")
+def rt14_contradicted_claims(spark, d):
+    """Claims that one word stands nowhere, a third of them true, against the whole stored index."""
+    claim = F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("zq"), F.col("item_id").cast("string"), F.lit("x"))).otherwise(F.get(F.split("text", " "), F.lit(2)))
+    claims = t(spark, d, "benchmark").select("item_id", claim.alias("text"))
+    return P.claims_contradicted(claims, index(spark, d), "item_id", "doc_id", 3.0)

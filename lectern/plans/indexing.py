@@ -86,13 +86,19 @@ def refresh_notes(files: DataFrame, stored: DataFrame, derive: Callable[[DataFra
     return kept.unionByName(fresh), kinds
 
 
-def hybrid(nodes: DataFrame, queries: DataFrame, vectors: DataFrame, query_vectors: DataFrame, key: str, query: str, k: int = 10, recall: int = 50) -> DataFrame:
-    """The flagship: lexical and vector recall, reciprocal ranks, the k best."""
-    signals = {"bm25": L.bm25_search(L.index_of(nodes, key), queries, key, query, recall), "vector": V.cosine_search(vectors, query_vectors, key, query, recall)}
+def _index(nodes: DataFrame | L.Index, key: str) -> L.Index:
+    """A stored index as it is; one of nodes(key, text) that is used once."""
+    return nodes if isinstance(nodes, L.Index) else L.index_of(nodes, key)
+
+
+def hybrid(nodes: DataFrame | L.Index, queries: DataFrame, vectors: DataFrame, query_vectors: DataFrame, key: str, query: str, k: int = 10, recall: int = 50) -> DataFrame:
+    """The flagship: lexical and vector recall, reciprocal ranks, the k best. nodes is a stored index, or texts."""
+    signals = {"bm25": L.bm25_search(_index(nodes, key), queries, key, query, recall), "vector": V.cosine_search(vectors, query_vectors, key, query, recall)}
     return L.top(U.reciprocal_rank_fusion(signals, query, key), query, key, k)
 
 
-def claims_contradicted(claims: DataFrame, nodes: DataFrame, query: str, key: str, least: float = 0.3) -> DataFrame:
-    """(query, contradicted): claims of absence for which the whole book does have a hit at the bound or above."""
-    hits = L.bm25_scores(L.index_of(nodes, key), claims, key, query).groupBy(query).agg(F.max("score").alias("best"))
+def claims_contradicted(claims: DataFrame, nodes: DataFrame | L.Index, query: str, key: str, least: float = 0.3) -> DataFrame:
+    """(query, contradicted): claims of absence for which the whole book does have a hit at the bound or above. nodes is
+    a stored index, or texts."""
+    hits = L.bm25_scores(_index(nodes, key), claims, key, query).groupBy(query).agg(F.max("score").alias("best"))
     return claims.select(query).join(hits, query, "left").select(query, (F.coalesce("best", F.lit(0.0)) >= least).alias("contradicted"))
