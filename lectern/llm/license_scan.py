@@ -14,6 +14,7 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 from itertools import product
 
@@ -22,7 +23,9 @@ from pyspark.sql import functions as F
 
 from ._shared import only
 
+#: The operator's own phrases, and those of the contract of op4_license_scan.
 PHRASES = {"the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+CONTRACT = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 SEPARATOR = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 
 #: label, keyword, name, identifier, place on the web; words separated by one space, each an expression.
@@ -199,8 +202,8 @@ def phrases_of(expression: str) -> set[str]:
     return {" ".join(x.split()) for x in choice(0)[0]}
 
 
-@lru_cache(maxsize=1)
-def gate() -> str:
+@lru_cache(maxsize=8)
+def gate(phrases: tuple[str, ...] = tuple(PHRASES)) -> str:
     """What a text must hold for any rule or base phrase to match: the first words of each, as one prefix tree.
     Phrases that hold another at a word are left out, for where they stand the other stands."""
     tree: dict = {}
@@ -216,7 +219,7 @@ def gate() -> str:
                     return True
         return False
 
-    every = set(PHRASES).union(*(phrases_of(x) for *_, x in rules()))
+    every = set(phrases).union(*(phrases_of(x) for *_, x in rules()))
     for p in sorted(every, key=lambda p: (len(p.split()), p)):
         words, at = p.split(), tree
         if not holds(words):
@@ -283,22 +286,24 @@ def _surviving(hits: Column) -> Column:
     return F.aggregate(F.array_sort(hits), start, step, lambda s: s["out"])
 
 
-def scan(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, n_words, n_base, first_word, last_word, base_labels, labels, score, detections) of every row."""
+def scan(docs: DataFrame, key: str = "doc_id", phrases: dict[str, str] = PHRASES) -> DataFrame:
+    """(key, n_words, n_base, first_word, last_word, base_labels, labels, score, detections) of every row. phrases:
+    labels by base phrase, lower-case words joined by single spaces."""
     text = F.coalesce("text", F.lit(""))
     d = only(docs, key, "text").select(key, text.alias("_text"))
     d = d.withColumn("n_words", F.size(F.array_remove(F.split("_text", f"[{SEPARATOR}]+"), "")).cast("long"))
-    d = d.withColumn("_gate", F.col("_text").rlike(gate()))
+    d = d.withColumn("_gate", F.col("_text").rlike(gate(tuple(phrases))))
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     words = F.array_remove(F.split(F.translate("_text", upper, lower), f"[{SEPARATOR}]+"), "")
     d = d.withColumn("_words", F.when(F.col("_gate"), F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")))).drop("_text")
     rule = _rules_column()
     hits = F.flatten(F.transform(F.filter(rule, lambda r: F.contains(F.col("_words"), r["keyword"])), lambda r: _found(F.col("_words"), r)))
-    each = {p: f" {p}(?= )" for p in PHRASES}
-    either = f" (?:{'|'.join(PHRASES)})(?= )"
+    # A place takes its first word alone, so that places that overlap all count.
+    each = {p: " " + re.sub("(?= )|$", "(?=", p, count=1) + " )" for p in phrases}
+    either = f"(?:{'|'.join(each.values())})"
     blanks = lambda s: F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
     counts = {p: F.size(F.split("_words", x, -1)) - 1 for p, x in each.items()}
-    d = d.withColumn("_base", F.when(F.col("_words").isNotNull(), F.array(*[F.struct(F.lit(PHRASES[p]).alias("label"), n.alias("n")) for p, n in counts.items()])))
+    d = d.withColumn("_base", F.when(F.col("_words").isNotNull(), F.array(*[F.struct(F.lit(phrases[p]).alias("label"), n.alias("n")) for p, n in counts.items()])))
     d = d.withColumn("_n", F.coalesce(F.aggregate("_base", F.lit(0), lambda a, x: a + x["n"]), F.lit(0)))
     d = d.withColumn("detections", F.when(F.col("_words").isNotNull(), _surviving(hits)))
     base = F.coalesce(F.transform(F.filter("_base", lambda x: x["n"] > 0), lambda x: x["label"]), F.array().cast("array<string>"))

@@ -30,9 +30,9 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .license_scan import scan
+    from .license_scan import CONTRACT, scan
 
-    return scan(table(spark, sf_dir, "documents")).drop("detections")
+    return scan(table(spark, sf_dir, "documents"), phrases=CONTRACT).drop("detections")
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

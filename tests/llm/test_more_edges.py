@@ -103,3 +103,16 @@ def test_toxicity_by_loops():
     got = [float(toxicity.scores([t], weight, -1.5)[0]) for t in texts]
     assert got == pytest.approx([plain_score(t, weight, -1.5) for t in texts], abs=1e-9)
     assert toxicity.scores(texts, weight, -1.5).shape == (len(texts),)
+
+
+def test_contract_phrases(spark, tmp_path):
+    """op4's first phrase is "under the mit license"; places that overlap all count, also of phrases given."""
+    from lectern.llm import queries
+
+    rows = [(1, "Used under the MIT License."), (2, "the mit license alone"), (3, "x the mit license, under-the MIT license under the mit license"), (4, "under the mit licenses")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    columns = ("n_words", "n_base", "first_word", "last_word", "base_labels")
+    got = {r["doc_id"]: tuple(r[c] for c in columns) for r in queries.QUERIES["op4_license_scan"](spark, str(tmp_path)).collect()}
+    assert got == {1: (5, 1, 1, 1, "mit"), 2: (4, 0, None, None, ""), 3: (12, 2, 4, 8, "mit"), 4: (4, 0, None, None, "")}
+    some = license_scan.scan(spark.createDataFrame([(1, "Ding dong ding dong ding bell")], "doc_id long, text string"), phrases={"ding dong ding": "ding", "bell": "bell"}).first()
+    assert tuple(some[c] for c in columns) == (6, 3, 0, 5, "bell,ding")
