@@ -7,7 +7,8 @@ item's size), about half as many characters; an item's windows cover it from end
 with the square of the edits, so windows of this size, of which an edited passage leaves some nearly whole, find more
 than a single window as long as the item. Repeated samples of the walks' outputs are looked up among the items' samples. What meets there
 must share enough runs of four bytes with the item, about where the item has them; then the exact edit distance of the whole
-item to that stretch of the document, in characters, decides.
+item to that stretch of the document, in characters, decides. Walks' outputs that many items share are looked up like any
+other, in runs of bounded size.
 
 Items are broadcast in blocks bounded by ``BLOCK_ITEMS`` and ``BLOCK_CHARS``, one after another; documents are read
 once a block and never shuffled.
@@ -37,7 +38,9 @@ from ._shared import by_place, kept_by, map_arrow, only, written
 SIMILARITY, SEED = 0.8, 20
 #: Of items up to so many bytes: steps of a walk, walks, samples of each, outputs in a sample. Short items have few windows.
 SIZES = ((100, (26, 3, 4, 10)), (1 << 40, (34, 2, 4, 12)))
-LEAST, BLOCK_ITEMS, BLOCK_CHARS, HOT = 32, 20_000, 8_000_000, 64
+LEAST, BLOCK_ITEMS, BLOCK_CHARS = 32, 20_000, 8_000_000
+#: A key that over HOT windows share is common: what it finds is looked at in runs of RUN, so that memory stays bounded.
+HOT, RUN = 64, 1 << 20
 GRAM, STEP, SHARED = 4, 16, 0.3
 #: Scripts without spaces give one word a character.
 WORD = re.compile(r"[぀-ヿ㐀-鿿가-힯]|[^\x00-\x2f\x3a-\x60\x7b-\x7f぀-ヿ㐀-鿿가-힯 -¿ -⁯　-〿＀-／]+")
@@ -142,6 +145,12 @@ def _ranges(begin: np.ndarray, many: np.ndarray) -> np.ndarray:
     return np.repeat(begin - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
 
 
+def _runs(many: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Cuts of counts into runs whose sums are about ``most``, or one count."""
+    edge = np.flatnonzero(np.diff(np.cumsum(many) // most, prepend=-1, append=1 << 62)) if len(many) else []
+    yield from zip(edge[:-1], edge[1:])
+
+
 def _bit(gram: np.ndarray, place: np.ndarray) -> np.ndarray:
     """13 bits of a gram and of where it stands, to STEP places."""
     h = gram * np.uint32(0x9E3779B1) + (place // STEP + 1).astype(np.uint32) * np.uint32(0x85EBCA6B)
@@ -177,23 +186,11 @@ class Index:
                 self.tables.append((sampler, self._tables([(key, np.flatnonzero(whole & own)) for key, whole in sampler.keys(flat)])))
 
     def _tables(self, sampled: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple]:
-        """(sorted keys, their windows, which leading bits occur, shift to these) of each sample (keys, windows).
-        Keys that over HOT windows share only find what is common: an item keeps them if fewer than half of its keys are rarer."""
-        got, many = [], []
+        """(sorted keys, their windows, which leading bits occur, shift to these) of each sample (keys, windows)."""
+        out = []
         for key, window in sampled:
             window = window[np.argsort(key[window], kind="stable")]
-            key = key[window]
-            edge = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1], [True])))
-            got.append((key, window, self.window_item[window]))
-            many.append(np.repeat(np.diff(edge), np.diff(edge)))
-        rare, every = np.zeros(len(self.texts), np.int64), np.zeros(len(self.texts), np.int64)
-        for (_, _, item), m in zip(got, many):
-            np.add.at(every, item, 1)
-            np.add.at(rare, item[m <= HOT], 1)
-        out = []
-        for (key, window, item), m in zip(got, many):
-            keep = (m <= HOT) | (2 * rare < every)[item]
-            key, window = key[keep], window[keep].astype(np.int32)
+            key, window = key[window], window.astype(np.int32)
             bits = max(10, math.ceil(math.log2(16 * len(key) + 1)))
             some = np.zeros(1 << bits, bool)  # most windows of documents end here
             some[(key >> np.uint64(64 - bits)).view(np.int64)] = True
@@ -202,15 +199,25 @@ class Index:
 
     def candidates(self, flat: Flat) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, word, item): the item may start about at that word of flat, which can lie before the text's first."""
-        words, windows = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        words, windows, common = [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
         for sampler, tables in self.tables:
             for (key, _), (known, window, some, shift) in zip(sampler.keys(flat), tables):
                 p = np.flatnonzero(some[(key >> shift).view(np.int64)])
                 lo, hi = np.searchsorted(known, key[p], "left"), np.searchsorted(known, key[p], "right")
-                p, lo, many = p[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
-                words.append(np.repeat(p, many))
-                windows.append(window[_ranges(lo, many)].astype(np.int64))
-        p, w = np.concatenate(words), np.concatenate(windows)
+                many = hi - lo
+                few, more = (many > 0) & (many <= HOT), many > HOT
+                words.append(np.repeat(p[few], many[few]))
+                windows.append(window[_ranges(lo[few], many[few])].astype(np.int64))
+                common.append((p[more], lo[more], many[more], window))
+        found = [self._near(flat, np.concatenate(words), np.concatenate(windows))]
+        for p, lo, many, window in common:
+            for a, z in _runs(many, RUN):
+                found.append(self._near(flat, np.repeat(p[a:z], many[a:z]), window[_ranges(lo[a:z], many[a:z])].astype(np.int64)))
+        of, word, item = (np.concatenate(x) for x in zip(*found))
+        return of, word, item
+
+    def _near(self, flat: Flat, p: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Candidates of windows w met at words p."""
         item, of, word = self.window_item[w], flat.of[p], p - self.window_word[w]
         # One of the places that give an item the same first word is enough.
         order = np.lexsort((word, item, of))

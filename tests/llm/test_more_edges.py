@@ -116,3 +116,27 @@ def test_contract_phrases(spark, tmp_path):
     assert got == {1: (5, 1, 1, 1, "mit"), 2: (4, 0, None, None, ""), 3: (12, 2, 4, 8, "mit"), 4: (4, 0, None, None, "")}
     some = license_scan.scan(spark.createDataFrame([(1, "Ding dong ding dong ding bell")], "doc_id long, text string"), phrases={"ding dong ding": "ding", "bell": "bell"}).first()
     assert tuple(some[c] for c in columns) == (6, 3, 0, 5, "bell,ding")
+
+
+def test_common_windows_alone(spark):
+    """Items of one beginning, of which a passage keeps little but that beginning: common keys are looked up as well."""
+    import random
+
+    import pyarrow as pa
+
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("etaoinshrdlu") for _ in range(r.randint(3, 8)))
+    head = " ".join(word() for _ in range(14))
+    tails = [" ".join(word() for _ in range(17)) for _ in range(decontamination.HOT + 20)]
+    items = [f"{head} {t}" for t in tails]
+    texts = [f"{word()} {head} {''.join('z' if k % 3 == 0 and c != ' ' else c for k, c in enumerate(t))} {word()}" for t in tails]
+    near = [i for i, t in enumerate(texts) if decontamination.distance(items[i], t)[0] <= 0.2 * len(items[i])]
+    assert len(near) > 40
+    got = dict(decontamination._found(decontamination.Index(items, 0.8), pa.array(texts)))
+    assert all(i in got.get(i, {}) for i in near)
+    # Runs of any size give the same.
+    decontamination.RUN, run = 100, decontamination.RUN
+    try:
+        assert dict(decontamination._found(decontamination.Index(items, 0.8), pa.array(texts))) == got
+    finally:
+        decontamination.RUN = run
