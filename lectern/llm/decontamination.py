@@ -10,11 +10,14 @@ must share enough runs of four bytes with the item, about where the item has the
 item to that stretch of the document, in characters, decides. Walks' outputs that many items share are looked up like any
 other, in runs of bounded size.
 
+Items of fewer than ``LEAST`` characters have too few windows and are found exactly: one of an item's k + 1 pieces stands
+unchanged in any passage within k edits, and about each place of a piece the edit distance is computed.
+
 Items are broadcast in blocks bounded by ``BLOCK_ITEMS`` and ``BLOCK_CHARS``, one after another; documents are read
 once a block and never shuffled.
 
-Defined cases: a null or empty text or item has no words and matches nothing; items of fewer than ``LEAST`` characters
-tell no passage from chance and are not looked for; texts are read whole; repeated rows and equal items are each
+Defined cases: a null or empty text or item has no words and matches nothing; items of any length are looked for with the
+same similarity, so very short ones are found within longer words too; texts are read whole; repeated rows and equal items are each
 reported; a null id stays null; of several places of one item in a document the one of the least distance, then the
 first, is reported; extra columns are ignored in ``contaminated`` and stay in ``clean``; empty tables give empty
 (``clean``: unchanged) results.
@@ -41,6 +44,8 @@ SIZES = ((100, (26, 3, 4, 10)), (1 << 40, (34, 2, 4, 12)))
 LEAST, BLOCK_ITEMS, BLOCK_CHARS = 32, 20_000, 8_000_000
 #: A key that over HOT windows share is common: what it finds is looked at in runs of RUN, so that memory stays bounded.
 HOT, RUN = 64, 1 << 20
+#: Characters of a short item's piece, and places whose distance is computed together.
+PIECE, LANES = 4, 1 << 15
 GRAM, STEP, SHARED = 4, 16, 0.3
 #: Scripts without spaces give one word a character.
 WORD = re.compile(r"[぀-ヿ㐀-鿿가-힯]|[^\x00-\x2f\x3a-\x60\x7b-\x7f぀-ヿ㐀-鿿가-힯 -¿ -⁯　-〿＀-／]+")
@@ -157,12 +162,103 @@ def _bit(gram: np.ndarray, place: np.ndarray) -> np.ndarray:
     return ((h ^ h >> np.uint32(15)) * np.uint32(0x2C1B3C6D) >> np.uint32(19)).astype(np.int64)
 
 
+class Short:
+    """Items of under 64 characters, found exactly. number: which of the block's texts each is."""
+
+    def __init__(self, texts: list[str], number: list[int], similarity: float):
+        self.texts, self.number = texts, np.array(number)
+        self.size = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.most = np.minimum([int(n * (1 - similarity) + 1e-9) for n in self.size.tolist()], self.size - 1)
+        symbols = {c: n for n, c in enumerate(sorted(set("".join(texts))), 1)}
+        self.symbol = np.zeros(max(map(ord, symbols)) + 2, np.int64)  # 0: in no item, as is all beyond the last
+        self.symbol[[ord(c) for c in symbols]] = list(symbols.values())
+        self.where = np.zeros((len(texts), len(symbols) + 1), np.uint64)
+        pieces: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        for i, (t, k) in enumerate(zip(texts, self.most.tolist())):
+            for j, c in enumerate(t):
+                self.where[i, symbols[c]] |= np.uint64(1 << j)
+            step = len(t) // (k + 1)
+            n = min(step, PIECE)
+            for o in range(0, (k + 1) * step, step):
+                pieces[n].append((int(self._codes(np.array([symbols[c] for c in t[o : o + n]]), n)[0]), i, o))
+        self.pieces = {n: tuple(np.array(x) for x in zip(*sorted(own))) for n, own in pieces.items()}
+
+    def _codes(self, symbol: np.ndarray, n: int) -> np.ndarray:
+        """The n symbols that begin at each place, as a number."""
+        code = np.zeros(max(len(symbol) - n + 1, 0), np.int64)
+        for j in range(n):
+            code = code * self.where.shape[1] + symbol[j : len(code) + j]
+        return code
+
+    def _places(self, symbol: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(item, where it would begin) of the pieces in a text, in runs."""
+        for n, (known, item, offset) in self.pieces.items():
+            code = self._codes(symbol, n)
+            some = np.zeros(1 << 16, bool)  # most places of documents end here
+            some[known & 0xFFFF] = True
+            at = np.flatnonzero(some[code & 0xFFFF])
+            lo, hi = np.searchsorted(known, code[at], "left"), np.searchsorted(known, code[at], "right")
+            at, lo, many = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+            for a, z in _runs(many, RUN):
+                w = _ranges(lo[a:z], many[a:z])
+                pair = np.unique(item[w] * (1 << 40) + np.repeat(at[a:z], many[a:z]) - offset[w] + (1 << 20))
+                yield pair >> 40, (pair & (1 << 40) - 1) - (1 << 20)
+
+    def _distances(self, symbol: np.ndarray, item: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(least distance, where its first stretch ends) of items from begin on, as in ``distance`` but many at once."""
+        one = np.uint64(1)
+        size = self.size[item]
+        full, top = (one << size.astype(np.uint64)) - one, one << (size - 1).astype(np.uint64)
+        up, down, now = full.copy(), np.zeros(len(item), np.uint64), size.copy()
+        best, best_at = size.copy(), begin.copy()
+        for j in range(int((size + 2 * self.most[item]).max(initial=0))):
+            eq = self.where[item, symbol[np.minimum(begin + j, stop)]]  # a text's end is no item's symbol and betters nothing
+            x = eq | down
+            flat = (((eq & up) + up) ^ up) | eq | down
+            plus = (down | ~(flat | up)) & full
+            minus = up & flat
+            now += (plus & top != 0).astype(np.int64) - (minus & top != 0)
+            plus, minus = plus << one & full, minus << one & full
+            up = (minus | ~(x | plus)) & full
+            down = plus & x
+            better = now < best
+            best[better], best_at[better] = now[better], begin[better] + j + 1
+        return best, best_at
+
+    def found(self, texts: list[str | None]) -> dict[int, dict[int, tuple[int, int, int]]]:
+        """{row: {item: (distance, first word, end word)}} of the texts that hold items."""
+        plain = [" ".join(WORD.findall((t or "").lower())) for t in texts]
+        end = np.cumsum([len(t) + 1 for t in plain]) - 1
+        start = np.concatenate(([0], end[:-1] + 1))
+        raw = np.frombuffer(("\n".join(plain) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+        symbol = self.symbol[np.minimum(raw, len(self.symbol) - 1)]
+        best: dict[tuple[int, int], tuple[int, int]] = {}
+        for item, place in self._places(symbol):
+            of = np.searchsorted(end, np.clip(place + self.size[item] // 2, 0, len(raw) - 1))
+            for a in range(0, len(item), LANES):
+                i, t = item[a : a + LANES], of[a : a + LANES]
+                begin = np.clip(place[a : a + LANES] - self.most[i], start[t], end[t])
+                d, at = self._distances(symbol, i, begin, end[t])
+                for row, x, n, z in zip(*(c[d <= self.most[i]].tolist() for c in (t, i, d, at))):
+                    best[row, x] = min(best.get((row, x), (n, z)), (n, z))
+        out: dict[int, dict[int, tuple[int, int, int]]] = defaultdict(dict)
+        for (row, i), (d, at) in best.items():
+            text, item, to = plain[row], self.texts[i], at - int(start[row])
+            _, size = distance(item[::-1], text[max(0, to - len(item) - d) : to][::-1])
+            first = text[: to - size].count(" ") + (text[to - size] == " ")
+            out[row][int(self.number[i])] = (d, first, text[:to].count(" ") + 1)
+        return out
+
+
 class Index:
     """The sample keys of a block of different item texts, and their exact check."""
 
     def __init__(self, texts: list[str], similarity: float):
         """texts: items' words joined by single spaces."""
         self.similarity, self.texts = similarity, texts
+        few = [i for i, t in enumerate(texts) if 0 < len(t) < LEAST]
+        self.short = Short([texts[i] for i in few], few, similarity) if few else None
+        long = np.fromiter((len(t) >= LEAST for t in texts), bool, len(texts))
         flat = Flat(texts)
         begin = np.concatenate(([0], flat.end[:-1] + 1))
         self.size = flat.end - begin
@@ -180,7 +276,7 @@ class Index:
         self.window_place = flat.start - begin[flat.of]
         self.tables = []
         for (low, _), (high, parameters) in zip(((0, None), *SIZES), SIZES):
-            own = ((self.size > low) & (self.size <= high))[flat.of]
+            own = (long & (self.size > low) & (self.size <= high))[flat.of]
             if own.any():
                 sampler = Sampler(*parameters)
                 self.tables.append((sampler, self._tables([(key, np.flatnonzero(whole & own)) for key, whole in sampler.keys(flat)])))
@@ -291,8 +387,10 @@ def _found(known: Index, texts: pa.Array, block_chars: int = 400_000) -> Iterato
         places: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for d, w, i in zip(*(c.tolist() for c in known.candidates(flat))):
             places[d].append((max(0, w - int(flat.first[d])), i))
-        for d, own in sorted(places.items()):
-            if got := known.verified(WORD.findall(some[d].lower()), own):
+        short = known.short.found(some) if known.short else {}
+        for d in sorted(places.keys() | short.keys()):
+            got = known.verified(WORD.findall(some[d].lower()), places[d]) if d in places else {}
+            if got := got | short.get(d, {}):
                 yield first + d, got
 
 
@@ -328,7 +426,7 @@ def _without(index, column: int):
 
 def _blocks(items: DataFrame, item: str, block_items: int, block_chars: int) -> tuple[int, DataFrame]:
     """(number of blocks, items as (i, t, b)): a block holds about half of what it may."""
-    some = only(items, item, "text").select(F.col(item).cast("long").alias("i"), F.col("text").alias("t")).where(F.length("t") >= LEAST)
+    some = only(items, item, "text").select(F.col(item).cast("long").alias("i"), F.col("text").alias("t")).where(F.length("t") > 0)
     n, chars = some.agg(F.count("*"), F.coalesce(F.sum(F.length("t")), F.lit(0))).first()
     blocks = 1 if n <= block_items and chars <= block_chars else math.ceil(2 * max(n / block_items, chars / block_chars))
     return blocks, some.withColumn("b", F.pmod(F.xxhash64("t"), F.lit(blocks)))
@@ -339,7 +437,7 @@ def _index(some: DataFrame, block: int, similarity: float) -> tuple:
     by: dict[str, list] = defaultdict(list)
     for r in some.where(F.col("b") == block).orderBy("i", "t").collect():  # bounded by the block's size
         text = " ".join(WORD.findall(r["t"].lower()))
-        if len(text) >= LEAST:
+        if text:
             by[text].append(r["i"])
     return some.sparkSession.sparkContext.broadcast(Index(list(by), similarity)), list(by.values())
 

@@ -140,3 +140,25 @@ def test_common_windows_alone(spark):
         assert dict(decontamination._found(decontamination.Index(items, 0.8), pa.array(texts))) == got
     finally:
         decontamination.RUN = run
+
+
+def test_short_items(spark):
+    """Items of any length are found, as brute force finds them; so are texts of few characters and many words."""
+    import random
+
+    import pyarrow as pa
+
+    r = random.Random(6)
+    some = lambda n: " ".join("".join(r.choice("abcdé日本   ") for _ in range(n)).split())
+    plain = lambda t: " ".join(decontamination.WORD.findall(t.lower()))
+    items = sorted({plain(some(r.randint(2, 31))) for _ in range(40)} - {""})
+    items = [t for t in items if len(t) < decontamination.LEAST]
+    texts = [some(r.randint(0, 120)) for _ in range(40)] + ["", None] + [f"{some(20)} {t[:-1]}a {some(20)}" for t in items] + items
+    got = dict(decontamination._found(decontamination.Index(items, 0.8), pa.array(texts, pa.string()), block_chars=300))
+    want = {d: {i: x for i, t in enumerate(items) if (x := decontamination.distance(t, plain(text or ""))[0]) <= int(0.2 * len(t) + 1e-9)} for d, text in enumerate(texts)}
+    assert {d: {i: x for i, (x, _, _) in own.items()} for d, own in got.items()} == {d: own for d, own in want.items() if own}
+    rows = spark.createDataFrame([(1, "They say the Capital of France is Paris, no doubt"), (2, "他说数据库系统概念与设计实现方法很好"), (3, "nothing of it"), (None, None)], "doc_id long, text string")
+    it = spark.createDataFrame([(7, "the capital of France is Pariz"), (8, "数据库系统概念与设计实现方法"), (9, "?!"), (10, None)], "item_id long, text string")
+    found = {(x["doc_id"], x["item_id"]): x for x in decontamination.contaminated(rows, it).collect()}
+    assert set(found) == {(1, 7), (2, 8)} and (found[1, 7]["distance"], found[1, 7]["start"], found[1, 7]["end"]) == (1, 9, 39)
+    assert sorted(x["doc_id"] or 0 for x in decontamination.clean(rows, it).collect()) == [0, 3]
