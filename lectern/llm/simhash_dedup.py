@@ -11,8 +11,9 @@ never written out as pairs. Stars are joined into components over all shards. Sh
 are dealt to tasks, none is sent to all.
 
 ``near`` links texts of a Jaccard similarity of 0.8 or more over five-word shingles. Two bits of 64 cannot show that
-(edited copies differ in ten), so fingerprints have 256 bits there and link within 48, and shards are samples of bits:
-one pair in twenty of those at exactly 0.8 meets in no shard, fewer above. Pairs somewhat below 0.8 link as well.
+(edited copies differ in ten), so fingerprints have 256 bits there and link within 48. No shards and no tree part so wide
+a radius (fingerprints that are not alike all differ in about 128 bits), so every fingerprint is compared with every other, a
+pair of parts of the table a task. Pairs somewhat below 0.8 link as well.
 
 Defined cases: null or empty texts, or texts without a word, have fingerprint 0 and link like any other;
 fewer words than a shingle make one shingle; repeated rows and equal texts share fingerprint and component;
@@ -38,9 +39,11 @@ from .text_arrays import NO_SPACE, blocks, lowered, mixed
 
 SHINGLE, RADIUS, BLOCKS, FINE_BLOCKS, SHARD_LIMIT = 3, 2, 4, 8, 65_536
 HOT_ROWS, FEW_SHARDS = 10_000, 100_000
-#: Wide fingerprints: words in a shingle, 64-bit words, and the bits that texts of Jaccard similarity 0.8 agree in
-#: (shared weight 2 * 0.8 / 1.8, so 1 - acos(0.889) / pi of the bits; 39 of 256 differ, and one in sixteen pairs over 48).
-NEAR_SHINGLE, NEAR_WORDS, AGREE, NEAR_RADIUS, NEAR_LIMIT, RECALL = 5, 4, 0.848, 48, 8_192, 0.95
+#: Wide fingerprints: words in a shingle, 64-bit words, and the radius. Texts of Jaccard similarity 0.8 agree in a share of
+#: 0.848 of the bits (shared weight 2 * 0.8 / 1.8, so 1 - acos(0.889) / pi; 39 of 256 differ, and one in sixteen pairs over 48).
+NEAR_SHINGLE, NEAR_WORDS, NEAR_RADIUS = 5, 4, 48
+#: Parts that fingerprints are dealt to for comparing: of NEAR_LIMIT at least, NEAR_PARTS parts, of NEAR_MOST at most.
+NEAR_LIMIT, NEAR_PARTS, NEAR_MOST = 512, 24, 1_000_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = 42) -> int:
@@ -127,21 +130,73 @@ class BKForest:
                 q, n = q[near], self.child[c[near]]
 
 
+def _merged(low: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Make ``low``, the smallest row linked to each row, hold for links between rows a and b as well."""
+    while True:
+        x, y = low[a], low[b]
+        if (x == y).all():
+            return
+        m = np.minimum(x, y)
+        np.minimum.at(low, x, m)
+        np.minimum.at(low, y, m)
+        while (low[low] != low).any():
+            low[:] = low[low]
+
+
 def joined_rows(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """The smallest row linked to each row, over all links."""
     low = np.arange(n)
     for a, b in links:
-        while True:
-            x, y = low[a], low[b]
-            if (x == y).all():
-                break
-            m = np.minimum(x, y)
-            np.minimum.at(low, x, m)
-            np.minimum.at(low, y, m)
-            while (low[low] != low).any():
-                low = low[low]
-    while (low[low] != low).any():
-        low = low[low]
+        _merged(low, a, b)
+    return low
+
+
+def _places(near: np.ndarray) -> np.ndarray:
+    """``np.flatnonzero`` of truth values that are mostly false, looked through eight at a time."""
+    flat = near.ravel()
+    if len(flat) % 8:
+        return np.flatnonzero(flat)
+    at = (np.flatnonzero(flat.view(np.uint64))[:, None] * 8 + np.arange(8)).ravel()
+    return at[flat[at]]
+
+
+def _link(fp: np.ndarray, low: np.ndarray, i: int, j: int, p: np.ndarray, q: np.ndarray, d: np.ndarray, radius: int) -> None:
+    """Join rows i + p and j + q of fp in ``low`` where they are within the radius; d[p, q] is the distance of the first words."""
+    far = d[p, q].astype(np.int64)
+    for k in range(max(1, len(fp) // 2), len(fp)):
+        far += np.bitwise_count(fp[k, i + p] ^ fp[k, j + q])
+    some = np.flatnonzero((far <= radius) & (p + i != q + j))
+    if len(some):
+        _merged(low, p[some] + i, q[some] + j)
+
+
+def joined_within(fp: np.ndarray, at: int, radius: int, rows: int = 8, wide: int = 8_192) -> np.ndarray:
+    """The smallest row linked to each row of fingerprints fp(64-bit word, row): links are all pairs (row before ``at``, row
+    from ``at``) within the radius; with ``at`` 0 all pairs. The first half of the words, compared for all, leaves few of
+    those that are not alike; of those that are, pairs that are joined already are passed over."""
+    n, half, low = fp.shape[1], max(1, len(fp) // 2), np.arange(fp.shape[1])
+    x, d, e = np.empty((rows, wide), np.uint64), np.empty((rows, wide), np.uint8), np.empty((rows, wide), np.uint8)
+    for i in range(0, at or n, rows):
+        a = fp[:, i : min(i + rows, at or n)]
+        for j in range(at or i, n, wide):
+            b = fp[:, j : j + wide]
+            high, width = a.shape[1], b.shape[1]
+            part = (slice(0, high), slice(0, width))
+            for k in range(half):
+                np.bitwise_xor(a[k, :, None], b[k, None, :], out=x[part])
+                np.bitwise_count(x[part], out=(e if k else d)[part])
+                if k:
+                    np.add(d[part], e[part], out=d[part])
+            near = d[part] <= radius
+            many = np.count_nonzero(near)
+            if not many:
+                continue
+            hit = _places(near)
+            if many > near.size // 32:  # of many alike a few join most
+                _link(fp, low, i, j, *np.divmod(hit[:: max(1, near.size // 256)], width), d, radius)
+                near &= low[i : i + high, None] != low[None, j : j + width]
+                hit = _places(near)
+            _link(fp, low, i, j, *np.divmod(hit, width), d, radius)
     return low
 
 
@@ -207,48 +262,51 @@ def star_edges(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, fine_
     return _trees(_within(every, large, "left_anti"), radius).unionByName(_trees(keys(again, fine_blocks), radius))
 
 
-def sampled_bits(n: int, agree: float, recall: float = RECALL, more: int = 0) -> tuple[int, int]:
-    """(bits in a sample, samples) for n fingerprints: a shard holds about 64 that are not alike, and two that agree
-    in a share ``agree`` of their bits meet in one with probability ``recall``."""
-    bits = max(8, math.ceil(math.log2(max(n, 1) / 64))) + more
-    return bits, math.ceil(math.log(1 - recall) / math.log(1 - agree**bits))
+def _pair_stars(radius: int, parts: int):
+    """(pair, part, fp, words of the fingerprint) sorted by pair and part -> (a, b): each fp linked to one of the pair's other
+    part (of the one part, where a pair is a part with itself), with its root among the pair's."""
 
+    def forest(pair: int, held: list[list[np.ndarray]]) -> pa.RecordBatch | None:
+        part, fp, *words = (np.concatenate(c) for c in held)
+        at = 0 if pair // parts == pair % parts else int(np.searchsorted(part, part[-1]))
+        if not at and pair // parts != pair % parts:
+            return None  # one of the two parts is empty
+        low = joined_within(np.stack(words).view(np.uint64), at, radius)
+        own = np.flatnonzero(low != np.arange(len(fp)))
+        if not len(own):
+            return None
+        return pa.RecordBatch.from_arrays([pa.array(fp[own]), pa.array(fp[low[own]])], names=["a", "b"])
 
-def similar_edges(fps: DataFrame, n: int, radius: int = NEAR_RADIUS, agree: float = AGREE, shard_limit: int = NEAR_LIMIT) -> DataFrame:
-    """(a, b) over n distinct fingerprints fps(fp, f0, f1, ...), f being 64-bit words: links within a radius too wide for
-    whole parts in common. Shards are samples of bits instead. Shards over ``shard_limit`` are dealt again by ten more
-    bits; what agrees in those as well is one group of near copies, which is cut into parts that share members."""
-    words = [c for c in fps.columns if c != "fp"]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("simhash")
+        pair, held = -1, []
+        for b in batches:
+            cols = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns]
+            edge = np.flatnonzero(np.concatenate(([True], cols[0][1:] != cols[0][:-1], [True]))) if len(cols[0]) else []
+            for x, y in zip(edge, edge[1:]):
+                if cols[0][x] != pair:
+                    if held and (out := forest(pair, held)):
+                        yield out
+                    pair, held = int(cols[0][x]), [[] for _ in cols[1:]]
+                for h, c in zip(held, cols[1:]):
+                    h.append(c[x:y])
+        if held and (out := forest(pair, held)):
+            yield out
 
-    def keys(some: DataFrame, more: int) -> DataFrame:
-        bits, samples = sampled_bits(n, agree, more=more)
-        rng = np.random.default_rng([bits, samples])
-        out = []
-        for i in range(samples):
-            mask = np.zeros(64 * len(words), np.uint8)
-            mask[rng.choice(len(mask), bits, replace=False)] = 1
-            parts = np.packbits(mask).view(">i8").tolist()
-            key = F.xxhash64(*[F.col(w).bitwiseAND(F.lit(m).cast("long")) for w, m in zip(words, parts)])
-            out.append(F.struct(F.lit(i).alias("choice"), key.alias("bits")))
-        return some.select("fp", *words, F.explode(F.array(*out)).alias("k")).select("k.choice", "k.bits", "fp", *words)
-
-    every = keys(fps, 0)
-    large = _large(every, shard_limit)
-    if large is None:
-        return _trees(every, radius)
-    edges = _trees(_within(every, large, "left_anti"), radius)
-    again = keys(written(_within(every, large, "left_semi").select("fp", *words).distinct(), "simhash-again"), 10)
-    large = _large(again, shard_limit)
-    if large is None:
-        return edges.unionByName(_trees(again, radius))
-    edges = edges.unionByName(_trees(_within(again, large, "left_anti"), radius))
-    groups = _within(again, large, "inner")
-    parts = F.ceil(2 * F.col("n") / shard_limit).cast("int")
-    # Of about 64 members each part has a copy, the others are in one part each.
-    shared = F.pmod(F.xxhash64("fp", F.lit(1)), F.greatest(F.floor(F.col("n") / 64), F.lit(1))) == 0
-    own = F.array(F.pmod(F.xxhash64("fp"), parts).cast("int"))
-    cut = groups.withColumn("part", F.explode(F.when(shared, F.sequence(F.lit(0), parts - 1)).otherwise(own)))
-    return edges.unionByName(_trees(cut.select("choice", F.xxhash64("bits", "part").alias("bits"), "fp", *words), radius))
+    return run
+
+
+def similar_edges(fps: DataFrame, n: int, radius: int = NEAR_RADIUS, shard_limit: int = NEAR_LIMIT) -> DataFrame:
+    """(a, b) over n distinct fingerprints fps(fp, f0, f1, ...), f being 64-bit words, whose components are those of all
+    links within the radius. Every two fingerprints are compared, whatever the radius: they are dealt to parts, and each
+    pair of parts, of ``NEAR_MOST`` fingerprints each, is one task's work. A pair returns stars, as a shard does."""
+    words = [c for c in fps.columns if c != "fp"]
+    parts = max(1, min(NEAR_PARTS, math.ceil(n / shard_limit)), math.ceil(n / NEAR_MOST))
+    own = fps.withColumn("part", F.pmod(F.xxhash64("fp", F.lit(7)), F.lit(parts)))
+    to = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda j: F.least("part", j) * parts + F.greatest("part", j))
+    pairs = own.select(F.explode(to).alias("pair"), "part", "fp", *words)
+    dealt = pairs.repartition(parts * (parts + 1) // 2, "pair").sortWithinPartitions("pair", "part")
+    return map_arrow(dealt, _pair_stars(radius, parts), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -357,6 +357,29 @@ def test_near_copies(spark, limit):
     assert simhash_dedup.one_of_each(d, shard_limit=limit).count() == len(set(got.values()))
 
 
+def test_every_link_of_wide_fingerprints(spark):
+    """All pairs within the radius and none beyond, and a group that only a chain of such links holds together."""
+    r = np.random.default_rng(16)
+    own = r.integers(0, 2**64, (900, 4), dtype=np.uint64)
+    of = {}
+    for i in range(400):  # 48 and 49 bits apart
+        own[400 + i] = own[i]
+        for b in r.choice(256, 48 + i % 2, replace=False).tolist():
+            own[400 + i, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+        of[400 + i] = i if i % 2 == 0 else 400 + i
+    for i in range(801, 900):  # each 48 bits from the one before
+        own[i] = own[i - 1]
+        for b in r.choice(256, 48, replace=False).tolist():
+            own[i, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+        of[i] = 800
+    rows = [(i, *w) for i, w in enumerate(own.view(np.int64).tolist())]
+    fps = spark.createDataFrame(rows, "fp long, f0 long, f1 long, f2 long, f3 long")
+    for limit in (40, 100_000):
+        edges = simhash_dedup.similar_edges(fps, len(rows), shard_limit=limit)
+        got = {x["v"]: x["root"] for x in simhash_dedup.components(edges).collect()}
+        assert [got.get(i, i) for i in range(900)] == [of.get(i, i) for i in range(900)]
+
+
 def test_wide_fingerprint():
     one = lambda t, **o: simhash_dedup.wide_fingerprints([t], **o)[0].tolist()
     assert one(None) == one("") == one(" \n") == [0, 0, 0, 0] and one("a b") == one("A  b\n") != one("b a")
