@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lectern.operators.nesting import nearest, written
+
 LINK = r"\[\[([^\]]+)\]\]"
 
 
@@ -59,17 +63,41 @@ def file_alias(name: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(name, r"\.md$", ""), r"^\d+\s*[-–]\s*", ""))
 
 
+def _first(k: DataFrame, *by: str) -> DataFrame:
+    """Of known blocks the first a group, as struct(_o, _k)."""
+    return k.groupBy(*by).agg(F.min(F.struct("_o", "_k")).alias("_x"))
+
+
+def _begun(texts: DataFrame, text: str, others: DataFrame, other: Column) -> DataFrame:
+    """texts with ``_p``: each beginning of a text that is as long as any of the others is."""
+    lengths = others.agg(F.collect_set(F.length(other)).alias("_n"))  # one row, of different lengths alone
+    return texts.crossJoin(F.broadcast(lengths)).withColumn("_n", F.explode(F.filter("_n", lambda n: n <= F.length(text)))).withColumn("_p", F.left(text, "_n"))
+
+
 def repaired_blocks(wanted: DataFrame, known: DataFrame, by: str, key: str, block: str, order: str) -> DataFrame:
     """(key, block): for each wanted block id the known one of its group that is equal, else the first that begins it or
-    is begun by it (a leading p apart), else the first of those with the nearest number; none where nothing fits."""
-    w = wanted.select(by, key, F.col(block).alias("_w"))
-    k = known.select(by, F.col(block).alias("_k"), F.col(order).alias("_o"))
+    is begun by it (a leading p apart), else the first of those with the nearest number; none where nothing fits.
+
+    Each way is a join on equal texts, on equal beginnings or a walk over sorted numbers, of a group's different ids."""
     bare = lambda c: F.regexp_replace(c, "^p", "")
     number = lambda c: F.regexp_extract(c, r"(\d+)", 1).try_cast("bigint")
-    kind = F.when(F.col("_w") == F.col("_k"), 0).when(F.startswith("_k", bare(F.col("_w"))) | F.startswith(bare(F.col("_w")), bare(F.col("_k"))), 1).when(number(F.col("_k")).isNotNull() & number(F.col("_w")).isNotNull(), 2)
-    far = F.when(F.col("_c") == 2, F.abs(number(F.col("_k")) - number(F.col("_w")))).otherwise(F.lit(0).cast("bigint"))
-    j = w.join(k, by).withColumn("_c", kind).where("_c is not null")
-    return j.groupBy(key).agg(F.min_by("_k", F.struct("_c", far, "_o")).alias(block))
+    w = wanted.select(F.col(by).alias("_a"), key, F.col(block).alias("_w")).where("_a is not null and _w is not null")
+    k = known.select(F.col(by).alias("_a"), F.col(block).alias("_k"), F.col(order).alias("_o")).where("_a is not null and _k is not null")
+    k = written(k.groupBy("_a", "_k").agg(F.min("_o").alias("_o")).withColumn("_b", bare("_k")), "known-blocks")
+    ids = written(w.select("_a", "_w").distinct().withColumn("_b", bare("_w")), "wanted-blocks")
+    equal = ids.join(_first(k.withColumn("_w", F.col("_k")), "_a", "_w"), ["_a", "_w"])
+    begins = ids.withColumn("_p", F.col("_b")).join(_first(_begun(k.select("_a", "_k", "_o"), "_k", ids, F.col("_b")), "_a", "_p"), ["_a", "_p"])
+    begun = _begun(ids, "_b", k, F.col("_b")).join(_first(k.withColumn("_p", F.col("_b")), "_a", "_p"), ["_a", "_p"])
+    numbers = _first(k.withColumn("_m", number("_k")).where("_m is not null"), "_a", "_m")
+    asks = ids.withColumn("_m", number("_w")).where("_m is not null")
+    both = numbers.select("_a", "_m", F.lit(0).alias("_side"), F.col("_m").alias("_at")).unionByName(asks.select("_a", "_m", F.lit(1).alias("_side"), F.lit(None).cast("bigint").alias("_at")).distinct())
+    sides = [nearest(both, "_a", ["_m", "_side"], "_side", "_at", "_near", after).where("_side = 1 and _near is not null").select("_a", "_m", "_near") for after in (False, True)]
+    near = sides[0].unionByName(sides[1]).join(numbers.withColumnRenamed("_m", "_near"), ["_a", "_near"]).withColumn("_far", F.abs(F.col("_near") - F.col("_m")))
+    near = asks.join(near, ["_a", "_m"])
+    none = F.lit(0).cast("bigint")
+    ways = [d.select("_a", "_w", F.struct(F.lit(c).alias("_c"), far.alias("_far"), "_x").alias("_y")) for d, c, far in ((equal, 0, none), (begins, 1, none), (begun, 1, none), (near, 2, F.col("_far")))]
+    best = reduce(DataFrame.unionByName, ways).groupBy("_a", "_w").agg(F.min("_y").alias("_y"))
+    return w.join(best, ["_a", "_w"]).groupBy(key).agg(F.min("_y").alias("_y")).select(key, F.col("_y._x._k").alias(block))
 
 
 def _names(text: Column) -> Column:
