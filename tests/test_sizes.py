@@ -4,6 +4,7 @@ import random
 import re
 
 from lectern.operators import links as W
+from lectern.operators import reading as R
 
 
 def most_rows(df) -> int:
@@ -49,3 +50,27 @@ def test_repaired_blocks(spark):
     ids = [(0, i, f"p{i:05d}") for i in range(4_000)]
     many = W.repaired_blocks(spark.createDataFrame([(a, i, b + "5") for a, i, b in ids], "a long, k long, b string"), spark.createDataFrame(ids, "a long, o long, b string"), "a", "k", "b", "o")
     assert most_rows(many) < 100_000 and many.count() == 4_000
+
+
+def plain_similarity(a, b):
+    """As ``similarity.string_similarity`` defines it."""
+    x, y, most = a.lower(), b.lower(), max(len(a), len(b), 1)
+    if a == b:
+        return 1.0
+    return round(min(len(a), len(b)) / most if y in x or x in y else sum(c in y for c in x) / most, 6)
+
+
+def test_best_similar(spark):
+    """jn26_best_similar: against a plain loop; rows of equal texts are compared once."""
+    r = random.Random(6)
+    some = lambda: "".join(r.choice("abAB c") for _ in range(r.choice([0, 1, 2, 5, 9, 30])))
+    a, b = [(i, some()) for i in range(120)] + [(500, None)], [(i, some()) for i in range(200, 300)] + [(501, None)]
+    got = R.best_similar(spark.createDataFrame(a, "k long, x string"), spark.createDataFrame(b, "k2 long, x string"), "k", "k2", "x")
+    want = {}
+    for k, x in a[:-1]:
+        best = max((plain_similarity(x, y), -k2) for k2, y in b[:-1])
+        if best[0] > 0.4:
+            want[k] = (-best[1], best[0])
+    assert {x["k"]: (x["k2"], x["similarity"]) for x in got.collect()} == want
+    many = R.best_similar(spark.range(3_000).selectExpr("id AS k", "concat('name ', id % 7) AS x"), spark.range(5_000).selectExpr("id AS k2", "concat('type name ', id % 5) AS x"), "k", "k2", "x")
+    assert most_rows(many) <= 3_000 and many.count() == 3_000
