@@ -52,7 +52,7 @@ def book_search(
     has_children) gives level weights; rerank is a score of (query, key) as a column. Cards add to what the other
     signals recall, but recall nothing of their own."""
     depth = recall_depth(queries, scope, query)
-    signals = {"bm25": _best(L.bm25_scores(index, queries, key, query), query, key, depth)}
+    signals = {"bm25": _best(L.best_scores(index, queries, key, query, DEEPEST), query, key, depth)}
     chunks = None
     if vectors is not None and query_vectors is not None:
         chunks = _chunks(vectors if "level" in vectors.columns else vectors.withColumn("level", F.lit("L2")), query_vectors, key, query, depth)

@@ -4,6 +4,7 @@ import random
 import re
 
 from lectern.operators import best_blocks as K
+from lectern.operators import lexical as L
 from lectern.operators import links as W
 from lectern.operators import reading as R
 
@@ -97,3 +98,23 @@ def test_best_blocks(spark):
     got = K.best_blocks(c, b.repartition(3), "k", "c", "b", "o", "x")
     assert {x["k"]: (x["b"], x["score"]) for x in got.collect()} == want
     assert most_rows(K.best_blocks(c, b, "k", "c", "b", "o", "x")) <= len(blocks) and K.best_blocks(c.limit(0), b, "k", "c", "b", "o", "x").count() == 0
+
+
+def test_stored_search(spark, tmp_path):
+    """rt2_bm25_search and those that search alike: the rows of a full scoring, equals included, from an index of many
+    parts; what a search moves does not grow with queries times nodes."""
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(40)] + ["好", "a的b"]
+    rows = [(f"n{i}", " ".join(r.choice(words[: r.choice([3, 42])]) for _ in range(r.choice([0, 3, 12])))) for i in range(2_000)] + [("none", None)]
+    nodes = spark.createDataFrame(rows, "node string, text string")
+    queries = spark.createDataFrame([(i, " ".join(r.sample(words, 4))) for i in range(60)] + [(90, "unknown"), (91, "")], "q int, text string")
+    L.write_index(nodes, "node", f"{tmp_path}/index", 4, 8)
+    stored, fresh = L.read_index(spark, f"{tmp_path}/index"), L.index_of(nodes, "node")
+    for of in ("postings", "terms"):
+        columns = sorted(getattr(fresh, of).drop("bucket").columns)
+        assert sorted(map(tuple, getattr(stored, of).select(columns).collect())) == sorted(map(tuple, getattr(fresh, of).select(columns).collect()))
+    want = sorted(map(tuple, L.top(L.bm25_scores(fresh, queries, "node", "q"), "q", "node", 10).select("q", "node", "score", "rank").collect()))
+    found = L.bm25_search(stored, queries, "node", "q", 10)
+    assert sorted(map(tuple, found.select("q", "node", "score", "rank").collect())) == want
+    assert most_rows(L.bm25_search(stored, queries, "node", "q", 10)) < stored.postings.count() + 2_000
+    assert L.bm25_search(stored, queries.where("q > 89"), "node", "q").count() == 0
