@@ -25,10 +25,14 @@ def _best(hits: DataFrame, query: str, key: str, depth: DataFrame, times: int =
 
 def _chunks(vectors: DataFrame, query_vectors: DataFrame, key: str, query: str, depth: DataFrame) -> DataFrame:
     """(query, block, key, score): three times as many L2 chunks as a query's depth; where it met none, its depth of L1."""
-    scores = V.cosine_scores(vectors.withColumnRenamed(key, "_node"), query_vectors, "block", query).join(vectors.select("block", key, F.coalesce("level", F.lit("L2")).alias("level")), "block")
-    two = _best(scores.where("level = 'L2'"), query, "block", depth, 3)
-    one = _best(scores.where("level = 'L1'").join(two.select(query), query, "left_anti"), query, "block", depth)
-    return two.unionByName(one)
+    own = vectors.withColumn("level", F.coalesce("level", F.lit("L2")))
+
+    def best(level: str, queries: DataFrame, times: int) -> DataFrame:
+        near = V.cosine_scores(own.withColumnRenamed(key, "_node"), queries, "block", query, F.col("level") == level, best=DEEPEST * times)
+        return _best(near, query, "block", depth, times).join(own.where(F.col("level") == level).select("block", key, "level"), "block")
+
+    two = best("L2", query_vectors, 3)
+    return two.unionByName(best("L1", query_vectors.join(two.select(query).distinct(), query, "left_anti"), 1))
 
 
 def recall_depth(queries: DataFrame, scope: DataFrame | None, query: str) -> DataFrame:
@@ -58,7 +62,7 @@ def book_search(
         chunks = _chunks(vectors if "level" in vectors.columns else vectors.withColumn("level", F.lit("L2")), query_vectors, key, query, depth)
         signals["vector"] = V.pooled(chunks, query, key).select(query, key, "score")
         if cards is not None:
-            near = _best(V.cosine_scores(cards.withColumnRenamed(key, "_node"), query_vectors, "card", query), query, "card", depth)
+            near = _best(V.cosine_scores(cards.withColumnRenamed(key, "_node"), query_vectors, "card", query, best=DEEPEST), query, "card", depth)
             near = near.where(F.col("score") > CARD_BOUND).join(cards.select("card", key), "card")
             signals["card"] = V.pooled(near, query, key).select(query, key, "score")
     parts = []

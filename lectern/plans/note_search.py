@@ -33,7 +33,7 @@ def note_search(
     if vectors is None or query_vectors is None:
         both, vector_weight, keyword_weight = words.withColumn("vector", F.lit(0.0)), 0.0, 1.0
     else:
-        near = _recalled(V.cosine_scores(vectors.withColumnRenamed(key, "_node"), query_vectors, "block", query), query, "block", depth)
+        near = _recalled(V.cosine_scores(vectors.withColumnRenamed(key, "_node"), query_vectors, "block", query, best=DEEPEST), query, "block", depth)
         pooled = V.pooled(near.join(vectors.select("block", key), "block"), query, key).select(query, key, F.greatest("score", F.lit(0.0)).alias("vector"))
         both = words.join(pooled, [query, key], "full_outer").fillna(0.0, ["vector", "keyword"])
     placed = both.join(tree.select(key, "file", "depth", "descendants"), key, "left")

@@ -7,6 +7,7 @@ from lectern.operators import best_blocks as K
 from lectern.operators import lexical as L
 from lectern.operators import links as W
 from lectern.operators import reading as R
+from lectern.operators import vectors as V
 
 
 def most_rows(df) -> int:
@@ -118,3 +119,36 @@ def test_stored_search(spark, tmp_path):
     assert sorted(map(tuple, found.select("q", "node", "score", "rank").collect())) == want
     assert most_rows(L.bm25_search(stored, queries, "node", "q", 10)) < stored.postings.count() + 2_000
     assert L.bm25_search(stored, queries.where("q > 89"), "node", "q").count() == 0
+
+
+def test_vectors(spark):
+    """tk2_cosine_search, tk4_level_fallback, ag6_chunk_pooling: against plain loops, with ties, other dimensions, vectors
+    without length and null components; pairs are no rows."""
+    r = random.Random(9)
+    some = lambda: [float(r.randrange(-2, 3)) for _ in range(4)]
+    rows = [(i, some() if i % 50 else [0.0] * 4, "L2" if i % 3 == 0 else "L1") for i in range(400)] + [(900, [1.0], "L2"), (901, None, "L2"), (902, [1.0, None, 0.0, 0.0], "L1")]
+    asked = [(i, some()) for i in range(30)] + [(90, [0.0] * 4), (91, [1.0]), (92, None)]
+    cosine = lambda a, b: 0.0 if not (n := (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5) else round(sum(x * y for x, y in zip(a, b)) / n, 6)
+    pairs = [(q, i, None if None in v else cosine(v, w), at) for q, w in asked if w for i, v, at in rows if v and len(v) == len(w)]
+    v, q = spark.createDataFrame(rows, "id int, vector array<float>, level string"), spark.createDataFrame(asked, "q long, vector array<float>")
+    order = lambda x: str(x)
+    same = lambda got, want: sorted(map(tuple, got.collect()), key=order) == sorted(want, key=order)
+    plus = lambda s: None if s is None else s + 0.0
+    pairs = [(q_, i, plus(s), at) for q_, i, s, at in pairs]
+    got = V.cosine_scores(v, q, "id", "q", block=7)
+    assert sorted(((x["q"], x["id"], plus(x["score"])) for x in got.collect()), key=order) == sorted((p[:3] for p in pairs), key=order)
+    best = []
+    for k in {p[0] for p in pairs}:
+        best += [(k, p[1]) for p in sorted((p for p in pairs if p[0] == k), key=lambda p: (p[2] is None, -(p[2] or 0.0), p[1]))[:7]]
+    assert same(V.cosine_search(v, q, "id", "q", 7).select("q", "id"), best)
+    over = [p for p in pairs if p[2] is not None and p[2] > 0.9]
+    some_ = {p[0] for p in over if p[3] == "L2"}
+    assert same(V.level_fallback(v, q, "id", "q", 0.9), [p for p in over if p[3] == "L2" or p[0] not in some_])
+    groups = {}
+    for k, _, s, at in pairs:
+        groups.setdefault((k, at), []).append(s)
+    pooled = {(x["q"], x["level"]): (plus(x["score"]), x["chunks"]) for x in V.pooled_scores(v, q, "level", "q").collect()}
+    assert pooled == {k: (max((x for x in s if x is not None), default=None), len(s)) for k, s in groups.items()}
+    large = spark.range(20_000).selectExpr("id", "transform(sequence(1, 16), x -> cast(sin(id * x) as float)) AS vector", "id % 5 AS level")
+    stated = large.where("id % 50 = 0").selectExpr("id AS q", "vector")
+    assert most_rows(V.cosine_search(large, stated, "id", "q")) < 400_000 and most_rows(V.pooled_scores(large, stated, "level", "q")) < 400_000
